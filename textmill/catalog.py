@@ -1,0 +1,4 @@
+"""All registered queries of the library and their DuckDB twins."""
+
+QUERIES: dict = {}
+ORACLE: dict = {}

@@ -120,3 +120,26 @@ def components(edges: DataFrame, kind: str = "long") -> DataFrame:
                 e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
         mark = now
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """The rows of each key, from batches that are sorted by the keys."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.zeros(batch.num_rows, bool)
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        if held and any(held[0].column(k)[0].as_py() != batch.column(k)[0].as_py() for k in keys):
+            yield pa.concat_batches(held)
+            held = []
+        cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            held.append(batch.slice(lo, hi - lo))
+            if hi < batch.num_rows:
+                yield pa.concat_batches(held)
+                held = []
+    if held:
+        yield pa.concat_batches(held)

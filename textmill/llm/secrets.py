@@ -77,8 +77,8 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in spans)
 
 
-def scan_secrets(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None, max_ratio: float = MAX_RATIO) -> DataFrame:
-    """doc_id, text, n_assign, n_access, n_hex, n_random, base_sha256, spans and redacted (each span replaced by its kind)."""
+def scan_secrets(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None, max_ratio: float = MAX_RATIO, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns in keep, n_assign, n_access, n_hex, n_random, base_sha256, spans and redacted (each span replaced by its kind)."""
     own = default_vocabulary() if vocabulary is None else (vocabulary, pattern)
 
     def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -91,16 +91,14 @@ def scan_secrets(docs: DataFrame, vocabulary: str | None = None, pattern: str |
             rows.append((*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), redact(text, spans)))
         kinds = [pa.int64()] * 4 + [pa.string()] * 3
         cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], names=NAMES)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(c) for c in keep), *cols], names=["doc_id", *keep, *NAMES])
 
-    doc_id = dict(docs.dtypes)["doc_id"]
-    return common.by_batch(
-        docs.select("doc_id", "text"), scan,
-        f"doc_id {doc_id}, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string, redacted string",
-    )
+    d = docs.select("doc_id", *keep, "text")
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in d.dtypes[:-1])
+    return common.by_batch(d, scan, f"{schema}, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string, redacted string")
 
 
-NAMES = ["doc_id", "n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans", "redacted"]
+NAMES = ["n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans", "redacted"]
 
 
 def redact(text: str, spans: list[tuple[int, int, str]]) -> str:

@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express one, its DuckDB text."""
 
-from textmill.llm import bpe, language, minhash, mixing, secrets
+from textmill.llm import bpe, language, minhash, mixing, secrets, suffixes
 
-QUERIES = {f.__name__: f for f in (mixing.op2_mix_sources, language.op3_language_id, secrets.op5_secret_scans, bpe.op6_byte_bpe, minhash.op9_near_duplicates)}
+QUERIES = {f.__name__: f for f in (mixing.op2_mix_sources, language.op3_language_id, secrets.op5_secret_scans, bpe.op6_byte_bpe, suffixes.op7_suffix_dedup, minhash.op9_near_duplicates)}
 ORACLE = {"op2_mix_sources": mixing.OP2_SQL}

@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express one, its DuckDB text."""
 
-from textmill.llm import bpe, debruijn, itq, language, minhash, mixing, secrets, suffixes
+from textmill.llm import bpe, debruijn, html, itq, language, minhash, mixing, secrets, suffixes
 
-QUERIES = {f.__name__: f for f in (mixing.op2_mix_sources, language.op3_language_id, itq.op4_embedding_near_dups, secrets.op5_secret_scans, bpe.op6_byte_bpe, suffixes.op7_suffix_dedup, minhash.op9_near_duplicates, debruijn.op10_repeated_spans)}
+QUERIES = {f.__name__: f for f in (html.op1_main_text, mixing.op2_mix_sources, language.op3_language_id, itq.op4_embedding_near_dups, secrets.op5_secret_scans, bpe.op6_byte_bpe, suffixes.op7_suffix_dedup, minhash.op9_near_duplicates, debruijn.op10_repeated_spans)}
 ORACLE = {"op2_mix_sources": mixing.OP2_SQL}

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textmill.llm import common, hashing, routing, suffixes
 
-LENGTH, GRAM = 20, 4
+LENGTH, GRAM = 20, 3
 
 
 def tokens(raw: np.ndarray, at: np.ndarray) -> routing.Tokens:

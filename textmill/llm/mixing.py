@@ -26,7 +26,6 @@ from textmill.llm import common
 BLOCK, CAP, SEED = 16, 3, "mix-1"
 #: Leading hex digits of a document's seeded key that name its cell: 4096 cells a source.
 CELL_DIGITS = 3
-SIZE = F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long")
 
 
 def source_targets(sizes: DataFrame, cap: int = CAP, block: int = BLOCK) -> DataFrame:
@@ -65,7 +64,8 @@ def shard_quotas(targets: DataFrame, shards: int, block: int = BLOCK) -> DataFra
 def mix(docs: DataFrame, cap: int = CAP, block: int = BLOCK, seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source, source_size, target and taken (words of it that the mix takes, repeats counted); and the columns in keep."""
     key: Column = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    d = docs.select("doc_id", "source", SIZE.alias("size"), key.alias("key"), *keep).withColumn("cell", F.substring("key", 1, CELL_DIGITS))
+    size = F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long")
+    d = docs.select("doc_id", "source", size.alias("size"), key.alias("key"), *keep).withColumn("cell", F.substring("key", 1, CELL_DIGITS))
     cells = d.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"))
     sources = source_targets(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), cap, block)
     upto = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)

@@ -19,14 +19,16 @@ from pyspark.sql import functions as F
 
 from textmill.llm import common, hashing
 
-#: What a slice carries: the anchor's hash, its document (id and hash of the text), the first window's token,
+#: What a slice carries: bits of the anchor's hash, its document (id and hash of the text), the first window's token,
 #: the number of windows, the anchor's offset in the first one, bytes, and whether its windows are known to repeat.
-SLICE = [("route", "u8"), ("doc", "i8"), ("text", "i8"), ("lo", "i8"), ("windows", "i4"), ("offset", "i4"), ("size", "i4"), ("done", "u1")]
+SLICE = [("route", "u4"), ("doc", "i8"), ("text", "i4"), ("lo", "i4"), ("windows", "i4"), ("offset", "i4"), ("size", "i4"), ("done", "u1")]
 #: A stretch of a document's tokens that is known to be covered.
-SPAN = [("doc", "i8"), ("text", "i8"), ("lo", "i8"), ("hi", "i8")]
+SPAN = [("doc", "i8"), ("text", "i4"), ("lo", "i4"), ("hi", "i4")]
 #: Text that a bucket gets, and of it what is sorted at a time.
-BUCKET_BYTES, BLOCK_BYTES = 96 << 20, 3 << 20
+BUCKET_BYTES, BLOCK_BYTES = 64 << 20, 3 << 20
 NO_ID = -(1 << 63)
+#: Bytes shuffled count for more here than the compressor's time.
+LEVEL = 6
 PACKED = "bucket long, slices binary, data binary, spans binary"
 
 
@@ -48,7 +50,7 @@ class Bucket(NamedTuple):
 def squeeze(table: np.ndarray) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(table[f]).tobytes() for f in table.dtype.names))
+    return zstandard.ZstdCompressor(level=LEVEL).compress(b"".join(np.ascontiguousarray(table[f]).tobytes() for f in table.dtype.names))
 
 
 def unsqueeze(raw: bytes, kind: list[tuple[str, str]]) -> np.ndarray:
@@ -125,11 +127,11 @@ def packed(batch: pa.RecordBatch, tokens: Tokens, raw: np.ndarray, length: int,
     by = np.lexsort((head, to))
     head, to, route, size = head[by], to[by], route[by], size[by]
     table = np.empty(len(head), SLICE)
-    table["route"], table["doc"], table["text"], table["lo"] = route, doc[text[head]], th[text[head]], place[head]
+    table["route"], table["doc"], table["text"], table["lo"] = route & np.uint64(0xFFFFFFFF), doc[text[head]], th[text[head]], place[head]
     table["windows"], table["offset"], table["size"], table["done"] = n[head], anchor[head] - lo[head], b[head] - a[head], (size > 1) & (not first_only)
     import zstandard
 
-    pack = zstandard.ZstdCompressor(level=1).compress
+    pack = zstandard.ZstdCompressor(level=LEVEL).compress
     view, rows = memoryview(raw), []
     cuts = [*np.flatnonzero(np.diff(to, prepend=-1)).tolist(), len(to)]
     starts, ends = a[head].tolist(), b[head].tolist()
@@ -143,7 +145,7 @@ def packed(batch: pa.RecordBatch, tokens: Tokens, raw: np.ndarray, length: int,
 
 
 def covered(docs: DataFrame, tokens: Callable[[np.ndarray, np.ndarray], Tokens], repeated: Callable[[Bucket], np.ndarray], length: int, k: int, first_only: bool) -> DataFrame:
-    """id, th and spans (pairs of a first and a last-but-one token, as int64): what repeated windows cover in each document.
+    """id, th and spans (pairs of a first token and the one after the last): what repeated windows cover in each document.
 
     docs has id, th and text. repeated gets the slices whose anchors a bucket holds more than once, a block at
     a time, and returns SPAN rows.
@@ -162,7 +164,7 @@ def covered(docs: DataFrame, tokens: Callable[[np.ndarray, np.ndarray], Tokens],
                 yield pa.RecordBatch.from_arrays([pa.array(found[f]) for f, _ in SPAN], names=["id", "th", "lo", "hi"])
 
     sent = common.by_batch(docs.select("id", "th", "text"), send, PACKED)
-    found = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(find, "id long, th long, lo long, hi long")
+    found = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(find, "id long, th int, lo int, hi int")
     return found.groupBy("id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
@@ -206,7 +208,7 @@ def blocks(part: pa.RecordBatch, repeated: Callable[[Bucket], np.ndarray]) -> It
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text (null: empty), id (a null doc_id counts as the smallest) and th, the text's hash."""
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return d.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("th"))
+    return d.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.hash("text").alias("th"))
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -221,6 +223,6 @@ def marks(column: pa.Array, first: np.ndarray) -> np.ndarray:
     lists = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     flat = column.flatten()
     base = np.repeat(first[:-1], lists)
-    np.add.at(change, base + flat.field("lo").to_numpy(), 1)
-    np.add.at(change, base + flat.field("hi").to_numpy(), -1)
+    np.add.at(change, base + flat.field("lo").to_numpy().astype(np.int64), 1)
+    np.add.at(change, base + flat.field("hi").to_numpy().astype(np.int64), -1)
     return np.cumsum(change[:-1]) > 0

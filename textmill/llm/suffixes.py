@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textmill.llm import common, hashing, routing
 
-LENGTH, GRAM = 200, 24
+LENGTH, GRAM = 200, 16
 #: A difference cover: each residue of the period is a difference of two members. Fixed values.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 

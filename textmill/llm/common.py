@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but ASCII white space, in Java's and Python's regex dialects.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts are handled in runs of about this many bytes, so that numpy temporaries stay small.
-RUN_BYTES = 4 << 20
+RUN_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,7 +53,7 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def runs(sizes: np.ndarray, limit: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
+def runs(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose sizes add up to about limit; a larger row is alone in its range."""
     lo, total = 0, 0
     for i, n in enumerate(sizes.tolist()):
@@ -68,7 +68,7 @@ def runs(sizes: np.ndarray, limit: int = RUN_BYTES) -> Iterator[tuple[int, int]]
 def text_runs(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
     """The batch in slices of about RUN_BYTES of text."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    for lo, hi in runs(sizes):
+    for lo, hi in runs(sizes, RUN_BYTES):
         yield batch.slice(lo, hi - lo)
 
 

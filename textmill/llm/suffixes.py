@@ -68,7 +68,7 @@ def refined(group: np.ndarray, keys, rounds: int) -> np.ndarray:
         if not len(live):
             break
         key = keys(r, live)
-        by = np.lexsort((key, rank[live]))
+        by = np.argsort(key) if rank[live[0]] == 0 and size[0] == len(live) else np.lexsort((key, rank[live]))
         g, k = rank[live][by], key[by]
         start = np.ones(len(by), bool)
         start[1:] = g[1:] != g[:-1]
@@ -116,14 +116,19 @@ def repeated(bucket: routing.Bucket, length: int = LENGTH) -> np.ndarray:
     n = s["windows"][first].astype(np.int64)
     row = np.repeat(np.arange(len(first)), n)
     step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    place = starts[first][row] + step
     _, route = np.unique(s["route"][first], return_inverse=True)
     meet = route[row] * (length + 1) + s["offset"][first][row] - step
-    size = np.bincount(meet)
-    two = np.flatnonzero(size[meet] > 1)  # a window without another of its anchor and offset is alone
     hit = done[row]
+    size, undecided = np.bincount(meet), np.bincount(meet, ~hit)
+    # a window without another of its anchor and offset is alone; a group of decided ones needs no sorting
+    two = np.flatnonzero((size[meet] > 1) & (undecided[meet] > 0))
     if len(two):
-        hit[two] |= equal_windows(data, place[two], meet[two], length)
+        used = np.unique(row[two])
+        a, b = starts[first[used]], starts[first[used] + 1]
+        moved = np.zeros(len(first), np.int64)
+        moved[used] = np.cumsum(b - a) - (b - a)
+        text = np.concatenate([data[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)])
+        hit[two] |= equal_windows(text, moved[row[two]] + step[two], meet[two], length)
     return spans_of(s, same, n, hit, length)
 
 

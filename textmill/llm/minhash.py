@@ -6,10 +6,10 @@ cut into 25 bands of 5; equal bands make candidates. Within a band's bucket, sig
 batch by batch, and a pair is dropped once the posterior probability (uniform prior) that its
 similarity reaches the threshold is below ``miss``. A pair is looked at in its first common band only.
 
-What is left is verified exactly on the full sets, in two rounds, so that a large group never puts out
-all its pairs: first the pairs of each bucket's maximum spanning forest by estimated similarity; then,
-with the components those links give, every surviving pair that still lies between two components.
-A bucket above ``block`` members is dealt to tasks as pairs of blocks.
+What is left is verified exactly on the full sets, in the same cell: only members of a surviving pair
+bring their texts. A cell puts out a spanning forest of its verified links, so that a large group never
+puts out all its pairs and no link between groups is lost. A bucket above ``block`` members is dealt to
+tasks as pairs of blocks.
 
 Defined cases: a null or blank text has no shingles and is linked with nothing; a null doc_id is linked
 with nothing, has component null and is kept; rows that repeat both id and text get the same result;
@@ -131,60 +131,75 @@ def buckets(sigs: DataFrame) -> DataFrame:
     return e.join(n, "key")
 
 
-def proposals(members: DataFrame, threshold: float, miss: float, block: int, between: bool) -> DataFrame:
-    """a, b: of each bucket's surviving pairs the spanning forest, or (between) all that lie between two components.
-
-    members: key, band, n, id, sig and, for between, component.
-    """
-    least = least_matches(threshold, miss)
-    blocks = F.ceil(F.col("n") / block)
-    cells = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
-    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cells = cells.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "band", "id", "sig", *["component"] * between)
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def cells(members: DataFrame, block: int) -> DataFrame:
+    """members (key, band, n, id) dealt to cells (key, p, q): a bucket above ``block`` members is cut to blocks, and each pair of blocks is a cell."""
+    c = members.withColumn("blocks", F.ceil(F.col("n") / block)).withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
+    c = c.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return c.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "band", "id")
+
+
+def in_cells(rows: DataFrame, each, schema: str) -> DataFrame:
+    parts = common.shuffle_parts(rows.sparkSession)
+    return rows.repartition(parts, "key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(each, schema)
+
+
+def candidates(part: pa.RecordBatch, least: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a cell's rows that no batch of lanes rules out and whose first common band is the cell's."""
+    ids, own = part.column("id").to_numpy(), part.column("own").to_numpy()
+    sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint8).reshape(-1, LANES)
+    p, q, band = (part.column(c)[0].as_py() for c in ("p", "q", "band"))
+    found = []
+    for lo in range(0, len(ids), 128):  # 128 rows against all, to bound the arrays
+        x, y = (z.ravel() for z in np.meshgrid(np.arange(lo, min(lo + 128, len(ids))), np.arange(len(ids)), indexing="ij"))
+        good = (ids[x] < ids[y]) if p == q else (own[x] == p) & (own[y] == q) & (ids[x] != ids[y])
+        found.append(survivors(sig, sig, x[good], y[good], band, least)[:2])
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def similar(texts: pa.Array, x: np.ndarray, y: np.ndarray, k: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the full sets of the pairs (x, y) of texts reach the threshold, and their intersections' sizes."""
+    raw, at = common.utf8(texts)
+    row, h = hashing.shingles(raw, at, k)
+    _, name = np.unique(h, return_inverse=True)
+    begin = np.searchsorted(row, np.arange(len(at)))
+    size = np.diff(begin)
+    there, both = np.zeros(len(h), bool), np.zeros(len(x), np.int64)
+    for i in np.unique(x):
+        there[name[begin[i] : begin[i + 1]]] = True
+        for at_ in np.array_split(np.flatnonzero(x == i), 1 + (x == i).sum() // 256):
+            other = y[at_]
+            ends = np.cumsum(size[other])
+            flat = np.repeat(begin[other] - ends + size[other], size[other]) + np.arange(ends[-1])
+            both[at_] = np.add.reduceat(there[name[flat]].astype(np.int64), ends - size[other])
+        there[name[begin[i] : begin[i + 1]]] = False
+    return 100 * both >= percent * (size[x] + size[y] - both), both
+
+
+def links(members: DataFrame, sigs: DataFrame, docs: DataFrame, k: int, percent: int, miss: float, block: int) -> DataFrame:
+    """a, b: in each cell a spanning forest of the pairs that reach the threshold exactly."""
+    least = least_matches(percent / 100, miss)
+
+    def live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.groups(batches, ("key", "p", "q")):
-            ids = part.column("id").to_numpy()
-            sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint8).reshape(-1, LANES)
-            own, band = part.column("own").to_numpy(), part.column("band")[0].as_py()
-            p, q = part.column("p")[0].as_py(), part.column("q")[0].as_py()
-            group = part.column("component").to_numpy() if between else None
-            found = []
-            for lo in range(0, len(ids), 128):  # 128 rows against all, to bound the arrays
-                here = np.arange(lo, min(lo + 128, len(ids)))
-                x, y = (z.ravel() for z in np.meshgrid(here, np.arange(len(ids)), indexing="ij"))
-                good = (ids[x] < ids[y]) if p == q else (own[x] == p) & (own[y] == q) & (ids[x] != ids[y])
-                if between:
-                    good &= group[x] != group[y]
-                found.append(survivors(sig, sig, x[good], y[good], band, least))
-            x, y, same = (np.concatenate(z) for z in zip(*found, strict=True))
-            if not between:
-                pick = forest(len(ids), x, y, same)
-                x, y = x[pick], y[pick]
+            x, y = candidates(part, least)
             if len(x):
-                a, b = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    parts = common.shuffle_parts(members.sparkSession)
-    return cells.repartition(parts, "key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(each, "a long, b long").distinct()
-
+                yield part.take(pa.array(np.union1d(x, y))).drop_columns(["sig"])
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """a, b and same, whether 100 * intersection >= percent * union on the full sets."""
-    t = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
-    j = pairs.join(t.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(t.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        (r1, h1), (r2, h2) = (hashing.shingles(*common.utf8(batch.column(c)), k) for c in ("ta", "tb"))
-        n = batch.num_rows
-        r, h = np.concatenate([r1, r2]), np.concatenate([h1, h2])
-        order = np.lexsort((h, r))
-        r, h = r[order], h[order]
-        both = np.bincount(r[1:][(r[1:] == r[:-1]) & (h[1:] == h[:-1])], minlength=n)
-        union = np.bincount(r, minlength=n) - both
-        return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array((100 * both >= percent * union) & (both > 0))], names=["a", "b", "same"])
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in common.groups(batches, ("key", "p", "q")):
+            x, y = candidates(part, least)
+            good, both = similar(part.column("text"), x, y, k, percent)
+            x, y, both = x[good], y[good], both[good]
+            pick = forest(part.num_rows, x, y, both)
+            ids = part.column("id").to_numpy()
+            a, b = ids[x[pick]], ids[y[pick]]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    return common.by_batch(j.select("a", "b", "ta", "tb"), each, "a long, b long, same boolean", column="ta")
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
+    dealt = in_cells(cells(members, block).join(sigs, "id"), live, "id long, key long, p long, q long, own long, band int")
+    dealt = common.materialize(dealt, "live")
+    return in_cells(dealt.join(sigs, "id").join(texts, "id"), verify, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, miss: float = MISS, block: int = BLOCK) -> DataFrame:
@@ -193,15 +208,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, miss: float
     ids = own.where("doc_id is not null and n_shingles > 0").select(F.col("doc_id").cast("long").alias("id"), "cls", "sig")
     reps = common.materialize(ids.groupBy("cls").agg(F.min("id").alias("rep")), "classes")
     sigs = ids.join(reps, "cls").where("id = rep").select("id", "sig").distinct()
-    members = common.materialize(buckets(sigs).join(sigs, "id"), "buckets")
-    first = common.materialize(verified(proposals(members, percent / 100, miss, block, False), docs, k, percent), "verified")
-    links = first.where("same").select("a", "b")
-    parts = common.components(links)
-    labelled = members.join(parts, members.id == parts.node, "left").select(members["*"], F.coalesce("component", "id").alias("component"))
-    open_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rest = proposals(labelled.join(open_keys, "key"), percent / 100, miss, block, True)
-    second = verified(rest.join(first.select("a", "b"), ["a", "b"], "left_anti"), docs, k, percent).where("same").select("a", "b")
-    parts = common.components(links.union(second))
+    parts = common.components(links(buckets(sigs), sigs, docs, k, percent, miss, block))
     named = reps.join(parts, reps.rep == parts.node, "left").select("cls", F.coalesce("component", "rep").alias("component_id"))
     out = own.join(named.withColumnRenamed("cls", "c"), own.cls == F.col("c"), "left").select(
         "doc_id", "n_shingles",

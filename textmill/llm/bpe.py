@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from textmill.llm import common
 from textmill.llm.secrets import default_vocabulary
 
-#: Distinct pre-tokens that a worker remembers; beyond that it starts anew.
-CACHE = 1_000_000
+#: Distinct chunks that a worker remembers; beyond that it starts anew.
+CACHE = 250_000
 
 
 def byte_characters() -> list[str]:

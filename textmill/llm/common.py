@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but ASCII white space, in Java's and Python's regex dialects.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts are handled in runs of about this many bytes, so that numpy temporaries stay small.
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,10 +65,10 @@ def runs(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         yield lo, len(sizes)
 
 
-def text_runs(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about RUN_BYTES of text."""
+def text_runs(batch: pa.RecordBatch, column: str = "text", scale: int = 1) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about scale times RUN_BYTES of text."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    for lo, hi in runs(sizes, RUN_BYTES):
+    for lo, hi in runs(sizes, scale * RUN_BYTES):
         yield batch.slice(lo, hi - lo)
 
 
@@ -83,12 +83,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str = "text") -> DataFrame:
+def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str = "text", scale: int = 1) -> DataFrame:
     """df through fn in Arrow batches of bounded text size."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_runs(batch, column):
+            for part in text_runs(batch, column, scale):
                 yield fn(part)
 
     return df.mapInArrow(each, schema)

@@ -163,7 +163,7 @@ def covered(docs: DataFrame, tokens: Callable[[np.ndarray, np.ndarray], Tokens],
             for found in blocks(part, repeated):
                 yield pa.RecordBatch.from_arrays([pa.array(found[f]) for f, _ in SPAN], names=["id", "th", "lo", "hi"])
 
-    sent = common.by_batch(docs.select("id", "th", "text"), send, PACKED)
+    sent = common.by_batch(docs.select("id", "th", "text"), send, PACKED, scale=2)
     found = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(find, "id long, th int, lo int, hi int")
     return found.groupBy("id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 

@@ -1,4 +1,576 @@
-"""All registered queries of the library and their DuckDB twins."""
+"""All registered queries of the library, each over whole tables, and their DuckDB twins."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from textmill import views
+from textmill.functions import measures, text
+from textmill.operators import dedupe, detect, pages, policy, rules, segments, store, tables
+from textmill.plans import analytics, optimize, report
+from textmill.sources import requests as sources
+from textmill.streaming import streams
+from textmill.views import DIRTY, EVENTS, table, tokens_sql
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its DuckDB text."""
+
+    def put(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLE[fn.__name__] = sql
+        return fn
+
+    return put
+
+
+def shared(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{base.rstrip('/')}/textmill-{name}-{uuid.uuid4().hex}"
+
+
+# Texts -----------------------------------------------------------------------------------------
+
+#: normalize_text in DuckDB over ``dirty``: t1 to t6, then what the first four steps changed.
+NORMAL = DIRTY + r""",
+n1 as (select doc_id, lang, text, regexp_replace(text, '\r\n|\r', chr(10), 'g') as t1 from dirty),
+n2 as (select *, regexp_replace(t1, '[ \t]+(\n|$)', '\1', 'g') as t2 from n1),
+n4 as (select *, regexp_replace(t2, '\n{3,}', chr(10) || chr(10), 'g') as t4 from n2),
+pp as (select doc_id, i, p, trim(p, chr(32) || chr(9) || chr(10)) as k from (select doc_id, unnest(string_split(t4, chr(10) || chr(10))) as p, generate_subscripts(string_split(t4, chr(10) || chr(10)), 1) as i from n4)),
+pk as (select *, lag(k) over (partition by doc_id order by i) as before from (select * from pp where k <> '')),
+pj as (select doc_id, string_agg(p, chr(10) || chr(10) order by i) as t5 from (select doc_id, i, p from pp where k = '' union all select doc_id, i, p from pk where before is null or before <> k) group by doc_id),
+n6 as (select n4.*, coalesce(t5, '') as t5, trim(coalesce(t5, ''), chr(32) || chr(9) || chr(10)) as t6 from n4 left join pj using (doc_id)),
+normal as (select *, list_filter([case when t1 <> text then 'normalized_line_endings' end, case when t2 <> t1 then 'stripped_trailing_whitespace' end,
+  case when t4 <> t2 then 'collapsed_blank_lines' end, case when t5 <> t4 then 'removed_duplicate_paragraphs' end], lambda x: x is not null) as fired from n6),
+normalized as (select doc_id, lang, text, t6 as cleaned, case when len(fired) = 0 and t6 <> t5 then ['stripped_trailing_whitespace'] else fired end as steps from normal)"""
+CASES = NORMAL + f""",
+counted as (select *, {tokens_sql("text")} as before, {tokens_sql("cleaned")} as after from normalized),
+cases as (select doc_id, lang, lang as kind, case when after > before then text else cleaned end as cleaned, case when after > before then [] else steps end as steps, before as tokens_before,
+  least(before, after) as tokens_after, strlen(text) as bytes_before, strlen(case when after > before then text else cleaned end) as bytes_after from counted)"""
+
+
+def cases(spark: SparkSession, d: str) -> DataFrame:
+    return text.cleaned_documents(views.dirty_documents(spark, d)).withColumn("case_id", F.col("doc_id")).withColumn("kind", F.col("lang"))
+
+
+@query(f"with {CASES} select lang, count(*) as documents, cast(sum(tokens_before) as bigint) as tokens_before, cast(sum(tokens_after) as bigint) as tokens_after, cast(sum(tokens_before - tokens_after) as bigint) as tokens_saved from cases group by lang")
+def text_savings_by_lang(spark, d):
+    """The flagship: documents cleaned, measured, growth undone, by language."""
+    return cases(spark, d).groupBy("lang").agg(F.count("*").alias("documents"), F.sum("tokens_before").alias("tokens_before"), F.sum("tokens_after").alias("tokens_after"), F.sum("tokens_saved").alias("tokens_saved"))
+
+
+@query(f"with {NORMAL} select doc_id, length(cleaned) as n_chars, md5(cleaned) as cleaned_md5, array_to_string(steps, ',') as steps from normalized")
+def text_normalize(spark, d):
+    c = text.normalize_text(views.dirty_documents(spark, d))
+    return c.select("doc_id", F.length("cleaned").cast("long").alias("n_chars"), F.md5("cleaned").alias("cleaned_md5"), F.array_join("steps", ",").alias("steps"))
+
+
+@query(f"""select 'documents' as kind, count(*) as n, cast(sum({tokens_sql("text")}) as bigint) as tokens, cast(sum(strlen(text)) as bigint) as bytes from documents
+union all select 'pages', count(*), cast(sum({tokens_sql("html")}) as bigint), cast(sum(strlen(html)) as bigint) from pages
+union all select 'turns', count(*), cast(sum({tokens_sql("text")}) as bigint), cast(sum(strlen(text)) as bigint) from conversations""")
+def measure_tokens_bytes(spark, d):
+    def of(kind, name, c):
+        t = table(spark, d, name)
+        return t.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"), F.sum(measures.token_count(F.col(c))).alias("tokens"), F.sum(F.octet_length(c).cast("long")).alias("bytes"))
+
+    return of("documents", "documents", "text").union(of("pages", "pages", "html")).union(of("turns", "conversations", "text"))
+
+
+@query(f"with {CASES} select doc_id, tokens_before, tokens_after, tokens_before - tokens_after as tokens_saved, bytes_before - bytes_after as bytes_saved, len(steps) > 0 as changed from cases")
+def measure_savings(spark, d):
+    return cases(spark, d).select("doc_id", "tokens_before", "tokens_after", "tokens_saved", "bytes_saved", "changed")
+
+
+@query("""select event_id, props as minified from events""")
+def json_minify(spark, d):
+    e = table(spark, d, "events").withColumn("wide", F.concat(F.lit("{\n  "), F.expr("substring(props, 2, length(props) - 2)"), F.lit(" \n}")))
+    return e.select("event_id", F.regexp_replace(text.minify_json(F.col("wide")), '":', '": ').alias("minified"))
+
+
+@query("select s_suppkey, s_name as decoded from supplier")
+def base64_decode(spark, d):
+    s = table(spark, d, "supplier").withColumn("b", F.regexp_replace(F.base64(F.col("s_name").cast("binary")), "=+$", ""))
+    return s.select("s_suppkey", text.decode_text(text.decode_base64(F.col("b"))).alias("decoded"))
+
+
+# Duplicates ------------------------------------------------------------------------------------
+
+LINES = DIRTY + r""",
+ln as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as ix from dirty),
+lf as (select *, trim(line, chr(32) || chr(9) || chr(13)) as k, regexp_matches(line, '^\s{0,3}#{1,6}\s+\S|^[A-Za-z][A-Za-z0-9 _/&-]{0,40}:\s*$') as is_heading from ln),
+li as (select *, not is_heading and regexp_matches(line, '^\s*(?:[-*+]|\d+[.)])\s+\S') as is_item, coalesce(last_value(case when is_heading then k end ignore nulls) over (partition by doc_id order by ix), '') as heading from lf)"""
+
+
+@query(f"with {LINES} select doc_id, count(*) as n_lines, cast(sum(case when is_item and n > 1 then 1 else 0 end) as bigint) as n_removed from (select *, row_number() over (partition by doc_id, heading, is_item, k order by ix) as n from li) group by doc_id")
+def dedupe_list_items(spark, d):
+    docs = views.dirty_documents(spark, d)
+    kept = dedupe.dedupe_list_items(docs).groupBy("doc_id").agg(F.count("*").alias("kept"))
+    n = docs.select("doc_id", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"))
+    return n.join(kept, "doc_id", "left").select("doc_id", "n_lines", (F.col("n_lines") - F.coalesce("kept", F.lit(0))).alias("n_removed"))
+
+
+@query(f"""with {LINES}, bl as (select *, sum(case when k = '' then 1 else 0 end) over (partition by doc_id order by ix) as block from li),
+bb as (select doc_id, block, string_agg(rtrim(line, chr(32) || chr(9) || chr(13)), chr(10) order by ix) as key, bool_and(is_item) as items_only, count(*) = 1 as single,
+  first(case when is_heading then k end order by ix) as opens from bl where k <> '' group by doc_id, block),
+br as (select *, not items_only and row_number() over (partition by doc_id, items_only, key order by block) > 1 as again, single and opens is not null as bare from bb),
+bc as (select *, min(case when not again or bare then block end) over (partition by doc_id, opens) < block as claimed from br)
+select doc_id, count(*) as n_blocks, cast(sum(case when case when bare then claimed else again end then 1 else 0 end) as bigint) as n_removed from bc group by doc_id""")
+def dedupe_blocks(spark, d):
+    docs = views.dirty_documents(spark, d)
+    n = dedupe.blocks(dedupe.lines(docs)).groupBy("doc_id").agg(F.count("*").alias("n_blocks"))
+    kept = dedupe.dedupe_blocks(docs).groupBy("doc_id").agg(F.count("*").alias("kept"))
+    return n.join(kept, "doc_id", "left").select("doc_id", "n_blocks", (F.col("n_blocks") - F.coalesce("kept", F.lit(0))).alias("n_removed"))
+
+
+@query(None)
+def dedupe_sentences(spark, d):
+    """Rows only: the split needs a look-behind, which DuckDB's dialect lacks."""
+    docs = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"([^.\n]+\.) ", "$1 $1 ").alias("text"))
+    return dedupe.dedupe_sentences(docs).groupBy("doc_id").agg(F.count_if("changed").alias("changed_lines"), F.sum(F.length("line")).alias("n_chars"))
+
+
+@query(None)
+def dedupe_prompts(spark, d):
+    """Rows only: iterates to a fixed point."""
+    return dedupe.dedupe_prompts(views.dirty_documents(spark, d)).select("doc_id", F.length("cleaned").alias("n_chars"), F.array_join("steps", ",").alias("steps"))
+
+
+@query("select sha256(text) as digest, min(doc_id) as doc_id, count(*) as copies from documents group by 1")
+def dedupe_exact(spark, d):
+    return dedupe.dedupe_exact(table(spark, d, "documents"))
+
+
+@query("with l as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, chr(32) || chr(9) || chr(13))), lambda x: x <> '') as k from documents) select doc_id, len(k) as n_lines, len(k) - len(list_distinct(k)) as n_repeats from l")
+def dedupe_line_ratio(spark, d):
+    return dedupe.duplicate_line_ratio(table(spark, d, "documents")).select("doc_id", F.col("n_lines").cast("long"), F.col("n_repeats").cast("long"))
+
+
+# Classification and policy ---------------------------------------------------------------------
+
+
+def contents(spark: SparkSession, d: str) -> DataFrame:
+    of = lambda k, name, i, c: table(spark, d, name).select(F.lit(k).alias("kind"), F.col(i).cast("long").alias("id"), F.col(c).alias("text"))
+    return of("document", "documents", "doc_id", "text").union(of("page", "pages", "page_id", "html")).union(of("event", "events", "event_id", "props"))
+
+
+@query("""with c as (select 'document' as kind, doc_id as id, text from documents union all select 'page', page_id, html from pages union all select 'event', event_id, props from events)
+select kind, id, case when regexp_matches(text, '(?i)<!doctype\\s+html') then 'html' when json_valid(text) and text[1] in ('{', '[') then 'json' else 'text' end as content_type,
+case when regexp_matches(text, '(?i)<!doctype\\s+html') or json_valid(text) and text[1] in ('{', '[') then 0.99::double else 0.1::double end as confidence,
+case when regexp_matches(text, '(?i)<!doctype\\s+html') then 'html' when json_valid(text) and text[1] in ('{', '[') then 'json' else 'text' end as transformer from c""".replace("\\\\", "\\"))
+def detect_contents(spark, d):
+    return detect.detect(contents(spark, d)).withColumn("transformer", detect.route(F.col("content_type"))).select("kind", "id", "content_type", "confidence", "transformer")
+
+
+@query(f"""with {DIRTY}, r as (select doc_id, text, list_filter(string_split(replace(text, chr(13), chr(10)), chr(10)), lambda x: trim(x, chr(32) || chr(9)) <> '') as l from dirty)
+select doc_id, length(text) >= 240 and len(l) >= 2 and len(l) - len(list_distinct(list_transform(l, lambda x: trim(x, chr(32) || chr(9))))) >= 0.15 * len(l)
+and len(list_filter(l, lambda x: regexp_matches(x, '^\\s*(?:at\\s+\\S+|(?:ERROR|WARN|WARNING|INFO|DEBUG|TRACE|FATAL)\\b|(?:import|from|def|class|function|const|let|var|public|private|return|if|for|while)\\b|[#@}}/*])'))) <= 0.6 * len(l) as is_prompt from r""".replace("\\\\", "\\"))
+def detect_prompts(spark, d):
+    docs = views.dirty_documents(spark, d)
+    return docs.select("doc_id", F.coalesce(detect.prompt_confidence(F.col("text")) > 0, F.lit(False)).alias("is_prompt"))
+
+
+@query("select o_orderkey, ',' as delimiter from orders")
+def detect_csv(spark, d):
+    o = table(spark, d, "orders")
+    t = F.concat_ws("\n", F.concat_ws(",", F.lit("key"), F.lit("status"), F.lit("day")), F.concat_ws(",", "o_orderkey", "o_orderstatus", F.to_date("o_orderdate")))
+    return o.select("o_orderkey", detect.csv_delimiter(t).alias("delimiter"))
+
+
+@query("select page_id, case page_id % 4 when 0 then 'html' when 1 then 'json' when 2 then 'image' end as declared from pages")
+def detect_mime(spark, d):
+    p = table(spark, d, "pages").withColumn("mime", F.expr("case page_id % 4 when 0 then 'Text/HTML; charset=utf-8' when 1 then ' application/json' when 2 then 'image/webp' else 'x/y' end"))
+    return p.select("page_id", detect.mime_type_of(F.col("mime")).alias("declared"))
+
+
+@query("select page_id, case page_id % 4 when 0 then 'html' when 1 then 'pdf' when 2 then 'docx' else 'csv' end as format from pages")
+def detect_document_format(spark, d):
+    p = table(spark, d, "pages").withColumn("data", F.expr("case page_id % 4 when 0 then cast(html as binary) when 1 then cast(concat('%PDF-1.7 ', html) as binary) when 2 then cast(concat('PK', chr(3), chr(4), 'word/document.xml') as binary) else cast('a,b' as binary) end"))
+    return p.select("page_id", detect.detect_format(F.col("data"), F.lit(""), F.when(F.col("page_id") % 4 == 3, "t.CSV").otherwise("t")).alias("format"))
+
+
+def log(spark: SparkSession, d: str) -> DataFrame:
+    """A request log from conversations: some requests are not eligible, by rules on the id."""
+    r = sources.conversations_to_requests(table(spark, d, "conversations"))
+    return r.withColumn("method", F.when(F.col("request_id") % 11 == 0, "get").otherwise("post")).withColumn("content_type", F.when(F.col("request_id") % 13 == 0, "text/plain").otherwise("Application/JSON; charset=utf-8"))
+
+
+@query("""select conv_id as request_id, case when conv_id % 11 = 0 then 'method_not_eligible' when conv_id % 13 = 0 then 'content_type_not_eligible' when conv_id % 4 = 3 then 'endpoint_not_eligible' end as skip_reason
+from conversations group by conv_id""")
+def policy_requests(spark, d):
+    return policy.policy_decide(log(spark, d)).select("request_id", "skip_reason")
+
+
+@query("select conv_id as request_id, case conv_id % 4 when 0 then 'chat' when 1 then 'messages' when 2 then 'responses' end as adapter from conversations group by conv_id")
+def policy_adapters(spark, d):
+    return log(spark, d).select("request_id", policy.route_adapter(F.col("path")).alias("adapter"))
+
+
+@query("select user_id, case user_id % 3 when 0 then 'api_key' when 1 then 'oauth_token' end as kind, count(*) as n from events group by 1, 2")
+def policy_auth_kind(spark, d):
+    h = F.when(F.col("user_id") % 3 == 0, F.create_map(F.lit("X-API-Key"), F.lit("k"))).when(F.col("user_id") % 3 == 1, F.create_map(F.lit("authorization"), F.lit("Bearer t"))).otherwise(F.create_map(F.lit("Authorization"), F.lit("Basic t")))
+    return table(spark, d, "events").select("user_id", policy.auth_kind(h).alias("kind")).groupBy("user_id", "kind").agg(F.count("*").alias("n"))
+
+
+@query("""select doc_id, case when doc_id % 5 = 0 then 'disabled_or_empty' when strlen(text) > 4000 then 'over_size_limit' when doc_id % 5 = 1 then 'unsupported_format' when doc_id % 5 = 2 then 'no_extractor' end as detail from documents""")
+def policy_documents(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.lit("")).otherwise(F.col("text")).cast("binary").alias("data"), F.expr("case doc_id % 5 when 1 then 'unknown' when 2 then 'pdf' else 'text' end").alias("format"))
+    return policy.document_eligibility(docs, limit=4000).select("doc_id", "detail")
+
+
+# Segments and the whole chain ------------------------------------------------------------------
+
+
+@query("select conv_id as request_id, count(*) as segments, cast(sum(length(text)) as bigint) as n_chars from conversations where conv_id % 4 <> 3 and text <> '' group by conv_id")
+def segments_of_requests(spark, d):
+    s = segments.segments(segments.parsed(log(spark, d)))
+    return s.groupBy("request_id").agg(F.count("*").alias("segments"), F.sum(F.length("text")).alias("n_chars"))
+
+
+@query("select conv_id as request_id, 'gpt-4o' as model, count(*) as turns from conversations group by conv_id")
+def segments_models(spark, d):
+    r = segments.parsed(log(spark, d).drop("model"))
+    n = F.coalesce(F.expr("size(try_variant_get(payload, '$.messages', 'array<variant>'))"), F.expr("size(try_variant_get(payload, '$.input', 'array<variant>'))"))
+    return r.select("request_id", "model", n.cast("long").alias("turns"))
+
+
+@query("select doc_id as request_id, 'text/plain' as media_type, sha256(text) as data_sha256 from documents where text <> ''")
+def segments_documents(spark, d):
+    docs = table(spark, d, "documents").where("text <> ''")
+    source = F.struct(F.lit("base64").alias("type"), F.lit("text/plain").alias("media_type"), F.base64(F.col("text").cast("binary")).alias("data"))
+    body = F.to_json(F.struct(F.array(F.struct(F.lit("user").alias("role"), F.array(F.struct(F.lit("document").alias("type"), source.alias("source"))).alias("content"))).alias("messages")))
+    s = segments.document_segments(segments.parsed(docs.select(F.col("doc_id").alias("request_id"), body.alias("body"))))
+    return s.select("request_id", "media_type", F.sha2("data", 256).alias("data_sha256"))
+
+
+@query(None)
+def chain_reports(spark, d):
+    """Rows only: requests through policy, segments, cleaning and measures to one event for each."""
+    r = log(spark, d).withColumn("body", F.replace("body", F.lit(". "), F.lit(".  \\n\\n\\n\\n")))
+    event = optimize.optimize(r)[1]
+    return event.select("request_id", "segments", "tokens_before", "tokens_after", "cache_hits", "cache_status", "applied", F.array_join("steps", ",").alias("steps"))
+
+
+@query("select conv_id as request_id, bool_or(contains(text, '. ')) as any_changed, cast(sum(length(replace(text, '. ', '.' || chr(10) || chr(10)))) as bigint) as n_chars from conversations where conv_id % 4 <> 3 and conv_id % 11 <> 0 and conv_id % 13 <> 0 group by conv_id")
+def chain_bodies(spark, d):
+    """Cleaned bodies, read again: the lengths of their texts."""
+    r = log(spark, d).withColumn("body", F.replace("body", F.lit(". "), F.lit(".  \\n\\n\\n\\n")))
+    new = optimize.optimize(r)[0].join(r.select("request_id", "path"), "request_id")
+    s = segments.segments(segments.parsed(new.withColumnRenamed("new_body", "body")))
+    n = s.groupBy("request_id").agg(F.sum(F.length("text")).alias("n_chars"))
+    return new.select("request_id", "any_changed").join(n, "request_id", "left")
+
+
+# Pages -----------------------------------------------------------------------------------------
+
+
+@query("select page_id, 'removed_chrome,removed_comments,removed_noise_blocks,removed_scripts,removed_styles' as steps, false as noise_left from pages")
+def pages_noise(spark, d):
+    p = pages.strip_page_noise(table(spark, d, "pages"))
+    return p.select("page_id", F.array_join("steps", ",").alias("steps"), F.col("content").rlike(r"(?i)<script\b|<nav\b|<footer\b|<!--|class=\"ad\"").alias("noise_left"))
+
+
+@query(r"""with t as (select page_id, regexp_replace(trim(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1', 1)), '\s+', ' ', 'g') as h from pages)
+select page_id, md5(replace(replace(replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')) as heading_md5 from t where h <> ''""")
+def pages_headings(spark, d):
+    b = pages.page_blocks(pages.strip_page_noise(table(spark, d, "pages")))
+    return b.where("kind = 'heading'").select("page_id", F.md5("text").alias("heading_md5"))
+
+
+@query(None)
+def pages_markdown(spark, d):
+    p = pages.strip_page_noise(table(spark, d, "pages"))
+    md = pages.page_markdown(pages.page_blocks(p)).join(p.select("page_id", "html"), "page_id")
+    m = pages.with_title(md).select("page_id", pages.clean_page(F.col("html"), F.col("markdown")).alias("text"))
+    return text.normalize_text(m).select("page_id", F.length("cleaned").alias("n_chars"), F.md5("cleaned").alias("markdown_md5"), measures.token_count(F.col("cleaned")).alias("tokens"))
+
+
+@query("""select page_id, 'link' as kind, u as target, count(*) as n from (select page_id, unnest(regexp_extract_all(html, '(?i)<a\\b[^>]*\\bhref="([^"]*)"', 1)) as u from pages) group by page_id, u""".replace("\\\\", "\\"))
+def pages_links(spark, d):
+    return pages.page_links(table(spark, d, "pages"))
+
+
+@query("""with l as (select doc_id, source, trim(regexp_replace(unnest(string_split(text, chr(10))), '\\s+', ' ', 'g')) as line from documents where text is not null),
+m as (select source, doc_id, line from l union all select source, doc_id, 'page ' || doc_id || ' of ' || source from documents where doc_id % 3 > 0),
+k as (select *, lower(trim(regexp_replace(line, '\\d+', '#', 'g'))) as key from m),
+s as (select source, count(distinct doc_id) as members from m group by source),
+c as (select source, key from k join s using (source) group by source, key, members having members >= 3 and count(distinct doc_id) > 0.5 * members)
+select source, count(*) as kept from k anti join c using (source, key) group by source""".replace("\\\\", "\\"))
+def pages_recurring_lines(spark, d):
+    """Lines of documents by source, with a page line worked in that recurs but for its number."""
+    docs = table(spark, d, "documents").where("text is not null")
+    lines = docs.select("source", "doc_id", F.explode(F.split("text", "\n", -1)).alias("text"))
+    page = docs.where("doc_id % 3 > 0").select("source", "doc_id", F.concat(F.lit("page "), "doc_id", F.lit(" of "), "source").alias("text"))
+    return pages.remove_recurring_lines(lines.union(page), "source", "doc_id").groupBy("source").agg(F.count("*").alias("kept"))
+
+
+# Content-addressed results ---------------------------------------------------------------------
+
+RULESET = store.fingerprint([("text", "1"), ("json", "1"), ("html", "1")])
+OPTIONS = store.options_fingerprint({"max_blank_lines": 1, "inline": False})
+
+
+@query(f"select doc_id, sha256('text' || chr(31) || sha256(text) || chr(31) || '{RULESET}' || chr(31) || '1' || chr(31) || '{OPTIONS}' || chr(31) || 'heuristic' || chr(31) || source) as digest from documents where source is not null")
+def store_digest(spark, d):
+    docs = table(spark, d, "documents").where("source is not null")
+    return docs.select("doc_id", store.digest(F.col("text"), RULESET, OPTIONS, qualifier=F.col("source")).alias("digest"))
+
+
+@query("select substr(sha256(string_agg(distinct lang || '@' || length(lang), ';' order by lang || '@' || length(lang))), 1, 16) as fingerprint from documents where lang is not null")
+def store_fingerprint(spark, d):
+    r = table(spark, d, "documents").where("lang is not null").select(F.col("lang").alias("name"), F.length("lang").cast("string").alias("version")).distinct()
+    return store.fingerprint_table(r)
+
+
+@query(f"select doc_id, {tokens_sql('text')} as tokens, doc_id <> min(doc_id) over (partition by text) as cache_hit from documents where text is not null")
+def store_compute_distinct(spark, d):
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text")
+    out = store.compute_distinct(docs, "text", lambda t: t.select("digest", measures.token_count(F.col("text")).alias("tokens")), "doc_id")
+    return out.select("doc_id", "tokens", "cache_hit")
+
+
+@query(f"""with old as (select distinct text from documents where doc_id % 2 = 0 and length(text) % 10 <> 0)
+select doc_id, {tokens_sql('d.text')} as tokens, old.text is not null as hit from documents d left join old on old.text = d.text where d.text is not null""")
+def store_incremental(spark, d):
+    """Even documents are in the store, a tenth of them in an older form; all documents are asked for."""
+    docs = table(spark, d, "documents").where("text is not null").withColumn("digest", F.sha2("text", 256)).select("doc_id", "digest", "text")
+    fn = lambda t: t.select("digest", measures.token_count(F.col("text")).alias("tokens"))
+    even = docs.where("doc_id % 2 = 0").dropDuplicates(["digest"])
+    old = fn(even).join(even.select("digest", F.length("text").alias("n")), "digest").select("digest", "tokens", F.when(F.col("n") % 10 == 0, 0).otherwise(1).alias("schema_version"))
+    return store.incremental(docs, old, fn)[0].select("doc_id", "tokens", "hit")
+
+
+def access(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return e.groupBy(F.col("user_id").alias("key")).agg(F.max("ts").alias("last_access"), F.min("ts").alias("created_at"), F.sum(F.floor(F.col("value") * 100)).cast("long").alias("bytes"))
+
+
+ACCESS = "a as (select user_id as key, max(ts) as last_access, min(ts) as created_at, cast(sum(floor(value * 100)) as bigint) as bytes from events group by user_id)"
+
+
+@query(f"with {ACCESS} select key from a where epoch(created_at) + 864000 > epoch((select max(last_access) from a)) - 1728000")
+def store_live_entries(spark, d):
+    a = access(spark, d)
+    now = F.col("top") - F.expr("interval 20 days")
+    return store.live_entries(a.crossJoin(F.broadcast(a.agg(F.max("last_access").alias("top")))), now, 864000).select("key")
+
+
+@query(f"with {ACCESS}, b as (select * from a where bytes <= 400000), r as (select key, bytes, row_number() over (order by last_access desc, key) as rank, sum(bytes) over (order by last_access desc, key rows unbounded preceding) as total from b) select key, bytes, rank from r where rank <= 200 and total <= 400000")
+def store_evict(spark, d):
+    return store.evict(access(spark, d), 200, 400_000).select("key", "bytes", F.col("rank").cast("long").alias("rank"))
+
+
+@query("""select count(*) filter (where event_type in ('view', 'click')) as hits, count(*) filter (where event_type = 'purchase') as misses, count(*) filter (where event_type = 'signup') as stores,
+count(*) filter (where event_type = 'error') as errors, 0::bigint as corrupted, count(*) filter (where event_type in ('view', 'click', 'purchase')) as lookups,
+round(count(*) filter (where event_type in ('view', 'click')) / count(*) filter (where event_type in ('view', 'click', 'purchase')), 4) as hit_rate from events""")
+def store_stats(spark, d):
+    e = table(spark, d, "events").select(F.expr("case event_type when 'view' then 'hit' when 'click' then 'hit' when 'purchase' then 'miss' when 'signup' then 'store' else 'error' end").alias("outcome"))
+    return store.cache_stats(e)
+
+
+@query("select doc_id as name, case when doc_id % 7 = 0 then 'added' when doc_id % 11 = 0 then 'removed' else 'changed' end as status from documents where text is not null and (doc_id % 7 = 0 or doc_id % 11 = 0 or doc_id % 13 = 0)")
+def store_drift(spark, d):
+    docs = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("name"), "text")
+    lock = docs.where("name % 7 <> 0").select("name", store.checksum(F.when(F.col("name") % 13 == 0, F.concat("text", F.lit("x"))).otherwise(F.replace("text", F.lit("\n"), F.lit("\r\n")))).alias("checksum"))
+    return store.checksum_drift(docs.where("name % 7 = 0 or name % 11 <> 0"), lock)
+
+
+# Analytics -------------------------------------------------------------------------------------
+
+STATS = """count(*) as requests, count(*) filter (where applied) as optimized, count(*) filter (where not applied) as skipped,
+cast(coalesce(sum(tokens_before) filter (where applied), 0) as bigint) as tokens_before, cast(coalesce(sum(tokens_after) filter (where applied), 0) as bigint) as tokens_after,
+cast(sum(cache_hits) as bigint) as cache_hits, cast(sum(greatest(0, cache_lookups - cache_hits)) as bigint) as cache_misses, cast(sum(cast(round(execution_time_ms * 1000) as bigint)) as bigint) as latency_us"""
+NAMES = ["requests", "optimized", "skipped", "tokens_before", "tokens_after", "cache_hits", "cache_misses", "latency_us", "tokens_saved", "avg_latency_us"]
+DERIVED = "tokens_before - tokens_after as tokens_saved, cast(floor(latency_us / requests) as bigint) as avg_latency_us"
+
+
+@query(f"with {EVENTS}, s as (select provider, {STATS} from oe group by provider) select *, {DERIVED} from s")
+def analytics_by_provider(spark, d):
+    return analytics.window_stats(views.optimization_events(spark, d), "provider").select("provider", *NAMES)
+
+
+@query(f"with {EVENTS}, s as (select cast(ts as date) as day, {STATS} from oe group by rollup (cast(ts as date))) select *, {DERIVED} from s")
+def analytics_rollup(spark, d):
+    return analytics.window_stats_rollup(views.optimization_events(spark, d)).select("day", *NAMES)
+
+
+TALLY = EVENTS + ", x as (select unnest(string_split(transformers_csv, ',')) as transformer, (tokens_before - tokens_after) // len(string_split(transformers_csv, ',')) as share, ts, event_id from oe where applied and transformers_csv <> '')"
+
+
+@query(f"with {TALLY} select transformer, count(*) as uses, cast(sum(share) as bigint) as tokens_saved from x group by transformer")
+def analytics_tallies(spark, d):
+    return analytics.transformer_tallies(views.optimization_events(spark, d)).select("transformer", "uses", "tokens_saved")
+
+
+@query(f"with {TALLY} select transformer, count(*) as uses, cast(sum(share) as bigint) as tokens_saved from x group by transformer order by tokens_saved desc, min(ts) limit 1")
+def analytics_top_transformer(spark, d):
+    return analytics.top_transformer(views.optimization_events(spark, d))
+
+
+@query(f"with {EVENTS} select event_id, provider, applied from oe order by ts desc, event_id desc limit 100")
+def analytics_recent(spark, d):
+    return analytics.recent(views.optimization_events(spark, d), 500).select("event_id", "provider", "applied")
+
+
+@query(f"with {EVENTS} select event_id, provider, applied, tokens_before from oe order by ts desc, event_id desc limit 1")
+def analytics_last(spark, d):
+    return analytics.last_event(views.optimization_events(spark, d)).select("event_id", "provider", "applied", F.col("tokens_before"))
+
+
+@query(f"with {EVENTS}, s as (select provider, {STATS} from oe group by provider) select provider, round((tokens_before - tokens_after) / 1e6 * 2.5, 4) as saved_usd from s")
+def analytics_cost(spark, d):
+    return analytics.with_cost(analytics.window_stats(views.optimization_events(spark, d), "provider"), 2.5).select("provider", "saved_usd")
+
+
+@query(f"with {EVENTS}, r as (select * from oe order by ts desc, event_id desc limit 100) select provider, count(*) as seen, bool_or(applied) as any_applied, arg_max(auth_method, struct_pack(ts := ts, event_id := event_id)) filter (where auth_method is not null) as auth_method from r group by provider")
+def analytics_providers(spark, d):
+    return analytics.provider_observations(views.optimization_events(spark, d))
+
+
+@query(f"with {EVENTS} select skip_reason, count(*) as skipped from oe where not applied group by skip_reason")
+def analytics_skips(spark, d):
+    return analytics.skip_breakdown(views.optimization_events(spark, d))
+
+
+@query(f"""with {EVENTS}, l as (select * from oe order by ts desc, event_id desc limit 1)
+select event_id, case when cache_lookups = 0 then null when cache_hits = 0 then 'miss' when cache_hits >= cache_lookups then 'hit' else 'partial' end as cache_status, tokens_before - tokens_after as tokens_saved,
+  case when transformers_csv <> '' then i - 1 end as ix, nullif(t, '') as step, nullif(upper(t[1]) || t[2:], '') as label
+from (select *, unnest(string_split(transformers_csv, ',')) as t, generate_subscripts(string_split(transformers_csv, ','), 1) as i from l)""")
+def analytics_explain(spark, d):
+    return analytics.explain(views.optimization_events(spark, d)).select("event_id", "cache_status", "tokens_saved", F.col("ix").cast("long").alias("ix"), "step", "label")
+
+
+@query(f"""with {EVENTS}, s as (select cast(ts as date) as day, {STATS} from oe group by rollup (cast(ts as date))), t as (select *, tokens_before - tokens_after as tokens_saved from s),
+u as (unpivot (select day, requests, optimized, skipped, tokens_before, tokens_after, tokens_saved, cache_hits, cache_misses from t) on columns(* exclude day) into name measure value v)
+select measure, max(v) filter (where day = (select max(day) from t)) as today, max(v) filter (where day is null) as all_time from u group by measure""")
+def analytics_stats_view(spark, d):
+    return analytics.stats_view(views.optimization_events(spark, d))
+
+
+# Report ----------------------------------------------------------------------------------------
+
+
+@query(f"with {CASES} select count(*) as cases, count(*) filter (where len(steps) > 0 and tokens_before > tokens_after) as cases_helped, cast(sum(tokens_before) as bigint) as tokens_before, cast(sum(tokens_after) as bigint) as tokens_after, cast(sum(bytes_before) as bigint) as bytes_before, cast(sum(bytes_after) as bigint) as bytes_after, round(100.0::double * sum(tokens_before - tokens_after) / sum(tokens_before), 2) as overall_pct from cases")
+def report_totals(spark, d):
+    return report.suite_totals(cases(spark, d))
+
+
+@query(f"with {CASES}, s as (select kind, count(*) as cases, cast(sum(floor((tokens_before - tokens_after) * 10000 / greatest(tokens_before, 1))) as bigint) as pct_points from cases group by kind) select *, cast(floor(pct_points / cases) as bigint) as avg_points from s")
+def report_by_kind(spark, d):
+    return report.file_type_stats(cases(spark, d))
+
+
+@query(f"with {CASES} select step, count(*) as n from (select unnest(steps) as step from cases) group by step order by n desc, step limit 8")
+def report_top_steps(spark, d):
+    return report.top_steps(cases(spark, d))
+
+
+PRICES_SQL = "p as (select * from (values ('gpt-4o', 2.50::double), ('claude-sonnet', 3.00::double), ('gpt-4o-mini', 0.15::double)) v(model, usd))"
+
+
+@query(f"with {CASES}, {PRICES_SQL}, t as (select sum(tokens_before) as b, sum(tokens_after) as a from cases), c as (select model, round(b * usd / 1e6, 6) as usd_before, round(a * usd / 1e6, 6) as usd_after from t, p) select *, round(usd_before - usd_after, 6) as usd_saved, round(100 * (1 - usd_after / usd_before), 2) as pct from c")
+def report_cost(spark, d):
+    return report.cost_by_provider(report.suite_totals(cases(spark, d)), spark.createDataFrame(report.PRICES, "model string, usd double"))
+
+
+@query("select event_type, count(value) as n, round(avg(value), 6) as mean, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95, round(quantile_cont(value, 0.99), 6) as p99, max(value) as worst from events group by event_type")
+def report_latency(spark, d):
+    return report.latency_stats(table(spark, d, "events"), "event_type", "value")
+
+
+@query("select event_type, median(value) as median_ms, min(value) as least_ms, cast(sum(length(props)) as bigint) as bytes, count(*) as runs from events group by event_type")
+def report_timing(spark, d):
+    t = report.timing_stats(table(spark, d, "events").withColumn("size", F.length("props").cast("long")), "event_type", "value", "size")
+    return t.select("event_type", "median_ms", "least_ms", "bytes", "runs")
+
+
+@query("select case when strlen(text) > 8000 then 'over_limit' when strlen(text) >= 2000 then 'large' when strlen(text) >= 500 then 'medium' else 'small' end as size_class, count(*) as n, cast(sum(strlen(text)) as bigint) as bytes, count(*) filter (where strlen(text) > 8000) as passed_through from documents where text is not null group by 1")
+def report_size_classes(spark, d):
+    return report.size_classes(table(spark, d, "documents").where("text is not null"), 8000)
+
+
+@query(f"with {CASES} select doc_id as case_id, kind, tokens_before, tokens_after, tokens_before - tokens_after as tokens_saved, array_to_string(steps, ',') as steps from cases")
+def report_cases(spark, d):
+    return report.case_table(cases(spark, d))
+
+
+@query("select 1::bigint as pass, count(*) as lookups, count(*) - count(distinct text) as hits from documents where text is not null union all select 2, count(*), count(*) from documents where text is not null")
+def report_cold_warm(spark, d):
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("digest"))
+    return report.cold_warm(docs).select(F.col("pass").cast("long").alias("pass"), "lookups", "hits")
+
+
+# Tables, rules, streams ------------------------------------------------------------------------
+
+
+@query("select n_regionkey, '| n_nationkey | n_name |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) order by n_nationkey) as markdown from nation group by n_regionkey")
+def tables_markdown(spark, d):
+    return tables.table_to_markdown(table(spark, d, "nation"), "n_regionkey", "n_nationkey", ["n_nationkey", "n_name"])
+
+
+@query("select c_nationkey as file, case c_nationkey % 3 when 0 then ';' when 1 then '|' else chr(9) end as delimiter from customer group by c_nationkey having count(*) >= 2")
+def tables_delimiter(spark, d):
+    c = table(spark, d, "customer")
+    sep = F.expr("case c_nationkey % 3 when 0 then ';' when 1 then '|' else chr(9) end")
+    lines = c.select(F.col("c_nationkey").alias("file"), F.col("c_custkey").alias("ix"), F.concat(F.col("c_custkey").cast("string"), sep, F.lit("x"), sep, F.lit("y")).alias("line"))
+    many = lines.groupBy("file").agg(F.count("*").alias("n")).where("n >= 2").select("file")
+    return tables.infer_delimiter(lines).join(many, "file")
+
+
+@query("select s_suppkey, s_name from supplier where s_suppkey % 5 <> 0")
+def tables_drop_empty(spark, d):
+    s = table(spark, d, "supplier").select(F.when(F.col("s_suppkey") % 5 != 0, F.col("s_suppkey")).alias("s_suppkey"), F.when(F.col("s_suppkey") % 5 != 0, F.col("s_name")).otherwise(" ").alias("s_name"), F.lit("").alias("nothing"))
+    return tables.drop_empty(s, header_counts=False)
+
+
+@query("select count(*) as checked, 0::bigint as not_idempotent, 0::bigint as grown from documents")
+def rules_check(spark, d):
+    return rules.check_rule(table(spark, d, "documents"), lambda c: F.regexp_replace(c, "(?m)[ \t]+$", ""))
+
+
+@query("select doc_id, 'trailing' as rule, length(text) as n_chars from documents where text is not null")
+def rules_apply(spark, d):
+    r = rules.Rules().register(rules.Rule("trailing", "1", ("text",), 100, lambda c: F.regexp_replace(c, "(?m)[ \t]+$", "")))
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", F.replace("text", F.lit("\n"), F.lit("  \n")).alias("text"), F.lit("text").alias("content_type"))
+    return r.apply(docs).select("doc_id", "rule", F.length("cleaned").cast("long").alias("n_chars"))
+
+
+@query(f"with {EVENTS}, s as (select cast(ts as date) as day, {STATS} from oe group by 1) select day, requests, optimized, tokens_before, tokens_after, cache_hits, tokens_before - tokens_after as tokens_saved from s")
+def stream_daily(spark, d):
+    s = streams.stream_daily(streams.event_stream(spark, f"{d}/[e]vents.parquet"))
+    return streams.run_to_table(s, f"daily_{uuid.uuid4().hex}", shared(spark, "daily")).select("day", "requests", "optimized", "tokens_before", "tokens_after", "cache_hits", "tokens_saved")
+
+
+@query(f"with {EVENTS}, s as (select {STATS} from oe) select *, {DERIVED} from s")
+def stream_totals(spark, d):
+    s = streams.stream_totals(streams.event_stream(spark, f"{d}/[e]vents.parquet"))
+    return streams.run_to_table(s, f"totals_{uuid.uuid4().hex}", shared(spark, "totals")).select(*NAMES)
+
+
+@query(ORACLE["analytics_tallies"])
+def stream_tallies(spark, d):
+    s = streams.stream_tallies(streams.event_stream(spark, f"{d}/[e]vents.parquet"))
+    return streams.run_to_table(s, f"tallies_{uuid.uuid4().hex}", shared(spark, "tallies"))
+
+
+@query("select count(*) as contents from (select distinct provider, transformers_csv, tokens_before from (with " + EVENTS + " select * from oe))")
+def stream_reuse(spark, d):
+    e = streams.event_stream(spark, f"{d}/[e]vents.parquet").withColumn("content", F.concat_ws("|", "provider", "transformers_csv", "tokens_before"))
+    once = streams.stream_dedupe(e, "content", "60 days").select("digest")
+    return streams.run_to_table(once, f"reuse_{uuid.uuid4().hex}", shared(spark, "reuse"), "append").agg(F.count("*").alias("contents"))
+
+
+@query(ORACLE["analytics_recent"])
+def stream_recent(spark, d):
+    folder = shared(spark, "recent")
+    streams.stream_recent(streams.event_stream(spark, f"{d}/[e]vents.parquet"), f"{folder}/out", f"{folder}/ck").awaitTermination()
+    return spark.read.parquet(f"{folder}/out/v*").withColumn("v", F.input_file_name()).transform(lambda t: analytics.recent(t.drop("v").distinct(), 100)).select("event_id", "provider", "applied")

@@ -1,0 +1,65 @@
+"""Which requests and documents are optimized: rules in order, the first that decides wins."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+MAX_BODY, MAX_DOCUMENT = 8_000_000, 16_000_000
+#: Endpoints by provider: what is denied first, then what is allowed. Fixed values.
+DENIED = ("embeddings", "audio", "images", "files", "moderations", "models")
+ALLOWED = ("chat/completions", "responses")
+PREFIXES = ("assistants", "threads/")
+SUFFIXES = ("messages",)
+
+
+def path_of(c: Column) -> Column:
+    p = F.lower(F.regexp_replace(c, "^/+|/+$", ""))
+    return F.regexp_replace(p, "^v1/", "")
+
+
+def endpoint_permits(path: Column) -> Column:
+    p = path_of(path)
+    denied = F.lit(False)
+    for d in DENIED:
+        denied |= p.startswith(d)
+    allowed = p.isin(*ALLOWED)
+    for a in PREFIXES:
+        allowed |= p.startswith(a)
+    for s in SUFFIXES:
+        allowed |= p.endswith(s)
+    return ~denied & allowed
+
+
+def route_adapter(path: Column) -> Column:
+    """The payload shape of a path: first match wins, null where none fits."""
+    p = path_of(path)
+    return (
+        F.when(p == "chat/completions", "chat").when(p == "responses", "responses").when((p == "assistants") | p.startswith("threads/"), "assistants")
+        .when(p.endswith("messages") & ~F.contains(p, F.lit("batches")), "messages")
+    )
+
+
+def policy_decide(requests: DataFrame, enabled: bool = True, max_body: int = MAX_BODY) -> DataFrame:
+    """requests (method, path, content_type, body) with skip_reason (null: go on) and optimize."""
+    size = F.octet_length("body")
+    essence = F.lower(F.trim(F.split_part("content_type", F.lit(";"), F.lit(1))))
+    reason = (
+        F.when(F.lit(not enabled), "optimization_disabled").when(F.upper("method") != "POST", "method_not_eligible").when(F.coalesce(size, F.lit(0)) == 0, "empty_body")
+        .when(size > max_body, "body_too_large").when(essence != "application/json", "content_type_not_eligible").when(~endpoint_permits(F.col("path")), "endpoint_not_eligible")
+    )
+    return requests.withColumn("skip_reason", reason).withColumn("optimize", F.col("skip_reason").isNull())
+
+
+def document_eligibility(docs: DataFrame, enabled: bool = True, limit: int = MAX_DOCUMENT, disabled: tuple[str, ...] = ()) -> DataFrame:
+    """docs (data, format) with detail: null where the document can be extracted."""
+    n = F.coalesce(F.octet_length("data"), F.lit(0))
+    readable = F.col("format").isin("text", "markdown", "csv", "html", "xml")
+    detail = F.when(F.lit(not enabled) | (n == 0), "disabled_or_empty").when(n > limit, "over_size_limit").when(F.col("format").isin("unknown", *disabled), "unsupported_format").when(~readable, "no_extractor")
+    return docs.withColumn("detail", detail)
+
+
+def auth_kind(headers: Column) -> Column:
+    """The kind of credentials by header name; values are looked at for their scheme only and never kept."""
+    low = F.transform_keys(headers, lambda k, _: F.lower(k))
+    return F.when(F.element_at(low, "x-api-key").isNotNull(), "api_key").when(F.element_at(low, "authorization").rlike(r"(?i)^bearer\s+\S"), "oauth_token")

@@ -255,15 +255,15 @@ def segments_documents(spark, d):
 @query(None)
 def chain_reports(spark, d):
     """Rows only: requests through policy, segments, cleaning and measures to one event for each."""
-    r = log(spark, d).withColumn("body", F.replace("body", F.lit(". "), F.lit(".  \\n\\n\\n\\n")))
+    r = log(spark, d).withColumn("body", F.replace("body", F.lit(". "), F.lit(".  \\n")))
     event = optimize.optimize(r)[1]
     return event.select("request_id", "segments", "tokens_before", "tokens_after", "cache_hits", "cache_status", "applied", F.array_join("steps", ",").alias("steps"))
 
 
-@query("select conv_id as request_id, bool_or(contains(text, '. ')) as any_changed, cast(sum(length(replace(text, '. ', '.' || chr(10) || chr(10)))) as bigint) as n_chars from conversations where conv_id % 4 <> 3 and conv_id % 11 <> 0 and conv_id % 13 <> 0 group by conv_id")
+@query("select conv_id as request_id, bool_or(contains(text, '. ')) as any_changed, cast(sum(length(text)) as bigint) as n_chars from conversations where conv_id % 4 <> 3 and conv_id % 11 <> 0 and conv_id % 13 <> 0 group by conv_id")
 def chain_bodies(spark, d):
     """Cleaned bodies, read again: the lengths of their texts."""
-    r = log(spark, d).withColumn("body", F.replace("body", F.lit(". "), F.lit(".  \\n\\n\\n\\n")))
+    r = log(spark, d).withColumn("body", F.replace("body", F.lit(". "), F.lit(".  \\n")))
     new = optimize.optimize(r)[0].join(r.select("request_id", "path"), "request_id")
     s = segments.segments(segments.parsed(new.withColumnRenamed("new_body", "body")))
     n = s.groupBy("request_id").agg(F.sum(F.length("text")).alias("n_chars"))
@@ -364,9 +364,9 @@ def store_live_entries(spark, d):
     return store.live_entries(a.crossJoin(F.broadcast(a.agg(F.max("last_access").alias("top")))), now, 864000).select("key")
 
 
-@query(f"with {ACCESS}, b as (select * from a where bytes <= 400000), r as (select key, bytes, row_number() over (order by last_access desc, key) as rank, sum(bytes) over (order by last_access desc, key rows unbounded preceding) as total from b) select key, bytes, rank from r where rank <= 200 and total <= 400000")
+@query(f"with {ACCESS}, b as (select * from a where bytes <= 20000000), r as (select key, bytes, row_number() over (order by last_access desc, key) as rank, sum(bytes) over (order by last_access desc, key rows unbounded preceding) as total from b) select key, bytes, rank from r where rank <= 200 and total <= 20000000")
 def store_evict(spark, d):
-    return store.evict(access(spark, d), 200, 400_000).select("key", "bytes", F.col("rank").cast("long").alias("rank"))
+    return store.evict(access(spark, d), 200, 20_000_000).select("key", "bytes", F.col("rank").cast("long").alias("rank"))
 
 
 @query("""select count(*) filter (where event_type in ('view', 'click')) as hits, count(*) filter (where event_type = 'purchase') as misses, count(*) filter (where event_type = 'signup') as stores,

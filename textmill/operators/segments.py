@@ -41,45 +41,57 @@ def listed(requests: DataFrame, field: str, inner: str = "content") -> DataFrame
     return r.select("request_id", "seg_ix", F.expr("try_variant_get(m, '$.role', 'string')").alias("role"), F.expr(f"try_variant_get(m, '$.{inner}', 'variant')").alias("value"))
 
 
-def fields(requests: DataFrame, *names: str) -> DataFrame:
-    """Segments of top-level fields that are strings or parts; seg_ix counts from -1 down."""
-    out = None
-    for k, name in enumerate(names):
-        r = requests.select("request_id", F.lit(-1 - k).alias("seg_ix"), F.expr(f"try_variant_get(payload, '$.{name}', 'variant')").alias("value"))
-        own = text_or_parts(r, "value", f"'{name}'", ["request_id", "seg_ix"])
-        out = own if out is None else out.unionByName(own)
-    return out
-
-
-def message_segments(requests: DataFrame, field: str = "messages") -> DataFrame:
-    return text_or_parts(listed(requests, field), "value", f"concat('{field}[', seg_ix, '].content')", ["request_id", "seg_ix"])
+#: For each payload shape its top-level text fields, its list of messages, and whether parts count. Fixed values.
+SHAPES = {
+    "chat": ((), "messages", True),
+    "responses": (("instructions", "input"), "input", True),
+    "assistants": (("instructions", "additional_instructions", "content"), "messages", False),
+    "messages": (("system",), "messages", True),
+}
+
+
+def values(shape: str) -> str:
+    """An array of (seg_ix, origin, value) of a payload: fields count from -1 down, messages from 0 up."""
+    names, field, _ = SHAPES[shape]
+    own = [f"named_struct('seg_ix', {-1 - k}, 'origin', '{n}', 'value', try_variant_get(payload, '$.{n}', 'variant'))" for k, n in enumerate(names) if n != field]
+    if field in names:  # a field that is a text or a list of messages
+        k = names.index(field)
+        own.append(f"named_struct('seg_ix', {-1 - k}, 'origin', '{field}', 'value', case when schema_of_variant(try_variant_get(payload, '$.{field}', 'variant')) = 'STRING' then try_variant_get(payload, '$.{field}', 'variant') end)")
+    each = f"(m, i) -> named_struct('seg_ix', i, 'origin', concat('{field}[', i, '].content'), 'value', try_variant_get(m, '$.content', 'variant'))"
+    listed_ = f"coalesce(transform(try_variant_get(payload, '$.{field}', 'array<variant>'), {each}), array())"
+    return f"concat(array({', '.join(own)}), {listed_})" if own else listed_
+
+
+def shaped(requests: DataFrame, adapter: Column) -> DataFrame:
+    """Segments by an adapter column, from one pass over the payloads."""
+    case = " ".join(f"when adapter = '{s}' then {values(s)}" for s in SHAPES)
+    r = requests.withColumn("adapter", adapter).where("adapter is not null and payload is not null")
+    r = r.select("request_id", "adapter", F.explode(F.expr(f"case {case} end")).alias("v")).select("request_id", "adapter", "v.*")
+    out = text_or_parts(r, "value", "origin", ["request_id", "adapter", "seg_ix"])
+    whole_only = [s for s, (_, _, parts) in SHAPES.items() if not parts]
+    return out.where(~F.col("adapter").isin(whole_only) | (F.col("part_ix") == -1)).select("request_id", "seg_ix", "origin", "part_ix", "text")
 
 
 def chat_segments(requests: DataFrame) -> DataFrame:
     """request_id, seg_ix, origin, part_ix, text of chat payloads."""
-    return message_segments(requests)
+    return shaped(requests, F.lit("chat"))
 
 
 def responses_segments(requests: DataFrame) -> DataFrame:
-    return fields(requests, "instructions").unionByName(fields(requests.where("schema_of_variant(try_variant_get(payload, '$.input', 'variant')) = 'STRING'"), "input")).unionByName(message_segments(requests, "input"))
+    return shaped(requests, F.lit("responses"))
 
 
 def assistants_segments(requests: DataFrame) -> DataFrame:
-    return fields(requests, "instructions", "additional_instructions", "content").where("part_ix = -1").unionByName(message_segments(requests).where("part_ix = -1"))
+    return shaped(requests, F.lit("assistants"))
 
 
 def messages_segments(requests: DataFrame) -> DataFrame:
-    return fields(requests, "system").unionByName(message_segments(requests))
+    return shaped(requests, F.lit("messages"))
 
 
 def segments(requests: DataFrame) -> DataFrame:
     """All segments of parsed requests (request_id, path, payload) by the adapter of their path."""
-    r = requests.withColumn("adapter", route_adapter(F.col("path")))
-    out = None
-    for name, fn in (("chat", chat_segments), ("responses", responses_segments), ("assistants", assistants_segments), ("messages", messages_segments)):
-        own = fn(r.where(F.col("adapter") == name))
-        out = own if out is None else out.unionByName(own)
-    return out
+    return shaped(requests, route_adapter(F.col("path")))
 
 
 def document_segments(requests: DataFrame) -> DataFrame:

@@ -1,0 +1,167 @@
+"""Operators on small inputs with known results."""
+
+import tempfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from textmill.functions import measures, text
+from textmill.operators import dedupe, detect, pages, policy, rules, segments, store, tables
+from textmill.plans import analytics, optimize, report
+from textmill.sources import requests as sources
+from textmill.streaming import streams
+
+
+def one(spark, value, fn, kind="string"):
+    return spark.createDataFrame([(value,)], f"v {kind}").select(fn(F.col("v")).alias("r")).first().r
+
+
+@pytest.mark.parametrize(("value", "tokens"), [(None, 0), ("", 0), ("hello world", 2), ("internationalization", 4), (" " * 17 + "a", 3), ("it's", 2), ("!!!!!!'s", 3), ("a_b", 2), ("12345678", 2), ("\n\n", 1)])
+def test_token_count(spark, value, tokens):
+    assert one(spark, value, measures.token_count) == tokens
+
+
+def test_normalize_text(spark):
+    raw = "a  \r\n\r\n\r\n\r\nb\n\nb\n\nc \n"
+    r = text.normalize_text(spark.createDataFrame([(raw,), ("  x",), ("clean",)], "text string")).collect()
+    assert r[0].cleaned == "a\n\nb\n\nc" and r[0].steps == ["normalized_line_endings", "stripped_trailing_whitespace", "collapsed_blank_lines", "removed_duplicate_paragraphs"]
+    assert (r[1].cleaned, r[1].steps, r[2].steps) == ("x", ["stripped_trailing_whitespace"], [])
+
+
+def test_json_and_base64(spark):
+    assert one(spark, '{ "b": [1.50, 2],\n "a b": "x  y" }', text.minify_json) == '{"b":[1.50,2],"a b":"x  y"}'
+    assert one(spark, "{not json}", text.minify_json) == "{not json}"
+    assert bytes(one(spark, "aGVs bG8", text.decode_base64)) == b"hello"
+    assert one(spark, "a*b", text.decode_base64) is None
+    assert one(spark, b"\xef\xbb\xbfhi", text.decode_text, "binary") == "hi"
+
+
+def test_never_grow(spark):
+    d = spark.createDataFrame([("a b", "a b c d", ["s"], 2, 4), ("a b", "a", ["s"], 2, 1)], "text string, cleaned string, steps array<string>, tokens_before long, tokens_after long")
+    a, b = sorted(measures.never_grow(d).collect(), key=lambda r: r.tokens_after, reverse=True)
+    assert (a.cleaned, a.steps, a.tokens_after) == ("a b", [], 2) and (b.cleaned, b.steps) == ("a", ["s"])
+
+
+def test_detection(spark):
+    texts = ["<!DOCTYPE html><p>x", '{"a": 1}', "<?xml version='1.0'?><a/>", "what does `<p>x</p><b>y</b>` do?", "<div><p>a</p><p>b</p></div>", "%PDF-1.4", "plain", "To bold use <b>text</b> or <p>para</p> in prose that goes on and on and on"]
+    found = {r.text: r for r in detect.detect(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    assert [found[t].content_type for t in texts] == ["html", "json", "xml", "text", "html", "pdf", "text", "text"]
+    assert found[texts[4]].confidence == pytest.approx(0.84)
+    declared = detect.detect(spark.createDataFrame([("x", "text/csv")], "text string, mime string"), mime="mime").first()
+    assert (declared.content_type, declared.confidence, declared.source) == ("csv", 0.5, "content-type-header")
+
+
+def test_policy_and_auth(spark):
+    r = spark.createDataFrame([("POST", "/v1/chat/completions", "application/json; x", "{}"), ("GET", "v1/messages", "application/json", "{}"), ("post", "v1/messages", "application/json", ""), ("POST", "v1/messages/batches", "application/json", "{}")], "method string, path string, content_type string, body string")
+    assert [x.skip_reason for x in policy.policy_decide(r).collect()] == [None, "method_not_eligible", "empty_body", "endpoint_not_eligible"]
+    assert one(spark, {"X-Api-Key": "s"}, policy.auth_kind, "map<string,string>") == "api_key"
+    assert one(spark, {"Authorization": "Bearer s"}, policy.auth_kind, "map<string,string>") == "oauth_token"
+
+
+def test_segments_and_write_back(spark):
+    bodies = {
+        1: ("v1/chat/completions", '{"model":"m","messages":[{"role":"user","content":"a  \\nb"},{"role":"user","content":[{"type":"text","text":"p"},{"type":"image_url"}]},{"content":null}],"n":1}'),
+        2: ("v1/responses", '{"instructions":"i","input":"q"}'), 3: ("v1/responses", '{"input":[{"content":"z"}]}'), 4: ("threads/t", '{"instructions":"i","messages":[{"content":"c"},{"content":[{"text":"no"}]}]}'),
+        5: ("v1/messages", '{"system":[{"type":"text","text":"s"}],"messages":[{"content":"u"}]}'), 6: ("v1/messages", "[1]"), 7: ("v1/messages", "broken"),
+    }
+    r = segments.parsed(spark.createDataFrame([(k, p, b) for k, (p, b) in bodies.items()], "request_id long, path string, body string"))
+    got = sorted((s.request_id, s.origin, s.part_ix, s.text) for s in segments.segments(r).collect())
+    assert got == [(1, "messages[0].content", -1, "a  \nb"), (1, "messages[1].content", 0, "p"), (2, "input", -1, "q"), (2, "instructions", -1, "i"), (3, "input[0].content", -1, "z"), (4, "instructions", -1, "i"), (4, "messages[0].content", -1, "c"), (5, "messages[0].content", -1, "u"), (5, "system", 0, "s")]
+    res = optimize.results(segments.segments(r))
+    new = {x.request_id: x for x in segments.reassemble(r, res).collect()}
+    assert new[1].new_body == bodies[1][1].replace("a  \\nb", "a\\nb") and new[2].new_body == bodies[2][1] and not new[2].any_changed
+    reasons = {x.request_id: x.skip_reason for x in segments.skip_reason(r, segments.segments(r), res).collect()}
+    assert (reasons[1], reasons[2], reasons[6]) == (None, "content_already_optimal", "no_optimizable_segments")
+
+
+def test_inline_documents(spark):
+    b = '{"messages":[{"content":[{"type":"document","source":{"type":"base64","media_type":"text/csv","data":"YSxi"}},{"type":"file","file":{"filename":"f.txt","file_data":"data:text/plain;base64,aGk="}},{"type":"document","source":{"type":"url","url":"u"}}]}]}'
+    d = segments.document_segments(segments.parsed(spark.createDataFrame([(1, b)], "request_id long, body string"))).collect()
+    assert sorted((bytes(x.data), x.media_type, x.filename) for x in d) == [(b"a,b", "text/csv", None), (b"hi", "text/plain", "f.txt")]
+
+
+def test_prompt_dedupe(spark):
+    t = "Requirements:\n- be short\n- be short\n\nNotes:\n- be short\n\n```\nx\n\nx\n```\n\nSame. Same. Other.\n\nRequirements:\n- be short"
+    r = dedupe.dedupe_prompts(spark.createDataFrame([(1, t), (2, "plain")], "doc_id long, text string")).collect()
+    found = {x.doc_id: x.cleaned for x in r}
+    assert found == {1: "Requirements:\n- be short\n\nNotes:\n- be short\n\n```\nx\n\nx\n```\n\nSame. Other.", 2: "plain"}
+
+
+def test_pages(spark):
+    h = '<html><head><title>T &amp; t</title></head><body><nav>n</nav><h2>H</h2><p>one <b>two</b> <a href="http://x/">l</a><p>three<ul><li>i</li></ul><div class="ad">x</div><script>"</p>"</script></body></html>'
+    p = pages.strip_page_noise(spark.createDataFrame([(1, h)], "page_id long, html string"))
+    md = pages.page_markdown(pages.page_blocks(p)).join(p.select("page_id", "html"), "page_id")
+    assert pages.with_title(md).first().markdown == "# T & t\n\n## H\n\none **two** [l](http://x/)\n\nthree\n\n- i"
+
+
+def test_store(spark):
+    d = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "doc_id long, text string")
+    fn = lambda t: t.select("digest", F.length("text").alias("n"))
+    assert sorted((r.doc_id, r.cache_hit) for r in store.compute_distinct(d, "text", fn, "doc_id").collect()) == [(1, False), (2, True), (3, False)]
+    s = spark.createDataFrame([("x", 1, "e")], "key string, bytes long, t string").select("key", "bytes", F.to_timestamp(F.lit("2024-01-01")).alias("last_access"))
+    assert store.evict(s, 1, 0).count() == 0 and store.evict(s, 1, 1).count() == 1
+    assert store.fingerprint([("a", "1"), ("b", "2")]) == store.fingerprint([("b", "2"), ("a", "1")]) != store.fingerprint([("a", "1")])
+
+
+EVENT = "ts timestamp, event_id long, provider string, applied boolean, skip_reason string, transformers array<string>, tokens_before long, tokens_after long, cache_hits long, cache_lookups long, execution_time_ms double, auth_method string"
+
+
+def events(spark, rows):
+    from datetime import datetime
+
+    full = [(datetime(2024, 1, 1, 0, 0, i), i, "p", a, None, t, b, c, h, n, ms, None) for i, (a, t, b, c, h, n, ms) in enumerate(rows)]
+    return spark.createDataFrame(full, EVENT)
+
+
+def test_statistics(spark):
+    e = events(spark, [(True, ["html"], 100, 40, 1, 2, 2.0), (True, ["json"], 200, 50, 0, 0, 4.0), (False, [], 0, 0, 0, 0, 3.0)])
+    s = analytics.window_stats(e).first()
+    assert (s.requests, s.optimized, s.skipped, s.tokens_before, s.tokens_after, s.tokens_saved, s.token_pct, s.hit_rate, s.avg_latency_us) == (3, 2, 1, 300, 90, 210, 70.0, 0.5, 3000)
+    assert analytics.top_transformer(e).first().transformer == "json"
+    assert [r.event_id for r in analytics.recent(e, 2).collect()] == [2, 1]
+
+
+def test_report(spark):
+    c = spark.createDataFrame([("a", "html", 100, 20, 80, 1000, 200, ["s", "t"]), ("b", "text", 50, 50, 0, 500, 500, [])], "case_id string, kind string, tokens_before long, tokens_after long, tokens_saved long, bytes_before long, bytes_after long, steps array<string>")
+    t = report.suite_totals(c).first()
+    assert (t.cases, t.cases_helped, t.overall_pct) == (2, 1, 53.33)
+    assert [r.step for r in report.top_steps(c).collect()] == ["s", "t"]
+
+
+def test_tables(spark):
+    rows = spark.createDataFrame([("f", i, line) for i, line in enumerate(["a\tb\tc,", "1\t2\t3", "4\t5\t6"])], "file string, ix int, line string")
+    assert tables.infer_delimiter(rows).first().delimiter == "\t"
+    t = spark.createDataFrame([("1", "", "2"), ("", "", ""), ("3", "", "4")], "a string, x string, b string")
+    kept = tables.drop_empty(t, header_counts=False)
+    assert kept.columns == ["a", "b"]
+    md = tables.table_to_markdown(kept.withColumn("g", F.lit(1)), "g", "a", ["a", "b"]).first().markdown
+    assert md == "| a | b |\n|---|---|\n| 1 | 2 |\n| 3 | 4 |"
+
+
+def test_rules(spark):
+    r = rules.Rules().register(rules.Rule("up", "1", ("text",), 10, F.upper))
+    with pytest.raises(ValueError, match="already"):
+        r.register(rules.Rule("up", "2", ("text",), 10, F.upper))
+    with pytest.raises(ValueError, match="loses"):
+        r.register(rules.Rule("low", "1", ("text",), 10, F.lower), lossy=True)
+    d = spark.createDataFrame([("ab", "text"), ("ab", "pdf")], "text string, content_type string")
+    assert [x.cleaned for x in r.apply(d).collect()] == ["AB", "ab"]
+    bad = rules.check_rule(d, lambda c: F.concat(c, F.lit(" x"))).first()
+    assert (bad.checked, bad.not_idempotent, bad.grown) == (2, 2, 2)
+
+
+def test_sources_and_stream(spark):
+    at = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    log = spark.createDataFrame([("1", "POST", "v1/messages", "application/json", '{"messages":[{"content":"a  \\nb"}]}'), ("2", "POST", "v1/messages", "application/json", "[]")], sources.REQUEST)
+    log.write.json(f"{at}/log")
+    assert sorted((r.request_id, r.malformed) for r in sources.read_requests(spark, f"{at}/log").collect()) == [("1", False), ("2", True)]
+    stream = spark.readStream.schema(sources.REQUEST).json(f"{at}/log")
+    streams.stream_optimize(stream, f"{at}/bodies", f"{at}/events", f"{at}/ck").awaitTermination()
+    new = {r.request_id: r.new_body for r in spark.read.parquet(f"{at}/bodies").collect()}
+    assert new == {"1": '{"messages":[{"content":"a\\nb"}]}', "2": "[]"}
+    assert "text" not in spark.read.parquet(f"{at}/events").columns
+    spark.createDataFrame([("a;b",), ("1;2",)], "v string").coalesce(1).write.text(f"{at}/csv")
+    assert sources.read_table_auto(spark, f"{at}/csv").columns == ["a", "b"]
+    sources.write_events(events(spark, [(True, ["html"], 100, 40, 1, 2, 2.0)]), f"{at}/e")
+    assert sources.replay(spark, f"{at}/e").count() == 1
+    assert sources.read_documents(spark, f"{at}/csv").count() >= 1

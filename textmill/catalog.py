@@ -15,7 +15,7 @@ from textmill.operators import dedupe, detect, pages, policy, rules, segments, s
 from textmill.plans import analytics, optimize, report
 from textmill.sources import requests as sources
 from textmill.streaming import streams
-from textmill.views import DIRTY, EVENTS, table, tokens_sql
+from textmill.views import DIRTY, EVENTS, spread, table, tokens_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -80,7 +80,7 @@ union all select 'pages', count(*), cast(sum({tokens_sql("html")}) as bigint), c
 union all select 'turns', count(*), cast(sum({tokens_sql("text")}) as bigint), cast(sum(strlen(text)) as bigint) from conversations""")
 def measure_tokens_bytes(spark, d):
     def of(kind, name, c):
-        t = table(spark, d, name)
+        t = spread(table(spark, d, name).select(c))
         return t.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"), F.sum(measures.token_count(F.col(c))).alias("tokens"), F.sum(F.octet_length(c).cast("long")).alias("bytes"))
 
     return of("documents", "documents", "text").union(of("pages", "pages", "html")).union(of("turns", "conversations", "text"))
@@ -135,7 +135,7 @@ def dedupe_blocks(spark, d):
 @query(None)
 def dedupe_sentences(spark, d):
     """Rows only: the split needs a look-behind, which DuckDB's dialect lacks."""
-    docs = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"([^.\n]+\.) ", "$1 $1 ").alias("text"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.replace("text", F.lit(". "), F.lit(". Yes. Yes. ")).alias("text"))
     return dedupe.dedupe_sentences(docs).groupBy("doc_id").agg(F.count_if("changed").alias("changed_lines"), F.sum(F.length("line")).alias("n_chars"))
 
 
@@ -159,7 +159,7 @@ def dedupe_line_ratio(spark, d):
 
 
 def contents(spark: SparkSession, d: str) -> DataFrame:
-    of = lambda k, name, i, c: table(spark, d, name).select(F.lit(k).alias("kind"), F.col(i).cast("long").alias("id"), F.col(c).alias("text"))
+    of = lambda k, name, i, c: spread(table(spark, d, name).select(F.lit(k).alias("kind"), F.col(i).cast("long").alias("id"), F.col(c).alias("text")))
     return of("document", "documents", "doc_id", "text").union(of("page", "pages", "page_id", "html")).union(of("event", "events", "event_id", "props"))
 
 
@@ -275,20 +275,20 @@ def chain_bodies(spark, d):
 
 @query("select page_id, 'removed_chrome,removed_comments,removed_noise_blocks,removed_scripts,removed_styles' as steps, false as noise_left from pages")
 def pages_noise(spark, d):
-    p = pages.strip_page_noise(table(spark, d, "pages"))
+    p = pages.strip_page_noise(spread(table(spark, d, "pages")))
     return p.select("page_id", F.array_join("steps", ",").alias("steps"), F.col("content").rlike(r"(?i)<script\b|<nav\b|<footer\b|<!--|class=\"ad\"").alias("noise_left"))
 
 
 @query(r"""with t as (select page_id, regexp_replace(trim(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1', 1)), '\s+', ' ', 'g') as h from pages)
 select page_id, md5(replace(replace(replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')) as heading_md5 from t where h <> ''""")
 def pages_headings(spark, d):
-    b = pages.page_blocks(pages.strip_page_noise(table(spark, d, "pages")))
+    b = pages.page_blocks(pages.strip_page_noise(spread(table(spark, d, "pages"))))
     return b.where("kind = 'heading'").select("page_id", F.md5("text").alias("heading_md5"))
 
 
 @query(None)
 def pages_markdown(spark, d):
-    p = pages.strip_page_noise(table(spark, d, "pages"))
+    p = pages.strip_page_noise(spread(table(spark, d, "pages")))
     md = pages.page_markdown(pages.page_blocks(p)).join(p.select("page_id", "html"), "page_id")
     m = pages.with_title(md).select("page_id", pages.clean_page(F.col("html"), F.col("markdown")).alias("text"))
     return text.normalize_text(m).select("page_id", F.length("cleaned").alias("n_chars"), F.md5("cleaned").alias("markdown_md5"), measures.token_count(F.col("cleaned")).alias("tokens"))

@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A pre-token: a contraction, a run of letters, digits or other marks with the space before it, or white space.
-PRE_TOKEN = r"(?U)('(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?[^\s\w]+|\s+)"
-SPACE_RUN, SUBWORD = 16, 6
-SPACES = " \t\n\x0b\x0c\r\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+#: A pre-token is a contraction, a run of letters, digits or other marks with the space before it, or white
+#: space. A run counts one for each 6 characters begun, white space one for each 16; so tokens are the matches
+#: of runs cut to that length. The look-behinds keep a cut from starting what a whole run would have held.
+TOKEN = r"(?U)(?<![^\s\w])'(?:[sdmt]|ll|ve|re)|(?:(?<!\s) )?(?:[^\W\d_]{1,6}|\d{1,6}|[^\s\w]{1,6})|\s{1,16}"
+
+
+def sealed(df: DataFrame, *names: str) -> DataFrame:
+    """df with these columns generated from one struct: a filter on them stays above, and is not computed anew below."""
+    return df.select(*[c for c in df.columns if c not in names], F.inline(F.array(F.struct(*names))))
 
 
 def token_count(c: Column) -> Column:
-    """Approximate tokens: a white-space run counts one for each 16 characters begun, another piece one for each 6."""
-    size = lambda p: F.length(F.btrim(p, F.lit(SPACES)))
-    piece = lambda p: 1 + F.floor(F.when(size(p) == 0, (F.length(p) - 1) / SPACE_RUN).otherwise((size(p) - 1) / SUBWORD))
-    return F.coalesce(F.aggregate(F.regexp_extract_all(c, F.lit(PRE_TOKEN), F.lit(1)), F.lit(0).cast("long"), lambda a, p: a + piece(p)), F.lit(0).cast("long"))
+    """Approximate tokens of a text; null counts as empty."""
+    return F.coalesce(F.regexp_count(c, F.lit(TOKEN)), F.lit(0)).cast("long")
 
 
 def with_counter(df: DataFrame, encodings: DataFrame, model: str = "model", text: str = "text") -> DataFrame:
@@ -47,7 +50,7 @@ def never_grow(df: DataFrame, strict: bool = True) -> DataFrame:
     """Puts back the original text, without steps, where the new one has more tokens (not strict: as many or more)."""
     before, after = F.col("tokens_before"), F.col("tokens_after")
     grown = after > before if strict else after >= before
-    return (
+    out = (
         df.withColumn("grown", grown)
         .withColumn("cleaned", F.when(F.col("grown"), F.col("text")).otherwise(F.col("cleaned")))
         .withColumn("steps", F.when(F.col("grown"), F.array().cast("array<string>")).otherwise(F.col("steps")))
@@ -56,6 +59,7 @@ def never_grow(df: DataFrame, strict: bool = True) -> DataFrame:
         .withColumn("bytes_after", F.octet_length("cleaned").cast("long"))
         .drop("grown")
     )
+    return sealed(out, "cleaned", "steps", "tokens_before", "tokens_after", "bytes_before", "bytes_after")
 
 
 def cache_status(hits: Column, lookups: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmill.functions.measures import token_count
+from textmill.functions.measures import sealed, token_count
 
 #: Names of steps as they appear in results, and what people read. Fixed values.
 LABELS = {
@@ -49,7 +49,8 @@ def normalize_text(df: DataFrame, column: str = "text", inline: bool = False, ma
         out = out.withColumn("cleaned", F.col("next")).drop("next")
     out = out.withColumn("next", F.regexp_replace("cleaned", r"(?U)\A\s+|\s+\z", ""))
     only = (F.size("steps") == 0) & (F.col("next") != F.col("cleaned"))
-    return out.withColumn("steps", F.when(only, F.array(F.lit("stripped_trailing_whitespace"))).otherwise(F.col("steps"))).withColumn("cleaned", F.col("next")).drop("next")
+    out = out.withColumn("steps", F.when(only, F.array(F.lit("stripped_trailing_whitespace"))).otherwise(F.col("steps"))).withColumn("cleaned", F.col("next")).drop("next")
+    return sealed(out, "cleaned", "steps")
 
 
 def is_json(c: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textmill.functions.measures import sealed
 from textmill.functions.text import is_json
 
 TRUST, DECLARED = 0.7, 0.5
@@ -98,7 +99,7 @@ def detect(df: DataFrame, text: str = "text", mime: str | None = None, prompts:
         said = mime_type_of(F.col(mime))
         use = (F.col("best.confidence") < TRUST) & said.isNotNull()
         out = out.withColumn("best", F.when(use, F.struct(F.lit(DECLARED).alias("confidence"), F.lit(-99).alias("order"), said.alias("content_type"), F.lit("content-type-header").alias("source"))).otherwise(F.col("best")))
-    return out.select(*df.columns, "best.content_type", "best.confidence", "best.source")
+    return sealed(out.select(*df.columns, "best.content_type", "best.confidence", "best.source"), "content_type", "confidence", "source")
 
 
 def route(c: Column) -> Column:

@@ -10,9 +10,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: a table in fewer files than there are cores is dealt out before heavy work on its texts."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def dirty_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lang, text: documents with the noise that the cleaners look for worked in by rules on doc_id."""
-    d = table(spark, sf_dir, "documents").selectExpr("doc_id", "lang", "case when doc_id % 3 = 0 then replace(text, chr(10), concat('  ', chr(10))) else text end as u")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).selectExpr("doc_id", "lang", "case when doc_id % 3 = 0 then replace(text, chr(10), concat('  ', chr(10))) else text end as u")
     d = d.selectExpr(
         "doc_id", "lang",
         "case when doc_id % 7 = 0 then concat('Requirements:', chr(10), '- ', replace(u, '. ', concat(chr(10), '- '))) "

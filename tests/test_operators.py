@@ -126,6 +126,10 @@ def test_report(spark):
     t = report.suite_totals(c).first()
     assert (t.cases, t.cases_helped, t.overall_pct) == (2, 1, 53.33)
     assert [r.step for r in report.top_steps(c).collect()] == ["s", "t"]
+    at = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    report.write_report(c, at)
+    assert spark.read.json(f"{at}/results").first().cases == 2 and spark.read.option("header", True).csv(f"{at}/summary").count() == 2
+    assert "".join(r.value + "\n" for r in spark.read.text(f"{at}/report", wholetext=True).collect()).startswith("# Report")
 
 
 def test_tables(spark):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from textmill import views
 from textmill.functions import measures, text
-from textmill.operators import dedupe, detect, pages, policy, rules, segments, store, tables
+from textmill.operators import dedupe, detect, json_rows, pages, policy, rules, segments, store, tables
 from textmill.plans import analytics, optimize, report
 from textmill.sources import requests as sources
 from textmill.streaming import streams
@@ -35,7 +35,7 @@ def query(sql: str | None = None):
 
 def shared(spark: SparkSession, name: str) -> str:
     """A new folder that all executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{base.rstrip('/')}/textmill-{name}-{uuid.uuid4().hex}"
 
 
@@ -155,6 +155,23 @@ def dedupe_line_ratio(spark, d):
     return dedupe.duplicate_line_ratio(table(spark, d, "documents")).select("doc_id", F.col("n_lines").cast("long"), F.col("n_repeats").cast("long"))
 
 
+@query("""select event_id, cast(1 + k % 3 as bigint) as duplicates from (select event_id, cast(json_extract_string(props, '$.k') as int) as k from events)""")
+def json_duplicate_keys(spark, d):
+    """Events' properties with one key repeated, twice to four times over two levels."""
+    k = F.get_json_object("props", "$.k").cast("int") % 3
+    extra = F.when(k >= 1, ',"k": 1').otherwise("")
+    inner = F.when(k >= 2, '{"a": 1, "b": ["a"], "a": "x\\"}, {"}').otherwise('{"a": {"a": 1}}')
+    e = table(spark, d, "events").select("event_id", F.concat(F.lit('{"k": "k:", "k": 2'), extra, F.lit(', "o": '), inner, F.lit("}")).alias("text"))
+    return json_rows.duplicate_keys(e, "event_id", "text")
+
+
+@query("select s_suppkey, to_json(struct_pack(name := s_name, kept := [struct_pack(n := s_nationkey)])) as pruned from supplier")
+def json_prune_empty(spark, d):
+    s = table(spark, d, "supplier")
+    v = F.struct(F.col("s_name").alias("name"), F.array(F.struct(F.col("s_nationkey").alias("n")), F.struct(F.lit(None).cast("int").alias("n"))).alias("kept"), F.struct(F.array().cast("array<int>").alias("x")).alias("gone"))
+    return s.select("s_suppkey", F.to_json(json_rows.prune_empty(v, s.select(v.alias("v")).schema["v"].dataType)).alias("pruned"))
+
+
 # Classification and policy ---------------------------------------------------------------------
 
 
@@ -566,7 +583,8 @@ def stream_tallies(spark, d):
 def stream_reuse(spark, d):
     e = streams.event_stream(spark, f"{d}/[e]vents.parquet").withColumn("content", F.concat_ws("|", "provider", "transformers_csv", "tokens_before"))
     once = streams.stream_dedupe(e, "content", "60 days").select("digest")
-    return streams.run_to_table(once, f"reuse_{uuid.uuid4().hex}", shared(spark, "reuse"), "append").agg(F.count("*").alias("contents"))
+    folder = shared(spark, "reuse")
+    return streams.run_to_folder(once, f"{folder}/out", f"{folder}/ck").agg(F.count("*").alias("contents"))
 
 
 @query(ORACLE["analytics_recent"])

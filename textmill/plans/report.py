@@ -62,3 +62,21 @@ def cold_warm(contents: DataFrame, passes: int = 2) -> DataFrame:
     seen = Window.partitionBy("digest").orderBy("pass", "doc_id")
     runs = runs.withColumn("hit", F.row_number().over(seen) > 1)
     return runs.groupBy("pass").agg(F.count("*").alias("lookups"), F.count_if("hit").alias("hits"))
+
+
+def write_report(cases: DataFrame, out: str) -> None:
+    """results and by_type as JSON, summary as CSV (one file each, sorted, without timings), and a Markdown text.
+
+    What is written in one file is the report itself: totals and rows by type; the summary has a row a case.
+    """
+    totals = suite_totals(cases)
+    totals.coalesce(1).write.mode("overwrite").json(f"{out}/results")
+    file_type_stats(cases).coalesce(1).write.mode("overwrite").json(f"{out}/by_type")
+    case_table(cases).write.mode("overwrite").option("header", True).csv(f"{out}/summary")
+    line = F.concat_ws(" | ", F.lit(""), "kind", F.col("cases").cast("string"), F.format_number(F.col("avg_points") / 100, 2), F.lit(""))
+    rows = file_type_stats(cases).agg(F.array_join(F.array_sort(F.collect_list(F.trim(line))), "\n").alias("body"))
+    head = F.concat(
+        F.lit("# Report\n\n"), F.col("cases").cast("string"), F.lit(" cases, "), F.col("cases_helped").cast("string"), F.lit(" helped, tokens "),
+        F.col("tokens_before").cast("string"), F.lit(" to "), F.col("tokens_after").cast("string"), F.lit("\n\n| type | cases | mean % |\n|---|---|---|\n"),
+    )
+    totals.crossJoin(F.broadcast(rows)).select(F.concat(head, "body").alias("value")).coalesce(1).write.mode("overwrite").text(f"{out}/report")

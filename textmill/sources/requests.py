@@ -57,3 +57,8 @@ def read_table_auto(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).select(F.lit(path).alias("file"), F.monotonically_increasing_id().alias("ix"), F.col("value").alias("line"))
     sep = infer_delimiter(lines.orderBy("ix").limit(20)).first()
     return spark.read.option("header", True).option("sep", sep.delimiter if sep else ",").csv(path)
+
+
+def read_xml(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
+    """An XML file as rows, one for each element of a name."""
+    return spark.read.format("xml").option("rowTag", row_tag).load(path)

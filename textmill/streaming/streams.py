@@ -69,3 +69,10 @@ def run_to_table(result: DataFrame, name: str, checkpoint: str, mode: str = "com
     q = result.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return result.sparkSession.table(name)
+
+
+def run_to_folder(result: DataFrame, folder: str, checkpoint: str) -> DataFrame:
+    """Runs an append-only stream over what is there into Parquet files and returns them as a table; for results that grow."""
+    q = result.writeStream.outputMode("append").format("parquet").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return result.sparkSession.read.schema(result.schema).parquet(folder)

@@ -491,7 +491,7 @@ def report_top_steps(spark, d):
     return report.top_steps(cases(spark, d))
 
 
-PRICES_SQL = "p as (select * from (values ('gpt-4o', 2.50::double), ('claude-sonnet', 3.00::double), ('gpt-4o-mini', 0.15::double)) v(model, usd))"
+PRICES_SQL = "p as (select * from (values ('standard', 2.50::double), ('premium', 3.00::double), ('small', 0.15::double)) v(model, usd))"
 
 
 @query(f"with {CASES}, {PRICES_SQL}, t as (select sum(tokens_before) as b, sum(tokens_after) as a from cases), c as (select model, round(b * usd / 1e6, 6) as usd_before, round(a * usd / 1e6, 6) as usd_after from t, p) select *, round(usd_before - usd_after, 6) as usd_saved, round(100 * (1 - usd_after / usd_before), 2) as pct from c")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textmill.functions.text import normalize_text
 
+#: What opens a fence, a list item and a section. Fixed values.
 FENCE = r"^\s{0,3}(?:```+|~~~+)"
 ITEM = r"^\s*(?:[-*+]|\d+[.)])\s+\S"
 HEADING = r"^\s{0,3}#{1,6}\s+\S|^[A-Za-z][A-Za-z0-9 _/&-]{0,40}:\s*$"

@@ -23,6 +23,7 @@ TAGS = (
     "script style link meta title noscript svg nav header footer aside main article section form input button select option textarea label "
     "strong b em i u code pre blockquote figure figcaption picture source iframe video audio"
 ).split()
+#: Lines that read as code, a log record or a stack frame. Fixed values.
 CODE_LINE = (
     r"^\s*(?:at\s+\S+|File\s+\"[^\"]+\",\s+line\s+\d+|Traceback\s+\(most\s+recent\s+call|(?:ERROR|WARN|WARNING|INFO|DEBUG|TRACE|FATAL)\b"
     r"|\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}|(?:import|from|def|class|function|const|let|var|public|private|return|if|for|while)\b|[#@}/*])"

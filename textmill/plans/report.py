@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: List prices of input tokens, US dollars a million. Fixed values.
-PRICES = [("gpt-4o", 2.50), ("claude-sonnet", 3.00), ("gpt-4o-mini", 0.15)]
+PRICES = [("standard", 2.50), ("premium", 3.00), ("small", 0.15)]
 
 
 def suite_totals(cases: DataFrame) -> DataFrame:

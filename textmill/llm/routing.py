@@ -25,7 +25,7 @@ SLICE = [("route", "u4"), ("doc", "i8"), ("text", "i4"), ("lo", "i4"), ("windows
 #: A stretch of a document's tokens that is known to be covered.
 SPAN = [("doc", "i8"), ("text", "i4"), ("lo", "i4"), ("hi", "i4")]
 #: Text that a bucket gets, and of it what is sorted at a time.
-BUCKET_BYTES, BLOCK_BYTES = 64 << 20, 2 << 20
+BUCKET_BYTES, BLOCK_BYTES = 40 << 20, 2 << 20
 NO_ID = -(1 << 63)
 #: Bytes shuffled count for more here than the compressor's time.
 LEVEL = 6

@@ -91,6 +91,18 @@ def measure_savings(spark, d):
     return cases(spark, d).select("doc_id", "tokens_before", "tokens_after", "tokens_saved", "bytes_saved", "changed")
 
 
+@query(f"select conv_id, turn, case conv_id % 3 when 1 then 'cl100k_base' else 'o200k_base' end as encoding, {tokens_sql('text')} as tokens, false as exact from conversations")
+def measure_counters(spark, d):
+    known = spark.createDataFrame([("gpt-4o", "o200k_base"), ("gpt-4", "cl100k_base")], "model_name string, encoding string")
+    turns = table(spark, d, "conversations").withColumn("model", F.expr("case conv_id % 3 when 0 then 'gpt-4o' when 1 then 'gpt-4' else 'other' end"))
+    return measures.with_counter(turns, known).select("conv_id", "turn", "encoding", "tokens", "exact")
+
+
+@query(f"with {CASES} select case step when 'removed_duplicate_paragraphs' then 'Removed duplicate paragraphs' else upper(step[1]) || replace(step[2:], '_', ' ') end as label, count(*) as n from (select unnest(steps) as step from cases) group by 1")
+def text_step_labels(spark, d):
+    return cases(spark, d).select(F.explode("steps").alias("step")).select(text.humanize_step(F.col("step")).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
+
+
 @query("""select event_id, props as minified from events""")
 def json_minify(spark, d):
     e = table(spark, d, "events").withColumn("wide", F.concat(F.lit("{\n  "), F.expr("substring(props, 2, length(props) - 2)"), F.lit(" \n}")))
@@ -287,6 +299,21 @@ def chain_bodies(spark, d):
     return new.select("request_id", "any_changed").join(n, "request_id", "left")
 
 
+@query(f"""with c as (select 'document' as kind, doc_id as id, text, trim(text, chr(32) || chr(9) || chr(10)) as cleaned from documents where text is not null union all select 'page', page_id, html, html from pages union all select 'event', event_id, props, replace(props, ' ', '') from events)
+select kind, id, {tokens_sql("text")} as tokens_before, {tokens_sql("cleaned")} as tokens_after, strlen(text) - strlen(cleaned) as bytes_saved, text <> cleaned as changed from c""")
+def chain_preview(spark, d):
+    """Every content classified, cleaned by its type's rule and measured, nothing stored."""
+    out = optimize.clean(contents(spark, d).where("text is not null"))
+    return out.select("kind", "id", "tokens_before", "tokens_after", "bytes_saved", "changed")
+
+
+@query("select conv_id as request_id, case when conv_id % 4 = 3 then 'no_payload_adapter' when not bool_or(contains(text, '. ')) then 'content_already_optimal' end as skip_reason from conversations group by conv_id")
+def chain_skip_reasons(spark, d):
+    r = segments.parsed(log(spark, d).drop("model").withColumn("body", F.replace("body", F.lit(". "), F.lit(".  \\n"))))
+    segs = segments.segments(r)
+    return segments.skip_reason(r, segs, optimize.results(segs))
+
+
 # Pages -----------------------------------------------------------------------------------------
 
 
@@ -303,6 +330,13 @@ def pages_headings(spark, d):
     return b.where("kind = 'heading'").select("page_id", F.md5("text").alias("heading_md5"))
 
 
+@query(r"""with t as (select page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1), '\s+', ' ', 'g')) as h from pages)
+select page_id, md5('# ' || replace(replace(replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')) as title_md5 from t""")
+def pages_titles(spark, d):
+    p = table(spark, d, "pages").select("page_id", "html", F.lit("").alias("markdown"))
+    return pages.with_title(p).select("page_id", F.md5(F.regexp_replace("markdown", r"\n\n\z", "")).alias("title_md5"))
+
+
 @query(None)
 def pages_markdown(spark, d):
     p = pages.strip_page_noise(spread(table(spark, d, "pages")))

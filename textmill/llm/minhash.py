@@ -159,7 +159,8 @@ def candidates(part: pa.RecordBatch, least: list[tuple[int, int]]) -> tuple[np.n
 def similar(texts: pa.Array, x: np.ndarray, y: np.ndarray, k: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Whether the full sets of the pairs (x, y) of texts reach the threshold, and their intersections' sizes."""
     raw, at = common.utf8(texts)
-    row, h = hashing.shingles(raw, at, k)
+    found = [(lo, *hashing.shingles(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], k)) for lo, hi in common.runs(np.diff(at), common.RUN_BYTES)]
+    row, h = np.concatenate([lo + r for lo, r, _ in found]), np.concatenate([g for _, _, g in found])
     _, name = np.unique(h, return_inverse=True)
     begin = np.searchsorted(row, np.arange(len(at)))
     size = np.diff(begin)

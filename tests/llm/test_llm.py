@@ -291,6 +291,27 @@ def test_main_text_of_pages(spark):
     assert [text[10 + i] for i in range(4)] == [f"Only a div with text {i} here" for i in range(4)]
 
 
+def wording(rnd, n):
+    return " ".join("".join(rnd.choices("abcdefgh", k=6)) for _ in range(n))
+
+
+@pytest.mark.parametrize("run", [1 << 20, 500])
+def test_boilerplate_inside_articles_goes_over_the_whole_host(spark, run, monkeypatch):
+    monkeypatch.setattr(common, "RUN_BYTES", run)
+    rnd = random.Random(6)
+    plain, short, copied, body = wording(rnd, 12), "Read on", wording(rnd, 60), [wording(rnd, 30) for _ in range(40)]
+    page = lambda t: f"<article><p>{t}</p><p>{plain}</p><p>{short}</p></article>"
+    data = [(i, "http://h.x/", page(body[i]) if i % 10 == 0 else f"<main>{body[i]}</main>") for i in range(30)]
+    data += [(100 + i, "http://h.x/", f"<article>{copied} {i}</article>") for i in range(4)]
+    data += [(200 + i, "http://other.x/", page(body[30 + i])) for i in range(2)]
+    data += [(300 + i, "http://cards.x/", f"<div>{body[34 + i]}</div><article>Our best story of this year, read it here now</article>") for i in range(3)]
+    text = {r.page_id: r.text for r in html.extract(spark.createDataFrame(data, "page_id long, url string, html string").repartition(3)).collect()}
+    assert all(text[i] == body[i] for i in range(30))
+    assert all(text[100 + i] == f"{copied} {i}" for i in range(4))
+    assert all(text[200 + i] == f"{body[30 + i]} {plain} {short}" for i in range(2))
+    assert all(text[300 + i] == body[34 + i] for i in range(3))
+
+
 def test_boilerplate_equals_brute_force():
     import numpy as np
 

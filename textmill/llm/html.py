@@ -4,14 +4,18 @@ A page is cut into blocks in page order; each is core (inside an article or main
 (elsewhere) or noise (inside menus, page headers, footers, sidebars, notices, adverts, forms, reader
 comments or hidden elements). Scripts, styles, markup and comments are gone by then.
 
-The token streams of a host's loose and noise blocks are concatenated, page after page, and their
-suffixes sorted; substrings of a block of at least ``least`` tokens that stand on at least ``pages``
-distinct pages are boilerplate, and so are whole shorter blocks that do. Covered tokens leave the loose blocks; the unique runs stay. Noise is dropped as a
-whole, and core text is never touched, so that an article that several pages carry stays whole.
-A page's text is its core blocks, or its loose ones if it has none.
+Substrings of a block of at least ``least`` tokens that stand on at least ``pages`` distinct pages of a
+host are boilerplate, and so are whole shorter blocks that do. Covered tokens leave core and loose blocks
+alike; the unique runs stay. Noise is dropped as a whole, but counts where it repeats. Two cases need the
+structure: core text of which at least ``COPIED`` is covered, and that outweighs the loose text that
+stays, is a copied article and stays whole; and loose text that outweighs the core text is the page's
+body and stays with it, in page order. Otherwise a page's text is its core text, if any, or its loose one.
 
-A host's pages are dealt to groups of about ``group`` pages by a hash, so that a large host is no larger
-task; boilerplate that stands on most pages of a host stands on several of each group.
+Pages are parsed once, in runs that are written as tables. A run's token streams are concatenated and
+their suffixes sorted up to ``least`` tokens, which counts each passage's pages within the run; passages
+then travel as 48-bit hashes of host and text with these counts, sorted and packed by bucket, and the sums
+say which of a run's passages repeat on the whole host. A passage is one entry for each run, however
+many pages hold it, so a large host is no larger task.
 
 Defined cases: a null html is empty; a null or unusable url makes a host of its own; null and repeated
 page_ids are rows like any others, one row out for each row in; other columns are ignored.
@@ -22,15 +26,20 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm import common
+from textmill.llm import common, hashing
 
-LEAST, PAGES, GROUP = 8, 3, 128
+LEAST, PAGES = 8, 3
+#: Share of the core text that repeats on other pages if the article is a copy.
+COPIED = 0.8
+#: Bytes of passages' text that a bucket gets.
+BUCKET_BYTES = 32 << 20
 #: Kinds of text by the elements, roles and names that HTML and common page templates use. Fixed values.
 RAW = "script style noscript template iframe textarea title svg math object select xmp noembed".split()
 NOISE = set("nav footer aside form menu dialog button".split())
@@ -126,8 +135,8 @@ def blocks(page: str) -> list[tuple[int, str]]:
     return out
 
 
-def boilerplate(tokens: np.ndarray, page: np.ndarray, least: int, pages: int) -> np.ndarray:
-    """Whether each token lies in a substring of ``least`` tokens that stands on ``pages`` distinct pages.
+def passages(tokens: np.ndarray, page: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where substrings of ``least`` tokens start, equal ones together; a number for each substring; whether its page is new to it.
 
     tokens: positive numbers, with 0 after each block. The suffixes are sorted by prefix doubling up to
     ``least`` tokens; runs of equal prefixes in that order are the repeated substrings.
@@ -144,83 +153,190 @@ def boilerplate(tokens: np.ndarray, page: np.ndarray, least: int, pages: int) ->
     order = np.lexsort((page, rank))
     order = order[room[order] >= least]
     r, p = rank[order], page[order]
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = (r[1:] != r[:-1]) | (p[1:] != p[:-1])
-    on = np.bincount(r[fresh], minlength=int(rank.max(initial=0)) + 1)
-    change = np.zeros(n + least + 1, np.int64)
-    hit = order[on[r] >= pages]
-    np.add.at(change, hit, 1)
-    np.add.at(change, hit + least, -1)
+    other = np.ones(len(order), bool)
+    other[1:] = r[1:] != r[:-1]
+    fresh = other.copy()
+    fresh[1:] |= p[1:] != p[:-1]
+    return order, np.cumsum(other) - 1, fresh
+
+
+def marked(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Whether each of n tokens lies in one of the stretches."""
+    change = np.zeros(n + 1, np.int64)
+    np.add.at(change, lo, 1)
+    np.add.at(change, hi, -1)
     return np.cumsum(change)[:n] > 0
 
 
-def clean_host(pages_: list[list[tuple[int, str]]], least: int = LEAST, pages: int = PAGES) -> list[str]:
-    """The loose text that stays of each page of a group of one host; pages_ are blocks that are not core."""
-    words: dict[str, int] = {}
-    whole: dict[str, set[int]] = {}
-    stream, page = [], []
-    for i, own in enumerate(pages_):
-        for _, text in own:
-            stream += [words.setdefault(w, len(words) + 1) for w in text.split(" ")]
-            stream.append(0)
-            whole.setdefault(text, set()).add(i)
-        page += [i] * (len(stream) - len(page))
-    gone = boilerplate(np.array(stream, np.int64), np.array(page, np.int64), least, pages) if words else np.zeros(0, bool)
-    out, at = [], 0
-    for own in pages_:
-        loose = []
-        for kind, text in own:
-            w = text.split(" ")
-            here = gone[at : at + len(w)]
-            if kind == LOOSE and not here.all() and len(whole[text]) < pages:
-                loose.append(" ".join(x for x, g in zip(w, here.tolist(), strict=True) if not g))
-            at += len(w) + 1
-        out.append(" ".join(loose))
-    return out
+def boilerplate(tokens: np.ndarray, page: np.ndarray, least: int, pages: int) -> np.ndarray:
+    """Whether each token lies in a substring of ``least`` tokens that stands on ``pages`` distinct pages."""
+    order, number, fresh = passages(tokens, page, least)
+    hit = order[np.bincount(number[fresh])[number] >= pages] if len(order) else order
+    return marked(len(tokens), hit, hit + least)
 
 
-def extract(pages_: DataFrame, least: int = LEAST, pages: int = PAGES, group: int = GROUP) -> DataFrame:
-    """page_id, url, text and n_chars.
+class Run(NamedTuple):
+    """A run of pages: begin and end of each token in raw, each block's first token (one more at the end), and its passages.
 
-    Pages with core text are final as they are parsed. What the others keep depends on their host, so only
-    blocks that are not core are shuffled, of all pages; the html never is.
+    lo, hi, name: first token, the one after the last, and the passage's place in keys; keys: sorted by bucket, 48 bits; pages: of each.
     """
-    host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    p = pages_.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
-    kind = dict(p.dtypes)["page_id"]
-    schema = f"page_id {kind}, url string, text string, n_chars long"
 
-    def result(page_id: pa.Array, url: pa.Array, text: list[str]) -> pa.RecordBatch:
-        cols = [page_id, url, pa.array(text, pa.string()), pa.array([len(x) for x in text], pa.int64())]
-        return pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "text", "n_chars"])
+    raw: bytes
+    begin: np.ndarray
+    end: np.ndarray
+    first: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+    name: np.ndarray
+    keys: np.ndarray
+    pages: np.ndarray
+
+
+def run_of(hosts: np.ndarray, texts: pa.ListArray, least: int, buckets: int) -> Run:
+    """The passages of a run of pages; hosts are hashes, texts the blocks of each page."""
+    flat = texts.flatten().to_pylist()
+    raw = ("\n".join(flat) + "\n").encode("utf-8", "surrogatepass")
+    data = np.frombuffer(raw, np.uint8)
+    at = np.concatenate([[0], np.flatnonzero(data == 10) + 1]) if flat else np.zeros(1, np.int64)
+    begin, end, first = hashing.words(data, at)
+    sums, count = hashing.prefix_sums(data), np.diff(first)
+    block = np.repeat(np.arange(len(count)), count)
+    page = np.repeat(np.arange(len(texts)), texts.value_lengths().to_numpy())
+    host = hosts.astype(np.uint64)[page] if len(page) else np.zeros(0, np.uint64)
+    place = np.arange(len(begin)) + block
+    tokens = np.zeros(len(begin) + len(count), np.int64)
+    tokens[place] = np.unique(hashing.stretch(sums, begin, end) + hashing.mixed(host, 1)[block], return_inverse=True)[1] + 1
+    order, number, fresh = passages(tokens, np.repeat(page, count + 1), least)
+    lo = np.searchsorted(place, order)
+    head = lo[np.flatnonzero(np.diff(number, prepend=-1))]
+    keys = hashing.mixed(hashing.stretch(sums, begin[head], end[head + least - 1] if len(head) else head) + hashing.mixed(host, 1)[block[head]], 2)
+    pages = np.bincount(number[fresh], minlength=len(head))
+    short = np.flatnonzero((count > 0) & (count < least))
+    own = hashing.mixed(hashing.stretch(sums, begin[first[short]], end[first[short + 1] - 1]) + hashing.mixed(host, 1)[short], 3)
+    whole, which = np.unique(own, return_inverse=True)
+    on = np.unique(which * (len(texts) + 1) + page[short]) // (len(texts) + 1)
+    keys = np.concatenate([keys, whole]) >> np.uint64(16)
+    pages = np.concatenate([pages, np.bincount(on, minlength=len(whole))])
+    by = np.lexsort((keys, keys % np.uint64(buckets)))
+    at_key = np.empty(len(by), np.int64)
+    at_key[by] = np.arange(len(by))
+    name = at_key[np.concatenate([number, len(head) + which]).astype(np.int64)]
+    return Run(raw, begin, end, first, np.concatenate([lo, first[short]]), np.concatenate([lo + least, first[short + 1]]), name, keys[by], pages[by])
+
+
+def chosen(kinds: list[int], words: list[int], kept: list[int]) -> tuple[bool, bool, bool]:
+    """Whether a page's core text stays whole, whether it counts, and whether its loose text does; by each block's words and those not covered."""
+    core, core_kept, loose = (sum(n for k, n in zip(kinds, of, strict=True) if k == kind) for kind, of in ((CORE, words), (CORE, kept), (LOOSE, kept)))
+    whole = core > 0 and core - core_kept >= COPIED * core and core >= loose
+    return whole, core > 0, loose > (core if whole else core_kept)
+
+
+def main_texts(run: Run, kinds: pa.ListArray, hit: np.ndarray) -> list[str]:
+    """The text of each page of a run; hit: whether each of its keys is boilerplate."""
+    again = hit[run.name]
+    gone = marked(len(run.begin), run.lo[again], run.hi[again])
+    words = np.diff(run.first)
+    kept = words - np.diff(np.concatenate([[0], np.cumsum(gone)])[run.first])
+    out, b = [], 0
+    begin, end = run.begin.tolist(), run.end.tolist()
+    for own in kinds.to_pylist():
+        n = len(own)
+        whole, core, loose = chosen(own, words[b : b + n].tolist(), kept[b : b + n].tolist())
+        parts = []
+        for k, i in zip(own, range(b, b + n), strict=True):
+            if not (core if k == CORE else loose and k == LOOSE):
+                continue
+            x, y = run.first[i], run.first[i + 1]
+            if kept[i] == words[i] or whole and k == CORE:
+                parts.append(run.raw[begin[x] : end[y - 1]])
+            elif kept[i]:
+                parts += [run.raw[begin[t] : end[t]] for t in (x + np.flatnonzero(~gone[x:y])).tolist()]
+        out.append(b" ".join(parts).decode("utf-8", "surrogatepass"))
+        b += n
+    return out
+
 
-    def core(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [[t for k, t in blocks(x) if k == CORE] for x in batch.column("html").to_pylist()]
-        own = batch.filter(pa.array([bool(f) for f in found], pa.bool_()))
-        return result(own.column("page_id"), own.column("url"), [" ".join(f) for f in found if f])
+def pack_keys(keys: np.ndarray, pages: np.ndarray) -> bytes:
+    """Sorted keys as differences, byte by byte, then their pages, at most 255."""
+    import zstandard
 
-    def rest(batch: pa.RecordBatch) -> pa.RecordBatch:
+    step = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T[:6]
+    return zstandard.ZstdCompressor(level=3).compress(step.tobytes() + np.minimum(pages, 255).astype(np.uint8).tobytes())
+
+
+def unpack_keys(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(7, -1)
+    wide = np.zeros((planes.shape[1], 8), np.uint8)
+    wide[:, :6] = planes[:6].T
+    return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64), planes[6]
+
+
+def extract(pages_: DataFrame, least: int = LEAST, pages: int = PAGES) -> DataFrame:
+    """page_id, url, text and n_chars."""
+    import zstandard
+
+    spark = pages_.sparkSession
+    host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
+    p = pages_.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.xxhash64(host).alias("host"))
+
+    def parse(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [blocks(x) for x in batch.column("html").to_pylist()]
-        has_core = pa.array([any(k == CORE for k, _ in f) for f in found], pa.bool_())
-        other = [[(k, t) for k, t in f if k != CORE] for f in found]
-        kinds, texts = (pa.array([[b[i] for b in f] for f in other], t) for i, t in enumerate((pa.list_(pa.int32()), pa.list_(pa.string()))))
-        cols = [batch.column(c) for c in ("host", "page_id", "url")] + [has_core, kinds, texts]
-        return pa.RecordBatch.from_arrays(cols, names=["host", "page_id", "url", "has_core", "kinds", "texts"])
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in common.groups(batches, ("host", "part")):
-            own = [list(zip(k, t, strict=True)) for k, t in zip(g.column("kinds").to_pylist(), g.column("texts").to_pylist(), strict=True)]
-            text = clean_host(own, least, pages)
-            final = [not x for x in g.column("has_core").to_pylist()]
-            kept = g.filter(pa.array(final, pa.bool_()))
-            yield result(kept.column("page_id"), kept.column("url"), [t for t, f in zip(text, final, strict=True) if f])
-
-    others = common.by_batch(p, rest, f"host string, page_id {kind}, url string, has_core boolean, kinds array<int>, texts array<string>", column="html")
-    sizes = p.groupBy("host").agg(F.ceil(F.count("*") / group).alias("parts"))
-    others = others.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), "parts")).drop("parts")
-    parts = common.shuffle_parts(p.sparkSession)
-    others = others.repartition(parts, "host", "part").sortWithinPartitions("host", "part").mapInArrow(each, schema)
-    return common.by_batch(p.select("page_id", "url", "html"), core, schema, column="html").union(others)
+        kinds, texts = (pa.array([[b[i] for b in f] for f in found], t) for i, t in enumerate((pa.list_(pa.int8()), pa.list_(pa.string()))))
+        table = pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("host"), kinds, texts], names=["page_id", "url", "host", "kinds", "texts"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as writer:
+            writer.write_batch(table)
+        data = sink.getvalue().to_pybytes()
+        return pa.RecordBatch.from_arrays([pa.array([len(data)], pa.int64()), pa.array([zstandard.ZstdCompressor(level=3).compress(data)], pa.binary())], names=["size", "data"])
+
+    def opened(data: bytes) -> pa.RecordBatch:
+        return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(data)).read_next_batch()
+
+    parsed = common.by_batch(p, parse, "size long, data binary", column="html", scale=4).withColumn("run", F.monotonically_increasing_id())
+    parsed = common.materialize(parsed, "pages")
+    total = parsed.agg(F.sum("size")).first()[0] or 0
+    buckets = max(common.shuffle_parts(spark), int(total // BUCKET_BYTES) + 1)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run, data in zip(batch.column("run").to_pylist(), batch.column("data"), strict=True):
+                table = opened(data.as_buffer())
+                own = run_of(table.column("host").to_numpy(), table.column("texts"), least, buckets)
+                to = (own.keys % np.uint64(buckets)).astype(np.int64)
+                cuts = [*np.flatnonzero(np.diff(to, prepend=-1)).tolist(), len(to)]
+                rows = [(int(to[a]), pack_keys(own.keys[a:b], own.pages[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[0] for r in rows], pa.int64()), pa.array([run] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "run", "keys"]
+                )
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in common.groups(batches, ("bucket",)):
+            packed = [unpack_keys(x.as_buffer()) for x in g.column("keys")]
+            every, place = np.unique(np.concatenate([k for k, _ in packed]), return_inverse=True)
+            on = np.bincount(place, weights=np.concatenate([n for _, n in packed]), minlength=len(every))
+            hit = np.split((on >= pages)[place], np.cumsum([len(k) for k, _ in packed])[:-1])
+            bits = pa.array([np.packbits(h).tobytes() for h in hit], pa.binary())
+            yield pa.RecordBatch.from_arrays([g.column("run"), g.column("bucket"), bits], names=["run", "bucket", "bits"])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data, said in zip(batch.column("data"), batch.column("said").to_pylist(), strict=True):
+                table = opened(data.as_buffer())
+                own = run_of(table.column("host").to_numpy(), table.column("texts"), least, buckets)
+                sizes = np.bincount((own.keys % np.uint64(buckets)).astype(np.int64), minlength=buckets)
+                bits = {x["bucket"]: x["bits"] for x in said or ()}
+                hit = [np.unpackbits(np.frombuffer(bits[k], np.uint8), count=n).astype(bool) for k, n in enumerate(sizes.tolist()) if n]
+                text = main_texts(own, table.column("kinds"), np.concatenate(hit) if hit else np.zeros(0, bool))
+                cols = [table.column("page_id"), table.column("url"), pa.array(text, pa.string()), pa.array([len(x) for x in text], pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "text", "n_chars"])
+
+    sent = parsed.select("run", "data").mapInArrow(send, "bucket long, run long, keys binary")
+    said = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "run long, bucket long, bits binary")
+    said = said.groupBy("run").agg(F.collect_list(F.struct("bucket", "bits")).alias("said"))
+    done = parsed.select("run", "data").repartition(buckets, "run").join(said.withColumnRenamed("run", "r").repartition(buckets, "r").hint("shuffle_hash"), F.col("run") == F.col("r"), "left")
+    return done.select("data", "said").mapInArrow(finish, f"page_id {dict(p.dtypes)['page_id']}, url string, text string, n_chars long")
 
 
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

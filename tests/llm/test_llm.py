@@ -338,6 +338,44 @@ def test_audio_aligns_shifted_copies(spark):
     assert {r.rec_id: r.n_codes for r in prints.collect()}[7] == 0
 
 
+def test_alignment_finds_what_brute_force_over_all_offsets_finds(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    codes = {50 * i: rng.integers(0, 1 << 32, 109, np.uint32) for i in range(40)}
+    for i in range(200):
+        flips = rng.random((109, 32)) < rng.uniform(0.08, 0.2)
+        noise = (flips * (1 << np.arange(32, dtype=np.uint64))).sum(1).astype(np.uint32)
+        codes[50 * i + 1] = np.concatenate([rng.integers(0, 1 << 32, i % 5, np.uint32), codes[50 * (i % 40)] ^ noise])[: 109 - i % 3]
+    want = set()
+    for i in range(0, 2000, 50):
+        for j, y in codes.items():
+            for o in range(-54, 55) if i != j else ():
+                a, b = codes[i][max(0, -o) :], y[max(0, o) :]
+                n = min(len(a), len(b))
+                if 2 * n >= min(len(codes[i]), len(y)) and np.bitwise_count(a[:n] ^ b[:n]).sum() <= 0.2 * 32 * n:
+                    want.add((i, j))
+    d = spark.createDataFrame([(i, len(c), c.tobytes()) for i, c in codes.items()], chroma.PRINTS).repartition(3)
+    got = {(r.query_id, r.rec_id) for r in chroma.aligned(d.where("rec_id % 50 = 0"), d).collect()}
+    assert len(want) > 150 and got <= want and len(got) >= 0.9 * len(want)
+
+
+def test_alignments_are_counted_without_a_row_for_each_pair(spark):
+    rnd = random.Random(5)
+    v = [[rnd.gauss(0, 1) for _ in range(64)] for _ in range(3)]
+    data = [(i, v[i % 2], 1) for i in range(0, 400, 25)] + [(7, [c + rnd.gauss(0, 0.02) for c in v[0]], 1), (9, v[2], 1), (11, None, 1), (None, v[0], 1)]
+    d = chroma.fingerprints(chroma.render(spark.createDataFrame(data, "vec_id long, embedding array<float>, label int")))
+    q = d.where("rec_id % 50 = 0")
+    want = {}
+    for r in chroma.aligned(q, d).collect():
+        want.setdefault(r.rec_id, []).append((r.error_rate, r.query_id, r.offset))
+    found = chroma.with_matches(d, q).collect()
+    assert len(found) == len(data) and len(want[7]) == 8
+    for r in found:
+        of = sorted(want.get(r.rec_id, []))
+        assert r.n_matches == len(of) and (r.error_rate, r.query_id, r.offset) == (of[0] if of else (None, None, None))
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(200, 100 + i) for i in range(40)] + [(300, 300), (5, 4)]
     found = {r.node: r.component for r in common.components(spark.createDataFrame(chain, "a long, b long")).collect()}

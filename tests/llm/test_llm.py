@@ -207,6 +207,22 @@ def test_secrets(spark):
     assert found[9].spans == "assign:15:32"
 
 
+def test_keys_in_paths_beside_uuids_and_short_ones_are_found():
+    enc, rnd = secrets.encoding(*secrets.default_vocabulary()), random.Random(11)
+    b62, uuid = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "123e4567-e89b-12d3-a456-426614174000"
+    cases = [("", 16, b62), ("", 18, b62), ("/var/lib/application/config/credentials/", 24, b62), (f"{uuid}/", 24, b62), ("applicationconfiguration", 24, b62), ("", 24, b62[26:32] + b62[52:])]
+    for lead, n, letters in cases:
+        hits = 0
+        for _ in range(200):
+            key = "".join(rnd.choices(letters, k=n))
+            text = f"see {lead}{key} now"
+            at = text.index(key)
+            hits += any(a < at + n and at < b and min(b, at + n) - max(a, at) >= n - 6 for a, b, _ in secrets.random_spans(text, [], enc))
+        assert hits >= 185, (lead, n, hits)
+    plain = [f"/users/{uuid}/profile", "getUserById2Factor processOrder2024Item", "/docs/2024-01-15/chapter12section4/page_7-of-20", "backup_2024-11-28_server12/daily"]
+    assert [secrets.random_spans(t, secrets.base_spans(t), enc) for t in plain] == [[]] * 4
+
+
 def test_bpe_equals_tiktoken_and_round_trips(docs):
     enc = secrets.encoding(*secrets.default_vocabulary())
     found = {(r.doc_id, r.n_tokens): r for r in bpe.encode_documents(docs).collect()}

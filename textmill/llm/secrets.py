@@ -3,7 +3,9 @@
 Base kinds (leftmost non-overlapping matches, failing ones dropped afterwards): ``assign``, ``access``
 and ``hex``. The method adds ``random``: a run of credential characters that a byte-level BPE
 vocabulary spends many tokens on, i.e. with few characters a token, unless it is a digest of known
-length, a UUID or another identifier, or overlaps a base span.
+length, a UUID or another identifier, or overlaps a base span. Where a run as a whole does not show it,
+UUIDs and digests are taken out, and the parts between ``/ = _ -`` and a window over the tokens are judged
+on their own, so that a key behind a path, or next to a UUID, is found; its span is the part or the windows.
 
 Defined cases: a null text counts as empty and has no spans; rows with a null or repeated doc_id are
 scanned like any others, one row out for each row in; other columns are ignored.
@@ -24,8 +26,13 @@ from textmill.llm import common
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-#: Runs that may be credentials; those without both a digit and a letter are words or numbers.
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Runs that may be credentials; those without a digit or a frequent change of case are words, those without a letter numbers.
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+CASE = re.compile(r"[a-z](?=[A-Z])")
+PART = re.compile(r"[A-Za-z0-9+]{16,}")
+HEX_PART = re.compile(r"[0-9a-f]+|[0-9A-F]+")
+#: UUIDs and digests that stand alone within a run.
+HOLE = re.compile(r"(?<![A-Za-z0-9+])(?:[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})(?![A-Za-z0-9+])", re.I)
 #: Known digests (by their length in hex) and identifiers are no secrets.
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.I)
 UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.I)
@@ -33,6 +40,8 @@ IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[_/=-](?:[A-Z]?[a
 ORDER = {"assign": 0, "access": 1, "hex": 2, "random": 3}
 #: Characters a token: ordinary words have three or more, random base64 fewer than two.
 MAX_RATIO = 2.0
+#: The same for parts of less than LONG characters, for windows, and for parts of hex digits, whose tokens are longer; separators that a window may hold.
+SHORT_RATIO, WINDOW_RATIO, HEX_RATIO, LONG, WINDOW, SEPARATORS = 1.8, 1.6, 2.3, 20, 16, 2
 
 
 @lru_cache(2)
@@ -50,7 +59,7 @@ def default_vocabulary() -> tuple[str, str]:
 
 
 def known(run: str) -> bool:
-    return bool(DIGEST.fullmatch(run) or UUID.search(run) or IDENTIFIER.fullmatch(run))
+    return bool(DIGEST.fullmatch(run) or UUID.fullmatch(run) or IDENTIFIER.fullmatch(run))
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -60,16 +69,68 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda x: (x[0], ORDER[x[2]]))
 
 
+def mixed(run: str) -> bool:
+    """Whether a run has both a digit and a letter, or changes its letters' case time and again."""
+    if any(c.isdigit() for c in run):
+        return any(c.isalpha() for c in run)
+    return len(CASE.findall(run)) >= 3
+
+
+def dense_windows(run: str, enc, share: float) -> list[tuple[int, int]]:
+    """Unions of the token windows of WINDOW characters, with a digit and a letter and few separators, that have few characters a token."""
+    ends = [0]
+    for t in enc.encode_ordinary(run):
+        ends.append(ends[-1] + len(enc.decode_single_token_bytes(t)))
+    out: list[tuple[int, int]] = []
+    hi = 0
+    for lo in range(len(ends)):
+        while hi < len(ends) and ends[hi] - ends[lo] < WINDOW:
+            hi += 1
+        if hi == len(ends):
+            break
+        a, b = ends[lo], ends[hi]
+        if (b - a) / (hi - lo) < WINDOW_RATIO * share and mixed(w := run[a:b]) and sum(c in "/=_-" for c in w) <= SEPARATORS:
+            if out and a <= out[-1][1]:
+                out[-1] = out[-1][0], b
+            else:
+                out.append((a, b))
+    return out
+
+
+def inner_spans(run: str, enc, max_ratio: float) -> list[tuple[int, int]]:
+    """The parts and windows of a run, between UUIDs and digests, that look random; overlapping ones as one."""
+    found, at, share = [], 0, max_ratio / MAX_RATIO
+    for lo, hi in [*(m.span() for m in HOLE.finditer(run)), (len(run), len(run))]:
+        piece = run[at:lo]
+        if len(piece) >= WINDOW and mixed(piece):
+            for m in PART.finditer(piece):
+                if mixed(m[0]) and not known(m[0]):
+                    limit = HEX_RATIO * share if HEX_PART.fullmatch(m[0]) else max_ratio if len(m[0]) >= LONG else SHORT_RATIO * share
+                    if len(m[0]) / len(enc.encode_ordinary(m[0])) < limit:
+                        found.append((at + m.start(), at + m.end()))
+            found += [(at + a, at + b) for a, b in dense_windows(piece, enc, share)]
+        at = hi
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
 def random_spans(text: str, base: list[tuple[int, int, str]], enc, max_ratio: float = MAX_RATIO) -> list[tuple[int, int, str]]:
     out = []
     for m in RUN.finditer(text):
         run = m[0]
-        if run.isalpha() or not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run) or known(run):
+        if not mixed(run) or known(run):
             continue
-        if any(a < m.end() and m.start() < b for a, b, _ in base):
-            continue
-        if len(run) / len(enc.encode_ordinary(run)) < max_ratio:
+        free = not any(a < m.end() and m.start() < b for a, b, _ in base)
+        if free and len(run) >= LONG and not UUID.search(run) and len(run) / len(enc.encode_ordinary(run)) < max_ratio:
             out.append((m.start(), m.end(), "random"))
+            continue
+        inner = [(m.start() + a, m.start() + b) for a, b in inner_spans(run, enc, max_ratio)]
+        out += [(a, b, "random") for a, b in inner if not any(x < b and a < y for x, y, _ in base)]
     return out
 
 

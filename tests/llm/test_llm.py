@@ -191,6 +191,16 @@ def test_language_is_told_apart_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 for r in found.values())
 
 
+def test_languages_of_one_script_are_told_apart_by_their_letters(spark):
+    rnd = random.Random(7)
+    parts = {"aa": "абвгдежз", "bb": "иклймноп", "cc": "αβγδεζηθ", "dd": "ικλμνξοπ"}
+    data = [(i, " ".join("".join(rnd.choices(parts[k], k=5)) for _ in range(30)), k) for i in range(240) for k in [rnd.choice(list(parts))]]
+    d = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    found = {r.doc_id: r for r in language.predict(d, language.train(d)).collect()}
+    held = [i for i, _, _ in data if found[i].held_out]
+    assert len(held) > 30 and all(found[i].lang_pred == data[i][2] for i in held)
+
+
 def test_secrets(spark):
     key = "q8Zr1LkX0vTn4Yb7Wc2Ms9Jd"
     texts = {

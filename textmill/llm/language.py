@@ -27,40 +27,45 @@ from pyspark.sql import functions as F
 from textmill.llm import common
 
 SAMPLE, LANDMARKS, RIDGE = 3000, 192, 1e-3
-#: Character classes: 0 for what is no letter, 1-26 for a-z, 27-59 for U+00DF-U+00FF, 60-63 for other letters by block.
-CLASSES = 64
-GRAMS = CLASSES + CLASSES**2 + CLASSES**3
+#: A character is its code point if it is a letter and 0 if not; three of them and the lengths' offsets fit 63 bits.
+CLASSES = 0x110000
 UNKNOWN = "und"
 
 
 class Model(NamedTuple):
-    """labels; slot: a gram's column or -1; landmarks: grams by landmarks; size: grams in each landmark; weights: landmarks by labels."""
+    """labels; vocabulary: the columns' grams, sorted; landmarks: grams by landmarks; size: grams in each landmark; weights: landmarks by labels."""
 
     labels: list[str]
-    slot: np.ndarray
+    vocabulary: np.ndarray
     landmarks: np.ndarray
     size: np.ndarray
     weights: np.ndarray
 
 
 @lru_cache(1)
-def classes() -> np.ndarray:
-    table = np.zeros(0x110000, np.uint8)
-    for c in range(0x110000):
+def letters() -> np.ndarray:
+    table = np.zeros(CLASSES, np.int32)
+    for c in range(CLASSES):
         if not 0xD800 <= c < 0xE000 and chr(c).isalpha():
-            table[c] = c - 96 if 97 <= c <= 122 else c - 0xDF + 27 if 0xDF <= c <= 0xFF else 60 + (c >> 7) % 4
+            table[c] = c
     return table
 
 
+def columns(vocabulary: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Each gram's place in the vocabulary, or -1."""
+    at = np.minimum(np.searchsorted(vocabulary, grams), len(vocabulary) - 1)
+    return np.where(vocabulary[at] == grams, at, -1)
+
+
 def gram_rows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, gram) of all n-grams of the texts, and for each text whether it has a letter."""
     raw = [t.lower().encode("utf-32-le", "surrogatepass") for t in texts]
     size = np.array([len(x) // 4 for x in raw])
-    kind = classes()[np.frombuffer(b"".join(raw), np.uint32)]
+    kind = letters()[np.frombuffer(b"".join(raw), np.uint32)].astype(np.int64)
     row = np.repeat(np.arange(len(texts), dtype=np.int32), size)
     letter = np.zeros(len(texts), bool)
     letter[row[kind > 0]] = True
-    rows, grams, code, base = [row], [kind.astype(np.int32)], kind.astype(np.int32), CLASSES
+    rows, grams, code, base = [row], [kind], kind, CLASSES
     for n in (2, 3):
         code = code[: max(0, len(kind) - n + 1)] * CLASSES + kind[n - 1 :]
         same = row[: len(code)] == row[n - 1 :]
@@ -72,7 +77,7 @@ def gram_rows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def kernels(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     rows, grams, letter = gram_rows(texts)
-    col = model.slot[grams]
+    col = columns(model.vocabulary, grams)
     there = np.zeros((len(texts), len(model.landmarks)), np.float32)
     there[rows[col >= 0], col[col >= 0]] = 1
     scale = np.sqrt(np.maximum(there.sum(1, keepdims=True), 1) * model.size)
@@ -90,11 +95,10 @@ def fit(langs: list[str], sets: list[np.ndarray], landmarks: int = LANDMARKS, ri
         turn[y == k] = np.arange((y == k).sum())
     marks = np.lexsort((y, turn))[:landmarks]
     vocabulary = np.unique(np.concatenate([sets[i] for i in marks]))
-    slot = np.full(GRAMS, -1, np.int32)
-    slot[vocabulary] = np.arange(len(vocabulary))
     x = np.zeros((len(sets), len(vocabulary)), np.float32)
     for i, s in enumerate(sets):
-        x[i, slot[s][slot[s] >= 0]] = 1
+        col = columns(vocabulary, s)
+        x[i, col[col >= 0]] = 1
     size = x.sum(1)
     k = (x @ x[marks].T) / np.sqrt(np.maximum(size[:, None], 1) * size[marks])
     values, vectors = np.linalg.eigh(k[marks].astype(np.float64))
@@ -103,7 +107,7 @@ def fit(langs: list[str], sets: list[np.ndarray], landmarks: int = LANDMARKS, ri
     phi = k @ root
     goal = np.eye(len(labels))[y]
     w = np.linalg.solve(phi.T @ phi + ridge * len(y) * np.eye(phi.shape[1]), phi.T @ goal)
-    return Model(labels, slot, np.ascontiguousarray(x[marks].T), size[marks], (root @ w).astype(np.float32))
+    return Model(labels, vocabulary, np.ascontiguousarray(x[marks].T), size[marks], (root @ w).astype(np.float32))
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
@@ -116,16 +120,16 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [x or "" for x in batch.column("text").to_pylist()]
         rows, grams, letter = gram_rows(texts)
-        both = np.unique(rows.astype(np.int64) * GRAMS + grams)
-        at = np.searchsorted(both, np.arange(len(texts) + 1) * GRAMS)
-        found = [(both[a:b] % GRAMS).astype(np.int32).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+        grams = grams[np.argsort(rows, kind="stable")]
+        at = np.searchsorted(np.sort(rows), np.arange(len(texts) + 1))
+        found = [np.unique(grams[a:b]).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
         keep = pa.array(letter)
         return pa.RecordBatch.from_arrays([batch.column("lang").filter(keep), pa.array(found, pa.binary()).filter(keep)], names=["lang", "grams"])
 
     rows = common.by_batch(picked.select("lang", "text"), sets, "lang string, grams binary").limit(2 * sample).collect()
     rows.sort(key=lambda r: (r.lang, bytes(r.grams)))
     order = np.random.default_rng(7).permutation(len(rows))
-    return fit([rows[i].lang for i in order], [np.frombuffer(rows[i].grams, np.int32) for i in order])
+    return fit([rows[i].lang for i in order], [np.frombuffer(rows[i].grams, np.int64) for i in order])
 
 
 def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -46,6 +46,15 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def with_rings(docs):
+    """docs with texts whose repeated passages fork, meet and run in rings, and with texts of one doc_id."""
+    rnd = random.Random(4)
+    part = [" ".join(rnd.choices(["aa", "bb", "cc", "dd"], k=25)) for _ in range(6)]
+    texts = [" ".join(part[k] for k in rnd.choices(range(6), k=rnd.randint(1, 5))) for _ in range(40)] + ["x y z " * 50, "x y z " * 41 + "end", "y z x " * 30]
+    data = [(2000 + i // 2 if i < 20 else 2000 + i, t) for i, t in enumerate(texts)]
+    return docs.unionByName(docs.sparkSession.createDataFrame(data, "doc_id long, text string"), allowMissingColumns=True).repartition(5)
+
+
 def rows(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
 
@@ -61,9 +70,10 @@ def test_operators_accept_an_empty_table(spark, empty):
     assert [f.count() for f in found] == [0] * 10
 
 
-@pytest.mark.parametrize("run", [1 << 22, 2000])
-def test_suffix_dedup_equals_brute_force(docs, run, monkeypatch):
+@pytest.mark.parametrize(("run", "hot"), [(1 << 22, routing.HOT), (2000, routing.HOT), (2000, 1), (1 << 20, 0)])
+def test_suffix_dedup_equals_brute_force(docs, run, hot, monkeypatch):
     monkeypatch.setattr(common, "RUN_BYTES", run)
+    docs = with_rings(docs)
     texts = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
     seen = {}
     for _, b in texts:
@@ -77,7 +87,7 @@ def test_suffix_dedup_equals_brute_force(docs, run, monkeypatch):
                 gone[j : j + 200] = b"\1" * 200
         kept = bytes(x for x, g in zip(b, gone) if not g)
         want.append((i, len(b), sum(gone), len(re.findall(b"\1+", gone)), hashlib.sha256(kept).hexdigest()))
-    assert rows(suffixes.remove_repeats(docs).drop("kept")) == sorted(want, key=repr)
+    assert rows(suffixes.remove_repeats(docs, hot=hot).drop("kept")) == sorted(want, key=repr)
 
 
 def test_cover_has_a_shift_for_each_pair_of_residues():
@@ -87,7 +97,8 @@ def test_cover_has_a_shift_for_each_pair_of_residues():
 @pytest.mark.parametrize("run", [1 << 22, 2000])
 def test_de_bruijn_equals_brute_force(docs, run, monkeypatch):
     monkeypatch.setattr(common, "RUN_BYTES", run)
-    texts = {(r.id, r.th, r.text): r.doc_id for r in routing.keyed(docs).collect()}
+    docs = with_rings(docs)
+    texts = {(r.id, r.th, r.text): r.doc_id for r in common.keyed(docs).collect()}
     seen, want = set(), {}
     for (i, th, text), doc_id in sorted(texts.items()):
         w = WORD.findall(text)
@@ -98,7 +109,7 @@ def test_de_bruijn_equals_brute_force(docs, run, monkeypatch):
             seen.add(g)
         kept = " ".join(x for x, g in zip(w, gone) if not g)
         want[i, th] = (doc_id, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest())
-    every = [want[r.id, r.th] for r in routing.keyed(docs).collect()]
+    every = [want[r.id, r.th] for r in common.keyed(docs).collect()]
     assert rows(debruijn.remove_repeats(docs).drop("kept")) == sorted(every, key=repr)
 
 

@@ -64,10 +64,10 @@ def runs(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         yield lo, len(sizes)
 
 
-def text_runs(batch: pa.RecordBatch, column: str = "text", scale: int = 1) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about scale times RUN_BYTES of text."""
+def text_runs(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about limit bytes of text."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    for lo, hi in runs(sizes, scale * RUN_BYTES):
+    for lo, hi in runs(sizes, limit):
         yield batch.slice(lo, hi - lo)
 
 
@@ -83,11 +83,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str = "text", scale: int = 1) -> DataFrame:
-    """df through fn in Arrow batches of bounded text size."""
+    """df through fn in Arrow batches of about scale times RUN_BYTES of text."""
+    limit = scale * RUN_BYTES
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_runs(batch, column, scale):
+            for part in text_runs(batch, column, limit):
                 yield fn(part)
 
     return df.mapInArrow(each, schema)
@@ -121,6 +122,12 @@ def components(edges: DataFrame, kind: str = "long") -> DataFrame:
         mark = now
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null: empty), id (a null doc_id counts as the smallest) and th, a 64-bit hash of the text."""
+    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return d.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("th"))
+
+
 def groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     """The rows of each key, from batches that are sorted by the keys."""
     held: list[pa.RecordBatch] = []

@@ -87,3 +87,9 @@ def shingles(raw: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
     return row[new], h[new]
+
+
+def covered(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Whether each of n places lies in one of the stretches."""
+    change = np.bincount(lo, minlength=n + 1) - np.bincount(hi, minlength=n + 1)
+    return np.cumsum(change)[:n] > 0

@@ -333,20 +333,41 @@ def wording(rnd, n):
 
 
 @pytest.mark.parametrize("run", [1 << 20, 500])
-def test_boilerplate_inside_articles_goes_over_the_whole_host(spark, run, monkeypatch):
+def test_boilerplate_is_counted_over_the_whole_host(spark, run, monkeypatch):
     monkeypatch.setattr(common, "RUN_BYTES", run)
     rnd = random.Random(6)
-    plain, short, copied, body = wording(rnd, 12), "Read on", wording(rnd, 60), [wording(rnd, 30) for _ in range(40)]
+    plain, short, copied, quote, body = wording(rnd, 12), "Read on", wording(rnd, 60), wording(rnd, 20), [wording(rnd, 30) for _ in range(60)]
     page = lambda t: f"<article><p>{t}</p><p>{plain}</p><p>{short}</p></article>"
-    data = [(i, "http://h.x/", page(body[i]) if i % 10 == 0 else f"<main>{body[i]}</main>") for i in range(30)]
-    data += [(100 + i, "http://h.x/", f"<article>{copied} {i}</article>") for i in range(4)]
+    data = [(i, "http://h.x/", page(body[i]) if i % 10 < 8 else f"<main>{body[i]}</main>") for i in range(30)]
+    data += [(100 + i, "http://copies.x/", f"<article>{copied}</article>") for i in range(4)]
     data += [(200 + i, "http://other.x/", page(body[30 + i])) for i in range(2)]
     data += [(300 + i, "http://cards.x/", f"<div>{body[34 + i]}</div><article>Our best story of this year, read it here now</article>") for i in range(3)]
+    data += [(400 + i, "http://quotes.x/", f"<article><p>{body[40 + i]}</p><p>{quote}</p></article>" if i % 3 == 0 else f"<article>{body[40 + i]}</article>") for i in range(15)]
+    data += [(500 + i, "http://divs.x/", f"<div>{body[i]} {plain}</div>" if i % 5 == 0 else f"<div>{body[i]}</div>") for i in range(30)]
     text = {r.page_id: r.text for r in html.extract(spark.createDataFrame(data, "page_id long, url string, html string").repartition(3)).collect()}
     assert all(text[i] == body[i] for i in range(30))
-    assert all(text[100 + i] == f"{copied} {i}" for i in range(4))
+    assert all(text[100 + i] == copied for i in range(4))
     assert all(text[200 + i] == f"{body[30 + i]} {plain} {short}" for i in range(2))
     assert all(text[300 + i] == body[34 + i] for i in range(3))
+    assert all(text[400 + i] == (f"{body[40 + i]} {quote}" if i % 3 == 0 else body[40 + i]) for i in range(15))
+    assert all(text[500 + i] == body[i] for i in range(30))
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    ('<article><p>Hello <span class="advert">BUY NOW</span> world</p></article>', "Hello world"),
+    ('<article><p>One <a class="share" href="#">Share</a><span style="display:none">x</span><button>go</button> two</p></article>', "One two"),
+    ('<div class="content no-sidebar"><article><p>text</p></article></div>', "text"),
+    ('<div class="layout with-sidebar"><main>text</main><div class="sidebar">no</div></div>', "text"),
+    ('<div class="page has-header"><div class="site-header">no</div><article>text</article></div>', "text"),
+    ('<article><p class="alert">one</p><p class="share-price">two</p><div class="ad-slot">no</div></article>', "one two"),
+    ('<article>a <math><mi>x</mi><annotation>skip</annotation></math> b</article>', "a x b"),
+    ('<div class="banner-wrapper"><article>all of the body</article></div><p>else</p>', "all of the body"),
+    ('<div class="menu"><article>teaser</article></div><div id="content">the body of the page</div>', "the body of the page"),
+    ('<article>&eacute;&#8212;&#x41;&amp;amp;<div class="comments"><article>no</article></div></article>', "é—A&amp;"),
+])
+def test_structure_of_pages(page, want):
+    found = html.blocks(f"<body>{page}</body>")
+    assert " ".join([t for k, t in found if k == html.CORE] or [t for k, t in found if k == html.LOOSE]) == want
 
 
 def test_boilerplate_equals_brute_force():

@@ -2,19 +2,22 @@
 
 A page is cut into blocks in page order; each is core (inside an article or main element), loose
 (elsewhere) or noise (inside menus, page headers, footers, sidebars, notices, adverts, forms, reader
-comments or hidden elements). Scripts, styles, markup and comments are gone by then.
-
-Substrings of a block of at least ``least`` tokens that stand on at least ``pages`` distinct pages of a
-host are boilerplate, and so are whole shorter blocks that do. Covered tokens leave core and loose blocks
-alike; the unique runs stay. Noise is dropped as a whole, but counts where it repeats. Two cases need the
-structure: core text of which at least ``COPIED`` is covered, and that outweighs the loose text that
-stays, is a copied article and stays whole; and loose text that outweighs the core text is the page's
-body and stays with it, in page order. Otherwise a page's text is its core text, if any, or its loose one.
-
-Pages are parsed once, in runs that are written as tables. A run's token streams are concatenated and
-their suffixes sorted up to ``least`` tokens, which counts each passage's pages within the run; passages
-then travel as 48-bit hashes of host and text with these counts, sorted and packed by bucket, and the sums
-say which of a run's passages repeat on the whole host. A passage is one entry for each run, however
+comments or hidden elements). Scripts, styles, markup and comments are gone by then. Noise within a
+paragraph leaves it, and the paragraph stays one block. An article within an element that only its class
+makes noise (a wrapper, say) is core if it is the page's only one and outweighs the loose text.
+
+Token streams of a host's loose text are concatenated and their suffixes sorted up to ``least`` tokens:
+substrings of that length on at least ``pages`` pages and ``LOOSE_SHARE`` of the host's pages are
+boilerplate, and so are whole shorter blocks; covered tokens go, the unique runs stay. Core text is the
+article's own, and articles quote each other and are copied, so there a block goes only as a whole, if it
+stands on at least ``pages`` pages and more than ``CORE_SHARE`` of the host's, and if less than ``COPIED``
+of the page's core text goes that way (else the article is a copy and stays whole). Loose text that
+outweighs the core text is the page's body and stays with it, in page order; otherwise a page's text is
+its core text, if any, or its loose one.
+
+Pages are parsed once, in runs that are written as tables. A run's suffixes are sorted there, which counts
+each passage's pages within the run; passages then travel as 64-bit hashes of host and text with these
+counts, and the sums over all runs decide (see tallies.py). A passage is one entry for each run, however
 many pages hold it, so a large host is no larger task.
 
 Defined cases: a null html is empty; a null or unusable url makes a host of its own; null and repeated
@@ -26,6 +29,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -33,15 +37,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm import common, hashing
+from textmill.llm import common, hashing, tallies
 
 LEAST, PAGES = 8, 3
-#: Share of the core text that repeats on other pages if the article is a copy.
-COPIED = 0.8
-#: Bytes of passages' text that a bucket gets.
-BUCKET_BYTES = 32 << 20
+#: Shares of the host's pages on which boilerplate stands, and of the core text that goes if the article is a copy.
+LOOSE_SHARE, CORE_SHARE, COPIED = 0.1, 0.5, 0.8
+ASKED, SAID = [("key", "<u8"), ("pages", "<u4")], [("pages", "<u4")]
 #: Kinds of text by the elements, roles and names that HTML and common page templates use. Fixed values.
-RAW = "script style noscript template iframe textarea title svg math object select xmp noembed".split()
+RAW = "script style noscript template iframe textarea title svg object select xmp noembed annotation".split()
 NOISE = set("nav footer aside form menu dialog button".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 WORDS = set(
@@ -53,6 +56,13 @@ BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul option optgroup".split()
 )
+#: Of the names, those that mark text of its own in any element, and those of parts that a page's articles are not in.
+ADS = set("ad ads advert adverts advertisement adsense sponsor sponsored promo promotion cookie cookies newsletter subscribe".split())
+FIRM = ADS | set("comment comments disqus related recommended".split())
+#: What a compound name may have after its first part, and first parts that say what the element is beside or without.
+BESIDE = set("box container wrapper wrap area block section list bar item items button buttons link links slot unit zone panel group row column inner outer left right top bottom main site page global form reply thread".split())
+NEGATED = set("no not has have with without is in after before".split())
+PROSE = set("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose start ends an open one of these.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -61,33 +71,50 @@ MARK = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+>)", re.S
 )
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-CORE, LOOSE, JUNK = 0, 1, 2
-
-
-def is_noise(tag: str, attributes: str, core: bool) -> bool:
-    """Whether an element's content is noise by its name, role, class, id or hiding; core: inside an article or main."""
+CORE, LOOSE, JUNK, BURIED = 0, 1, 2, 3
+FIRMLY, BY_NAME = 1, 2
+
+
+@lru_cache(4096)
+def noisy(names: str) -> frozenset[str]:
+    """The noise words that an element's classes and id say it is: alone, last in a compound name, or first before a word like box."""
+    found = set()
+    for name in names.split():
+        parts = re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())
+        if parts and parts[0] not in NEGATED:
+            if parts[-1] in WORDS:
+                found.add(parts[-1])
+            elif parts[0] in WORDS and all(x in BESIDE or x in WORDS for x in parts):
+                found.add(parts[0])
+    return frozenset(found)
+
+
+def noise_of(tag: str, attributes: str, core: bool) -> int:
+    """FIRMLY if an element's content is noise by its name, role or hiding, BY_NAME if only by class or id, else 0; core: inside an article or main."""
     if tag in NOISE or tag == "header" and not core:
-        return True
+        return FIRMLY
     if not attributes or tag in ("html", "body", "main", "article"):
-        return False
+        return 0
     a = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes[:-1])}
-    if "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "")):
-        return True
-    words = set(re.split(r"[^a-z]+", f"{a.get('class', '')} {a.get('id', '')}".lower()))
-    return a.get("role", "").lower() in ROLES or bool(words & WORDS - ({"header"} if core else set()))
+    if "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "")) or a.get("role", "").lower() in ROLES:
+        return FIRMLY
+    found = noisy(f"{a.get('class', '')} {a.get('id', '')}")
+    if core:
+        found = found & ADS if tag in PROSE else found - {"header"}
+    return FIRMLY if found & FIRM else BY_NAME if found else 0
 
 
 def blocks(page: str) -> list[tuple[int, str]]:
     """(kind, text) of a page's blocks in order, white space collapsed, empty ones left out."""
     out: list[tuple[int, str]] = []
-    stack: list[tuple[str, int, bool]] = [("", LOOSE, False)]  # element, kind of its text, inside article or main
-    text: list[str] = []
+    stack: list[tuple[str, int, bool, bool]] = [("", LOOSE, False, False)]  # element, kind of its text, inside article or main, noise by its class
+    text: dict[int, list[str]] = {}
 
     def flush() -> None:
-        if text:
-            if found := " ".join(html.unescape("".join(text)).split()):
-                out.append((stack[-1][1], found))
-            text.clear()
+        for kind, parts in text.items():
+            if found := " ".join(html.unescape("".join(parts)).split()):
+                out.append((kind, found))
+        text.clear()
 
     def leave(names: set[str] | str, bars: set[str]) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -100,8 +127,8 @@ def blocks(page: str) -> list[tuple[int, str]]:
     at, head = 0, False
     while at < len(page):
         m = MARK.search(page, at)
-        if not head:
-            text.append(page[at : m.start() if m else len(page)])
+        if not head and (more := page[at : m.start() if m else len(page)]):
+            text.setdefault(stack[-1][1], []).append(more)
         if not m:
             break
         at, tag = m.end(), (m[2] or "").lower()
@@ -116,7 +143,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
         elif tag in BLOCKS and tag != "html":
             head = False
         if tag == "br":
-            text.append(" ")
+            text.setdefault(stack[-1][1], []).append(" ")
         if tag in BLOCKS:
             flush()
         if m[1]:
@@ -126,13 +153,24 @@ def blocks(page: str) -> list[tuple[int, str]]:
                 leave({"p"}, BARS | {"td", "th", "li"})
             if tag in ENDS:
                 leave(ENDS[tag], BARS - {tag})
-            _, kind, core = stack[-1]
-            core = core or tag in ("article", "main") or bool(re.search(r"role\s*=\s*[\"']?main\b", m[3]))
+            _, kind, core, named = stack[-1]
+            main = tag == "main" or bool(re.search(r"role\s*=\s*[\"']?main\b", m[3]))
+            core = core or main or tag == "article"
             if kind != JUNK:
-                kind = JUNK if is_noise(tag, m[3], core) else CORE if core else LOOSE
-            stack.append((tag, kind, core))
+                noise = noise_of(tag, m[3], core)
+                kind, named = (JUNK, noise == BY_NAME) if noise else (kind if kind == BURIED else CORE if core else LOOSE, False)
+            elif named and (main or tag == "article"):
+                kind, named = CORE if main else BURIED, False
+            stack.append((tag, kind, core, named))
     flush()
-    return out
+    return unburied(out)
+
+
+def unburied(found: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    """The blocks with those of articles in noise as core, if the page has no other core text and less loose text, or as noise."""
+    size = [sum(len(t) for k, t in found if k == kind) for kind in range(4)]
+    to = CORE if not size[CORE] and size[BURIED] > size[LOOSE] else JUNK
+    return [(to if k == BURIED else k, t) for k, t in found] if size[BURIED] else found
 
 
 def passages(tokens: np.ndarray, page: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,25 +198,17 @@ def passages(tokens: np.ndarray, page: np.ndarray, least: int) -> tuple[np.ndarr
     return order, np.cumsum(other) - 1, fresh
 
 
-def marked(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Whether each of n tokens lies in one of the stretches."""
-    change = np.zeros(n + 1, np.int64)
-    np.add.at(change, lo, 1)
-    np.add.at(change, hi, -1)
-    return np.cumsum(change)[:n] > 0
-
-
 def boilerplate(tokens: np.ndarray, page: np.ndarray, least: int, pages: int) -> np.ndarray:
     """Whether each token lies in a substring of ``least`` tokens that stands on ``pages`` distinct pages."""
     order, number, fresh = passages(tokens, page, least)
     hit = order[np.bincount(number[fresh])[number] >= pages] if len(order) else order
-    return marked(len(tokens), hit, hit + least)
+    return hashing.covered(len(tokens), hit, hit + least)
 
 
 class Run(NamedTuple):
     """A run of pages: begin and end of each token in raw, each block's first token (one more at the end), and its passages.
 
-    lo, hi, name: first token, the one after the last, and the passage's place in keys; keys: sorted by bucket, 48 bits; pages: of each.
+    lo, hi, name: first token, the one after the last, and the passage's place in asked; host: of each page, the place of its host's pages.
     """
 
     raw: bytes
@@ -188,40 +218,45 @@ class Run(NamedTuple):
     lo: np.ndarray
     hi: np.ndarray
     name: np.ndarray
-    keys: np.ndarray
-    pages: np.ndarray
+    host: np.ndarray
+    asked: list[np.ndarray]
 
 
-def run_of(hosts: np.ndarray, texts: pa.ListArray, least: int, buckets: int) -> Run:
-    """The passages of a run of pages; hosts are hashes, texts the blocks of each page."""
-    flat = texts.flatten().to_pylist()
-    raw = ("\n".join(flat) + "\n").encode("utf-8", "surrogatepass")
+def run_of(table: pa.RecordBatch, least: int) -> Run:
+    """The passages of a run of pages, from host (hashes), kinds and texts (the blocks of each page): substrings of loose text, whole short blocks of it and whole blocks of core text."""
+    host, texts = hashing.mixed(table.column("host").to_numpy().astype(np.uint64), 1), table.column("texts")
+    kind = table.column("kinds").flatten().to_numpy()
+    raw = ("\n".join(texts.flatten().to_pylist()) + "\n").encode("utf-8", "surrogatepass")
     data = np.frombuffer(raw, np.uint8)
-    at = np.concatenate([[0], np.flatnonzero(data == 10) + 1]) if flat else np.zeros(1, np.int64)
+    at = np.concatenate([[0], np.flatnonzero(data == 10) + 1]) if len(kind) else np.zeros(1, np.int64)
     begin, end, first = hashing.words(data, at)
     sums, count = hashing.prefix_sums(data), np.diff(first)
-    block = np.repeat(np.arange(len(count)), count)
     page = np.repeat(np.arange(len(texts)), texts.value_lengths().to_numpy())
-    host = hosts.astype(np.uint64)[page] if len(page) else np.zeros(0, np.uint64)
-    place = np.arange(len(begin)) + block
-    tokens = np.zeros(len(begin) + len(count), np.int64)
-    tokens[place] = np.unique(hashing.stretch(sums, begin, end) + hashing.mixed(host, 1)[block], return_inverse=True)[1] + 1
-    order, number, fresh = passages(tokens, np.repeat(page, count + 1), least)
-    lo = np.searchsorted(place, order)
-    head = lo[np.flatnonzero(np.diff(number, prepend=-1))]
-    keys = hashing.mixed(hashing.stretch(sums, begin[head], end[head + least - 1] if len(head) else head) + hashing.mixed(host, 1)[block[head]], 2)
-    pages = np.bincount(number[fresh], minlength=len(head))
-    short = np.flatnonzero((count > 0) & (count < least))
-    own = hashing.mixed(hashing.stretch(sums, begin[first[short]], end[first[short + 1] - 1]) + hashing.mixed(host, 1)[short], 3)
-    whole, which = np.unique(own, return_inverse=True)
-    on = np.unique(which * (len(texts) + 1) + page[short]) // (len(texts) + 1)
-    keys = np.concatenate([keys, whole]) >> np.uint64(16)
-    pages = np.concatenate([pages, np.bincount(on, minlength=len(whole))])
-    by = np.lexsort((keys, keys % np.uint64(buckets)))
-    at_key = np.empty(len(by), np.int64)
-    at_key[by] = np.arange(len(by))
-    name = at_key[np.concatenate([number, len(head) + which]).astype(np.int64)]
-    return Run(raw, begin, end, first, np.concatenate([lo, first[short]]), np.concatenate([lo + least, first[short + 1]]), name, keys[by], pages[by])
+    own = host[page] if len(page) else np.zeros(0, np.uint64)
+    # the stream of loose blocks, with 0 after each
+    loose = np.flatnonzero(kind == LOOSE)
+    n = count[loose]
+    token = np.repeat(first[loose], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    place = np.arange(n.sum()) + np.repeat(np.arange(len(n)), n)
+    stream = np.zeros(n.sum() + len(n), np.int64)
+    stream[place] = np.unique(hashing.stretch(sums, begin[token], end[token]) + np.repeat(own[loose], n), return_inverse=True)[1] + 1
+    order, _, _ = passages(stream, np.repeat(page[loose], n + 1), least)
+    lo = token[np.searchsorted(place, order)]
+    lo_page = np.repeat(page[loose], n)[np.searchsorted(place, order)]
+    keys = hashing.mixed(hashing.stretch(sums, begin[lo], end[lo + least - 1] if len(lo) else lo) + host[lo_page], 2)
+    whole = np.flatnonzero((count > 0) & ((kind == CORE) | (kind == LOOSE) & (count < least)))
+    blocks_ = hashing.mixed(hashing.stretch(sums, begin[first[whole]], end[first[whole + 1] - 1]) + own[whole] + kind[whole].astype(np.uint64), 3)
+    pages = np.concatenate([lo_page, page[whole], np.arange(len(host))])
+    order, head, name = tallies.grouped(np.concatenate([keys, blocks_, hashing.mixed(host, 4)]))
+    on = np.unique(name * (len(host) + 1) + pages) // (len(host) + 1)
+    asked = [np.concatenate([keys, blocks_, hashing.mixed(host, 4)])[order[head]], np.bincount(on, minlength=len(head)).astype(np.uint32)]
+    k = len(keys) + len(blocks_)
+    return Run(raw, begin, end, first, np.concatenate([lo, first[whole]]), np.concatenate([lo + least, first[whole + 1]]), name[:k], name[k:], asked)
+
+
+def counted(keys: np.ndarray, pages: np.ndarray) -> list[np.ndarray]:
+    order, head, place = tallies.grouped(keys)
+    return [np.minimum(np.add.reduceat(pages[order].astype(np.int64), head), (1 << 32) - 1)[place].astype(np.uint32)]
 
 
 def chosen(kinds: list[int], words: list[int], kept: list[int]) -> tuple[bool, bool, bool]:
@@ -231,10 +266,14 @@ def chosen(kinds: list[int], words: list[int], kept: list[int]) -> tuple[bool, b
     return whole, core > 0, loose > (core if whole else core_kept)
 
 
-def main_texts(run: Run, kinds: pa.ListArray, hit: np.ndarray) -> list[str]:
-    """The text of each page of a run; hit: whether each of its keys is boilerplate."""
-    again = hit[run.name]
-    gone = marked(len(run.begin), run.lo[again], run.hi[again])
+def main_texts(run: Run, kinds: pa.ListArray, said: np.ndarray, pages: int) -> list[str]:
+    """The text of each page of a run; said: the pages of each key asked about."""
+    flat = kinds.flatten().to_numpy()
+    block = np.searchsorted(run.first, run.lo, "right") - 1
+    page = np.repeat(np.arange(len(kinds)), kinds.value_lengths().to_numpy())[block]
+    on, of = said[run.name].astype(np.int64), said[run.host].astype(np.int64)[page]
+    again = (on >= pages) & np.where(flat[block] == CORE, on > CORE_SHARE * of, on >= LOOSE_SHARE * of)
+    gone = hashing.covered(len(run.begin), run.lo[again], run.hi[again])
     words = np.diff(run.first)
     kept = words - np.diff(np.concatenate([[0], np.cumsum(gone)])[run.first])
     out, b = [], 0
@@ -244,7 +283,7 @@ def main_texts(run: Run, kinds: pa.ListArray, hit: np.ndarray) -> list[str]:
         whole, core, loose = chosen(own, words[b : b + n].tolist(), kept[b : b + n].tolist())
         parts = []
         for k, i in zip(own, range(b, b + n), strict=True):
-            if not (core if k == CORE else loose and k == LOOSE):
+            if not words[i] or not (core if k == CORE else loose and k == LOOSE):
                 continue
             x, y = run.first[i], run.first[i + 1]
             if kept[i] == words[i] or whole and k == CORE:
@@ -256,87 +295,29 @@ def main_texts(run: Run, kinds: pa.ListArray, hit: np.ndarray) -> list[str]:
     return out
 
 
-def pack_keys(keys: np.ndarray, pages: np.ndarray) -> bytes:
-    """Sorted keys as differences, byte by byte, then their pages, at most 255."""
-    import zstandard
-
-    step = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T[:6]
-    return zstandard.ZstdCompressor(level=3).compress(step.tobytes() + np.minimum(pages, 255).astype(np.uint8).tobytes())
-
-
-def unpack_keys(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    import zstandard
-
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(7, -1)
-    wide = np.zeros((planes.shape[1], 8), np.uint8)
-    wide[:, :6] = planes[:6].T
-    return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64), planes[6]
+def parsed(batch: pa.RecordBatch) -> pa.RecordBatch:
+    found = [blocks(x) for x in batch.column("html").to_pylist()]
+    kinds, texts = (pa.array([[b[i] for b in f] for f in found], t) for i, t in enumerate((pa.list_(pa.int8()), pa.list_(pa.string()))))
+    return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("host"), kinds, texts], names=["page_id", "url", "host", "kinds", "texts"])
 
 
 def extract(pages_: DataFrame, least: int = LEAST, pages: int = PAGES) -> DataFrame:
     """page_id, url, text and n_chars."""
-    import zstandard
-
-    spark = pages_.sparkSession
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     p = pages_.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.xxhash64(host).alias("host"))
-
-    def parse(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [blocks(x) for x in batch.column("html").to_pylist()]
-        kinds, texts = (pa.array([[b[i] for b in f] for f in found], t) for i, t in enumerate((pa.list_(pa.int8()), pa.list_(pa.string()))))
-        table = pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("host"), kinds, texts], names=["page_id", "url", "host", "kinds", "texts"])
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema) as writer:
-            writer.write_batch(table)
-        data = sink.getvalue().to_pybytes()
-        return pa.RecordBatch.from_arrays([pa.array([len(data)], pa.int64()), pa.array([zstandard.ZstdCompressor(level=3).compress(data)], pa.binary())], names=["size", "data"])
-
-    def opened(data: bytes) -> pa.RecordBatch:
-        return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(data)).read_next_batch()
-
-    parsed = common.by_batch(p, parse, "size long, data binary", column="html", scale=4).withColumn("run", F.monotonically_increasing_id())
-    parsed = common.materialize(parsed, "pages")
-    total = parsed.agg(F.sum("size")).first()[0] or 0
-    buckets = max(common.shuffle_parts(spark), int(total // BUCKET_BYTES) + 1)
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for run, data in zip(batch.column("run").to_pylist(), batch.column("data"), strict=True):
-                table = opened(data.as_buffer())
-                own = run_of(table.column("host").to_numpy(), table.column("texts"), least, buckets)
-                to = (own.keys % np.uint64(buckets)).astype(np.int64)
-                cuts = [*np.flatnonzero(np.diff(to, prepend=-1)).tolist(), len(to)]
-                rows = [(int(to[a]), pack_keys(own.keys[a:b], own.pages[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int64()), pa.array([run] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "run", "keys"]
-                )
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in common.groups(batches, ("bucket",)):
-            packed = [unpack_keys(x.as_buffer()) for x in g.column("keys")]
-            every, place = np.unique(np.concatenate([k for k, _ in packed]), return_inverse=True)
-            on = np.bincount(place, weights=np.concatenate([n for _, n in packed]), minlength=len(every))
-            hit = np.split((on >= pages)[place], np.cumsum([len(k) for k, _ in packed])[:-1])
-            bits = pa.array([np.packbits(h).tobytes() for h in hit], pa.binary())
-            yield pa.RecordBatch.from_arrays([g.column("run"), g.column("bucket"), bits], names=["run", "bucket", "bits"])
+    runs = tallies.packed_runs(p, "html", 4, parsed)
+    said = tallies.tally(runs, lambda t: run_of(t, least).asked, ASKED, counted, SAID, tallies.buckets_for(runs))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data, said in zip(batch.column("data"), batch.column("said").to_pylist(), strict=True):
-                table = opened(data.as_buffer())
-                own = run_of(table.column("host").to_numpy(), table.column("texts"), least, buckets)
-                sizes = np.bincount((own.keys % np.uint64(buckets)).astype(np.int64), minlength=buckets)
-                bits = {x["bucket"]: x["bits"] for x in said or ()}
-                hit = [np.unpackbits(np.frombuffer(bits[k], np.uint8), count=n).astype(bool) for k, n in enumerate(sizes.tolist()) if n]
-                text = main_texts(own, table.column("kinds"), np.concatenate(hit) if hit else np.zeros(0, bool))
+            for data, answers in zip(batch.column("data"), batch.column("said"), strict=True):
+                table = tallies.opened(data.as_buffer())
+                text = main_texts(run_of(table, least), table.column("kinds"), tallies.heard(SAID, answers)[0], pages)
                 cols = [table.column("page_id"), table.column("url"), pa.array(text, pa.string()), pa.array([len(x) for x in text], pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "text", "n_chars"])
 
-    sent = parsed.select("run", "data").mapInArrow(send, "bucket long, run long, keys binary")
-    said = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "run long, bucket long, bits binary")
-    said = said.groupBy("run").agg(F.collect_list(F.struct("bucket", "bits")).alias("said"))
-    done = parsed.select("run", "data").repartition(buckets, "run").join(said.withColumnRenamed("run", "r").repartition(buckets, "r").hint("shuffle_hash"), F.col("run") == F.col("r"), "left")
-    return done.select("data", "said").mapInArrow(finish, f"page_id {dict(p.dtypes)['page_id']}, url string, text string, n_chars long")
+    done = tallies.by_run(runs.select("run", "data"), said).select("data", "said")
+    return done.mapInArrow(finish, f"page_id {dict(p.dtypes)['page_id']}, url string, text string, n_chars long")
 
 
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

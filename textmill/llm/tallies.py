@@ -54,13 +54,13 @@ def unpack(kind: Kind, data) -> list[np.ndarray]:
     return out
 
 
-def packed_runs(df: DataFrame, column: str = "text", scale: int = 2) -> DataFrame:
-    """run, size (bytes of the column) and data: df in runs of about scale MB, as a table in the shared folder."""
+def packed_runs(df: DataFrame, column: str = "text", scale: int = 2, turn: Callable[[pa.RecordBatch], pa.RecordBatch] = lambda x: x) -> DataFrame:
+    """run, size (bytes of the column) and data: df through turn in runs of about scale MB, as a table in the shared folder."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, batch.schema) as writer:
-            writer.write_batch(batch)
+        sink, table = pa.BufferOutputStream(), turn(batch)
+        with pa.ipc.new_stream(sink, table.schema) as writer:
+            writer.write_batch(table)
         size = len(common.utf8(batch.column(column))[0])
         return pa.RecordBatch.from_arrays([pa.array([size], pa.int64()), pa.array([compressed(sink.getvalue().to_pybytes())], pa.binary())], names=["size", "data"])
 

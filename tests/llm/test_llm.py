@@ -173,18 +173,27 @@ def test_mix_equals_its_definition(docs):
     assert rows(mixing.mix(docs, block=4)) == sorted((tuple(r) for r in found), key=repr)
 
 
-def test_quotas_are_sainte_lague(spark):
-    sizes = spark.createDataFrame([("a", 1000), ("b", 300), (None, 777)], "source string, source_size long")
-    t = mixing.source_targets(sizes, block=10)
-    seats = {r.source: r.seats for r in t.collect()}
-    target = {r.source: r.target for r in t.collect()}
-    given = dict.fromkeys(target, 0)
-    for _ in range(sum(seats.values())):
-        best = max(target, key=lambda s: target[s] / (2 * given[s] + 1))
+def test_shards_have_their_quotas_of_highest_quotients(spark):
+    rnd = random.Random(2)
+    sizes = [(f"s{k:02}", rnd.choice([3, 40, 300, 5000, 20000])) for k in range(40)] + [(None, 777)]
+    t = mixing.source_targets(spark.createDataFrame(sizes, "source string, source_size long")).cache()
+    target, mixed = {r.place: r.target for r in t.collect()}, t.first().mixed
+    given, want = dict.fromkeys(target, 0), {}
+    for seat in range(1, mixed // 10 + 1):
+        best = max(target, key=lambda s: (target[s] / (2 * given[s] + 1), -s))
         given[best] += 1
-    assert given == seats
-    quota = mixing.shard_quotas(t, 7, block=10).groupBy("source").sum("quota").collect()
-    assert {r[0]: r[1] for r in quota} == seats
+        for j in range(1, 8):
+            if seat == mixed // 10 * j // 7:
+                want[j] = dict(given)
+    found = {r.place: r.upto for r in mixing.shard_seats(t, 7, block=10).collect()}
+    assert all(found[s] == [want[j][s] for j in range(1, 8)] for s in target)
+
+
+def test_words_of_a_shard_add_up_to_its_quotas(docs):
+    found = mixing.mix(docs, block=4, shards=5).collect()
+    assert all(sum(r.shard_words) == r.taken and len(r.shard_words) == 5 for r in found)
+    total = [sum(r.shard_words[j] for r in found) for j in range(5)]
+    assert max(total) - min(total) <= 16 + 4
 
 
 def test_language_is_told_apart_on_held_out_rows(spark):

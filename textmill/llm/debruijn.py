@@ -1,18 +1,18 @@
 """Operator 10: removal of repeated word sequences through a compacted de Bruijn graph.
 
 A window of ``length`` words is an edge of the graph, from the node of its first ``length - 1`` words to
-that of its last. Each distinct edge's occurrences, and whether all of them come from one edge and go on
-to one, are counted over the corpus (see tallies.py). Two consecutive edges are on one nonbranching path
-if every occurrence of either is next to the other: both occur equally often, the first goes on in one
-way only and the second is reached in one way only. The edges' answers are joined back to the documents,
+that of its last. Each distinct edge's occurrences, and whether all of them go on to one edge, are counted
+over the corpus (see tallies.py). Two consecutive edges are on one nonbranching path if every occurrence
+of either is next to the other: the first goes on in one way only, and both occur equally often, so the
+second is reached in one way only, too. The edges' answers are joined back to the documents,
 where the maximal paths of repeated edges become one stretch each, with source coordinates (document and
 word). Every occurrence of a path runs along all of it, so one row stands for the whole path: a Spark
 grouping by the path's words (a 128-bit digest of the text itself) finds its first occurrence, and a join
 tells the others, which are covered.
 
-Edges are told apart by 64 bits, and their ways on by 16 bits and their counts; a mistake there can only
-cut a path or leave one of them (odds near 2^-32 at a branching), as a path is removed only if its whole
-words occur earlier.
+Edges are told apart by 48 bits for counting: edges that share them cut a path in two, no more, as a path
+is removed only if its whole words occur earlier. Their ways on are told apart by 24 other bits: odds of
+2^-24, at a branching where both edges occur equally often, that a path is left which should go.
 
 Defined cases: a null text has no words; texts below ``length`` words lose nothing; a null doc_id
 counts as the smallest; rows that share a doc_id but not a text are ordered by a 64-bit hash of the text;
@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from textmill.llm import common, hashing, tallies
 
 LENGTH = 20
-#: An edge with several ways on, or one that ends a document.
-BRANCH = 0xFFFF
-ASKED = [("key", "<u8"), ("n", "<u4"), ("after", "<u2"), ("before", "<u2")]
+#: An edge with several ways on, or one that ends a document; text that one bucket of edges stands for.
+BRANCH, BUCKET_BYTES = 1 << 24, 6 << 20
+ASKED = [("key", "<u8"), ("n", "<u4"), ("after", "<u4")]
 SAID = [("n", "<u4"), ("ends", "u1")]
 PLACES = [("path", "<u4"), ("doc", "<u4"), ("lo", "<u4"), ("hi", "<u4")]
 
@@ -72,7 +72,7 @@ def words_of(texts: pa.Array) -> Words:
 def one_way(ways: np.ndarray, head: np.ndarray) -> np.ndarray:
     """The way that all of a group have, or BRANCH."""
     low, high = np.minimum.reduceat(ways, head), np.maximum.reduceat(ways, head)
-    return np.where(low == high, low, BRANCH).astype(np.uint16)
+    return np.where(low == high, low, BRANCH).astype(np.uint32)
 
 
 def edges_of(w: Words, length: int) -> Edges:
@@ -84,35 +84,35 @@ def edges_of(w: Words, length: int) -> Edges:
     h = edge[w.first[doc] + place]
     if not len(h):
         return Edges(doc, place, doc, [np.zeros(0, t) for _, t in ASKED])
-    way = ((h >> np.uint64(48)) % np.uint64(BRANCH)).astype(np.uint16)
-    after, before = np.full(len(h), BRANCH, np.uint16), np.full(len(h), BRANCH, np.uint16)
+    after = np.full(len(h), BRANCH, np.uint32)
     same = doc[1:] == doc[:-1]
-    after[:-1][same], before[1:][same] = way[1:][same], way[:-1][same]
+    after[:-1][same] = (h[1:] & np.uint64(BRANCH - 1)).astype(np.uint32)[same]
+    h &= ~np.uint64(0xFFFF)
     order, head, entry = tallies.grouped(h)
-    return Edges(doc, place, entry, [h[order[head]], np.diff([*head, len(h)]).astype(np.uint32), one_way(after[order], head), one_way(before[order], head)])
+    return Edges(doc, place, entry, [h[order[head]], np.diff([*head, len(h)]).astype(np.uint32), one_way(after[order], head)])
 
 
-def counted(keys: np.ndarray, n: np.ndarray, after: np.ndarray, before: np.ndarray) -> list[np.ndarray]:
-    """Of each entry its edge's occurrences (0 if there is one only), and whether the edge branches after (1) or before (2) it."""
+def counted(keys: np.ndarray, n: np.ndarray, after: np.ndarray) -> list[np.ndarray]:
+    """Of each entry its edge's occurrences (0 if there is one only), and whether it goes on in more than one way."""
     order, head, place = tallies.grouped(keys)
     total = np.minimum(np.add.reduceat(n[order].astype(np.int64), head), (1 << 32) - 1)
-    ends = (one_way(after[order], head) == BRANCH) + 2 * (one_way(before[order], head) == BRANCH)
     again = total > 1
-    return [np.where(again, total, 0)[place].astype(np.uint32), np.where(again, ends, 0)[place].astype(np.uint8)]
+    ends = again & (one_way(after[order], head) == BRANCH)
+    return [np.where(again, total, 0).astype(np.uint32)[place], ends.astype(np.uint8)[place]]
 
 
 def paths(e: Edges, n: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first and the last edge (places in e) of each nonbranching path of repeated edges."""
     n, ends = n[e.entry], ends[e.entry]
     on = np.zeros(len(n) + 1, bool)
-    on[1:-1] = (n[1:] > 0) & (n[1:] == n[:-1]) & (e.doc[1:] == e.doc[:-1]) & (ends[:-1] & 1 == 0) & (ends[1:] & 2 == 0)
+    on[1:-1] = (n[1:] > 0) & (n[1:] == n[:-1]) & (e.doc[1:] == e.doc[:-1]) & (ends[:-1] == 0)
     return np.flatnonzero((n > 0) & ~on[:-1]), np.flatnonzero((n > 0) & ~on[1:])
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept (the remaining words joined by one space)."""
     runs = tallies.packed_runs(common.keyed(docs))
-    said = tallies.tally(runs, lambda t: edges_of(words_of(t.column("text")), length).asked, ASKED, counted, SAID, tallies.buckets_for(runs))
+    said = tallies.tally(runs, lambda t: edges_of(words_of(t.column("text")), length).asked, ASKED, counted, SAID, tallies.buckets_for(runs, BUCKET_BYTES))
 
     def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -86,31 +86,22 @@ def mix(docs: DataFrame, cap: int = CAP, block: int = BLOCK, seed: str = SEED, s
     sources = sources.join(shard_seats(sources, shards, block), "place", "left")
     upto = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("cell_before", F.coalesce(F.sum("cell_size").over(upto), F.lit(0)))
-    words = F.least(F.coalesce(F.element_at("upto", -1), F.lit(0)) * block, cap * F.col("source_size"))
-    cells = cells.join(sources, cells.source.eqNullSafe(sources.source)).select(
-        cells.source.alias("c_source"), F.col("cell").alias("c_cell"), "cell_before", "source_size", "target", words.alias("words"), "upto"
-    )
+    # where each shard's last block ends in the source's words, laid end to end as often as needed
+    most = cap * F.col("source_size")
+    ends = F.coalesce(F.transform("upto", lambda x: F.least(x * block, most)), F.array_repeat(F.lit(0).cast("long"), shards))
+    cells = cells.join(sources, cells.source.eqNullSafe(sources.source)).select(cells.source.alias("c_source"), F.col("cell").alias("c_cell"), "cell_before", "source_size", "target", ends.alias("ends"))
     j = d.join(cells, d.source.eqNullSafe(F.col("c_source")) & (d.cell == F.col("c_cell")))
     within = Window.partitionBy("c_source", "c_cell").orderBy("key", "size", "th").rowsBetween(Window.unboundedPreceding, -1)
     j = j.withColumn("start", F.col("cell_before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-    passes = F.when(F.col("source_size") > 0, F.floor(F.col("words") / F.col("source_size"))).otherwise(0)
-    rest = F.col("words") - passes * F.col("source_size")
-    last = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start")))
-    end = lambda i: F.get("upto", i) * block
 
-    def within_shard(i: Column) -> Column:
-        """Words of all passes over the document that lie between the shard's first and last block."""
-        begin = F.when(i > 0, end(i - 1)).otherwise(0)
+    def before(end: Column) -> Column:
+        """The document's words in all passes before an end: whole passes, and what the last one holds."""
+        whole = F.greatest(F.col("source_size"), F.lit(1))
+        return F.floor(end / whole) * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), end % whole - F.col("start")))
 
-        def overlap(p: Column) -> Column:
-            lo = p * F.col("source_size") + F.col("start")
-            return F.greatest(F.lit(0), F.least(end(i), F.col("words"), lo + F.col("size")) - F.greatest(begin, lo)).cast("long")
-
-        return F.aggregate(F.sequence(F.lit(0).cast("long"), passes), F.lit(0).cast("long"), lambda x, p: x + overlap(p))
-
-    by_shard = F.when(F.col("upto").isNull() | (F.col("size") == 0), F.array_repeat(F.lit(0).cast("long"), shards)).otherwise(F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), within_shard))
-    taken = (passes * F.col("size") + last).cast("long").alias("taken")
-    return j.select("doc_id", "size", "source", "source_size", "target", taken, by_shard.alias("shard_words"), *keep)
+    j = j.withColumn("upto", F.transform("ends", before))
+    by_shard = F.transform("upto", lambda x, i: x - F.when(i > 0, F.element_at("upto", F.greatest(i, F.lit(1)))).otherwise(0))
+    return j.select("doc_id", "size", "source", "source_size", "target", F.element_at("upto", -1).alias("taken"), by_shard.alias("shard_words"), *keep)
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

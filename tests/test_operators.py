@@ -51,6 +51,33 @@ def test_detection(spark):
     assert (declared.content_type, declared.confidence, declared.source) == ("csv", 0.5, "content-type-header")
 
 
+@pytest.mark.parametrize(("data", "media", "name", "want"), [
+    (b"a,b\n1,10\n", None, "t.csv", "csv"), (b"hello \nworld", None, None, "text"), (b"\xff\xfe\x81\x99\xc3\x28", None, "x.txt", "unknown"), (b"a\x00b", "text/plain", None, "unknown"),
+    (b"x" * 4095 + "é".encode() + b"y" * 10, None, None, "text"), (b"PK\x03\x04..word/document.xml", None, None, "docx"), (b"PK\x03\x04..zip", "text/plain", None, "unknown"),
+    (b"\xef\xbb\xbf<?xml version='1.0'?>", None, None, "xml"), (b"  <!DOCTYPE HTML>", "text/plain", None, "html"), (b"a", "text/markdown; x", "t.csv", "markdown"), (b"", "text/plain", None, "unknown"), (b"\x80\x81", "application/pdf", None, "pdf"),
+])
+def test_document_formats(spark, data, media, name, want):
+    d = spark.createDataFrame([(bytearray(data), media, name)], "data binary, media string, name string")
+    assert d.select(detect.detect_format(F.col("data"), F.col("media"), F.col("name")).alias("f")).first().f == want
+
+
+@pytest.mark.parametrize(("value", "valid"), [('{"a": 1, "a": 2}', True), ('[{"a":{"b":1,"b":2}}]', True), ("{'a': 1, 'a': 2}", False), ('{"a": 1, "a": 2,}', False), ('{"a": "x\ty", "a": 2}', False), ("{}", True), ("[1, 2", False)])
+def test_json_with_repeated_keys_is_json(spark, value, valid):
+    assert one(spark, value, text.is_json) is valid
+    assert one(spark, value, text.minify_json) == (value.replace(" ", "") if valid else value)
+
+
+@pytest.mark.parametrize(("step", "label"), [("removed_svg", "Removed SVG graphics"), ("format_docx", "Extracted DOCX"), ("format_odt", "Extracted ODT"), ("parsed_html_twice", "Parsed HTML twice"), ("json_split", "JSON split"), ("x", "X"), ("_", "_")])
+def test_step_labels(spark, step, label):
+    assert one(spark, step, text.humanize_step) == label
+
+
+def test_endpoints_by_provider(spark):
+    cases = [("openai", "v1/assistants", True), ("openai", "v1/uploads", False), ("openai", "v1/messages", False), ("openai", "threads/t/runs", True), ("anthropic", "/v1/messages/", True), ("anthropic", "v1/messages/batches", False), ("groq", "chat/completions", True), ("groq", "responses", False), ("other", "chat/completions", False)]
+    d = spark.createDataFrame(cases, "provider string, path string, want boolean")
+    assert all(r.got == r.want for r in d.select("*", policy.endpoint_permits(F.col("path"), F.col("provider")).alias("got")).collect())
+
+
 def test_policy_and_auth(spark):
     r = spark.createDataFrame([("POST", "/v1/chat/completions", "application/json; x", "{}"), ("GET", "v1/messages", "application/json", "{}"), ("post", "v1/messages", "application/json", ""), ("POST", "v1/messages/batches", "application/json", "{}")], "method string, path string, content_type string, body string")
     assert [x.skip_reason for x in policy.policy_decide(r).collect()] == [None, "method_not_eligible", "empty_body", "endpoint_not_eligible"]
@@ -74,6 +101,70 @@ def test_segments_and_write_back(spark):
     assert (reasons[1], reasons[2], reasons[6]) == (None, "content_already_optimal", "no_optimizable_segments")
 
 
+def test_write_back_is_at_the_place_of_the_text(spark):
+    body = '{ "model": "x  ", "messages": [{"role": "x  ", "content": "x  "}, {"content": [{"type": "tool_use", "args": "x  "}, {"type": "text", "text": "caf\\u00e9  "}]}], "n": [1, {"content": "x  "}] }'
+    r = segments.parsed(spark.createDataFrame([(1, "v1/messages", body), (2, "v1/messages", '{"messages": [ ]}')], "request_id long, path string, body string"))
+    res = optimize.results(segments.segments(r))
+    new = {x.request_id: (x.new_body, x.any_changed) for x in segments.reassemble(r, res).collect()}
+    assert new[1] == ('{"model":"x  ","messages":[{"role":"x  ","content":"x"},{"content":[{"type":"tool_use","args":"x  "},{"type":"text","text":"café"}]}],"n":[1,{"content":"x  "}]}', True)
+    assert new[2] == ('{"messages": [ ]}', False)
+
+
+def test_documents_in_bodies_become_text(spark):
+    import base64
+
+    csv = "name,note" + ",empty" * 12 + "\n" + "\n".join(f"row {i},some text" + "," * 12 for i in range(40))
+    doc = lambda data, media: '{"type":"document","cache_control":{"type":"ephemeral"},"source":{"type":"base64","media_type":"%s","data":"%s"}}' % (media, base64.b64encode(data).decode())
+    page = b"<html><body><nav>menu</nav><h1>Head</h1><p>" + b"words of the page " * 30 + b"</p></body></html>"
+    body = '{"messages":[{"content":[%s,{"type":"text","text":"see  \\nhere"},%s,%s]}]}' % (doc(csv.encode(), "text/csv"), doc(page, "text/html"), doc(b"%PDF-1.4", "application/pdf"))
+    r = spark.createDataFrame([("1", "POST", "v1/messages", "application/json", body), ("2", "POST", "v1/messages", "text/plain", "{}")], sources.REQUEST)
+    new, events = optimize.optimize(r)
+    import json
+
+    parts = json.loads(new.first().new_body)["messages"][0]["content"]
+    assert parts[0] == {"type": "text", "text": "| name | note |\n|---|---|\n" + "\n".join(f"| row {i} | some text |" for i in range(40)), "cache_control": {"type": "ephemeral"}}
+    assert parts[1]["text"] == "see\nhere" and parts[2]["text"].startswith("# Head\n\nwords of") and parts[3]["type"] == "document"
+    e = {x.request_id: x for x in events.collect()}
+    assert (e["1"].applied, e["1"].segments, e["1"].skip_reason) == (True, 3, None) and e["1"].bytes_before > e["1"].bytes_after
+    assert set(e["1"].steps) == {"extracted_document", "format_csv", "format_html", "stripped_trailing_whitespace"}
+    assert (e["2"].applied, e["2"].segments, e["2"].skip_reason) == (False, 0, "content_type_not_eligible")
+
+
+def test_pages_prompts_and_tables_are_cleaned_in_the_chain(spark):
+    prompt = "Requirements:\n" + "- be short and to the point, always\n" * 8 + "\nGo on."
+    texts = {1: '<!DOCTYPE html><html><body><div class="ad"><div>Buy</div> now</div><h1>T</h1><p>some words</p></body></html>', 2: prompt, 3: "a,b,c\n1,,2\n3,,4\n", 4: '{"a" : 1}', 5: "plain", 6: None}
+    d = spark.createDataFrame(list(texts.items()), "id long, text string")
+    found = {r.id: r for r in optimize.clean(d, prompts=True, csv=True).collect()}
+    assert {k: r.transformer for k, r in found.items()} == {1: "html", 2: "prompt", 3: "csv", 4: "json", 5: "text", 6: "text"}
+    assert found[1].cleaned == "# T\n\nsome words" and found[1].steps == ["removed_ads_and_banners", "converted_to_markdown"]
+    assert found[2].cleaned == "Requirements:\n- be short and to the point, always\n\nGo on." and found[2].steps == ["removed_duplicate_list_items"]
+    assert found[3].cleaned == "a,b,c\n1,,2\n3,,4\n" and found[4].cleaned == '{"a":1}'
+    assert one(spark, "a,b,c\n1,,2\n,,\n3,,\"x,|y\"\n", lambda c: tables.csv_to_markdown(c, F.lit(","))).cleaned == "| a | c |\n|---|---|\n| 1 | 2 |\n| 3 | x,\\|y |"
+    off = {r.id: r.transformer for r in optimize.clean(d).collect()}
+    assert off[2] == off[3] == "text"
+
+
+def test_rules_of_others_feed_the_chain_and_a_failing_one_leaves_its_row(spark):
+    def shout(x):
+        if "bad" in x:
+            raise ValueError(x)
+        return x.upper()
+
+    r = rules.Rules().register(rules.Rule("shout", "1", ("loud",), 50, shout, lambda c: F.when(c.startswith("!"), 0.9), each_text=True))
+    d = spark.createDataFrame([(1, "!go"), (2, "!bad go"), (3, "go")], "id long, text string")
+    found = {x.id: x for x in optimize.clean(d, rules=r).collect()}
+    assert [(found[i].cleaned, found[i].transformer, found[i].steps) for i in (1, 2, 3)] == [("!GO", "shout", ["shout"]), ("!bad go", "shout", []), ("go", "text", [])]
+    off = {x.id: x.transformer for x in optimize.clean(d, rules=r.with_rules(set())).collect()}
+    assert off[1] == "text" and r.with_rules(set()).fingerprint() != r.fingerprint()
+
+
+def test_table_function_gives_segments(spark):
+    segments.register_segment_rows(spark)
+    spark.createDataFrame([(1, '{"messages":[{"role":"user","content":"a"},{"content":[{"text":"b"},{"x":1}]}]}'), (2, "broken"), (3, None)], "request_id long, body string").createOrReplaceTempView("bodies")
+    got = spark.sql("select request_id, s.* from bodies, lateral segment_rows(body) s").collect()
+    assert sorted(tuple(x) for x in got) == [(1, 0, "user", "a"), (1, 1, None, "b")]
+
+
 def test_inline_documents(spark):
     b = '{"messages":[{"content":[{"type":"document","source":{"type":"base64","media_type":"text/csv","data":"YSxi"}},{"type":"file","file":{"filename":"f.txt","file_data":"data:text/plain;base64,aGk="}},{"type":"document","source":{"type":"url","url":"u"}}]}]}'
     d = segments.document_segments(segments.parsed(spark.createDataFrame([(1, b)], "request_id long, body string"))).collect()
@@ -94,22 +185,55 @@ def test_pages(spark):
     assert pages.with_title(md).first().markdown == "# T & t\n\n## H\n\none **two** [l](http://x/)\n\nthree\n\n- i"
 
 
+@pytest.mark.parametrize(("page", "want", "steps"), [
+    ('<div class="ad"><div>Buy</div> now</div>a', "a", ["removed_ads_and_banners"]), ("<nav>1<nav>2<nav>3<nav>4</nav></nav></nav></nav>a", "a", ["removed_navigation"]),
+    ('<nav><script>x="</nav>"</script></nav>a<p style="opacity: 0">b</p>', "a", ["removed_hidden_elements", "removed_navigation", "removed_scripts"]),
+    ("<article><header>by</header>a</article><header>top</header>", "<article><header>by</header>a</article>", ["removed_navigation"]), ('<p class="download">a', '<p class="download">a', []),
+    ("<svg><p>x</svg>a<img src=x hidden><!-- c -->", "a", ["removed_hidden_elements", "removed_svg"]), ("</div></nav>a<aside>open", "</div></nav>a", ["removed_navigation"]),
+])
+def test_noise_goes_at_any_depth(page, want, steps):
+    assert pages.without_noise(page) == (want, steps)
+
+
+@pytest.mark.parametrize(("html", "want"), [
+    ("<p>&#8212;&#x41;&eacute;&amp;lt;&nope; &#0;</p>", "—Aé&lt;&nope; &#0;"), ("<p>a<br>b</p>", "a\nb"), ('<p><img src="a.png" alt="x"><img alt=\'y\' src="data:z"></p>', "![x](a.png)y"),
+    ("<ol><li>a<li>b<ul><li>c</ul><li>d</ol><ul><li>e</ul>", "1. a\n2. b\n  - c\n3. d\n\n- e"), ("<table><tr><th>h<th>i|j<tr><td>1</table>", "| h | i\\|j |\n|---|---|\n| 1 |  |"),
+    ("<pre>\n a &lt;\n  b</pre>", "```\n a <\n  b\n```"), ("<blockquote>a<br>b</blockquote><hr>", "> a\n> b\n\n---"), ("<p><a href='/r'>r</a> <a href='mailto:a@b'>m</a></p>", "r [m](mailto:a@b)"),
+])
+def test_markdown_of_blocks(spark, html, want):
+    d = spark.createDataFrame([(1, html)], "page_id long, content string")
+    assert pages.page_markdown(pages.page_blocks(d)).first().markdown == want
+
+
+def test_recurring_lines_in_bands_only(spark):
+    rows = [("h", m, i, "Page 1 of 9" if i == 0 else "same in the middle" if i == 10 else f"own {'abcdefgh'[m]} {'xyz' * i}") for m in range(4) for i in range(21)]
+    d = spark.createDataFrame(rows, "host string, page long, ix int, text string")
+    kept = pages.remove_recurring_lines(d, "host", "page", place="ix").collect()
+    assert len(kept) == 80 and sum(r.text == "same in the middle" for r in kept) == 4
+
+
 def test_store(spark):
     d = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "doc_id long, text string")
     fn = lambda t: t.select("digest", F.length("text").alias("n"))
     assert sorted((r.doc_id, r.cache_hit) for r in store.compute_distinct(d, "text", fn, "doc_id").collect()) == [(1, False), (2, True), (3, False)]
     s = spark.createDataFrame([("x", 1, "e")], "key string, bytes long, t string").select("key", "bytes", F.to_timestamp(F.lit("2024-01-01")).alias("last_access"))
     assert store.evict(s, 1, 0).count() == 0 and store.evict(s, 1, 1).count() == 1
+    at, schema = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/store", "digest string, n int, schema_version int"
+    keyed, some = d.withColumn("digest", F.sha2("text", 256)), lambda t: t.select("digest", F.when(F.col("text") != "y", F.length("text")).alias("n"))
+    first = store.run_incremental(keyed.where("doc_id < 3"), at, some, schema).collect()
+    second = {r.doc_id: (r.n, r.hit) for r in store.run_incremental(keyed, at, some, schema).collect()}
+    assert all(r.n == 1 and not r.hit for r in first) and second == {1: (1, True), 2: (1, True), 3: (None, False)}
+    assert spark.read.parquet(at).count() == 1
     assert store.fingerprint([("a", "1"), ("b", "2")]) == store.fingerprint([("b", "2"), ("a", "1")]) != store.fingerprint([("a", "1")])
 
 
-EVENT = "ts timestamp, event_id long, provider string, applied boolean, skip_reason string, transformers array<string>, tokens_before long, tokens_after long, cache_hits long, cache_lookups long, execution_time_ms double, auth_method string"
+EVENT = "ts timestamp, event_id long, provider string, applied boolean, skip_reason string, transformers array<string>, tokens_before long, tokens_after long, cache_hits long, cache_lookups long, execution_time_ms double, auth_method string, bytes_before long, bytes_after long"
 
 
 def events(spark, rows):
     from datetime import datetime
 
-    full = [(datetime(2024, 1, 1, 0, 0, i), i, "p", a, None, t, b, c, h, n, ms, None) for i, (a, t, b, c, h, n, ms) in enumerate(rows)]
+    full = [(datetime(2024, 1, 1, 0, 0, i), i, "p", a, None, t, b, c, h, n, ms, None, 4 * b, 4 * c) for i, (a, t, b, c, h, n, ms) in enumerate(rows)]
     return spark.createDataFrame(full, EVENT)
 
 
@@ -117,6 +241,7 @@ def test_statistics(spark):
     e = events(spark, [(True, ["html"], 100, 40, 1, 2, 2.0), (True, ["json"], 200, 50, 0, 0, 4.0), (False, [], 0, 0, 0, 0, 3.0)])
     s = analytics.window_stats(e).first()
     assert (s.requests, s.optimized, s.skipped, s.tokens_before, s.tokens_after, s.tokens_saved, s.token_pct, s.hit_rate, s.avg_latency_us) == (3, 2, 1, 300, 90, 210, 70.0, 0.5, 3000)
+    assert (s.bytes_before, s.bytes_saved) == (1200, 840)
     assert analytics.top_transformer(e).first().transformer == "json"
     assert [r.event_id for r in analytics.recent(e, 2).collect()] == [2, 1]
 

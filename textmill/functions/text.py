@@ -9,26 +9,48 @@ from textmill.functions.measures import sealed, token_count
 
 #: Names of steps as they appear in results, and what people read. Fixed values.
 LABELS = {
+    "removed_scripts": "Removed scripts",
+    "removed_styles": "Removed styles",
+    "removed_svg": "Removed SVG graphics",
+    "removed_embedded_media": "Removed embedded media",
+    "removed_navigation": "Removed navigation",
+    "removed_ads_and_banners": "Removed ads and cookie banners",
+    "removed_hidden_elements": "Removed hidden elements",
+    "converted_to_markdown": "Converted HTML to Markdown",
+    "preserved_document_title": "Preserved document title",
+    "dropped_data_uri_images": "Dropped data-URI images",
+    "minified_json": "Minified JSON",
+    "removed_empty_containers": "Removed empty containers",
+    "collapsed_duplicate_keys": "Collapsed duplicate keys",
     "normalized_line_endings": "Normalized line endings",
     "stripped_trailing_whitespace": "Stripped trailing whitespace",
-    "collapsed_inline_whitespace": "Collapsed inline whitespace",
     "collapsed_blank_lines": "Collapsed blank lines",
-    "removed_duplicate_paragraphs": "Removed duplicate paragraphs",
-    "minified_json": "Minified JSON",
+    "collapsed_inline_whitespace": "Collapsed duplicated whitespace",
+    "removed_duplicate_paragraphs": "Removed duplicated paragraphs",
+    "removed_duplicate_list_items": "Removed duplicate instructions",
+    "removed_duplicate_blocks": "Removed duplicate instruction block",
+    "removed_duplicate_sentences": "Removed repeated sentence",
+    "extracted_document": "Extracted document to Markdown",
 }
+ACRONYMS = {"html": "HTML", "json": "JSON", "csv": "CSV", "xml": "XML", "pdf": "PDF", "docx": "DOCX"}
+#: Where a paragraph that is not blank begins; blank ones stay with the one before them.
+PARAGRAPH = r"\n\n(?=[\s&&[^\n]]*(?:\n(?!\n)[\s&&[^\n]]*)*\S)"
 
 
 def distinct_paragraphs(c: Column) -> Column:
     """c without a paragraph that equals, stripped, the last one kept; blank ones stay."""
-    key = lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", "")
-    parts = F.split(c, "\n\n", -1)
-    start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(None).cast("string").alias("last"))
+    keyed = F.transform(F.split(c, PARAGRAPH, -1), lambda p: F.struct(p.alias("text"), F.regexp_replace(p, r"(?U)^\s+|\s+$", "").alias("key")))
+
+    def own(rows: Column) -> Column:
+        """What stays of each paragraph: all, or the blank ones after it, or nothing."""
 
-    def step(acc: Column, p: Column) -> Column:
-        same = (key(p) != "") & (key(p) == F.coalesce(acc["last"], F.lit("\x00")))
-        return F.when(same, acc).otherwise(F.struct(F.concat(acc["kept"], F.array(p)).alias("kept"), F.when(key(p) != "", key(p)).otherwise(acc["last"]).alias("last")))
+        def one(x: Column, i: Column) -> Column:
+            same = (i > 0) & (x["key"] != "") & (x["key"] == F.element_at(rows, F.greatest(i, F.lit(1)))["key"])
+            return F.when(same, F.nullif(F.regexp_replace(x["text"], r"(?s)\A(?:(?!\n\n).)*+(?:\n\n)?", ""), F.lit(""))).otherwise(x["text"])
 
-    return F.array_join(F.aggregate(parts, start, step, lambda acc: acc["kept"]), "\n\n")
+        return F.array_join(F.array_compact(F.transform(rows, one)), "\n\n")
+
+    return F.element_at(F.transform(F.array(keyed), own), 1)
 
 
 def normalize_text(df: DataFrame, column: str = "text", inline: bool = False, max_blank_lines: int = 1, paragraphs: bool = True) -> DataFrame:
@@ -54,10 +76,16 @@ def normalize_text(df: DataFrame, column: str = "text", inline: bool = False, ma
 
 
 def is_json(c: Column) -> Column:
-    """Whether c is a JSON object or array; the cheap look at its ends comes before the parse."""
+    """Whether c is a JSON object or array; the cheap look at its ends comes before the parse.
+
+    An object may repeat a key, which the strict parse refuses; the lenient one then decides, for texts
+    that use nothing else it is lenient about (single quotes, control characters in strings).
+    """
     t = F.regexp_replace(c, r"^\s+|\s+$", "")
     gate = (F.length(t) >= 2) & F.substring(t, 1, 1).isin("{", "[") & F.substring(t, -1, 1).isin("}", "]")
-    return F.coalesce(F.when(gate, F.try_parse_json(t).isNotNull()), F.lit(False))
+    bare = F.regexp_replace(t, r'"[^"\\\x00-\x1f]*+(?:\\.[^"\\\x00-\x1f]*+)*+"', "")
+    again = t.rlike(r'(?s)"([^"\\]*+)"\s*:.*"\1"\s*:') & ~bare.rlike("['\"]") & F.get_json_object(F.concat(F.lit("["), t, F.lit("]")), "$").isNotNull()
+    return F.coalesce(F.when(gate, F.try_parse_json(t).isNotNull() | F.coalesce(again, F.lit(False))), F.lit(False))
 
 
 def minify_json(c: Column) -> Column:
@@ -81,10 +109,14 @@ def decode_text(c: Column) -> Column:
 
 
 def humanize_step(c: Column) -> Column:
-    """The reading label of a step's name: a known one, or its words with the first letter capital."""
-    table = F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])
-    plain = F.replace(c, F.lit("_"), F.lit(" "))
-    return F.coalesce(F.element_at(table, c), F.concat(F.upper(F.substring(plain, 1, 1)), F.substring(plain, 2, 10_000)))
+    """The reading label of a step's name: a known one, a format's, or its words, acronyms in capitals and the first letter, too."""
+    table = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+    of_format = F.substring(c, 8, 10_000)
+    extracted = F.concat(F.lit("Extracted "), F.coalesce(F.element_at(table(ACRONYMS), of_format), F.upper(of_format)))
+    words = F.filter(F.split(c, "_"), lambda w: w != "")
+    words = F.transform(words, lambda w, i: F.coalesce(F.element_at(table(ACRONYMS), w), F.when(i == 0, F.when(w == F.upper(w), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 10_000))))).otherwise(w)))
+    plain = F.when(F.size(words) > 0, F.array_join(words, " ")).otherwise(c)
+    return F.coalesce(F.element_at(table(LABELS), c), F.when(c.startswith("format_"), extracted).otherwise(plain))
 
 
 def cleaned_documents(df: DataFrame) -> DataFrame:

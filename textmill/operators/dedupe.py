@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textmill.functions.text import normalize_text
+from textmill.views import shared_folder
 
 #: What opens a fence, a list item and a section. Fixed values.
 FENCE = r"^\s{0,3}(?:```+|~~~+)"
@@ -17,9 +18,9 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
-def lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, ix, line, and is_fence, in_fence, is_item, is_heading and heading (the last one above or at the line)."""
-    rows = docs.select("doc_id", F.posexplode(F.split(text, "\n", -1)).alias("ix", "line"))
+def lines(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ix, line, and is_fence, in_fence, is_item, is_heading and heading (the last one above or at the line); and the columns in keep."""
+    rows = docs.select("doc_id", *keep, F.posexplode(F.split(text, "\n", -1)).alias("ix", "line"))
     upto = Window.partitionBy("doc_id").orderBy("ix")
     rows = rows.withColumn("is_fence", F.col("line").rlike(FENCE)).withColumn("fences", F.sum(F.col("is_fence").cast("int")).over(upto))
     rows = rows.withColumn("in_fence", (F.col("fences") % 2 == 1) | F.col("is_fence"))
@@ -27,78 +28,101 @@ def lines(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.withColumn("heading", F.coalesce(F.last(F.when(F.col("is_heading"), strip(F.col("line"))), ignorenulls=True).over(upto), F.lit(""))).drop("fences")
 
 
-def joined(rows: DataFrame, ix: str = "ix", line: str = "line", sep: str = "\n") -> DataFrame:
-    """doc_id and text from rows in order; all windows and this grouping share one exchange on doc_id."""
-    return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(ix, line))), lambda x: x[line]), sep).alias("text"))
+def repeated_items(rows: DataFrame) -> DataFrame:
+    """rows of lines() with again: a list item that stood, stripped, under the same heading before."""
+    first = F.row_number().over(Window.partitionBy("doc_id", "heading", "is_item", strip(F.col("line"))).orderBy("ix"))
+    return rows.withColumn("n", first).withColumn("again", F.col("is_item") & (F.col("n") > 1)).drop("n")
 
 
 def dedupe_list_items(docs: DataFrame) -> DataFrame:
     """Lines without a list item that stood, stripped, under the same heading before; fences untouched."""
-    rows = lines(docs)
-    first = F.row_number().over(Window.partitionBy("doc_id", "heading", "is_item", strip(F.col("line"))).orderBy("ix"))
-    return rows.withColumn("n", first).where(~F.col("is_item") | (F.col("n") == 1)).drop("n")
+    return repeated_items(lines(docs)).where("not again").drop("again")
 
 
-def blocks(rows: DataFrame) -> DataFrame:
+def blocks(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, block, body and first: blocks of lines() rows split at blank lines; a fenced block is one."""
     blank = ~F.col("in_fence") & (strip(F.col("line")) == "")
     upto = Window.partitionBy("doc_id").orderBy("ix")
     rows = rows.withColumn("blank", blank).withColumn("block", F.sum(F.col("blank").cast("int")).over(upto)).where(~F.col("blank"))
     line = F.struct("ix", F.regexp_replace("line", r"\s+$", "").alias("key"), "line", "is_item", "is_heading")
-    b = rows.groupBy("doc_id", "block").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    b = rows.groupBy("doc_id", "block").agg(F.array_sort(F.collect_list(line)).alias("lines"), *[F.first(c).alias(c) for c in keep])
     return b.select(
-        "doc_id", "block", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("body"),
+        "doc_id", "block", *keep, F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("body"),
         F.array_join(F.transform("lines", lambda x: x["key"]), "\n").alias("key"),
         F.forall("lines", lambda x: x["is_item"]).alias("items_only"), (F.size("lines") == 1).alias("single"),
         F.when(F.element_at("lines", 1)["is_heading"], strip(F.element_at("lines", 1)["line"])).alias("opens"),
     )
 
 
-def dedupe_blocks(docs: DataFrame) -> DataFrame:
-    """doc_id, block, body of the blocks kept: the first of equal ones, list-only ones all, a bare heading only if new."""
-    b = blocks(lines(docs))
+def repeated_blocks(b: DataFrame) -> DataFrame:
+    """blocks() with gone: equal to an earlier one, but for those of list items alone; a bare heading if it was there before."""
     again = F.row_number().over(Window.partitionBy("doc_id", "items_only", "key").orderBy("block")) > 1
     bare = F.col("single") & F.col("opens").isNotNull()
     claimed = F.min(F.when(~F.col("repeat") | bare, F.col("block"))).over(Window.partitionBy("doc_id", "opens")) < F.col("block")
     b = b.withColumn("repeat", ~F.col("items_only") & again).withColumn("claimed", F.when(bare, claimed).otherwise(F.lit(False)))
-    return b.where(~F.when(bare, F.col("claimed")).otherwise(F.col("repeat"))).select("doc_id", "block", "body")
+    return b.withColumn("gone", F.when(bare, F.col("claimed")).otherwise(F.col("repeat")))
 
 
-def dedupe_sentences(docs: DataFrame) -> DataFrame:
-    """doc_id, ix, line: within a line, a sentence equal to the one before it goes; fences, code, items and headings stay."""
-    rows = lines(docs)
+def dedupe_blocks(docs: DataFrame) -> DataFrame:
+    """doc_id, block, body of the blocks kept: the first of equal ones, list-only ones all, a bare heading only if new."""
+    return repeated_blocks(blocks(lines(docs))).where("not gone").select("doc_id", "block", "body")
+
+
+def repeated_sentences(rows: DataFrame) -> DataFrame:
+    """rows of lines() with line without sentences that equal the one before them, and changed; fences, code, items and headings stay."""
     parts = F.split("line", r"(?<=[.!?])\s+", -1)
     keep = lambda x, i: (i == 0) | (x != F.element_at(F.col("parts"), F.greatest(i, F.lit(1)))) | (x == "")
-    rows = rows.withColumn("parts", parts).withColumn("own", F.filter("parts", keep))
+    rows = rows.withColumn("parts", parts).withColumn("own_parts", F.filter("parts", keep))
     eligible = ~F.col("in_fence") & ~F.col("is_item") & ~F.col("is_heading") & ~F.contains("line", F.lit("`"))
-    changed = eligible & (F.size("own") < F.size("parts"))
-    return rows.select("doc_id", "ix", F.when(changed, F.array_join("own", " ")).otherwise(F.col("line")).alias("line"), changed.alias("changed"))
+    rows = rows.withColumn("changed", eligible & (F.size("own_parts") < F.size("parts")))
+    return rows.withColumn("line", F.when(F.col("changed"), F.array_join("own_parts", " ")).otherwise(F.col("line"))).drop("parts", "own_parts")
 
 
-def dedupe_prompts(docs: DataFrame, rounds: int = 10) -> DataFrame:
-    """doc_id, cleaned, steps: list items, blocks and sentences until nothing changes, then normalisation.
+def dedupe_sentences(docs: DataFrame) -> DataFrame:
+    """doc_id, ix, line: within a line, a sentence equal to the one before it goes; fences, code, items and headings stay."""
+    return repeated_sentences(lines(docs)).select("doc_id", "ix", "line", "changed")
+
+
+def rejoined(rows: DataFrame, ix: str, line: str, sep: str, gone: str | None, fired: str, name: str, keep: tuple[str, ...]) -> DataFrame:
+    """doc_id, text, the columns in keep and own with name appended if a row of a document fired; rows that are gone are left out."""
+    each = F.struct(ix, line) if gone is None else F.when(~F.col(gone), F.struct(ix, line))
+    out = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(each)), lambda x: x[line]), sep).alias("text"), *[F.first(c).alias(c) for c in (*keep, "own")], F.bool_or(fired).alias("fired"))
+    return out.withColumn("own", F.when(F.col("fired"), F.concat("own", F.array(F.lit(name)))).otherwise(F.col("own"))).drop("fired")
+
+
+def checkpointed(spark: SparkSession) -> None:
+    """Sets the session's checkpoint folder where none is set; on a cluster spark.checkpoint.dir has to name one that all executors share."""
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
+def dedupe_prompts(docs: DataFrame) -> DataFrame:
+    """doc_id, cleaned, steps: list items, blocks and sentences until nothing changes, then normalisation; each step is named once, where it first fired.
 
     Only documents that the last round changed go into the next one; each round is cut by a checkpoint in
-    the folder that the session names.
+    the folder that the session names. A round that changes a document removes a line, block or sentence of
+    it, so the rounds end.
     """
-    spark = docs.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    live, done = docs.select("doc_id", "text"), None
-    for _ in range(rounds):
-        a = joined(dedupe_list_items(live))
-        b = joined(dedupe_blocks(a), "block", "body", "\n\n")
-        c = joined(dedupe_sentences(b))
-        step = live.withColumnRenamed("text", "old").join(c, "doc_id").checkpoint()
-        still = step.where(F.col("old") != F.col("text"))
-        ended = step.where(F.col("old") == F.col("text")).select("doc_id", "text")
+    checkpointed(docs.sparkSession)
+    none = F.array().cast("array<string>")
+    live = docs.select("doc_id", F.regexp_replace("text", "\r\n|\r", "\n").alias("text"), none.alias("seen"))
+    first = docs.select(F.col("doc_id").alias("d"), F.col("text").alias("before"))
+    keep, done = ("seen",), None
+    while True:
+        own = live.withColumn("own", none)
+        a = rejoined(repeated_items(lines(own, keep=("seen", "own"))), "ix", "line", "\n", "again", "again", "removed_duplicate_list_items", keep)
+        b = rejoined(repeated_blocks(blocks(lines(a, keep=("seen", "own")), ("seen", "own"))), "block", "body", "\n\n", "gone", "gone", "removed_duplicate_blocks", keep)
+        c = rejoined(repeated_sentences(lines(b, keep=("seen", "own"))), "ix", "line", "\n", None, "changed", "removed_duplicate_sentences", keep)
+        step = c.checkpoint().select("doc_id", "text", F.array_distinct(F.concat("seen", "own")).alias("seen"), (F.size("own") > 0).alias("more"))
+        ended = step.where("not more").drop("more")
         done = ended if done is None else done.union(ended)
-        live = still.select("doc_id", "text")
+        live = step.where("more").drop("more")
         if live.isEmpty():
             break
-    return normalize_text(done.union(live)).drop("text")
+    # a document of blank lines alone has no block and does not come back from the rounds
+    done = first.join(done, F.col("doc_id") == F.col("d"), "left").select(F.col("d").alias("doc_id"), "before", F.when(F.col("before").isNotNull(), F.coalesce("text", F.lit(""))).alias("text"), F.coalesce("seen", none).alias("seen"))
+    out = normalize_text(done).withColumn("steps", F.concat("seen", "steps"))
+    return out.select("doc_id", "cleaned", F.when(F.equal_null(F.col("cleaned"), F.col("before")), none).otherwise(F.col("steps")).alias("steps"))
 
 
 def dedupe_exact(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -11,10 +11,19 @@ from textmill.functions.text import is_json
 TRUST, DECLARED = 0.7, 0.5
 #: MIME types that name a content type. Fixed values.
 MIME = {
-    "text/html": "html", "application/xhtml+xml": "html", "application/json": "json", "text/json": "json",
-    "application/xml": "xml", "text/xml": "xml", "text/csv": "csv", "text/plain": "text", "text/markdown": "text",
-    "application/pdf": "pdf", "application/octet-stream": "binary", "application/zip": "binary",
-}
+    "application/json": "json",
+    "text/json": "json",
+    "text/html": "html",
+    "application/xhtml+xml": "html",
+    "application/xml": "xml",
+    "text/xml": "xml",
+    "text/csv": "csv",
+    "text/plain": "text",
+    "text/markdown": "text",
+    "application/pdf": "pdf",
+    "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "docx",
+    "application/octet-stream": "binary",
+}
 #: First characters that settle the type. Fixed values.
 MAGIC = [("%PDF-", "pdf"), ("PK\x03\x04", "binary"), ("\x89PNG", "image"), ("\xff\xd8\xff", "image"), ("GIF87a", "image"), ("GIF89a", "image")]
 #: Elements that count as markup. Fixed values.
@@ -108,18 +117,43 @@ def route(c: Column) -> Column:
     return F.when(c == "html", "html").when(c == "json", "json").when(c == "csv", "csv").when(c == "prompt", "prompt").when(c.isin("text", "unknown"), "text")
 
 
+#: Document formats by media type and by extension. Fixed values.
+MEDIA_FORMATS = {
+    "application/pdf": "pdf",
+    "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "docx",
+    "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": "xlsx",
+    "application/vnd.openxmlformats-officedocument.presentationml.presentation": "pptx",
+    "text/csv": "csv",
+    "application/xml": "xml",
+    "text/xml": "xml",
+    "text/html": "html",
+    "text/markdown": "markdown",
+    "text/plain": "text",
+}
+EXTENSIONS = {"pdf": "pdf", "docx": "docx", "xlsx": "xlsx", "pptx": "pptx", "csv": "csv", "tsv": "csv", "xml": "xml", "html": "html", "htm": "html", "md": "markdown", "markdown": "markdown", "txt": "text", "text": "text"}
+BINARY = ("pdf", "docx", "xlsx", "pptx")
+
+
 def detect_format(data: Column, media: Column, filename: Column) -> Column:
-    """A document's format from its first bytes, else from its media type and extension; ZIP members by name in the bytes."""
+    """A document's format from its first bytes, else from its media type and extension; ZIP members by name in the bytes.
+
+    Text is UTF-8 without NUL in its first 4096 bytes, of which the last character may be cut.
+    """
     head = F.substring(data, 1, 4096)
-    hexed = F.hex(F.substring(head, 1, 8))
-    textual = F.coalesce(F.is_valid_utf8(F.make_valid_utf8(head.cast("string"))), F.lit(False)) & ~F.contains(F.hex(head), F.lit("00")).cast("boolean")
+    starts = lambda x: F.startswith(head, F.lit(x))
+    whole = F.is_valid_utf8(head.cast("string"))
+    for k in range(1, 4):
+        whole |= (F.octet_length(data) > 4096) & F.is_valid_utf8(F.substring(head, F.lit(1), F.octet_length(head) - k).cast("string"))
+    textual = whole & ~F.contains(head, F.lit(b"\x00"))
     text = F.lower(F.make_valid_utf8(head.cast("string")))
-    member = lambda m: F.contains(F.hex(data), F.hex(F.lit(m)))
-    ext = F.lower(F.regexp_extract(filename, r"\.([A-Za-z0-9]+)$", 1))
-    by_name = F.when(media.startswith("text/csv") | (ext == "csv"), "csv").when(media.startswith("text/markdown") | ext.isin("md", "markdown"), "markdown").when(media.startswith("text/html") | ext.isin("html", "htm"), "html").when(ext == "xml", "xml")
+    member = lambda m: F.contains(data, F.lit(m))
+    table = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+    declared = F.element_at(table(MEDIA_FORMATS), F.lower(F.trim(F.split_part(F.coalesce(media, F.lit("")), F.lit(";"), F.lit(1)))))
+    by_name = F.element_at(table(EXTENSIONS), F.lower(F.regexp_extract(F.coalesce(filename, F.lit("")), r"\.([^.]*)$", 1)))
+    binary = F.when(declared.isin(*BINARY), declared).otherwise("unknown")
     return (
-        F.when(F.octet_length(data) == 0, "unknown").when(hexed.startswith("255044462D"), "pdf").when(hexed.startswith("D0CF11E0"), "unknown")
-        .when(hexed.startswith("504B0304"), F.when(member("word/"), "docx").when(member("xl/"), "xlsx").when(member("ppt/"), "pptx").otherwise("unknown"))
-        .when(text.rlike(r"^\s*<\?xml"), "xml").when(text.rlike(r"^\s*(<!doctype html|<html)"), "html")
-        .when(textual, F.coalesce(by_name, F.lit("text"))).when(media == "application/pdf", "pdf").otherwise("unknown")
+        F.when(F.coalesce(F.octet_length(data), F.lit(0)) == 0, "unknown").when(starts(b"%PDF-"), "pdf").when(starts(b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"), "unknown")
+        .when(starts(b"PK\x03\x04"), F.when(member(b"word/"), "docx").when(member(b"xl/"), "xlsx").when(member(b"ppt/"), "pptx").when(declared.isin(*BINARY[1:]), declared).otherwise("unknown"))
+        .when(textual & text.rlike(r"^\s*\x{feff}?<\?xml"), "xml").when(textual & text.rlike(r"^\s*(<!doctype html|<html)"), "html")
+        .when(textual, F.coalesce(declared, by_name, F.lit("text"))).otherwise(binary)
     )

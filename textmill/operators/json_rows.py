@@ -27,7 +27,7 @@ def duplicate_keys(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def prune_empty(c: Column, kind: T.DataType) -> Column:
-    """c with containers that hold nothing as nulls, bottom-up; to_json then leaves them out."""
+    """c with objects and arrays that hold nothing as nulls, bottom-up; to_json then leaves them out. Empty strings and null elements stay."""
     if isinstance(kind, T.StructType):
         parts = [prune_empty(c[f.name], f.dataType).alias(f.name) for f in kind.fields]
         full = F.lit(False)
@@ -35,8 +35,34 @@ def prune_empty(c: Column, kind: T.DataType) -> Column:
             full |= p.isNotNull()
         return F.when(full, F.struct(*parts))
     if isinstance(kind, T.ArrayType):
-        kept = F.filter(F.transform(c, lambda x: prune_empty(x, kind.elementType)), lambda x: x.isNotNull())
+        kept = F.filter(c, lambda x: x.isNull() | prune_empty(x, kind.elementType).isNotNull())
+        kept = F.transform(kept, lambda x: prune_empty(x, kind.elementType))
         return F.when(F.size(kept) > 0, kept)
-    if isinstance(kind, T.StringType):
-        return F.when(c != "", c)
     return c
+
+
+#: A string, a mark, or a run of anything else; a body is its pieces end to end.
+PIECE = r'("[^"\\]*+(?:\\.[^"\\]*+)*+"|[{}\[\],:]|[^"{}\[\],:]+)'
+
+
+def pieces(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, ix, piece, depth and where a piece stands in nested objects and arrays: k1, i2, k3, i4, k5, and is_key.
+
+    depth counts the containers around a piece, a bracket being within its own; k1, k3 and k5 are the last
+    keys at these depths, i2 and i4 the places in the arrays at those. White space outside strings is gone.
+    """
+    rows = df.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(PIECE), F.lit(1))).alias("ix", "piece"))
+    rows = rows.withColumn("piece", F.when(F.col("piece").startswith('"'), F.col("piece")).otherwise(F.regexp_replace("piece", r"^\s+|\s+$", ""))).where("piece <> ''")
+    order = Window.partitionBy(key).orderBy("ix")
+    closes = F.col("piece").isin("}", "]")
+    opens = F.col("piece").isin("{", "[")
+    rows = rows.withColumn("depth", F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(order) + F.when(closes, 1).otherwise(0))
+    rows = rows.withColumn("is_key", F.coalesce((F.lead("piece").over(order) == ":") & F.col("piece").startswith('"'), F.lit(False)))
+    for d in (1, 3, 5):
+        name = F.expr("substring(piece, 2, length(piece) - 2)")
+        rows = rows.withColumn(f"k{d}", F.last(F.when(F.col("is_key") & (F.col("depth") == d), name), ignorenulls=True).over(order))
+    for d in (2, 4):
+        commas = F.sum(F.when((F.col("piece") == ",") & (F.col("depth") == d), 1).otherwise(0)).over(order)
+        rows = rows.withColumn("commas", commas)
+        rows = rows.withColumn(f"i{d}", (F.col("commas") - F.last(F.when(opens & (F.col("depth") == d), F.col("commas")), ignorenulls=True).over(order)).cast("int"))
+    return rows.drop("commas")

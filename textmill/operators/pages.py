@@ -1,113 +1,293 @@
-"""Web pages: noise removal, blocks, Markdown, links, and lines that recur over a group, by regular expressions.
+"""Web pages: noise removal, blocks, Markdown, links, and lines that recur over a group.
 
-There is no tree: noise subtrees go innermost first, and an unclosed inline element ends with its block.
+Noise subtrees are found by one pass over a page's tags with a stack of open elements, in Arrow batches;
+all else is expressions and windows over blocks. An unclosed inline element ends with its block.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+from html.entities import html5
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textmill.functions.measures import sealed
+
+# What marks noise, and the steps that its removal is recorded as. Fixed values.
+DROPPED = "script style noscript template svg canvas iframe object embed applet param link meta base head audio video source track map area".split()
 CHROME = "nav aside footer menu dialog".split()
-DROPPED = "noscript template iframe head meta object".split()
-NOISE_WORDS = "ad|ads|advert|advertisement|banner|breadcrumb|breadcrumbs|cookie|newsletter|popup|promo|share|sidebar|social|sponsor|sponsored|related"
-#: Named references that are decoded; numeric ones are too. Fixed values.
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&copy;": "©", "&middot;": "·", "&mdash;": "—", "&ndash;": "–", "&hellip;": "…", "&amp;": "&"}
+ROLES = "navigation banner dialog alertdialog complementary search contentinfo".split()
+NOISE_WORDS = (
+    "ad|ads|adbox|advert|advertisement|adsense|doubleclick|banner|cookie|cookies|consent|gdpr|cmp|nav|navbar|navigation|menu|sidebar|side-bar"
+    "|social|share|sharing|newsletter|subscribe|popup|modal|overlay|promo|promotion|sponsored|breadcrumb|breadcrumbs|pagination|skip-link|screen-reader-text"
+)
+HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|opacity\s*:\s*0\s*(?:;|$)|font-size\s*:\s*0", re.I)
+STEP_OF_TAG = {"script": "removed_scripts", "style": "removed_styles", "link": "removed_styles", "svg": "removed_svg"}
+EMBEDS, NAVIGATION, HIDDEN, NOISE = "removed_embedded_media", "removed_navigation", "removed_hidden_elements", "removed_ads_and_banners"
+CONVERTED, TITLE, DATA_URIS = "converted_to_markdown", "preserved_document_title", "dropped_data_uri_images"
+# end of fixed values
+
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+RAW = frozenset("script style noscript template iframe textarea title".split())
+#: Elements whose start ends an open one of these.
+ENDS = {"li": ("li",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}
+STARTS = frozenset("p div ul ol table pre blockquote h1 h2 h3 h4 h5 h6 hr section article main header form nav aside footer".split())
+TAG = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+NOISE_NAME = re.compile(rf"(?:^|[\s_-])(?:{NOISE_WORDS})(?:[\s_-]|$)", re.I)
 BLOCK = "h[1-6]|p|li|pre|blockquote|hr|tr|ul|ol|table|div|article|section|main|header|body|html"
+MARKUP = r"<\s*/?\s*[a-zA-Z]"
+
+
+def noise_step(tag: str, attributes: str, in_article: bool) -> str | None:
+    """The step that removes an element, or None if it stays."""
+    if tag in DROPPED:
+        return STEP_OF_TAG.get(tag, EMBEDS)
+    if tag in CHROME or tag == "header" and not in_article:
+        return NAVIGATION
+    if not attributes:
+        return None
+    a = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
+    if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or tag == "input" and a.get("type", "").lower() == "hidden" or HIDDEN_STYLE.search(a.get("style", "")):
+        return HIDDEN
+    return NOISE if a.get("role", "").lower() in ROLES or NOISE_NAME.search(a.get("class", "")) or NOISE_NAME.search(a.get("id", "")) else None
 
 
-def subtree(tag: str) -> str:
-    """An element without another of its name inside."""
-    return rf"(?is)<{tag}\b[^>]*+>(?:(?!</?{tag}\b).)*+</{tag}\s*>"
+def without_noise(page: str) -> tuple[str, list[str]]:
+    """A page's markup without noise subtrees, at any depth, and the sorted steps; noise within noise counts too."""
+    kept, steps, at = [], set(), 0
+    stack: list[str] = []
+    depth = -1  # of the noise element that is open, in the stack
 
+    def leave(i: int) -> None:
+        nonlocal depth
+        del stack[i:]
+        if len(stack) <= depth:
+            depth = -1
 
-def step_flags(html: Column) -> Column:
-    """The noise steps that apply to a page as it is, sorted."""
-    noisy = rf"(?i)<(?:div|section|ul|p|span)\b[^>]*\b(?:class|id)\s*=\s*[\"'](?:[^\"']*[\s_-])?(?:{NOISE_WORDS})(?:[\s_-][^\"']*)?[\"']"
-    flags = [
-        ("removed_chrome", rf"(?i)<(?:{'|'.join(CHROME)})\b"), ("removed_comments", "<!--"), ("removed_hidden", r"(?i)<[^>]+\b(?:hidden|aria-hidden\s*=\s*[\"']true|display\s*:\s*none)"),
-        ("removed_noise_blocks", noisy), ("removed_scripts", r"(?i)<script\b"), ("removed_styles", r"(?i)<(?:style|link)\b"), ("removed_svg", r"(?i)<svg\b"),
-    ]
-    return F.array_compact(F.array(*[F.when(html.rlike(p), name) for name, p in flags]))
+    for m in TAG.finditer(page):
+        if m.start() < at:  # within a raw element
+            continue
+        if depth < 0:
+            kept.append(page[at : m.start()])
+        at, tag = m.end(), (m[2] or "").lower()
+        if not tag:
+            continue
+        if m[1]:
+            shown = depth < 0
+            if tag in stack:
+                leave(len(stack) - 1 - stack[::-1].index(tag))
+            if shown:
+                kept.append(m[0])
+            continue
+        if tag in STARTS and "p" in stack[-3:]:
+            leave(len(stack) - 1 - stack[::-1].index("p"))
+        elif stack and stack[-1] in ENDS.get(tag, ()):
+            leave(len(stack) - 1)
+        step = noise_step(tag, m[3], "article" in stack or "section" in stack)
+        if step:
+            steps.add(step)
+        if tag in RAW:
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+            stop = end.end() if end else len(page)
+            if not step and depth < 0:
+                kept.append(page[m.start() : stop])
+            at = stop
+            continue
+        if depth < 0 and not step:
+            kept.append(m[0])
+        if tag not in VOID and not m[3].endswith("/"):
+            stack.append(tag)
+            if depth < 0 and step:
+                depth = len(stack) - 1
+    if depth < 0:
+        kept.append(page[at:])
+    return "".join(kept), sorted(steps)
+
+
+def noise_free(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for pages in batches:
+        found = [without_noise(p) if p is not None else (None, None) for p in pages]
+        yield pd.DataFrame({"content": [f[0] for f in found], "steps": [f[1] for f in found]})
 
 
 def strip_page_noise(pages: DataFrame, html: str = "html") -> DataFrame:
-    """pages with content (html without noise) and steps."""
-    out = pages.withColumn("steps", step_flags(F.col(html))).withColumn("content", F.col(html))
-    for tag in ("script", "style", "svg"):
-        out = out.withColumn("content", F.regexp_replace("content", subtree(tag), ""))
-    out = out.withColumn("content", F.regexp_replace("content", r"(?s)<!--.*?-->|<(?i:link|meta)\b[^>]*>|<!(?i:doctype)[^>]*>", ""))
-    for tag in [*DROPPED, *CHROME]:
-        for _ in range(2):
-            out = out.withColumn("content", F.regexp_replace("content", subtree(tag), ""))
-    noise = rf"(?is)<(div|section|ul|p|span)\b[^>]*\b(?:class|id)\s*=\s*[\"'](?:[^\"']*[\s_-])?(?:{NOISE_WORDS})(?:[\s_-][^\"']*)?[\"'][^>]*+>(?:(?!</?\1\b).)*+</\1\s*>"
-    hidden = r"(?is)<(\w+)\b[^>]*(?:\shidden\b|aria-hidden\s*=\s*[\"']true|display\s*:\s*none)[^>]*+>(?:(?!</?\1\b).)*+</\1\s*>"
-    return out.withColumn("content", F.regexp_replace(F.regexp_replace("content", noise, ""), hidden, ""))
+    """pages with content (html without noise) and steps; both null for a null page."""
+    return pages.withColumn("noise_free", F.pandas_udf(noise_free, "content string, steps array<string>")(F.col(html))).select(*pages.columns, "noise_free.steps", "noise_free.content")
+
+
+#: Character references by name, of one character each.
+NAMED = {name: text for name, text in html5.items() if name.endswith(";") and len(text) == 1}
+REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,30});"
+#: Names that texts use; others are looked up only where one of them occurs.
+COMMON = ["amp;", "lt;", "gt;", "quot;", "apos;", "nbsp;", "copy;", "reg;", "trade;", "middot;", "bull;", "mdash;", "ndash;", "hellip;", "lsquo;", "rsquo;", "ldquo;", "rdquo;", "laquo;", "raquo;", "euro;", "pound;", "deg;", "times;"]
+
+
+def references(names: list[str]) -> Column:
+    """A constant map from references to characters."""
+    return F.str_to_map(F.lit("\u0001".join(f"&{n}\u0002{NAMED[n]}" for n in names)), F.lit("\u0001"), F.lit("\u0002"))
+
+
+def let(c: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn of c with c computed once, within lambdas too."""
+    return F.element_at(F.transform(F.array(c), fn), 1)
+
+
+def replaced(c: Column, pattern: str, fn: Callable[[Column], Column]) -> Column:
+    """c with each match of pattern (without groups) replaced by fn of it."""
+
+    def each(x: Column) -> Column:
+        parts, found = F.split(x, pattern, -1), F.transform(F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), fn)
+        return F.array_join(F.zip_with(parts, found, lambda p, q: F.concat(p, F.coalesce(q, F.lit("")))), "")
+
+    return let(c, each)
 
 
 def decoded(c: Column) -> Column:
-    for name, char in ENTITIES.items():
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return c
+    """c with character references decoded once, named and numeric ones; unknown ones stay."""
+
+    def one(t: Column) -> Column:
+        code = F.when(t.rlike("^&#[xX]"), F.conv(F.regexp_extract(t, "([0-9a-fA-F]+);", 1), 16, 10)).otherwise(F.regexp_extract(t, "([0-9]+);", 1)).try_cast("int")
+        fine = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        number = F.when(fine, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        return F.coalesce(F.when(t.startswith("&#"), number).otherwise(F.coalesce(F.element_at(references(COMMON), t), F.element_at(references(list(NAMED)), t))), t)
+
+    return let(c, lambda x: F.when(F.contains(x, F.lit("&")), replaced(x, REFERENCE, one)).otherwise(x))
 
 
 def inline(c: Column) -> Column:
-    """A block's markup as Markdown: bold, emphasis, code, safe links, images; white space collapsed; references decoded once."""
-    c = F.regexp_replace(c, r"(?i)<br\s*/?>", " ")
-    c = F.regexp_replace(c, r"(?is)<(?:b|strong)\b[^>]*>(.*?)</(?:b|strong)\s*>", "**$1**")
-    c = F.regexp_replace(c, r"(?is)<(?:i|em)\b[^>]*>(.*?)</(?:i|em)\s*>", "*$1*")
-    c = F.regexp_replace(c, r"(?is)<code\b[^>]*>(.*?)</code\s*>", "`$1`")
-    c = F.regexp_replace(c, r"(?is)<img\b[^>]*\balt\s*=\s*[\"']([^\"']*)[\"'][^>]*\bsrc\s*=\s*[\"']((?!data:)[^\"']*)[\"'][^>]*>", "![$1]($2)")
-    c = F.regexp_replace(c, r"(?is)<a\b[^>]*\bhref\s*=\s*[\"']((?:https?:|mailto:|ftp:)[^\"']*)[\"'][^>]*>(.*?)</a\s*>", "[$2]($1)")
-    c = F.regexp_replace(c, r"(?s)<[a-zA-Z/][^>]*>", "")
-    return decoded(F.trim(F.regexp_replace(c, r"\s+", " ")))
-
-
-def page_blocks(pages: DataFrame, content: str = "content") -> DataFrame:
-    """page_id, block_ix, kind, level, text: headings, paragraphs, items, rows and loose text in document order."""
-    marked = F.regexp_replace(content, rf"(?i)(<(?:{BLOCK})\b[^>]*>)", "\u0001$1")
-    marked = F.regexp_replace(marked, rf"(?i)(</(?:{BLOCK})\s*>)", "$1\u0001")
-    rows = pages.select("page_id", F.posexplode(F.split(marked, "\u0001")).alias("at", "raw"))
-    tag = F.lower(F.regexp_extract("raw", rf"(?i)^<({BLOCK})\b", 1))
-    kind = F.when(tag.rlike("^h[1-6]$"), "heading").when(tag == "li", "item").when(tag == "tr", "row").when(tag.isin("pre", "blockquote", "hr"), tag).otherwise("p")
-    rows = rows.withColumn("kind", kind).withColumn("level", F.when(F.col("kind") == "heading", F.substring(tag, 2, 1).cast("int"))).withColumn("text", inline(F.col("raw")))
-    rows = rows.where((F.col("text") != "") | (F.col("kind") == "hr"))
-    return rows.withColumn("block_ix", F.row_number().over(Window.partitionBy("page_id").orderBy("at")) - 1).select("page_id", "block_ix", "kind", "level", "text")
+    """A block's markup as Markdown: bold, emphasis, code, safe links, images, line breaks; white space collapsed; references decoded once."""
+    attribute = lambda tag, name: F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", 0)
+    value = lambda tag, name: F.regexp_replace(F.regexp_replace(attribute(tag, name), rf"(?is)^\s{name}\s*=\s*", ""), "^[\"']|[\"']$", "")
+
+    def image(tag: Column) -> Column:
+        alt = F.trim(F.regexp_replace(value(tag, "alt"), r"\s+", " "))
+        return let(F.trim(value(tag, "src")), lambda src: F.when((src == "") | F.lower(src).startswith("data:"), alt).otherwise(F.concat(F.lit("!["), alt, F.lit("]("), src, F.lit(")"))))
+
+    c = F.regexp_replace(c, r"(?s)<!--.*?-->", "")
+    c = let(c, lambda x: F.when(x.rlike("(?i)<img"), replaced(x, r"(?is)<img\b[^>]*>", image)).otherwise(x))
+    c = F.regexp_replace(c, r"(?i)<br\b[^>]*>", "\u0002")
+    # possessive, so that an element that is never closed is passed over once
+    for names, mark in (("b|strong", "**"), ("i|em", "*"), ("code", "`")):
+        end = rf"\s*</(?:{names})\s*>"
+        c = F.regexp_replace(c, rf"(?is)<(?:{names})(?:\s[^>]*+)?>\s*+((?:(?!{end}).)++){end}", f"{mark}$1{mark}")
+    c = F.regexp_replace(c, r"(?is)<a\b[^>]*?\shref\s*=\s*[\"']?\s*((?:https?://|mailto:|ftp://)[^\"'\s>]*+)[^>]*+>\s*+((?:(?!\s*</a\s*>).)++)\s*</a\s*>", "[$2]($1)")
+    c = F.regexp_replace(c, r"(?s)</?[a-zA-Z][^>]*>", "")
+    c = F.regexp_replace(c, r"\s+", " ")
+    return decoded(F.trim(F.regexp_replace(F.regexp_replace(c, " ?\u0002 ?", "\n"), r"^\s+|\s+$", "")))
 
 
-def page_markdown(blocks: DataFrame) -> DataFrame:
-    """page_id and markdown: blocks in order with a blank line between."""
+def page_blocks(pages: DataFrame, content: str = "content", key: str = "page_id") -> DataFrame:
+    """key, block_ix, kind, level, text and, for Markdown, line and near (the block follows the one before without a blank line).
+
+    Headings, paragraphs, items, table rows, preformatted text, quotes, rules and loose text, in document order.
+    """
+    marked = F.regexp_replace(content, rf"(?i)(<(?:{BLOCK})(?=[\s/>])[^>]*>)", "\u0001$1")
+    marked = F.regexp_replace(marked, rf"(?i)(</(?:{BLOCK})\s*>)", "$1\u0001")
+    rows = pages.select(key, F.posexplode(F.split(marked, "\u0001")).alias("at", "raw")).where(r"raw rlike '\\S'")
+    rows = rows.withColumn("tag", F.lower(F.regexp_extract("raw", rf"(?i)^<({BLOCK})(?=[\s/>])", 1)))
+    closed = F.lower(F.regexp_extract("raw", r"(?i)</(ul|ol|table|pre|blockquote|li)\s*>\s*$", 1))
+    upto = Window.partitionBy(key).orderBy("at")
+    depth = lambda names: F.sum(F.when(F.col("tag").isin(names), 1).otherwise(0)).over(upto) - F.coalesce(F.sum(F.when(F.col("closed").isin(names), 1).otherwise(0)).over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("closed", closed).withColumn("lists", depth(["ul", "ol"])).withColumn("tables", F.sum(F.when(F.col("tag") == "table", 1).otherwise(0)).over(upto)).withColumn("quotes", depth(["blockquote"]))
+    level = Window.partitionBy(key, "lists").orderBy("at")
+    rows = rows.withColumn("list_at", F.last(F.when(F.col("tag").isin("ul", "ol"), F.struct("at", "tag")), ignorenulls=True).over(level))
+    rows = rows.withColumn("outer_list", F.sum(F.when(F.col("tag").isin("ul", "ol") & (F.col("lists") == 1), 1).otherwise(0)).over(upto))
+    kind = F.when(F.col("tag").rlike("^h[1-6]$"), "heading").when((F.col("tag") == "li") & (F.col("lists") > 0), "item").when(F.col("tag") == "tr", "row").when(F.col("tag").isin("pre", "hr"), F.col("tag")).when(F.col("quotes") > 0, "blockquote").otherwise("p")
+    cells = F.transform(F.regexp_extract_all("raw", F.lit(r"(?is)<t[dh](?:\s[^>]*)?>(.*?)(?=</?t[dh]\b|</tr\b|$)"), F.lit(1)), lambda x: F.replace(F.replace(inline(x), F.lit("\n"), F.lit(" ")), F.lit("|"), F.lit("\\|")))
+    code = decoded(F.regexp_replace(F.regexp_replace("raw", r"(?s)</?[a-zA-Z][^>]*>", ""), r"^\n+|\n+$", ""))
+    rows = rows.withColumn("kind", kind).withColumn("level", F.when(F.col("kind") == "heading", F.substring("tag", 2, 1).cast("int")))
+    # sealed: what follows, a filter too, reads the rendered text and does not render it anew
+    rows = sealed(rows, "kind", "level", "lists", "tables", "list_at", "outer_list")
+    rows = rows.withColumn("cells", F.when(F.col("kind") == "row", cells)).withColumn("text", F.when(F.col("kind") == "pre", code).when(F.col("kind") != "row", inline(F.col("raw"))))
+    rows = sealed(rows.drop("raw"), "cells", "text")
+    rows = rows.withColumn("text", F.when(F.col("kind") == "row", F.array_join("cells", " | ")).when(F.col("kind") == "item", F.replace("text", F.lit("\n"), F.lit(" "))).otherwise(F.col("text")))
+    rows = rows.where((F.col("text") != "") | (F.col("kind") == "hr") | (F.size("cells") > 0))
+    number = F.row_number().over(Window.partitionBy(key, "lists", "list_at", "kind").orderBy("at"))
+    table = Window.partitionBy(key, "kind", "tables")
+    width = F.max(F.size("cells")).over(table)
+    first = F.row_number().over(table.orderBy("at")) == 1
+    before = lambda c: F.lag(c).over(upto)
+    rows = rows.withColumn("number", number).withColumn("width", width).withColumn("first", first)
+    near = (F.col("kind") == before("kind")) & (((F.col("kind") == "item") & (F.col("outer_list") == before("outer_list"))) | ((F.col("kind") == "row") & (F.col("tables") == before("tables"))))
+    rows = rows.withColumn("near", F.coalesce(near, F.lit(False))).withColumn("block_ix", F.row_number().over(upto) - 1)
+    marker = F.when(F.col("list_at.tag") == "ol", F.concat(F.col("number").cast("string"), F.lit(". "))).otherwise(F.lit("- "))
+    padded = F.concat(F.col("cells"), F.array_repeat(F.lit(""), F.greatest(F.col("width") - F.size("cells"), F.lit(0))))
+    row = F.concat(F.lit("| "), F.array_join(padded, " | "), F.lit(" |"), F.when(F.col("first"), F.concat(F.lit("\n|"), F.expr("repeat('---|', width)"))).otherwise(F.lit("")))
     line = (
-        F.when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), F.col("text"))).when(F.col("kind") == "item", F.concat(F.lit("- "), F.col("text")))
-        .when(F.col("kind") == "blockquote", F.concat(F.lit("> "), F.col("text"))).when(F.col("kind") == "pre", F.concat(F.lit("```\n"), F.col("text"), F.lit("\n```")))
+        F.when(F.col("kind") == "heading", F.concat(F.expr("repeat('#', level)"), F.lit(" "), F.col("text"))).when(F.col("kind") == "item", F.concat(F.expr("repeat('  ', lists - 1)"), marker, F.col("text")))
+        .when(F.col("kind") == "row", row).when(F.col("kind") == "blockquote", F.concat(F.lit("> "), F.replace("text", F.lit("\n"), F.lit("\n> ")))).when(F.col("kind") == "pre", F.concat(F.lit("```\n"), F.col("text"), F.lit("\n```")))
         .when(F.col("kind") == "hr", "---").otherwise(F.col("text"))
     )
-    return blocks.withColumn("line", line).groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_ix", "line"))), lambda x: x["line"]), "\n\n").alias("markdown"))
+    return rows.select(key, "block_ix", "kind", "level", "text", line.alias("line"), "near")
+
+
+def page_markdown(blocks: DataFrame, key: str = "page_id") -> DataFrame:
+    """key and markdown: blocks in order with a blank line between, items of a list and rows of a table without one."""
+    each = F.concat(F.when(F.col("block_ix") == 0, "").when(F.col("near"), "\n").otherwise("\n\n"), F.col("line")).alias("line")
+    return blocks.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_ix", each))), lambda x: x["line"]), "").alias("markdown"))
+
+
+def title_of(html: Column) -> Column:
+    return decoded(F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title", 1), r"\s+", " ")))
 
 
 def with_title(pages: DataFrame, html: str = "html", markdown: str = "markdown") -> DataFrame:
     """markdown with the page's title before it unless it starts with a first-level heading."""
-    title = decoded(F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title", 1), r"\s+", " ")))
-    return pages.withColumn("title", title).withColumn(markdown, F.when((F.col("title") == "") | F.col(markdown).startswith("# "), F.col(markdown)).otherwise(F.concat(F.lit("# "), F.col("title"), F.lit("\n\n"), F.col(markdown))))
+    titled = F.when((F.col("title") == "") | F.col(markdown).startswith("# "), F.col(markdown)).otherwise(F.concat(F.lit("# "), F.col("title"), F.lit("\n\n"), F.col(markdown)))
+    return pages.withColumn("title", title_of(F.col(html))).withColumn(markdown, titled)
 
 
 def clean_page(c: Column, cleaned: Column) -> Column:
     """Text without a tag-like token stays as it is."""
-    return F.when(c.rlike(r"<\s*/?\s*[a-zA-Z]"), cleaned).otherwise(c)
+    return F.when(c.rlike(MARKUP), cleaned).otherwise(c)
+
+
+def pages_to_markdown(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
+    """key, cleaned and steps: pages as normalized Markdown with their titles; key has to be unique. A page without a tag keeps its text but for the normalization."""
+    from textmill.functions.text import normalize_text
+
+    p = strip_page_noise(pages.select(key, html), html)
+    md = page_markdown(page_blocks(p.select(key, "content"), key=key), key).withColumnRenamed(key, "k")
+    j = with_title(p.join(md, F.col(key) == F.col("k"), "left").withColumn("markdown", F.coalesce("markdown", F.lit(""))), html)
+    step = lambda when, name: F.when(when, F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
+    marked = F.col(html).rlike(MARKUP)
+    titled = (F.col("title") != "") & F.col("markdown").startswith(F.concat(F.lit("# "), F.col("title"), F.lit("\n\n")))
+    own = F.concat(F.when(marked, F.col("steps")).otherwise(F.array().cast("array<string>")), step(marked, CONVERTED), step(marked & titled, TITLE), step(marked & F.col(html).rlike(r"(?i)<img\b[^>]*\ssrc\s*=\s*[\"']?\s*data:"), DATA_URIS))
+    j = j.select(key, own.alias("own"), clean_page(F.col(html), F.col("markdown")).alias("m"))
+    return normalize_text(j, "m").select(key, "cleaned", F.concat("own", "steps").alias("steps"))
 
 
 def page_links(pages: DataFrame, html: str = "html") -> DataFrame:
-    """page_id, kind (link or image), target and how often; a row for each of a page's targets."""
-    of = lambda tag, a, kind: pages.select("page_id", F.lit(kind).alias("kind"), F.explode(F.regexp_extract_all(html, F.lit(rf'(?i)<{tag}\b[^>]*\b{a}="([^"]*)"'), F.lit(1))).alias("target"))
+    """page_id, kind (link or image), target and how often; a row for each of a page's targets, quoted either way or not at all."""
+    value = lambda tag, a: rf"(?is)<{tag}\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?\s{a}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+
+    def of(tag: str, a: str, kind: str) -> DataFrame:
+        found = F.arrays_zip(*[F.regexp_extract_all(html, F.lit(value(tag, a)), F.lit(k)).alias(f"g{k}") for k in (1, 2, 3)])
+        return pages.select("page_id", F.lit(kind).alias("kind"), F.explode(found).alias("g")).select("page_id", "kind", F.concat("g.g1", "g.g2", "g.g3").alias("target"))
+
     return of("a", "href", "link").union(of("img", "src", "image")).groupBy("page_id", "kind", "target").agg(F.count("*").alias("n"))
 
 
-def remove_recurring_lines(rows: DataFrame, group: str, member: str, line: str = "text", least: int = 3, share: float = 0.5) -> DataFrame:
-    """rows without lines that, digits folded and white space collapsed, stand on more than ``share`` of a group's members."""
+def remove_recurring_lines(rows: DataFrame, group: str, member: str, line: str = "text", least: int = 3, share: float = 0.5, place: str | None = None, band: float = 0.12) -> DataFrame:
+    """rows without lines that, digits folded and white space collapsed, stand on more than ``share`` of a group's members.
+
+    With place (a row's number within its member), only rows in the first and last ``band`` of a member count and go.
+    """
     key = F.lower(F.trim(F.regexp_replace(F.regexp_replace(line, r"\d+", "#"), r"\s+", " ")))
     k = rows.withColumn("line_key", key)
-    pairs = k.select(group, "line_key", member).distinct()
+    if place:
+        own = Window.partitionBy(group, member)
+        low, high = F.min(place).over(own), F.max(place).over(own)
+        at = (F.col(place) - low) / F.greatest(high - low, F.lit(1))
+        k = k.withColumn("in_band", (at <= band) | (at >= 1 - band))
+    else:
+        k = k.withColumn("in_band", F.lit(True))
+    pairs = k.where("in_band").select(group, "line_key", member).distinct()
     on = pairs.groupBy(group, "line_key").agg(F.count("*").alias("on_members"))
     sizes = rows.select(group, member).distinct().groupBy(group).agg(F.count("*").alias("members"))
-    chrome = on.join(sizes, group).where((F.col("members") >= least) & (F.col("on_members") > share * F.col("members"))).select(group, "line_key")
-    return k.join(chrome, [group, "line_key"], "left_anti").drop("line_key")
+    chrome = on.join(sizes, group).where((F.col("members") >= least) & (F.col("on_members") > share * F.col("members"))).select(group, "line_key", F.lit(True).alias("in_band"))
+    return k.join(chrome, [group, "line_key", "in_band"], "left_anti").drop("line_key", "in_band")

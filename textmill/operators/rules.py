@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmill.functions.measures import token_count
+from textmill.operators.detect import route
 from textmill.operators.store import fingerprint
 
 
@@ -18,8 +20,30 @@ class Rule:
     version: str
     types: tuple[str, ...]
     priority: int
-    clean: Callable[[Column], Column]
+    #: From Column to Column; with each_text, from a text to a text, run over Arrow batches.
+    clean: Callable
     detect: Callable[[Column], Column] | None = None
+    each_text: bool = False
+
+    def cleaned(self, c: Column) -> Column:
+        """The rule's result, or c as it was where the rule gives null or, with each_text, fails."""
+        if not self.each_text:
+            return F.coalesce(self.clean(c), c)
+        fn = self.clean
+
+        def every(texts: pd.Series) -> pd.Series:
+            def one(x: str | None) -> str | None:
+                if x is None:
+                    return None
+                try:
+                    y = fn(x)
+                except Exception:  # a rule is foreign code: whatever it raises, its row stays as it is
+                    return x
+                return y if isinstance(y, str) else x
+
+            return texts.map(one)
+
+        return F.pandas_udf(every, "string")(c)
 
 
 class Rules:
@@ -54,9 +78,28 @@ class Rules:
         kind, name, out = F.col(content_type), F.lit(None).cast("string"), F.col(text)
         for r in reversed(self.rules):
             mine = kind.isin(*r.types)
-            name, out = F.when(mine, r.name).otherwise(name), F.when(mine, F.coalesce(r.clean(F.col(text)), F.col(text))).otherwise(out)
+            name, out = F.when(mine, r.name).otherwise(name), F.when(mine, r.cleaned(F.col(text))).otherwise(out)
         return df.withColumn("cleaned", out).withColumn("rule", name)
 
+    def route(self, content_type: Column) -> Column:
+        """The cleaner of a content type: the first rule for it, or the built-in one if that comes before."""
+        out = route(content_type)
+        built_in = F.when(out == "html", 10).when(out == "json", 20).when(out == "csv", 30).when(out == "prompt", 90).when(out == "text", 100).otherwise(2000)
+        best = F.struct(built_in.alias("priority"), out.alias("name"))
+        for r in self.rules:
+            best = F.when(content_type.isin(*r.types), F.least(best, F.struct(F.lit(r.priority).alias("priority"), F.lit(r.name).alias("name")))).otherwise(best)
+        return best["name"]
+
+    def apply_named(self, df: DataFrame, name: str, text: str = "text") -> DataFrame:
+        """df with cleaned and steps from the rule that the column ``name`` names; other rows as they are."""
+        cleaned, steps = F.col("cleaned"), F.col("steps")
+        for r in self.rules:
+            df = df.withColumn("by_rule", r.cleaned(F.col(text)))
+            mine = F.col(name) == r.name
+            changed = F.when(F.col("by_rule") != F.col(text), F.array(F.lit(r.name))).otherwise(F.array().cast("array<string>"))
+            df = df.withColumn("steps", F.when(mine, changed).otherwise(steps)).withColumn("cleaned", F.when(mine, F.col("by_rule")).otherwise(cleaned)).drop("by_rule")
+        return df
+
 
 def check_rule(df: DataFrame, clean: Callable[[Column], Column], text: str = "text") -> DataFrame:
     """How many rows a rule treats in a way it must not: not idempotent, or more tokens than before."""

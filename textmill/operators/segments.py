@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.functions.text import decode_base64
+from textmill.operators.json_rows import pieces
 from textmill.operators.policy import route_adapter
 
 PART = "struct<type:string,text:string>"
@@ -89,13 +90,36 @@ def messages_segments(requests: DataFrame) -> DataFrame:
     return shaped(requests, F.lit("messages"))
 
 
-def segments(requests: DataFrame) -> DataFrame:
-    """All segments of parsed requests (request_id, path, payload) by the adapter of their path."""
-    return shaped(requests, route_adapter(F.col("path")))
+def segments(requests: DataFrame, least: int = 0) -> DataFrame:
+    """All segments of at least so many characters of parsed requests (request_id, path, payload) by the adapter of their path."""
+    out = shaped(requests, route_adapter(F.col("path")))
+    return out.where(F.length("text") >= least) if least else out
+
+
+class SegmentRows:
+    """A table function's handler: the messages' texts of one JSON body as rows of (seg_ix, role, text), for use in SQL by lateral joins."""
+
+    def eval(self, body: str):
+        import json
+
+        try:
+            found = json.loads(body or "")
+        except ValueError:
+            return
+        for i, m in enumerate(found.get("messages") or [] if isinstance(found, dict) else []):
+            content = m.get("content") if isinstance(m, dict) else None
+            for part in [content] if isinstance(content, str) else [p.get("text") for p in content if isinstance(p, dict)] if isinstance(content, list) else []:
+                if isinstance(part, str) and part:
+                    yield i, m.get("role"), part
+
+
+def register_segment_rows(spark: SparkSession, name: str = "segment_rows") -> None:
+    """Makes SegmentRows callable in SQL: select ... from requests, lateral segment_rows(body)."""
+    spark.udtf.register(name, F.udtf(SegmentRows, returnType="seg_ix int, role string, text string"))
 
 
 def document_segments(requests: DataFrame) -> DataFrame:
-    """request_id, seg_ix, part_ix, data, media_type, filename of inline documents; URLs are skipped."""
+    """request_id, seg_ix, part_ix, data, media_type, filename, cache_control (JSON) of inline documents; URLs are skipped."""
     blocks = listed(requests, "messages").select("request_id", "seg_ix", F.posexplode(F.expr("try_variant_get(value, '$', 'array<variant>')")).alias("part_ix", "b"))
     get = lambda p: F.expr(f"try_variant_get(b, '{p}', 'string')")
     b = blocks.where(get("$.type").isin("document", "file", "input_file"))
@@ -103,7 +127,7 @@ def document_segments(requests: DataFrame) -> DataFrame:
     inline = F.regexp_extract(url, r"(?s)^data:([^;,]*)(?:;[^,]*)?;base64,(.*)$", 2)
     data = F.when(get("$.source.type") == "base64", get("$.source.data")).when(inline != "", inline)
     media = F.coalesce(get("$.source.media_type"), F.nullif(F.regexp_extract(url, r"^data:([^;,]*)", 1), F.lit("")))
-    out = b.select("request_id", "seg_ix", "part_ix", decode_base64(data).alias("data"), media.alias("media_type"), F.coalesce(get("$.file.filename"), get("$.filename")).alias("filename"))
+    out = b.select("request_id", "seg_ix", "part_ix", decode_base64(data).alias("data"), media.alias("media_type"), F.coalesce(get("$.file.filename"), get("$.filename")).alias("filename"), F.expr("to_json(try_variant_get(b, '$.cache_control', 'variant'))").alias("cache_control"))
     return out.where("data is not null")
 
 
@@ -113,22 +137,44 @@ def quoted(c: Column) -> Column:
     return F.substring(j, 2, F.length(j) - 2)
 
 
-def reassemble(requests: DataFrame, results: DataFrame) -> DataFrame:
-    """request_id, new_body, any_changed: changed texts put back where they stood; all else keeps its bytes.
+def reassemble(requests: DataFrame, results: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """request_id, new_body, any_changed: changed texts put back at their place; a body without one keeps its bytes.
 
-    results: request_id, seg_ix, part_ix, text, cleaned, changed, one row for each segment. A text whose
-    escapes in the body differ from the usual ones is left as it is.
+    results: request_id, origin, part_ix, text, cleaned, changed, one row for each segment. documents:
+    request_id, seg_ix, part_ix, text of blocks that become a text block, keeping cache_control. A changed
+    body comes out without white space between its parts; keys keep their order, other values their spelling.
     """
-    new = results.where("changed").groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("seg_ix", "part_ix", quoted(F.col("text")).alias("old"), quoted(F.col("cleaned")).alias("new")))).alias("m"))
-    j = requests.select("request_id", "body").join(new, "request_id", "left")
-    put = F.aggregate("m", F.col("body"), lambda b, x: F.replace(b, x["old"], x["new"]))
-    return j.select("request_id", F.coalesce(put, F.col("body")).alias("new_body"), F.col("m").isNotNull().alias("any_changed"))
+    new = results.where("changed").select(F.col("request_id").alias("r"), F.col("origin").alias("o"), F.col("part_ix").alias("p"), F.col("text").alias("old"), "cleaned")
+    wanted = new.select("r")
+    if documents is not None:
+        docs = documents.select(F.col("request_id").alias("dr"), F.col("seg_ix").alias("ds"), F.col("part_ix").alias("dp"), F.col("text").alias("doc"), "cache_control")
+        wanted = wanted.union(docs.select(F.col("dr").alias("r")))
+    live = requests.select("request_id", "body").join(wanted.distinct(), F.col("request_id") == F.col("r"), "left_semi")
+    rows = pieces(live, "request_id", "body")
+    content = F.concat("k1", F.lit("["), F.col("i2").cast("string"), F.lit("].content"))
+    at = F.when(F.col("depth") == 1, F.struct(F.col("k1").alias("o"), F.lit(-1).alias("p"))).when((F.col("depth") == 3) & (F.col("k3") == "content"), F.struct(content.alias("o"), F.lit(-1).alias("p")))
+    at = at.when((F.col("depth") == 3) & (F.col("k3") == "text"), F.struct(F.col("k1").alias("o"), F.col("i2").alias("p"))).when((F.col("depth") == 5) & (F.col("k3") == "content") & (F.col("k5") == "text"), F.struct(content.alias("o"), F.col("i4").alias("p")))
+    rows = rows.withColumn("at", F.when(F.col("piece").startswith('"') & ~F.col("is_key"), at))
+    here = (F.col("request_id") == F.col("r")) & (F.col("at.o") == F.col("o")) & (F.col("at.p") == F.col("p"))
+    own = F.expr("try_variant_get(try_parse_json(piece), '$', 'string')")
+    rows = rows.join(new, here, "left")
+    rows = rows.withColumn("hit", F.coalesce(own == F.col("old"), F.lit(False))).withColumn("piece", F.when(F.col("hit"), quoted(F.col("cleaned"))).otherwise(F.col("piece")))
+    if documents is not None:
+        inside = (F.col("request_id") == F.col("dr")) & (F.col("k1") == "messages") & (F.col("k3") == "content") & (F.col("depth") >= 5) & (F.col("i2") == F.col("ds")) & (F.col("i4") == F.col("dp"))
+        rows = rows.join(docs, inside, "left")
+        block = F.concat(F.lit('{"type":"text","text":'), quoted(F.col("doc")), F.coalesce(F.concat(F.lit(',"cache_control":'), "cache_control"), F.lit("")), F.lit("}"))
+        whole = F.col("dr").isNotNull()
+        rows = rows.withColumn("hit", F.col("hit") | whole).withColumn("piece", F.when(whole & (F.col("piece") == "{") & (F.col("depth") == 5), block).when(whole, "").otherwise(F.col("piece")))
+    put = rows.groupBy(F.col("request_id").alias("r")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ix", "piece"))), lambda x: x["piece"]), "").alias("put"), F.bool_or("hit").alias("hit"))
+    j = requests.select("request_id", "body").join(put, F.col("request_id") == F.col("r"), "left")
+    changed = F.coalesce("hit", F.lit(False))
+    return j.select("request_id", F.when(changed, F.col("put")).otherwise(F.col("body")).alias("new_body"), changed.alias("any_changed"))
 
 
 def skip_reason(requests: DataFrame, segs: DataFrame, results: DataFrame) -> DataFrame:
     """request_id and skip_reason after extraction: no adapter, no segments, or nothing changed."""
     n = segs.groupBy("request_id").agg(F.count("*").alias("n_segments"))
-    c = results.groupBy("request_id").agg(F.count_if("changed").alias("n_changed"))
+    c = results.groupBy("request_id").agg(F.count_if("changed").alias("n_changed"), F.count("*").alias("n_results"))
     j = requests.select("request_id", route_adapter(F.col("path")).alias("adapter")).join(n, "request_id", "left").join(c, "request_id", "left")
-    reason = F.when(F.col("adapter").isNull(), "no_payload_adapter").when(F.coalesce("n_segments", F.lit(0)) == 0, "no_optimizable_segments").when(F.coalesce("n_changed", F.lit(0)) == 0, "content_already_optimal")
+    reason = F.when(F.col("adapter").isNull(), "no_payload_adapter").when((F.coalesce("n_segments", F.lit(0)) == 0) & (F.coalesce("n_results", F.lit(0)) == 0), "no_optimizable_segments").when(F.coalesce("n_changed", F.lit(0)) == 0, "content_already_optimal")
     return j.select("request_id", reason.alias("skip_reason"))

@@ -6,7 +6,7 @@ import hashlib
 import json
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SCHEMA_VERSION = 1
@@ -55,12 +55,38 @@ def valid(store: DataFrame) -> DataFrame:
 
 
 def incremental(df: DataFrame, store: DataFrame, fn: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(results for all rows of df by digest, the new rows to append to the store); only misses are computed."""
-    known = valid(store)
+    """(results for all rows of df by digest, the new rows to append to the store); only misses are computed.
+
+    A result with a null column (no cleaner for the content, say) is no success: it is given out, not stored.
+    """
+    known = valid(store).dropDuplicates(["digest"])
     keys = df.select("digest", "text").dropDuplicates(["digest"])
     new = fn(keys.join(known.select("digest"), "digest", "left_anti")).withColumn("schema_version", F.lit(SCHEMA_VERSION))
     every = known.withColumn("hit", F.lit(True)).unionByName(new.withColumn("hit", F.lit(False)), allowMissingColumns=True)
-    return df.drop("text").join(every, "digest", "left"), new
+    return df.drop("text").join(every, "digest", "left"), valid(new)
+
+
+def write_results(new: DataFrame, path: str) -> None:
+    """Appends whole results to the store; each run is a set of files of its own, so a failed one leaves nothing behind."""
+    valid(new).write.mode("append").parquet(path)
+
+
+def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The store's rows, or none if nothing has been written; files of another shape give nulls, which count as misses."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+
+
+def run_incremental(df: DataFrame, path: str, fn: Callable[[DataFrame], DataFrame], schema: str) -> DataFrame:
+    """incremental() against the store at path, which is appended to: a second run over the same contents computes nothing."""
+    spark = df.sparkSession
+    store = read_results(spark, path, schema)
+    new = incremental(df, store, fn)[1]
+    write_results(new, path)
+    after = read_results(spark, path, schema).dropDuplicates(["digest"])
+    hits = valid(store).select(F.col("digest").alias("known")).distinct()
+    return df.drop("text").join(after, "digest", "left").join(hits, F.col("digest") == F.col("known"), "left").withColumn("hit", F.col("known").isNotNull()).drop("known")
 
 
 def live_entries(store: DataFrame, now: Column, ttl_seconds: int) -> DataFrame:
@@ -74,8 +100,9 @@ def evict(store: DataFrame, max_entries: int = MAX_ENTRIES, max_bytes: int = MAX
     holds all entries.
     """
     s = store.where(F.col("bytes") <= max_bytes)
-    ends = s.agg(F.min(F.unix_micros("last_access")).alias("lo"), F.max(F.unix_micros("last_access")).alias("hi"))
-    s = s.crossJoin(F.broadcast(ends)).withColumn("bucket", F.floor((F.col("hi") - F.unix_micros("last_access")) * buckets / (F.col("hi") - F.col("lo") + 1))).drop("lo", "hi")
+    # buckets hold about as many entries each, however busy an hour was; one instant is one bucket
+    ends = s.agg(F.percentile_approx(-F.unix_micros("last_access"), [k / buckets for k in range(1, buckets)], 10_000).alias("ends"))
+    s = s.crossJoin(F.broadcast(ends)).withColumn("bucket", F.size(F.filter("ends", lambda e: e < -F.unix_micros("last_access")))).drop("ends")
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     t = s.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"))
     t = t.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("b").over(before), F.lit(0)).alias("b0"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DELIMITERS = (",", "\t", ";", "|")
@@ -45,3 +45,42 @@ def table_to_markdown(df: DataFrame, group: str, order: str, columns: list[str],
     csv = F.concat(F.lit("```csv\n" + ",".join(columns) + "\n"), F.array_join(F.transform("r", lambda x: x["f"]), "\n"), F.lit("\n```"))
     wide = (F.size("r") > max_rows) | F.lit(len(columns) > MAX_COLUMNS)
     return rows.select(group, F.when(wide, csv).otherwise(md).alias("markdown"))
+
+
+def csv_cells(line: Column, delimiter: Column) -> Column:
+    """The trimmed cells of a line; a quoted cell may hold the delimiter, and a doubled quote stands for one."""
+    pattern = F.concat(F.lit(r'("(?:[^"]|"")*"|[^'), F.when(delimiter == "\t", r"\t").otherwise(F.concat(F.lit("\\"), delimiter)), F.lit("]*)(?:"), F.when(delimiter == "\t", r"\t").otherwise(F.concat(F.lit("\\"), delimiter)), F.lit("|$)"))
+    cells = F.regexp_extract_all(F.concat(line, delimiter), pattern, F.lit(1))
+    cells = F.slice(cells, 1, F.size(cells) - 1)
+    return F.transform(cells, lambda x: F.trim(F.when(x.startswith('"') & x.endswith('"') & (F.length(x) > 1), F.replace(x.substr(F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x)))
+
+
+def csv_to_markdown(text: Column, delimiter: Column) -> Column:
+    """struct(cleaned, steps): a delimited text as a Markdown table without empty rows and columns (a header alone fills none); null if it has under two rows."""
+    raw = F.split(F.regexp_replace(text, "\r\n|\r", "\n"), "\n", -1)
+    raw = F.when(F.element_at(raw, -1) == "", F.slice(raw, 1, F.size(raw) - 1)).otherwise(raw)
+    blank = lambda cells: F.forall(cells, lambda c: c == "")
+    table = F.transform(raw, lambda x: csv_cells(x, delimiter))
+
+    def kept(every: Column) -> Column:
+        def columns(rows: Column) -> Column:
+            width = F.array_max(F.transform(rows, F.size))
+            body = F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0)))
+            filled = F.filter(F.sequence(F.lit(0), width - 1), lambda i: F.exists(body, lambda r: F.coalesce(F.get(r, i), F.lit("")) != ""))
+            return F.struct(rows.alias("rows"), filled.alias("filled"), (F.size(filled) < width).alias("narrower"), (F.size(rows) < F.size(every)).alias("fewer"))
+
+        rows = F.filter(every, lambda r: ~blank(r))
+        return F.element_at(F.transform(F.array(rows), lambda r: F.when(F.size(r) >= 2, columns(r))), 1)
+
+    cell = lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
+
+    def rendered(t: Column) -> Column:
+        row = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(t["filled"], lambda i: cell(F.get(r, i))), " | "), F.lit(" |"))
+        lines = F.transform(t["rows"], row)
+        rule = F.concat(F.lit("|"), F.array_join(F.transform(t["filled"], lambda i: F.lit("---|")), ""))
+        steps = F.array_compact(F.array(F.when(t["fewer"], "removed_empty_rows"), F.when(t["narrower"], "removed_empty_columns"), F.lit("converted_to_markdown_table")))
+        done = F.struct(F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, F.size(lines))), "\n").alias("cleaned"), steps.alias("steps"))
+        return F.when(F.size(t["filled"]) > 0, done)
+
+    found = F.element_at(F.transform(F.array(table), kept), 1)
+    return F.element_at(F.transform(F.array(found), rendered), 1)

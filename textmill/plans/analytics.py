@@ -20,6 +20,8 @@ def stats_columns() -> list[Column]:
         F.count_if(~F.col("applied")).alias("skipped"),
         applied("tokens_before").alias("tokens_before"),
         applied("tokens_after").alias("tokens_after"),
+        applied("bytes_before").alias("bytes_before"),
+        applied("bytes_after").alias("bytes_after"),
         F.sum("cache_hits").cast("long").alias("cache_hits"),
         F.sum(F.greatest(F.lit(0), F.col("cache_lookups") - F.col("cache_hits"))).cast("long").alias("cache_misses"),
         F.sum(F.round(F.col("execution_time_ms") * 1000).cast("long")).alias("latency_us"),
@@ -32,6 +34,7 @@ def with_derived(stats: DataFrame) -> DataFrame:
     return (
         stats.withColumn("tokens_saved", F.col("tokens_before") - F.col("tokens_after"))
         .withColumn("token_pct", pct(F.col("tokens_before") - F.col("tokens_after"), F.col("tokens_before")))
+        .withColumn("bytes_saved", F.col("bytes_before") - F.col("bytes_after"))
         .withColumn("hit_rate", F.when(looked > 0, F.round(F.col("cache_hits") / looked, 4)).otherwise(F.lit(0.0)))
         .withColumn("avg_latency_us", F.when(F.col("requests") > 0, F.floor(F.col("latency_us") / F.col("requests"))).otherwise(0))
     )
@@ -93,7 +96,7 @@ def explain(events: DataFrame) -> DataFrame:
 def stats_view(events: DataFrame) -> DataFrame:
     """The latest day and all time side by side, a row for each measure."""
     r = window_stats_rollup(events)
-    names = ["requests", "optimized", "skipped", "tokens_before", "tokens_after", "tokens_saved", "cache_hits", "cache_misses"]
+    names = ["requests", "optimized", "skipped", "tokens_before", "tokens_after", "tokens_saved", "bytes_saved", "cache_hits", "cache_misses"]
     long = r.select("day", F.explode(F.array(*[F.struct(F.lit(n).alias("measure"), F.col(n).cast("long").alias("v")) for n in names])).alias("m"))
     latest = Window.partitionBy("m.measure").orderBy(F.desc_nulls_last("day"))
     ranked = long.withColumn("rn", F.row_number().over(latest))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: List prices of input tokens, US dollars a million. Fixed values.
-PRICES = [("standard", 2.50), ("premium", 3.00), ("small", 0.15)]
+from textmill.functions.measures import pct
+
+#: Models and their list prices of input tokens, US dollars a million. Fixed values.
+PRICES = [("gpt-4o", 2.50), ("claude-sonnet-4", 3.00), ("gpt-4o-mini", 0.15)]
 
 
 def suite_totals(cases: DataFrame) -> DataFrame:
@@ -14,6 +16,7 @@ def suite_totals(cases: DataFrame) -> DataFrame:
     return cases.agg(
         F.count("*").alias("cases"), F.count_if(helped).alias("cases_helped"), F.sum("tokens_before").alias("tokens_before"),
         F.sum("tokens_after").alias("tokens_after"), F.sum("bytes_before").alias("bytes_before"), F.sum("bytes_after").alias("bytes_after"),
+        F.round(F.avg(pct(F.col("tokens_saved"), F.col("tokens_before"))), 2).alias("mean_pct"),
     ).withColumn("overall_pct", F.round(100.0 * (F.col("tokens_before") - F.col("tokens_after")) / F.col("tokens_before"), 2))
 
 
@@ -34,14 +37,30 @@ def cost_by_provider(totals: DataFrame, prices: DataFrame) -> DataFrame:
     return out.withColumn("usd_saved", F.round(F.col("usd_before") - F.col("usd_after"), 6)).withColumn("pct", F.round(100 * (1 - F.col("usd_after") / F.col("usd_before")), 2))
 
 
+def distinct_values(df: DataFrame, by: str, value: str, places: int = 9) -> DataFrame:
+    """by, value (rounded) and how often: what a percentile needs, pre-aggregated, so that a group is as large as its distinct values."""
+    return df.where(F.col(value).isNotNull()).groupBy(by, F.round(value, places).alias("v")).agg(F.count("*").alias("n"))
+
+
 def latency_stats(df: DataFrame, by: str, value: str) -> DataFrame:
-    q = lambda p: F.round(F.percentile(value, F.lit(p)), 6)
-    return df.groupBy(by).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), q(0.5).alias("p50"), q(0.95).alias("p95"), q(0.99).alias("p99"), F.max(value).alias("worst"))
+    """count, errors (rows without a value), mean, p50, p95, p99 and worst of each leg."""
+    every = df.groupBy(by).agg(F.count(value).alias("n"), (F.count("*") - F.count(value)).alias("errors"), F.round(F.avg(value), 6).alias("mean"), F.max(value).alias("worst"))
+    q = lambda p: F.round(F.percentile("v", F.lit(p), F.col("n")), 6)
+    p = distinct_values(df, by, value).groupBy(F.col(by).alias("leg")).agg(q(0.5).alias("p50"), q(0.95).alias("p95"), q(0.99).alias("p99"))
+    return every.join(p, F.equal_null(F.col(by), F.col("leg")), "left").select(by, "n", "errors", "mean", "p50", "p95", "p99", "worst")
+
+
+def overhead(stats: DataFrame, by: str, leg: str, base: str) -> DataFrame:
+    """What one leg of latency_stats() takes beyond another, by measure."""
+    a, b = (stats.where(F.col(by) == x).select(*[F.col(c).alias(f"{c}{k}") for c in ("mean", "p50", "p95", "p99")]) for k, x in enumerate((leg, base)))
+    return a.crossJoin(b).select(*[F.round(F.col(f"{c}0") - F.col(f"{c}1"), 6).alias(c) for c in ("mean", "p50", "p95", "p99")])
 
 
 def timing_stats(df: DataFrame, by: str, ms: str, size: str) -> DataFrame:
     """Median and least time of repeated runs, and the throughput of the median one."""
-    s = df.groupBy(by).agg(F.median(ms).alias("median_ms"), F.min(ms).alias("least_ms"), F.sum(size).alias("bytes"), F.count("*").alias("runs"))
+    s = df.groupBy(by).agg(F.min(ms).alias("least_ms"), F.sum(size).alias("bytes"), F.count("*").alias("runs"))
+    m = distinct_values(df, by, ms).groupBy(F.col(by).alias("leg")).agg(F.percentile("v", F.lit(0.5), F.col("n")).alias("median_ms"))
+    s = s.join(m, F.equal_null(F.col(by), F.col("leg")), "left").drop("leg")
     return s.withColumn("mb_s", F.round(F.col("bytes") / F.col("runs") / 1e6 / (F.col("median_ms") / 1000), 6))
 
 
@@ -56,12 +75,20 @@ def case_table(cases: DataFrame) -> DataFrame:
     return cases.select("case_id", "kind", "tokens_before", "tokens_after", "tokens_saved", F.array_join("steps", ",").alias("steps")).orderBy("case_id")
 
 
-def cold_warm(contents: DataFrame, passes: int = 2) -> DataFrame:
-    """Hits of each pass over the same contents: within the first by repeats, in later ones everything."""
-    runs = contents.select("digest", "doc_id", F.explode(F.sequence(F.lit(1), F.lit(passes))).alias("pass"))
-    seen = Window.partitionBy("digest").orderBy("pass", "doc_id")
-    runs = runs.withColumn("hit", F.row_number().over(seen) > 1)
-    return runs.groupBy("pass").agg(F.count("*").alias("lookups"), F.count_if("hit").alias("hits"))
+def cold_warm(contents: DataFrame, store_path: str, fn, schema: str, passes: int = 2) -> DataFrame:
+    """pass, lookups and hits of runs over the same contents (doc_id, digest, text) against a store: a content's first row computes, its repeats and later passes hit."""
+    from textmill.operators.store import run_incremental
+
+    out = None
+    for k in range(1, passes + 1):
+        done = run_incremental(contents, store_path, fn, schema).select("digest", "hit")
+        per = done.groupBy("digest").agg(F.count("*").alias("n"), F.bool_or("hit").alias("stored"))
+        one = per.agg(F.sum("n").alias("lookups"), F.sum(F.when(F.col("stored"), F.col("n")).otherwise(F.col("n") - 1)).alias("hits"))
+        # the hits of a pass depend on what the store held before it, so they are settled here: one row
+        row = one.first()
+        one = contents.sparkSession.createDataFrame([(k, row.lookups or 0, row.hits or 0)], "pass long, lookups long, hits long")
+        out = one if out is None else out.union(one)
+    return out
 
 
 def write_report(cases: DataFrame, out: str) -> None:

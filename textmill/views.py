@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir, or one of our own in a local session; an error on a cluster that names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return base.rstrip("/")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -45,6 +57,8 @@ EVENT_COLUMNS = """event_id, ts, case user_id % 3 when 0 then 'openai' when 1 th
   case event_type when 'click' then 'html' when 'view' then 'json' when 'purchase' then 'html,json' when 'signup' then 'text' else '' end as transformers_csv,
   case when event_type <> 'error' then 100 + 10 * k else 0 end as tokens_before,
   case when event_type <> 'error' then 40 + 3 * k else 0 end as tokens_after,
+  case when event_type <> 'error' then 400 + 41 * k else 0 end as bytes_before,
+  case when event_type <> 'error' then 160 + 13 * k else 0 end as bytes_after,
   case when event_type <> 'error' then 1 + k % 3 else 0 end as cache_lookups,
   case when event_type <> 'error' then k % (2 + k % 3) else 0 end as cache_hits,
   value as execution_time_ms,

@@ -221,6 +221,84 @@ def test_languages_of_one_script_are_told_apart_by_their_letters(spark):
     assert len(held) > 30 and all(found[i].lang_pred == data[i][2] for i in held)
 
 
+def test_rare_languages_are_learned(spark):
+    rnd = random.Random(5)
+    parts = {"xx": "ing the ed wh sh tion".split(), "yy": "eau oi ier que çé è".split()}
+    data = [(i, " ".join("".join(rnd.choices(parts[k], k=3)) for _ in range(20)), k) for i in range(3000) for k in ["yy" if i % 300 < 2 else "xx"]]
+    d = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    found = {r.doc_id: r for r in language.predict(d, language.train(d, sample=100)).collect()}
+    assert all(found[i].lang_pred == k for i, _, k in data if found[i].held_out)
+
+
+def brute_base(text):
+    """The base spans by the rules' wording, a character at a time."""
+    out, names = [], ["password", "passwd", "secret", "token", "apikey", "api_key"]
+    lower, n = "".join(c.lower() if c.isascii() else c for c in text), len(text)
+
+    def assign(i):
+        for name in sorted(names, key=len):
+            if lower.startswith(name, i):
+                j = i + len(name)
+                j += j < n and text[j] in "\"'"
+                while j < n and text[j] == " ":
+                    j += 1
+                if j < n and text[j] in ":=":
+                    j += 1
+                    while j < n and text[j] == " ":
+                        j += 1
+                    j += j < n and text[j] in "\"'"
+                    k = j
+                    while k < n and text[k].isascii() and (text[k].isalnum() or text[k] in "+/_.=-"):
+                        k += 1
+                    if k > j:
+                        return k, k - j
+        return None
+
+    for kind in ("assign", "access", "hex"):
+        i = 0
+        while i < n:
+            k, size, least = i, 0, 1
+            if kind == "assign" and (m := assign(i)):
+                k, size, least = m[0], m[1], 8
+            elif kind == "access" and text.startswith("AKIA", i):
+                k = i + 4
+                while k < n and text[k].isascii() and (text[k].isdigit() or text[k].isupper()):
+                    k += 1
+                size, least = (k - i, 16) if k > i + 4 else (0, 16)
+                k = k if size else i
+            elif kind == "hex":
+                while k < n and text[k] in "0123456789abcdef":
+                    k += 1
+                size, least = k - i, 32
+            if size >= least:
+                out.append((i, k, kind))
+            i = max(k, i + 1)
+    return sorted(out, key=lambda x: (x[0], ["assign", "access", "hex"].index(x[2])))
+
+
+def test_base_spans_equal_brute_force():
+    rnd = random.Random(12)
+    bits = ["password", "PassWd", "secret", "token", "api_key", "apikey", "=", ":", " ", "  ", "'", '"', "AKIA", "ABCDEFGH1234", "0123456789abcdef", "abcdef", "xyz", "-_.", "é", "\n", "Z", "g"]
+    texts = ["".join(rnd.choices(bits, k=rnd.randint(0, 40))) for _ in range(3000)]
+    assert all(secrets.base_spans(t) == brute_base(t) for t in texts)
+    assert sum(len(secrets.base_spans(t)) for t in texts) > 1000
+
+
+def test_random_spans_are_decided_by_the_ratio():
+    enc, rnd = secrets.encoding(*secrets.default_vocabulary()), random.Random(13)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    words = "the quick review of a document about servers and clients in several languages with numbers 2024 and versions v1.2.3 on https://example.org/path/to/page".split()
+    hits = found = 0
+    for _ in range(400):
+        key = "".join(rnd.choices(b64, k=rnd.randint(24, 40)))
+        text = " ".join([*rnd.choices(words, k=20), key, *rnd.choices(words, k=20)])
+        spans = secrets.random_spans(text, secrets.base_spans(text), enc)
+        at = text.index(key)
+        hits += any(a < at + len(key) and at < b for a, b, _ in spans)
+        found += len(spans)
+    assert hits >= 0.97 * 400 and hits >= 0.97 * found
+
+
 def test_secrets(spark):
     key = "q8Zr1LkX0vTn4Yb7Wc2Ms9Jd"
     texts = {
@@ -278,10 +356,17 @@ def test_bpe_on_odd_characters_and_without_chunks():
 
 def test_every_token_encodes_to_itself():
     c = bpe.codec(*secrets.default_vocabulary())
-    assert c.encoded([t.decode("latin-1").translate(c.table) for t in []]) == []
     assert all(c.model.encode(t.decode("latin-1").translate(c.table)) == [k] for k, t in enumerate(c.tokens))
 
 
+def test_long_chunks_are_encoded_and_not_remembered():
+    path, pattern = secrets.default_vocabulary()
+    enc, c = secrets.encoding(path, pattern), bpe.Codec(path, pattern)
+    texts = ["x" * 5000 + " ab", "ab " * 10, "y" * 5000]
+    assert c.encode(texts)[0].tolist() == [k for t in texts for k in enc.encode_ordinary(t)]
+    assert max(map(len, c.known)) < 100
+
+
 def brute_vectors(v):
     n, label = {}, {}
     ok = [(i, x, k) for i, x, k in v if i is not None and x and k is not None and all(c is not None and abs(c) < float("inf") for c in x) and any(x)]
@@ -457,5 +542,36 @@ def test_shingles_of_short_texts_are_whole_sequences():
     assert row.tolist() == [0, 1, 2] and h[0] == h[1] != h[2]
 
 
+def test_a_very_long_text_and_clashing_columns(spark):
+    """A text of 5 MB, and columns with the names that operators use within, through every operator on texts, pages and vectors."""
+    rnd = random.Random(3)
+    words = ["".join(rnd.choices("abcdefghij", k=rnd.randint(2, 9))) for _ in range(5000)]
+    long = " ".join(rnd.choices(words, k=770_000))
+    extra = ", run long, data string, said string, th string, key string, cell string, rep string, host string, learned string, rec_id string"
+    more = (1, *["x"] * 9)
+    d = spark.createDataFrame([(1, long, "en", "a", *more), (2, "short text", "en", "a", *more), (3, long, "en", None, *more)], "doc_id long, text string, lang string, source string" + extra)
+    assert {r.doc_id: r.n_removed for r in suffixes.remove_repeats(d).collect()} == {1: len(long), 2: 0, 3: len(long)}
+    n = len(long.split())
+    assert {r.doc_id: (r.n_words, r.n_removed) for r in debruijn.remove_repeats(d).collect()} == {1: (n, 0), 2: (2, 0), 3: (n, n)}
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(d).collect()} == {1: 1, 2: 2, 3: 1}
+    assert {r.doc_id: r.size for r in mixing.mix(d).collect()} == {1: n, 2: 2, 3: n}
+    assert len(language.predict(d, language.train(d)).collect()) == len(secrets.scan_secrets(d).collect()) == 3
+    assert {r.doc_id: r.decoded_sha256 for r in bpe.encode_documents(d).collect()}[1] == hashlib.sha256(long.encode()).hexdigest()
+    pages = spark.createDataFrame([(1, "http://h/", f"<article>{long}</article>", *more), (None, None, "<p>x</p>", *more)], "page_id long, url string, html string" + extra)
+    assert {r.page_id: r.n_chars for r in html.extract(pages).collect()} == {1: len(long), None: 1}
+    v = spark.createDataFrame([(1, [1.0, 2.0], 1, *more), (2, [1.0, 2.0], 1, *more)], "vec_id long, embedding array<float>, label int" + extra)
+    assert {r.vec_id: r.n_links for r in itq.near_vectors(v).collect()} == {1: 1, 2: 1}
+    assert chroma.fingerprints(chroma.render(v)).count() == 2
+
+
+def test_texts_that_share_a_short_hash_are_not_one(spark):
+    """Two unique texts of one doc_id, or of none, keep all they have, whatever other rows repeat."""
+    rnd = random.Random(8)
+    texts = [" ".join("".join(rnd.choices("abcdefghij", k=6)) for _ in range(60)) for _ in range(400)]
+    d = spark.createDataFrame([(None if i % 2 else 5, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert all(r.n_removed == 0 for r in suffixes.remove_repeats(d).collect())
+    assert all(r.n_removed == 0 for r in debruijn.remove_repeats(d).collect())
+
+
 def test_all_ten_are_registered():
     assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))

@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from textmill.llm import common
 from textmill.llm.secrets import default_vocabulary
 
-#: Distinct chunks that a worker remembers; beyond that it starts anew.
-CACHE = 250_000
+#: Distinct chunks that a worker remembers, and their characters; beyond that it starts anew. Longer chunks are not kept.
+CACHE, CACHE_CHARS, LONG_CHUNK = 250_000, 8_000_000, 1000
 
 
 def byte_characters() -> list[str]:
@@ -94,7 +94,7 @@ class Codec:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(path, "rb") if line.strip())}
         if sorted(ranks.values()) != list(range(len(ranks))):
             raise ValueError(f"the ranks in {path} are not 0 to {len(ranks) - 1}")
-        self.ranks, self.known = ranks, {}
+        self.ranks, self.known, self.chars = ranks, {}, 0
         self.tokens = [t for t, _ in sorted(ranks.items(), key=lambda x: x[1])]
         self.bytes = laid(self.tokens, np.uint8)
         self.names = laid([b"%d " % k for k in range(len(ranks))], np.uint8)
@@ -120,12 +120,18 @@ class Codec:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and how many each text has."""
         parts = [self.split(x) for x in texts]
-        if len(self.known) > CACHE:
+        if len(self.known) > CACHE or self.chars > CACHE_CHARS:
             self.known.clear()
+            self.chars = 0
         if new := [x for x in set().union(*parts) if x not in self.known]:
             self.known |= zip(new, (np.array(x, np.int32).tobytes() for x in self.pieces(new)), strict=True)
         known = self.known.__getitem__
         ids = [b"".join(map(known, x)) for x in parts]
+        for x in new:
+            if len(x) > LONG_CHUNK:
+                del self.known[x]
+            else:
+                self.chars += len(x)
         return np.frombuffer(b"".join(ids), np.int32), np.array([len(x) // 4 for x in ids], np.int64)
 
     def decode(self, ids: np.ndarray) -> bytes:

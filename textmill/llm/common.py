@@ -19,9 +19,11 @@ RUN_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own in a local session; an error on a cluster that names none."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("textmill.own.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("textmill.own.dir", base)
     return base.rstrip("/") + "/textmill"
@@ -103,7 +105,6 @@ def components(edges: DataFrame, kind: str = "long") -> DataFrame:
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = materialize(e, "edges")
-    mark = None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -112,14 +113,13 @@ def components(edges: DataFrame, kind: str = "long") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = materialize(small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
-        now = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        same = new.count() == e.count() and new.join(e, ["u", "v"], "left_anti").isEmpty()
         discard(e)
         e = new
-        if now == mark:
+        if same:
             return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(
                 e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
-        mark = now
 
 
 def keyed(docs: DataFrame) -> DataFrame:

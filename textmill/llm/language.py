@@ -6,8 +6,10 @@ their sizes, within the grams of the landmark texts. Kernel ridge regression, on
 the rest, is solved in the Nyström space of the landmarks. Texts are scored in batches: a presence
 matrix times the landmarks' matrix gives the kernels, and those times the coefficients the scores.
 
-The classifier is fitted on at most ``sample`` labelled rows (a documented bound, about evenly spread
-by a hash of doc_id) of those whose crc32(doc_id) mod 4 is not 2. Predictions see the text alone.
+The classifier is fitted on about ``sample`` labelled rows, twice that at most (a documented bound), of
+those whose crc32(doc_id) mod 4 is not 2 and whose text has at most ``LONGEST`` characters. Each language
+gives an equal part of the sample, or all its rows if it has fewer, drawn by a hash of doc_id and text;
+the ``LANGUAGES`` most frequent ones are learned. Predictions see the text alone, and the whole of it.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0; null and repeated doc_ids
 are rows like any others (a null doc_id is neither held out nor learned from); without labelled rows
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from textmill.llm import common
 
 SAMPLE, LANDMARKS, RIDGE = 3000, 192, 1e-3
+LONGEST, LANGUAGES = 100_000, 1000
 #: A character is its code point if it is a letter and 0 if not; three of them and the lengths' offsets fit 63 bits.
 CLASSES = 0x110000
 UNKNOWN = "und"
@@ -112,10 +115,14 @@ def fit(langs: list[str], sets: list[np.ndarray], landmarks: int = LANDMARKS, ri
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """A model from a bounded sample of the labelled rows that are not held out."""
-    learn = docs.where("lang is not null and pmod(crc32(cast(doc_id as string)), 4) <> 2")
-    n = learn.agg(F.count("*")).first()[0]
-    share = min(1.0, sample / max(1, n))
-    picked = learn.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    learn = docs.where("lang is not null and pmod(crc32(cast(doc_id as string)), 4) <> 2").where(F.length("text") <= LONGEST)
+    counts = learn.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    if not counts:
+        return None
+    part = -(-sample // len(counts))
+    shares = docs.sparkSession.createDataFrame([(r.lang, int(min(1.0, part / r.n) * (1 << 30)) + 1) for r in counts], "learned string, share long")
+    drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(1 << 30))
+    picked = learn.join(F.broadcast(shares), F.col("lang") == F.col("learned")).where(drawn < F.col("share"))  # LANGUAGES rows at most
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [x or "" for x in batch.column("text").to_pylist()]

@@ -8,8 +8,14 @@ similarity reaches the threshold is below ``miss``. A pair is looked at in its f
 
 What is left is verified exactly on the full sets, in the same cell: only members of a surviving pair
 bring their texts. A cell puts out a spanning forest of its verified links, so that a large group never
-puts out all its pairs and no link between groups is lost. A bucket above ``block`` members is dealt to
-tasks as pairs of blocks.
+puts out all its pairs and no link between groups is lost. A bucket above ``block`` members is cut to
+blocks of its members; each is verified by itself, together with a few pivots that all blocks hold. The
+links so far are contracted to components, and only members outside the bucket's largest component meet
+the other blocks, as pairs within a component need no link. So a group of near copies travels once, not
+once for each of its blocks, and what is left open is verified all the same.
+
+Shingles and sets are told apart by 64- and 128-bit hashes of their words; with some thousand shingles in a
+pair of texts the odds that a hash changes a decision are below 1e-12 a pair.
 
 Defined cases: a null or blank text has no shingles and is linked with nothing; a null doc_id is linked
 with nothing, has component null and is kept; rows that repeat both id and text get the same result;
@@ -124,17 +130,35 @@ def forest(n: int, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarr
     return np.unique(np.concatenate(chosen))
 
 
-def buckets(sigs: DataFrame) -> DataFrame:
-    """key, band, n (members) and id: the bands that at least two representatives share."""
+def buckets(sigs: DataFrame, block: int) -> DataFrame:
+    """key, band, n (members), pivots (up to four of them, above ``block`` members) and id: the bands that at least two representatives share."""
     e = sigs.select("id", F.posexplode(F.array(*[F.xxhash64(F.lit(b), F.substring("sig", b * ROWS + 1, ROWS)) for b in range(BANDS)])).alias("band", "key"))
-    n = e.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    mixed = F.xxhash64("id")
+    n = e.groupBy("key").agg(F.count("*").alias("n"), F.array(F.min("id"), F.max("id"), F.min_by("id", mixed), F.max_by("id", mixed)).alias("pivots")).where("n > 1")
+    n = n.withColumn("pivots", F.when(F.col("n") > block, F.col("pivots")).otherwise(F.array().cast("array<bigint>")))
     return e.join(n, "key")
 
 
 def cells(members: DataFrame, block: int) -> DataFrame:
-    """members (key, band, n, id) dealt to cells (key, p, q): a bucket above ``block`` members is cut to blocks, and each pair of blocks is a cell."""
+    """members (key, band, n, pivots, id) dealt to cells (key, p, q), here p = q: the blocks of a bucket above ``block`` members, pivots in each."""
     c = members.withColumn("blocks", F.ceil(F.col("n") / block)).withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
-    c = c.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    c = c.withColumn("p", F.explode(F.when(F.array_contains("pivots", F.col("id")), every).otherwise(F.array("own"))))
+    return c.select("key", "p", F.col("p").alias("q"), F.col("p").alias("own"), "band", "id")
+
+
+def open_cells(members: DataFrame, parts: DataFrame, block: int) -> DataFrame:
+    """Cells of blocks for the buckets above ``block`` members whose members parts (node, component) leaves in several components.
+
+    Members of the largest component are blocks that meet the others' blocks only; those meet each other, too.
+    """
+    big = members.where(F.col("n") > block).join(parts, F.col("id") == F.col("node"), "left").select("key", "band", "id", F.coalesce("component", "id").alias("part"))
+    size = big.groupBy("key", "part").agg(F.count("*").alias("size"))
+    main = size.groupBy("key").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.max("size").alias("most"), F.sum("size").alias("n")).where("most < n")
+    c = big.join(main, "key").withColumn("a", F.ceil(F.col("most") / block)).withColumn("b", F.ceil((F.col("n") - F.col("most")) / block))
+    inner = F.col("part") == F.col("main")
+    c = c.withColumn("own", F.when(inner, F.pmod(F.xxhash64("id"), "a")).otherwise(F.col("a") + F.pmod(F.xxhash64("id"), "b")))
+    c = c.withColumn("other", F.explode(F.sequence(F.when(inner, F.col("a")).otherwise(F.lit(0).cast("long")), F.col("a") + F.col("b") - 1)))
     return c.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "band", "id")
 
 
@@ -176,8 +200,8 @@ def similar(texts: pa.Array, x: np.ndarray, y: np.ndarray, k: int, percent: int)
     return 100 * both >= percent * (size[x] + size[y] - both), both
 
 
-def links(members: DataFrame, sigs: DataFrame, docs: DataFrame, k: int, percent: int, miss: float, block: int) -> DataFrame:
-    """a, b: in each cell a spanning forest of the pairs that reach the threshold exactly."""
+def links(dealt: DataFrame, sigs: DataFrame, docs: DataFrame, k: int, percent: int, miss: float) -> DataFrame:
+    """a, b: in each of the cells a spanning forest of the pairs that reach the threshold exactly."""
     least = least_matches(percent / 100, miss)
 
     def live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +222,7 @@ def links(members: DataFrame, sigs: DataFrame, docs: DataFrame, k: int, percent:
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
-    dealt = in_cells(cells(members, block).join(sigs, "id"), live, "id long, key long, p long, q long, own long, band int")
+    dealt = in_cells(dealt.join(sigs, "id"), live, "id long, key long, p long, q long, own long, band int")
     dealt = common.materialize(dealt, "live")
     return in_cells(dealt.join(sigs, "id").join(texts, "id"), verify, "a long, b long").distinct()
 
@@ -209,7 +233,12 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, miss: float
     ids = own.where("doc_id is not null and n_shingles > 0").select(F.col("doc_id").cast("long").alias("id"), "cls", "sig")
     reps = common.materialize(ids.groupBy("cls").agg(F.min("id").alias("rep")), "classes")
     sigs = ids.join(reps, "cls").where("id = rep").select("id", "sig").distinct()
-    parts = common.components(links(buckets(sigs), sigs, docs, k, percent, miss, block))
+    members = common.materialize(buckets(sigs, block), "members")
+    found = common.materialize(links(cells(members, block), sigs, docs, k, percent, miss), "links")
+    parts = common.components(found)
+    if not members.where(F.col("n") > block).isEmpty():
+        more = links(open_cells(members, common.materialize(parts, "parts"), block), sigs, docs, k, percent, miss)
+        parts = common.components(found.union(more))
     named = reps.join(parts, reps.rep == parts.node, "left").select("cls", F.coalesce("component", "rep").alias("component_id"))
     out = own.join(named.withColumnRenamed("cls", "c"), own.cls == F.col("c"), "left").select(
         "doc_id", "n_shingles",

@@ -115,7 +115,7 @@ def fit(langs: list[str], sets: list[np.ndarray], landmarks: int = LANDMARKS, ri
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """A model from a bounded sample of the labelled rows that are not held out."""
-    learn = docs.where("lang is not null and pmod(crc32(cast(doc_id as string)), 4) <> 2").where(F.length("text") <= LONGEST)
+    learn = docs.select("doc_id", "text", "lang").where("lang is not null and pmod(crc32(cast(doc_id as string)), 4) <> 2").where(F.length("text") <= LONGEST)
     counts = learn.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return None

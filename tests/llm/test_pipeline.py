@@ -77,3 +77,17 @@ def test_columns_and_empty_table(spark, docs):
         assert d.count() == 0
         if k < len(cp.STAGES) - 1:
             assert d.columns == cp.COLUMNS
+
+
+def test_null_and_repeated_ids_pass_every_stage(spark):
+    rnd = random.Random(4)
+    text = lambda: " ".join("".join(rnd.choices("the and ing with that wh".split(), k=3)) for _ in range(40))
+    same = text()
+    data = [(None, text(), "en", None, 0), (None, same, "en", "a", 0), (7, same, "en", "a", 0), (7, same, "en", "a", 0), (8, same, "en", "b", 0), (9, text(), None, "b", 0), (9, text(), "en", "b", 0), (10, "", "en", "b", 0)]
+    data += [(100 + i, text(), "en", "a", 0) for i in range(30)]
+    d = spark.createDataFrame([(*r, 1, "x", "y") for r in data], "doc_id long, text string, lang string, source string, n_chars long, held_out int, cell string, kept string")
+    known, unique, clean, mixed, ids = (x.collect() for x in run(spark, d))
+    assert len(known) == len(data) - 1
+    ids_of = lambda rows: sorted((r.doc_id for r in rows), key=lambda x: -1 if x is None else x)
+    assert ids_of(unique) == ids_of(clean) == [None, None, 7, 7, 9, 9, *range(100, 130)]
+    assert {r.doc_id for r in mixed} <= {r.doc_id for r in clean} and len(ids) == len(mixed)

@@ -2,12 +2,12 @@
 
 Language ID drops documents without a recognised language; near-duplicate removal keeps one document
 of each group (five-word shingles, similarity 0.8); secrets are replaced by their kind in brackets;
-mixing repeats, keeps, cuts or drops documents so that sources reach their target weights; and byte-level
+mixing repeats, keeps, cuts or drops documents so that sources reach their target weights, in blocks by highest quotients; and byte-level
 BPE gives the token ids, checked by decoding.
 
 Defined cases: a null text has no language and goes in the first stage; rows with a null doc_id pass
-near-duplicate removal unlinked; extra columns are dropped by the first stage; an empty table gives
-an empty result.
+near-duplicate removal unlinked; rows that share a doc_id are one document there and stay or go together;
+extra columns are dropped by the first stage; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -253,8 +253,57 @@ def test_report(spark):
     assert [r.step for r in report.top_steps(c).collect()] == ["s", "t"]
     at = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     report.write_report(c, at)
-    assert spark.read.json(f"{at}/results").first().cases == 2 and spark.read.option("header", True).csv(f"{at}/summary").count() == 2
-    assert "".join(r.value + "\n" for r in spark.read.text(f"{at}/report", wholetext=True).collect()).startswith("# Report")
+    r = spark.read.json(f"{at}/results.json").first()
+    assert r.totals.cases == 2 and [x.kind for x in r.by_type] == ["html", "text"] and spark.read.option("header", True).csv(f"{at}/summary.csv").count() == 2
+    w = spark.read.json(f"{at}/website-stats.json").first()
+    assert [x.step for x in w.top_steps] == ["s", "t"] and {x.model for x in w.cost} == {m for m, _ in report.PRICES}
+    assert open(f"{at}/report.md").read().startswith("# Report\n\n2 cases, 1 helped")
+    legs = spark.createDataFrame([("direct", float(i)) for i in range(1, 101)] + [("via", i + 0.5) for i in range(1, 101)] + [("via", None)], "leg string, ms double")
+    stats = report.latency_stats(legs, "leg", "ms")
+    assert {x.leg: (x.n, x.errors, x.p50) for x in stats.collect()} == {"direct": (100, 0, 50.5), "via": (100, 1, 51.0)}
+    assert report.overhead(stats, "leg", "via", "direct").first().p95 == 0.5
+
+
+def test_case_files_and_xml(spark):
+    import os
+
+    at = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    os.mkdir(f"{at}/files")
+    for name in ("a.txt", "b.txt"):
+        open(f"{at}/files/{name}", "w").write(f"text of {name}\nmore")
+    open(f"{at}/manifest.json", "w").write('{"cases": [{"id": "2", "project": "Two", "file": "b.txt"},\n {"id": "1", "project": "one", "file": "a.txt"}]}')
+    assert [(r.id, r.text) for r in sources.read_cases(spark, f"{at}/manifest.json", f"{at}/files").collect()] == [("1", "text of a.txt\nmore"), ("2", "text of b.txt\nmore")]
+    assert [r.id for r in sources.read_cases(spark, f"{at}/manifest.json", f"{at}/files", "TWO").collect()] == ["2"]
+    open(f"{at}/x.xml", "w").write("<rows><row><a>1</a></row><row><a>2</a></row></rows>")
+    assert sorted(r.a for r in sources.read_xml(spark, f"{at}/x.xml", "row").collect()) == [1, 2]
+
+
+def test_a_day_closes_and_late_rows_are_dropped(spark):
+    from datetime import datetime
+
+    at = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    for k, days in enumerate([[1, 1], [4], [1, 4], [9]]):
+        full = [(datetime(2024, 1, d, 1), d, "p", True, None, ["html"], 10, 4, 0, 1, 1.0, None, 40, 16) for d in days]
+        spark.createDataFrame(full, EVENT).coalesce(1).write.parquet(f"{at}/in/{k}")
+    for k in range(4):
+        stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(f"{at}/in/[0-{k}]")
+        streams.run_to_folder(streams.stream_daily(stream), f"{at}/out", f"{at}/ck")
+    found = {r.day.day: r.requests for r in spark.read.parquet(f"{at}/out").collect()}
+    assert found == {1: 2, 4: 2}
+    totals = streams.run_to_table(streams.stream_totals(spark.readStream.schema(EVENT).parquet(f"{at}/in/*")), f"{at}/totals", f"{at}/ck2").first()
+    assert totals.requests == 6
+
+
+def test_stream_reuses_stored_results(spark):
+    at, schema = tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "digest string, n int, schema_version int"
+    fn = lambda t: t.select("digest", F.length("text").alias("n"))
+    for k, texts in enumerate([["a", "bb"], ["bb", "ccc"]]):
+        spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1).write.parquet(f"{at}/in/{k}")
+    for k in range(2):
+        stream = spark.readStream.schema("text string").parquet(f"{at}/in/[0-{k}]").withColumn("digest", F.sha2("text", 256))
+        streams.stream_reuse(stream, f"{at}/store", fn, schema, f"{at}/out", f"{at}/ck").awaitTermination()
+    found = sorted((r.batch, r.n, r.hit) for r in spark.read.parquet(f"{at}/out").collect())
+    assert found == [(0, 1, False), (0, 2, False), (1, 2, True), (1, 3, False)] and spark.read.parquet(f"{at}/store").count() == 3
 
 
 def test_tables(spark):

@@ -671,19 +671,19 @@ def rules_apply(spark, d):
 @query(f"with {EVENTS}, s as (select cast(ts as date) as day, {STATS} from oe group by 1) select day, requests, optimized, tokens_before, tokens_after, cache_hits, tokens_before - tokens_after as tokens_saved from s")
 def stream_daily(spark, d):
     s = streams.stream_daily(streams.event_stream(spark, f"{d}/[e]vents.parquet"))
-    return streams.run_to_table(s, f"daily_{uuid.uuid4().hex}", shared(spark, "daily")).select("day", "requests", "optimized", "tokens_before", "tokens_after", "cache_hits", "tokens_saved")
+    return streams.run_to_table(s, shared(spark, "daily"), shared(spark, "daily-state")).select("day", "requests", "optimized", "tokens_before", "tokens_after", "cache_hits", "tokens_saved")
 
 
 @query(f"with {EVENTS}, s as (select {STATS} from oe) select *, {DERIVED} from s")
 def stream_totals(spark, d):
     s = streams.stream_totals(streams.event_stream(spark, f"{d}/[e]vents.parquet"))
-    return streams.run_to_table(s, f"totals_{uuid.uuid4().hex}", shared(spark, "totals")).select(*NAMES)
+    return streams.run_to_table(s, shared(spark, "totals"), shared(spark, "totals-state")).select(*NAMES)
 
 
 @query(ORACLE["analytics_tallies"])
 def stream_tallies(spark, d):
     s = streams.stream_tallies(streams.event_stream(spark, f"{d}/[e]vents.parquet"))
-    return streams.run_to_table(s, f"tallies_{uuid.uuid4().hex}", shared(spark, "tallies"))
+    return streams.run_to_table(s, shared(spark, "tallies"), shared(spark, "tallies-state"))
 
 
 @query("select count(*) as contents from (select distinct provider, transformers_csv, tokens_before from (with " + EVENTS + " select * from oe))")

@@ -46,8 +46,8 @@ def latency_stats(df: DataFrame, by: str, value: str) -> DataFrame:
     """count, errors (rows without a value), mean, p50, p95, p99 and worst of each leg."""
     every = df.groupBy(by).agg(F.count(value).alias("n"), (F.count("*") - F.count(value)).alias("errors"), F.round(F.avg(value), 6).alias("mean"), F.max(value).alias("worst"))
     q = lambda p: F.round(F.percentile("v", F.lit(p), F.col("n")), 6)
-    p = distinct_values(df, by, value).groupBy(F.col(by).alias("leg")).agg(q(0.5).alias("p50"), q(0.95).alias("p95"), q(0.99).alias("p99"))
-    return every.join(p, F.equal_null(F.col(by), F.col("leg")), "left").select(by, "n", "errors", "mean", "p50", "p95", "p99", "worst")
+    p = distinct_values(df, by, value).groupBy(F.col(by).alias("of_group")).agg(q(0.5).alias("p50"), q(0.95).alias("p95"), q(0.99).alias("p99"))
+    return every.join(p, F.equal_null(F.col(by), F.col("of_group")), "left").select(by, "n", "errors", "mean", "p50", "p95", "p99", "worst")
 
 
 def overhead(stats: DataFrame, by: str, leg: str, base: str) -> DataFrame:
@@ -59,8 +59,8 @@ def overhead(stats: DataFrame, by: str, leg: str, base: str) -> DataFrame:
 def timing_stats(df: DataFrame, by: str, ms: str, size: str) -> DataFrame:
     """Median and least time of repeated runs, and the throughput of the median one."""
     s = df.groupBy(by).agg(F.min(ms).alias("least_ms"), F.sum(size).alias("bytes"), F.count("*").alias("runs"))
-    m = distinct_values(df, by, ms).groupBy(F.col(by).alias("leg")).agg(F.percentile("v", F.lit(0.5), F.col("n")).alias("median_ms"))
-    s = s.join(m, F.equal_null(F.col(by), F.col("leg")), "left").drop("leg")
+    m = distinct_values(df, by, ms).groupBy(F.col(by).alias("of_group")).agg(F.percentile("v", F.lit(0.5), F.col("n")).alias("median_ms"))
+    s = s.join(m, F.equal_null(F.col(by), F.col("of_group")), "left").drop("of_group")
     return s.withColumn("mb_s", F.round(F.col("bytes") / F.col("runs") / 1e6 / (F.col("median_ms") / 1000), 6))
 
 
@@ -91,19 +91,38 @@ def cold_warm(contents: DataFrame, store_path: str, fn, schema: str, passes: int
     return out
 
 
+def single_file(rows: DataFrame, path: str) -> None:
+    """rows (one column, value) as one text file at path; for results of a few rows."""
+    spark = rows.sparkSession
+    rows.coalesce(1).write.mode("overwrite").text(f"{path}.parts")
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    part = fs.globStatus(fs_path(f"{path}.parts/part-*"))[0].getPath()
+    fs.delete(fs_path(path), False)
+    fs.rename(part, fs_path(path))
+    fs.delete(fs_path(f"{path}.parts"), True)
+
+
 def write_report(cases: DataFrame, out: str) -> None:
-    """results and by_type as JSON, summary as CSV (one file each, sorted, without timings), and a Markdown text.
+    """results.json (totals, by type), website-stats.json (totals, the five top steps, cost), report.md, and summary.csv, a folder with a row a case in order.
 
-    What is written in one file is the report itself: totals and rows by type; the summary has a row a case.
+    None of them holds a time, so equal cases give equal files.
     """
-    totals = suite_totals(cases)
-    totals.coalesce(1).write.mode("overwrite").json(f"{out}/results")
-    file_type_stats(cases).coalesce(1).write.mode("overwrite").json(f"{out}/by_type")
-    case_table(cases).write.mode("overwrite").option("header", True).csv(f"{out}/summary")
+    totals, kinds = suite_totals(cases), file_type_stats(cases)
+    every = lambda df, name: df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias(name))
+    by_kind = every(kinds.select("kind", "cases", "avg_points"), "by_type")
+    top = top_steps(cases, 5)
+    steps = top.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "step", "n"))), lambda x: F.struct(x["step"].alias("step"), x["n"].alias("n"))).alias("top_steps"))
+    prices = cases.sparkSession.createDataFrame(PRICES, "model string, usd double")
+    cost = every(cost_by_provider(totals, prices), "cost")
+    whole = F.struct(*totals.columns).alias("totals")
+    single_file(totals.select(whole).crossJoin(by_kind).select(F.to_json(F.struct("totals", "by_type")).alias("value")), f"{out}/results.json")
+    single_file(totals.select(whole).crossJoin(steps).crossJoin(cost).select(F.to_json(F.struct("totals", "top_steps", "cost")).alias("value")), f"{out}/website-stats.json")
+    case_table(cases).write.mode("overwrite").option("header", True).csv(f"{out}/summary.csv")
     line = F.concat_ws(" | ", F.lit(""), "kind", F.col("cases").cast("string"), F.format_number(F.col("avg_points") / 100, 2), F.lit(""))
-    rows = file_type_stats(cases).agg(F.array_join(F.array_sort(F.collect_list(F.trim(line))), "\n").alias("body"))
+    rows = kinds.agg(F.array_join(F.array_sort(F.collect_list(F.trim(line))), "\n").alias("body"))
     head = F.concat(
         F.lit("# Report\n\n"), F.col("cases").cast("string"), F.lit(" cases, "), F.col("cases_helped").cast("string"), F.lit(" helped, tokens "),
         F.col("tokens_before").cast("string"), F.lit(" to "), F.col("tokens_after").cast("string"), F.lit("\n\n| type | cases | mean % |\n|---|---|---|\n"),
     )
-    totals.crossJoin(F.broadcast(rows)).select(F.concat(head, "body").alias("value")).coalesce(1).write.mode("overwrite").text(f"{out}/report")
+    single_file(totals.crossJoin(rows).select(F.concat(head, "body").alias("value")), f"{out}/report.md")

@@ -51,11 +51,14 @@ def read_cases(spark: SparkSession, manifest: str, root: str, project: str | Non
 
 
 def read_table_auto(spark: SparkSession, path: str) -> DataFrame:
-    """A delimited file with a header, its delimiter inferred from its first lines."""
+    """Delimited files with a header, the delimiter inferred from the first lines of the first file."""
     from textmill.operators.tables import infer_delimiter
 
-    lines = spark.read.text(path).select(F.lit(path).alias("file"), F.monotonically_increasing_id().alias("ix"), F.col("value").alias("line"))
-    sep = infer_delimiter(lines.orderBy("ix").limit(20)).first()
+    # a file's parts are ordered by where they start, and lines within a part by their number
+    at = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), at.alias("ix"), F.col("value").alias("line"))
+    first = lines.where(F.col("ix.start") == 0).agg(F.min("file")).first()[0]
+    sep = infer_delimiter(lines.where((F.col("file") == first) & (F.col("ix.start") == 0))).first() if first else None
     return spark.read.option("header", True).option("sep", sep.delimiter if sep else ",").csv(path)
 
 

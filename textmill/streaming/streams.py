@@ -64,11 +64,27 @@ def stream_optimize(stream: DataFrame, bodies: str, events: str, checkpoint: str
     return stream.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def run_to_table(result: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there and returns its result as a table."""
-    q = result.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return result.sparkSession.table(name)
+def run_to_table(result: DataFrame, folder: str, checkpoint: str, mode: str = "complete") -> DataFrame:
+    """Runs a stream over what is there and returns its result as a table: each batch writes a version, the last one counts."""
+    last = [-1]
+
+    def put(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/v{epoch}")
+        last[0] = max(last[0], epoch)
+
+    result.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    spark = result.sparkSession
+    return spark.read.schema(result.schema).parquet(f"{folder}/v{last[0]}") if last[0] >= 0 else spark.createDataFrame([], result.schema)
+
+
+def stream_reuse(stream: DataFrame, store_path: str, fn, schema: str, out: str, checkpoint: str) -> StreamingQuery:
+    """Each batch of (…, digest, text) against the stored results: what is known is joined, what is new is computed and appended."""
+    from textmill.operators.store import run_incremental
+
+    def update(batch: DataFrame, epoch: int) -> None:
+        run_incremental(batch, store_path, fn, schema).write.mode("overwrite").parquet(f"{out}/batch={epoch}")
+
+    return stream.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def run_to_folder(result: DataFrame, folder: str, checkpoint: str) -> DataFrame:

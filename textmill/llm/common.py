@@ -105,6 +105,7 @@ def components(edges: DataFrame, kind: str = "long") -> DataFrame:
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = materialize(e, "edges")
+    size = -1
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -113,9 +114,10 @@ def components(edges: DataFrame, kind: str = "long") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = materialize(small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
-        same = new.count() == e.count() and new.join(e, ["u", "v"], "left_anti").isEmpty()
+        now = new.count()
+        same = now == size and new.join(e, ["u", "v"], "left_anti").isEmpty()
         discard(e)
-        e = new
+        e, size = new, now
         if same:
             return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(
                 e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -235,11 +235,15 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, miss: float
     sigs = ids.join(reps, "cls").where("id = rep").select("id", "sig").distinct()
     members = common.materialize(buckets(sigs, block), "members")
     found = common.materialize(links(cells(members, block), sigs, docs, k, percent, miss), "links")
-    parts = common.components(found)
-    if not members.where(F.col("n") > block).isEmpty():
-        more = links(open_cells(members, common.materialize(parts, "parts"), block), sigs, docs, k, percent, miss)
-        parts = common.components(found.union(more))
+    parts = common.materialize(common.components(found), "parts")
     named = reps.join(parts, reps.rep == parts.node, "left").select("cls", F.coalesce("component", "rep").alias("component_id"))
+    if not members.where(F.col("n") > block).isEmpty():
+        more = common.materialize(links(open_cells(members, parts, block), sigs, docs, k, percent, miss), "links")
+        if not more.isEmpty():
+            # links between components, by the components' names
+            label = lambda d, c: d.join(parts.select(F.col("node").alias(f"n_{c}"), F.col("component").alias(f"c_{c}")), F.col(c) == F.col(f"n_{c}"), "left").withColumn(c, F.coalesce(f"c_{c}", c)).select("a", "b")
+            joined = common.components(label(label(more, "a"), "b").distinct())
+            named = named.join(joined, F.col("component_id") == F.col("node"), "left").select("cls", F.coalesce("component", "component_id").alias("component_id"))
     out = own.join(named.withColumnRenamed("cls", "c"), own.cls == F.col("c"), "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id").cast("long")).alias("component_id"),

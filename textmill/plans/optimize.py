@@ -20,18 +20,18 @@ def by_content(rows: DataFrame, fn, key: str) -> DataFrame:
     return keyed.join(done, key).drop(key)
 
 
-def clean(contents: DataFrame, prompts: bool = False, csv: bool = False, rules: Rules | None = None) -> DataFrame:
+def clean(contents: DataFrame, prompts: bool = False, csv: bool = False, rules: Rules | None = None, html: bool = True) -> DataFrame:
     """Rows with text, classified, cleaned by the rule of their type, measured, growth undone (the preview of a content).
 
     Texts and JSON are cleaned in place. Pages, and prompts if these are asked for, take several steps over
-    their blocks, once for each distinct text. A rule that is registered for a type comes before the built-in
+    their blocks, once for each distinct text; html says that there may be pages. A rule that is registered for a type comes before the built-in
     cleaner if its priority is lower than 100.
     """
     d = detect.detect(contents, prompts=prompts, csv=csv, extra=rules.detectors() if rules else None)
     d = d.withColumn("transformer", rules.route(F.col("content_type")) if rules else detect.route(F.col("content_type")))
     empty, kind = F.array().cast(NONE), F.col("transformer")
-    many = ["html", "prompt"] if prompts else ["html"]
-    plain = normalize_text(d.where(kind.isNull() | ~kind.isin(many)))
+    many = ["html"] * html + ["prompt"] * prompts
+    plain = normalize_text(d.where(kind.isNull() | ~kind.isin(many)) if many else d)
     small = minify_json(F.col("text"))
     if csv:
         plain = sealed(plain.withColumn("delimiter", F.when(kind == "csv", detect.csv_delimiter(F.col("text")))), "delimiter")
@@ -42,7 +42,9 @@ def clean(contents: DataFrame, prompts: bool = False, csv: bool = False, rules:
     plain = plain.withColumn("steps", steps).withColumn("cleaned", cleaned).drop("table")
     if rules:
         plain = rules.apply_named(plain, "transformer")
-    parts = [plain, by_content(d.where(kind == "html"), lambda t: pages.pages_to_markdown(t, "text", "page_key"), "page_key")]
+    parts = [plain]
+    if html:
+        parts.append(by_content(d.where(kind == "html"), lambda t: pages.pages_to_markdown(t, "text", "page_key"), "page_key"))
     if prompts:
         parts.append(by_content(d.where(kind == "prompt"), lambda t: dedupe.dedupe_prompts(t.withColumnRenamed("prompt_key", "doc_id")).withColumnRenamed("doc_id", "prompt_key"), "prompt_key"))
     out = parts[0]
@@ -53,11 +55,17 @@ def clean(contents: DataFrame, prompts: bool = False, csv: bool = False, rules:
 
 
 def results(segs: DataFrame, prompts: bool = False, csv: bool = False, rules: Rules | None = None) -> DataFrame:
-    """One result for each segment: each distinct text is cleaned once and joined back; repeats are cache hits."""
+    """One result for each segment: each distinct text is cleaned once and joined back; repeats are cache hits.
+
+    The distinct texts are checkpointed, as several cleaners read them; without a tag in any, none is a page.
+    """
+    dedupe.checkpointed(segs.sparkSession)
     keyed = segs.withColumn("digest", F.sha2("text", 256))
     order = F.struct("request_id", "seg_ix", "part_ix")
     once = keyed.groupBy("digest").agg(F.min(order).alias("first"), F.first("text").alias("text"))
-    done = clean(once, prompts, csv, rules).drop("text")
+    once = once.checkpoint()
+    tagged = rules is not None or not once.where(F.contains("text", F.lit("<"))).isEmpty()
+    done = clean(once, prompts, csv, rules, tagged).drop("text")
     return keyed.join(done, "digest").withColumn("cache_hit", order != F.col("first")).drop("first")
 
 

@@ -178,6 +178,95 @@ def test_prompt_dedupe(spark):
     assert found == {1: "Requirements:\n- be short\n\nNotes:\n- be short\n\n```\nx\n\nx\n```\n\nSame. Other.", 2: "plain"}
 
 
+def brute_prompt(text):
+    """De-duplication of a prompt, a line at a time, until nothing goes; then the normalisation. Returns text and steps."""
+    import re
+
+    first, steps = text, []
+    text = text.replace("\r\n", "\n").replace("\r", "\n")
+
+    def marked(text):
+        fences, heading, out = 0, "", []
+        for line in text.split("\n"):
+            is_fence = bool(re.match(dedupe.FENCE, line))
+            fences += is_fence
+            fenced = fences % 2 == 1 or is_fence
+            is_heading = not fenced and bool(re.match(dedupe.HEADING, line))
+            heading = line.strip() if is_heading else heading
+            out.append((line, fenced, not fenced and not is_heading and bool(re.match(dedupe.ITEM, line)), is_heading, heading))
+        return out
+
+    while True:
+        fired, seen, kept = [], set(), []
+        for line, _, item, _, heading in marked(text):
+            if item and (heading, line.strip()) in seen:
+                fired.append("removed_duplicate_list_items")
+                continue
+            seen |= {(heading, line.strip())} if item else set()
+            kept.append(line)
+        blocks, new = [], True
+        for line, fenced, item, is_heading, _ in marked("\n".join(kept)):
+            if not fenced and not line.strip():
+                new = True
+                continue
+            if new:
+                blocks.append([])
+            blocks[-1].append((line, item, is_heading))
+            new = False
+        seen, opened, kept = set(), set(), []
+        for b in blocks:
+            key, only = "\n".join(x[0].rstrip() for x in b), all(x[1] for x in b)
+            opens = b[0][0].strip() if b[0][2] else None
+            bare, again = len(b) == 1 and opens is not None, not only and key in seen
+            gone = opens in opened if bare else again
+            if opens is not None and (not again or bare):
+                opened.add(opens)
+            if not only:
+                seen.add(key)
+            if gone:
+                fired.append("removed_duplicate_blocks")
+            else:
+                kept.append("\n".join(x[0] for x in b))
+        out = []
+        for line, fenced, item, is_heading, _ in marked("\n\n".join(kept)):
+            parts = re.split(r"(?<=[.!?])\s+", line)
+            own = [x for i, x in enumerate(parts) if i == 0 or x != parts[i - 1] or x == ""]
+            if len(own) < len(parts) and not (fenced or item or is_heading or "`" in line):
+                fired.append("removed_duplicate_sentences")
+                line = " ".join(own)
+            out.append(line)
+        text = "\n".join(out)
+        steps += [x for x in ("removed_duplicate_list_items", "removed_duplicate_blocks", "removed_duplicate_sentences") if x in fired and x not in steps]
+        if not fired:
+            break
+    stages = [("stripped_trailing_whitespace", lambda t: re.sub(r"(?m)[ \t]+$", "", t)), ("collapsed_blank_lines", lambda t: re.sub("\n{3,}", "\n\n", t))]
+    normal = []
+    for name, fn in stages:
+        if fn(text) != text:
+            normal.append(name)
+        text = fn(text)
+    paragraphs = text.split("\n\n")
+    kept = [p for i, p in enumerate(paragraphs) if not p.strip() or i == 0 or p.strip() != paragraphs[i - 1].strip()]
+    if kept != paragraphs:
+        normal.append("removed_duplicate_paragraphs")
+    text = "\n\n".join(kept)
+    if not normal and text.strip() != text:
+        normal = ["stripped_trailing_whitespace"]
+    return text.strip(), [] if text.strip() == first else steps + normal
+
+
+def test_prompts_equal_a_loop_over_lines(spark):
+    import random
+
+    rnd = random.Random(3)
+    bits = ["Rules:", "# Head", "- one", "- two", "* one", "1. a", "Same. Same. Other.", "Go on. Go on.", "plain text", "plain text  ", "```", "", "", "x `c` x. x `c` x."]
+    data = [(i, rnd.choice(["\n", "\n", "\r\n"]).join(rnd.choices(bits, k=rnd.randint(1, 25)))) for i in range(150)] + [(900, ""), (901, " \n\n "), (902, None)]
+    found = {r.doc_id: (r.cleaned, r.steps) for r in dedupe.dedupe_prompts(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert len(found) == len(data) and found[902] == (None, [])
+    wrong = [(t, found[i], brute_prompt(t)) for i, t in data if t is not None and found[i] != brute_prompt(t)]
+    assert not wrong, wrong[0]
+
+
 def test_pages(spark):
     h = '<html><head><title>T &amp; t</title></head><body><nav>n</nav><h2>H</h2><p>one <b>two</b> <a href="http://x/">l</a><p>three<ul><li>i</li></ul><div class="ad">x</div><script>"</p>"</script></body></html>'
     p = pages.strip_page_noise(spark.createDataFrame([(1, h)], "page_id long, html string"))

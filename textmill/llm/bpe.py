@@ -25,7 +25,7 @@ from textmill.llm import common
 from textmill.llm.secrets import default_vocabulary
 
 #: Distinct chunks that a worker remembers, and their characters; beyond that it starts anew. Longer chunks are not kept.
-CACHE, CACHE_CHARS, LONG_CHUNK = 250_000, 8_000_000, 1000
+CACHE, CACHE_CHARS, LONG_CHUNK = 150_000, 8_000_000, 1000
 
 
 def byte_characters() -> list[str]:

@@ -146,12 +146,12 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) ->
     def label(batch: pa.RecordBatch) -> pa.RecordBatch:
         m, texts = own.value, [x or "" for x in batch.column("text").to_pylist()]
         best, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
-        for lo in range(0, len(texts) if m else 0, 512):
-            k, letter = kernels(m, texts[lo : lo + 512])
+        for lo in range(0, len(texts) if m else 0, 128):
+            k, letter = kernels(m, texts[lo : lo + 128])
             s = k @ m.weights
             top = s.argmax(1)
-            best[lo : lo + 512][letter] = np.array(m.labels, object)[top[letter]]
-            score[lo : lo + 512][letter] = np.clip(s[np.arange(len(s)), top], 0, 1)[letter]
+            best[lo : lo + 128][letter] = np.array(m.labels, object)[top[letter]]
+            score[lo : lo + 128][letter] = np.clip(s[np.arange(len(s)), top], 0, 1)[letter]
         cols = [batch.column(c) for c in dict.fromkeys(("doc_id", "held_out", *keep))]
         return pa.RecordBatch.from_arrays([*cols, pa.array(best, pa.string()), pa.array(score)], names=[*dict.fromkeys(("doc_id", "held_out", *keep)), "lang_pred", "score"])
 

@@ -149,8 +149,10 @@ def neighbours(words: DataFrame) -> DataFrame:
     """word and near: each pair of words at one inserted, deleted or replaced character, in both directions."""
     both = words.select("id", F.lit(False).alias("back"), "word").union(words.select(-1 - F.col("id"), F.lit(True), F.reverse("word")))
     edges = common.materialize(trie_edges(both), "edges")
-    none, zero = F.lit(None).cast("int"), F.lit(0).cast("long")
-    states = both.select("word", "back", F.lit(0).alias("edits"), F.lit(0).alias("position"), root_node(F.col("back")).alias("node"), zero.alias("low"), zero.alias("high"), none.alias("place"), none.alias("put"))
+    none = F.lit(None).cast("int")
+    #: Every character may follow the root; those that do not meet no edge.
+    letters = F.lit(sum(1 << k for k in range(1, 27))).cast("long"), F.lit(-1).cast("long")
+    states = both.select("word", "back", F.lit(0).alias("edits"), F.lit(0).alias("position"), root_node(F.col("back")).alias("node"), letters[0].alias("low"), letters[1].alias("high"), none.alias("place"), none.alias("put"))
     paths, level = [], 0
     over = F.col("position") == F.length("word")
     while level == 0 or not states.isEmpty():

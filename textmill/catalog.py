@@ -5,15 +5,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textmill import views
-from textmill.functions import measures, text
+from textmill.functions import json_text, measures, text
 from textmill.operators import dedupe, detect, json_rows, pages, policy, rules, segments, store, tables
 from textmill.plans import analytics, optimize, report
 from textmill.sources import requests as sources
-from textmill.streaming import streams
+from textmill.streaming import state, streams
 from textmill.views import DIRTY, EVENTS, spread, table, tokens_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -189,6 +189,27 @@ def json_prune_empty(spark, d):
     return s.select("s_suppkey", F.to_json(json_rows.prune_empty(v, s.select(v.alias("v")).schema["v"].dataType)).alias("pruned"))
 
 
+@query("""select event_id, case k % 3 when 0 then '{"a":{"x":' || event_id || '},"b":[{"k":[' || k || ',{"z":2}]},[]],"c":{}}' when 1 then '{"a":{"d":' || event_id || '},"b":{"c":1}}' else '{"a":[' || k || ',2],"b":"é \\" /"}' end as compacted,
+case k % 3 when 2 then 'minified_json' else 'collapsed_duplicate_keys,minified_json' end as steps from (select event_id, cast(json_extract_string(props, '$.k') as int) as k from events)""".replace("\\\\", "\\"))
+def json_collapse(spark, d):
+    """Events as JSON that repeats keys at several depths, within arrays, and after unescaping; the last value stays, where the first one stood."""
+    e = table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    wide = F.expr("""case k % 3 when 0 then concat('{"a": {"x": 1, "\\\\u0078": ', event_id, '}, "b": [{"k": {"k": 3}, "k": [', k, ', {"z": 1, "z": 2}]}, []], "c": {}}')
+      when 1 then concat('{"a":1,"b":{"c":0,"c":1},"a":{"d":', event_id, '}}') else concat('{"a":[', k, ', 2], "b":"\\\\u00e9 \\\\" \\\\/"}') end""")
+    found = e.select("event_id", json_text.compact_json(wide).alias("j"))
+    return found.select("event_id", F.col("j.cleaned").alias("compacted"), F.array_join("j.steps", ",").alias("steps"))
+
+
+@query("""select event_id, case k % 3 when 0 then '{"n":' || event_id || ',"s":"","z":null}' when 1 then '[' || event_id || ',"{}"]' else '{}' end as pruned, 'removed_empty_containers,minified_json' as steps
+from (select event_id, cast(json_extract_string(props, '$.k') as int) as k from events)""")
+def json_prune_any(spark, d):
+    """Empty containers go from JSON of any shape, bottom-up."""
+    e = table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    wide = F.expr("""case k % 3 when 0 then concat('{"a":{"b":[]},"n":', event_id, ',"s":"","z":null}') when 1 then concat('[[],[{}],{"x":[{"y":{}}]},', event_id, ',"{}"]') else '{"a":{"b":{"c":{}}},"d":[[[]]]}' end""")
+    found = e.select("event_id", json_text.compact_json(wide, prune=True).alias("j"))
+    return found.select("event_id", F.col("j.cleaned").alias("pruned"), F.array_join("j.steps", ",").alias("steps"))
+
+
 # Classification and policy ---------------------------------------------------------------------
 
 
@@ -232,12 +253,28 @@ def detect_mime(spark, d):
     return p.select("page_id", detect.mime_type_of(F.col("mime")).alias("declared"))
 
 
-@query("select page_id, case page_id % 8 when 0 then 'html' when 1 then 'pdf' when 2 then 'docx' when 3 then 'csv' when 4 then 'text' when 7 then 'xml' else 'unknown' end as format from pages")
+def stored_zip(name: Column, data: Column) -> Column:
+    """A ZIP archive with one member that is stored as it is, and a comment."""
+    number = lambda n, size: F.unhex(F.array_join(F.reverse(F.regexp_extract_all(F.lpad(F.hex(n.cast("long")), 2 * size, "0"), F.lit("(..)"), F.lit(1))), ""))
+    n, size = number(F.octet_length(name), 2), number(F.octet_length(data), 4)
+    zeros = lambda k: F.lit(bytes(k))
+    head = F.concat(zeros(16), size, size, n)  # versions, method, time and checksum, then the sizes
+    local = F.concat(F.lit(b"PK\x03\x04"), zeros(10), zeros(4), size, size, n, zeros(2), name, data)
+    entry = F.concat(F.lit(b"PK\x01\x02"), head, zeros(16), name)
+    end = F.concat(F.lit(b"PK\x05\x06"), zeros(4), number(F.lit(1), 2), number(F.lit(1), 2), number(F.octet_length(entry), 4), number(F.octet_length(local), 4), number(F.lit(7), 2), F.lit(b"PK\x05word"))
+    return F.concat(local, entry, end)
+
+
+@query("select page_id, case page_id % 8 when 0 then 'html' when 1 then 'pdf' when 2 then case when page_id % 16 = 2 then 'docx' else 'unknown' end when 3 then 'csv' when 4 then 'text' when 7 then 'xml' else 'unknown' end as format from pages")
 def detect_document_format(spark, d):
-    """Pages as documents: as they are, behind the heads of other formats, cut as text with zeros and blanks, and with bytes that are no text."""
-    p = table(spark, d, "pages").withColumn("data", F.expr(r"""case page_id % 8 when 0 then cast(concat(' \n', html) as binary) when 1 then cast(concat('%PDF-1.7 ', html) as binary) when 2 then cast(concat('PK', chr(3), chr(4), 'word/document.xml') as binary)
+    """Pages as documents: as they are, behind the heads of other formats, cut as text with zeros and blanks, with bytes that are no text, and
+    stored in ZIP archives with a comment, as the document of an office file or as text next to which its name is only content."""
+    p = table(spark, d, "pages").withColumn("data", F.expr(r"""case page_id % 8 when 0 then cast(concat(' \n', html) as binary) when 1 then cast(concat('%PDF-1.7 ', html) as binary) when 2 then cast('' as binary)
         when 3 then cast(concat('page,n\n', page_id, ',10\n') as binary) when 4 then cast(concat('hello \n', regexp_replace(substring(html, 16), '<', ' ')) as binary)
         when 5 then concat(unhex('FFFE8199C328'), cast(html as binary)) when 6 then concat(cast(html as binary), unhex('00'), cast(html as binary)) else cast(concat('<?xml version="1.0"?>', html) as binary) end"""))
+    office = F.col("page_id") % 16 == 2
+    name, other = (F.lit(x.encode()) for x in ("word/document.xml", "notes/any-file.xml"))
+    p = p.withColumn("data", F.when(F.col("page_id") % 8 == 2, F.when(office, stored_zip(name, F.col("html").cast("binary"))).otherwise(stored_zip(other, F.concat(name, F.col("html").cast("binary"))))).otherwise(F.col("data")))
     p = p.withColumn("data", F.when(F.col("page_id") % 8 == 6, F.concat(F.lit(b"\x00"), F.col("data"))).otherwise(F.col("data")))
     return p.select("page_id", detect.detect_format(F.col("data"), F.lit(None).cast("string"), F.when(F.col("page_id") % 8 == 3, "t.CSV").otherwise("t")).alias("format"))
 
@@ -431,9 +468,9 @@ RULESET = store.fingerprint([("text", "1"), ("json", "1"), ("html", "1")])
 OPTIONS = store.options_fingerprint({"max_blank_lines": 1, "inline": False})
 
 
-@query(f"select doc_id, sha256('text' || chr(31) || sha256(text) || chr(31) || '{RULESET}' || chr(31) || '1' || chr(31) || '{OPTIONS}' || chr(31) || 'heuristic' || chr(31) || source) as digest from documents where source is not null")
+@query(f"select doc_id, sha256('text' || chr(31) || coalesce(sha256(text), chr(30)) || chr(31) || '{RULESET}' || chr(31) || '1' || chr(31) || '{OPTIONS}' || chr(31) || 'heuristic' || chr(31) || coalesce(source, chr(30))) as digest from documents")
 def store_digest(spark, d):
-    docs = table(spark, d, "documents").where("source is not null")
+    docs = table(spark, d, "documents")
     return docs.select("doc_id", store.digest(F.col("text"), RULESET, OPTIONS, qualifier=F.col("source")).alias("digest"))
 
 
@@ -572,9 +609,13 @@ def analytics_stats_view(spark, d):
 # Report ----------------------------------------------------------------------------------------
 
 
-@query(f"with {CASES} select count(*) as cases, count(*) filter (where len(steps) > 0 and tokens_before > tokens_after) as cases_helped, cast(sum(tokens_before) as bigint) as tokens_before, cast(sum(tokens_after) as bigint) as tokens_after, cast(sum(bytes_before) as bigint) as bytes_before, cast(sum(bytes_after) as bigint) as bytes_after, round(100.0::double * sum(tokens_before - tokens_after) / sum(tokens_before), 2) as overall_pct, round(avg(case when tokens_before > 0 then round(100.0::double * (tokens_before - tokens_after) / tokens_before, 2) else 0 end), 2) as mean_pct from cases")
+@query(f"""with {CASES} select count(*) as cases, count(*) filter (where len(steps) > 0 and tokens_before > tokens_after) as cases_helped, cast(sum(tokens_before) as bigint) as tokens_before, cast(sum(tokens_after) as bigint) as tokens_after, cast(sum(bytes_before) as bigint) as bytes_before, cast(sum(bytes_after) as bigint) as bytes_after, round(100.0::double * sum(tokens_before - tokens_after) / sum(tokens_before), 2) as overall_pct, round(avg(case when tokens_before > 0 then round(100.0::double * (tokens_before - tokens_after) / tokens_before, 2) else 0 end), 2) as mean_pct,
+round((select avg(case when doc_id <> first then 1 else 0 end) from (select doc_id, min(doc_id) over (partition by text) as first from dirty)), 4) as hit_rate from cases""")
 def report_totals(spark, d):
-    return report.suite_totals(cases(spark, d))
+    """The suite's sums; a case whose text another case has had before is served from the store."""
+    c = cases(spark, d)
+    own = Window.partitionBy(F.sha2("text", 256))
+    return report.suite_totals(c.withColumn("cache_hit", F.col("doc_id") != F.min("doc_id").over(own)))
 
 
 @query(f"with {CASES}, s as (select kind, count(*) as cases, cast(sum(floor((tokens_before - tokens_after) * 10000 / greatest(tokens_before, 1))) as bigint) as pct_points from cases group by kind) select *, cast(floor(pct_points / cases) as bigint) as avg_points from s")
@@ -600,6 +641,14 @@ def report_latency(spark, d):
     return report.latency_stats(table(spark, d, "events"), "event_type", "value")
 
 
+@query("select event_type, count(value) as n, count(*) - count(value) as errors, round(avg(value), 6) as mean, max(value) as worst, true as p50_holds, true as p95_holds, true as p99_holds from events group by event_type")
+def report_latency_sketches(spark, d):
+    """Quantile sketches of each day and leg, merged to all time, and whether their ranks hold among all values."""
+    e = table(spark, d, "events").withColumn("day", F.to_date("ts"))
+    merged = report.merged_latency(report.latency_sketches(e, "day", "event_type", value="value"), "event_type").withColumn("mean", F.round("mean", 6))
+    return merged.join(report.ranks_hold(e, merged, "event_type", "value"), "event_type").drop("p50", "p95", "p99")
+
+
 @query("select event_type, median(value) as median_ms, min(value) as least_ms, cast(sum(length(props)) as bigint) as bytes, count(*) as runs from events group by event_type")
 def report_timing(spark, d):
     t = report.timing_stats(table(spark, d, "events").withColumn("size", F.length("props").cast("long")), "event_type", "value", "size")
@@ -696,6 +745,17 @@ def stream_reuse(spark, d):
 
 @query(ORACLE["analytics_recent"])
 def stream_recent(spark, d):
-    folder = shared(spark, "recent")
-    streams.stream_recent(streams.event_stream(spark, f"{d}/[e]vents.parquet"), f"{folder}/out", f"{folder}/ck").awaitTermination()
-    return spark.read.parquet(f"{folder}/out/v*").withColumn("v", F.input_file_name()).transform(lambda t: analytics.recent(t.drop("v").distinct(), 100)).select("event_id", "provider", "applied")
+    """The newest events, held in a stream's state and read back from it alone."""
+    ck = shared(spark, "recent")
+    state.keep_newest(streams.event_stream(spark, f"{d}/[e]vents.parquet"), ck).awaitTermination()
+    return state.newest(spark, ck, 100).select("event_id", "provider", "applied")
+
+
+@query("with " + EVENTS + """, c as (select *, concat_ws('|', provider, transformers_csv, tokens_before) as content from oe)
+select event_id, min(event_id) over (partition by content) as first_id, event_id <> min(event_id) over (partition by content) as hit from c""")
+def stream_hits(spark, d):
+    """Which event's content was met before, from a stream with one remembered event for each content."""
+    e = streams.event_stream(spark, f"{d}/[e]vents.parquet").withColumn("content", F.concat_ws("|", "provider", "transformers_csv", "tokens_before"))
+    out = shared(spark, "hits")
+    state.reuse(e, "content", f"{out}/ck", f"{out}/rows").awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("event_id", "first_id", "hit")

@@ -39,7 +39,7 @@ PARAGRAPH = r"\n\n(?=[\s&&[^\n]]*(?:\n(?!\n)[\s&&[^\n]]*)*\S)"
 
 def distinct_paragraphs(c: Column) -> Column:
     """c without a paragraph that equals, stripped, the last one kept; blank ones stay."""
-    keyed = F.transform(F.split(c, PARAGRAPH, -1), lambda p: F.struct(p.alias("text"), F.regexp_replace(p, r"(?U)^\s+|\s+$", "").alias("key")))
+    keyed = F.transform(F.split(c, PARAGRAPH, -1), lambda p: F.struct(p.alias("text"), F.regexp_replace(p, r"(?U)^\s++|(?<!\s)\s++$", "").alias("key")))
 
     def own(rows: Column) -> Column:
         """What stays of each paragraph: all, or the blank ones after it, or nothing."""
@@ -58,7 +58,7 @@ def normalize_text(df: DataFrame, column: str = "text", inline: bool = False, ma
 
     Each stage is a projection of its own over the last one's column, so that no expression is repeated.
     """
-    stages = [("normalized_line_endings", lambda c: F.regexp_replace(c, "\r\n|\r", "\n")), ("stripped_trailing_whitespace", lambda c: F.regexp_replace(c, "(?m)[ \t]+$", ""))]
+    stages = [("normalized_line_endings", lambda c: F.regexp_replace(c, "\r\n|\r", "\n")), ("stripped_trailing_whitespace", lambda c: F.regexp_replace(c, "(?m)(?<![ \t])[ \t]++$", ""))]
     if inline:
         stages.append(("collapsed_inline_whitespace", lambda c: F.regexp_replace(c, "[ \t]{2,}", " ")))
     stages.append(("collapsed_blank_lines", lambda c: F.regexp_replace(c, f"\n{{{max_blank_lines + 2},}}", "\n" * (max_blank_lines + 1))))
@@ -69,7 +69,7 @@ def normalize_text(df: DataFrame, column: str = "text", inline: bool = False, ma
         out = out.withColumn("next", fn(F.col("cleaned")))
         out = out.withColumn("steps", F.when(F.col("next") != F.col("cleaned"), F.concat("steps", F.array(F.lit(name)))).otherwise(F.col("steps")))
         out = out.withColumn("cleaned", F.col("next")).drop("next")
-    out = out.withColumn("next", F.regexp_replace("cleaned", r"(?U)\A\s+|\s+\z", ""))
+    out = out.withColumn("next", F.regexp_replace("cleaned", r"(?U)\A\s++|(?<!\s)\s++\z", ""))
     only = (F.size("steps") == 0) & (F.col("next") != F.col("cleaned"))
     out = out.withColumn("steps", F.when(only, F.array(F.lit("stripped_trailing_whitespace"))).otherwise(F.col("steps"))).withColumn("cleaned", F.col("next")).drop("next")
     return sealed(out, "cleaned", "steps")
@@ -81,11 +81,24 @@ def is_json(c: Column) -> Column:
     An object may repeat a key, which the strict parse refuses; the lenient one then decides, for texts
     that use nothing else it is lenient about (single quotes, control characters in strings).
     """
-    t = F.regexp_replace(c, r"^\s+|\s+$", "")
-    gate = (F.length(t) >= 2) & F.substring(t, 1, 1).isin("{", "[") & F.substring(t, -1, 1).isin("}", "]")
+    return F.coalesce(F.when(bracketed(c), F.try_parse_json(stripped(c)).isNotNull() | repeats_keys(c)), F.lit(False))
+
+
+def stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s++|(?<!\s)\s++$", "")
+
+
+def bracketed(c: Column) -> Column:
+    t = stripped(c)
+    return (F.length(t) >= 2) & F.substring(t, 1, 1).isin("{", "[") & F.substring(t, -1, 1).isin("}", "]")
+
+
+def repeats_keys(c: Column) -> Column:
+    """Whether c, in brackets, is JSON to the lenient parse alone: some object repeats a key."""
+    t = stripped(c)
     bare = F.regexp_replace(t, r'"[^"\\\x00-\x1f]*+(?:\\.[^"\\\x00-\x1f]*+)*+"', "")
-    again = t.rlike(r'(?s)"([^"\\]*+)"\s*:.*"\1"\s*:') & ~bare.rlike("['\"]") & F.get_json_object(F.concat(F.lit("["), t, F.lit("]")), "$").isNotNull()
-    return F.coalesce(F.when(gate, F.try_parse_json(t).isNotNull() | F.coalesce(again, F.lit(False))), F.lit(False))
+    lenient = F.get_json_object(F.concat(F.lit("["), t, F.lit("]")), "$").isNotNull()
+    return F.coalesce(bracketed(c) & F.try_parse_json(t).isNull() & ~bare.rlike("['\"]") & lenient, F.lit(False))
 
 
 def minify_json(c: Column) -> Column:

@@ -15,7 +15,7 @@ HEADING = r"^\s{0,3}#{1,6}\s+\S|^[A-Za-z][A-Za-z0-9 _/&-]{0,40}:\s*$"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, r"^\s++|(?<!\s)\s++$", "")
 
 
 def lines(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -44,7 +44,7 @@ def blocks(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     blank = ~F.col("in_fence") & (strip(F.col("line")) == "")
     upto = Window.partitionBy("doc_id").orderBy("ix")
     rows = rows.withColumn("blank", blank).withColumn("block", F.sum(F.col("blank").cast("int")).over(upto)).where(~F.col("blank"))
-    line = F.struct("ix", F.regexp_replace("line", r"\s+$", "").alias("key"), "line", "is_item", "is_heading")
+    line = F.struct("ix", F.regexp_replace("line", r"(?<!\s)\s++$", "").alias("key"), "line", "is_item", "is_heading")
     b = rows.groupBy("doc_id", "block").agg(F.array_sort(F.collect_list(line)).alias("lines"), *[F.first(c).alias(c) for c in keep])
     return b.select(
         "doc_id", "block", *keep, F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("body"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,7 +68,7 @@ def html_confidence(c: Column) -> Column:
     chars = F.aggregate(known, F.lit(0), lambda a, t: a + F.length(t))
     opens = F.regexp_replace(prose, r"(?s)\A(?:\s|<!--.*?-->)*+", "").rlike(r"^<\s*[a-zA-Z][a-zA-Z0-9]{0,14}\b")
     document = F.arrays_overlap(distinct, F.array(*map(F.lit, ("html", "body", "head"))))
-    dense = chars > 0.5 * F.greatest(F.length(F.regexp_replace(prose, r"^\s+|\s+$", "")), F.lit(1))
+    dense = chars > 0.5 * F.greatest(F.length(F.regexp_replace(prose, r"^\s++|(?<!\s)\s++$", "")), F.lit(1))
     loose = (closing >= 2) & (opens | dense)
     return F.when(~F.contains(c, F.lit("<")), F.lit(None)).when(prose.rlike(r"(?i)<!doctype\s+html") | document, 0.99).when(loose, F.least(F.lit(0.95), 0.8 + 0.02 * F.size(distinct)))
 
@@ -75,7 +77,7 @@ def prompt_confidence(c: Column, min_chars: int = 240, min_ratio: float = 0.15)
     """Long prose whose lines repeat; code, logs and stack traces are refused."""
     rows = F.filter(F.split(c, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]", -1), lambda x: F.regexp_replace(x, r"\s", "") != "")
     code = F.size(F.filter(rows, lambda x: x.rlike(CODE_LINE)))
-    again = F.size(rows) - F.size(F.array_distinct(F.transform(rows, lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))))
+    again = F.size(rows) - F.size(F.array_distinct(F.transform(rows, lambda x: F.regexp_replace(x, r"^\s++|(?<!\s)\s++$", ""))))
     good = (F.size(rows) >= 2) & ~c.rlike(r"(?m)^[ \t]*Traceback \(most recent call last\):") & (code <= 0.6 * F.size(rows)) & (again >= min_ratio * F.size(rows))
     return F.when((F.length(c) >= min_chars) & good, 0.8)
 
@@ -132,10 +134,54 @@ MEDIA_FORMATS = {
 }
 EXTENSIONS = {"pdf": "pdf", "docx": "docx", "xlsx": "xlsx", "pptx": "pptx", "csv": "csv", "tsv": "csv", "xml": "xml", "html": "html", "htm": "html", "md": "markdown", "markdown": "markdown", "txt": "text", "text": "text"}
 BINARY = ("pdf", "docx", "xlsx", "pptx")
+#: Folders that tell the office formats' archives apart. Fixed values.
+OFFICE = {"docx": b"word/", "xlsx": b"xl/", "pptx": b"ppt/"}
+
+
+def little_endian(b: Column, at: Column | int, n: int) -> Column:
+    """The number in n bytes of b from an offset on."""
+    each = [F.substring(b, (F.lit(at) if isinstance(at, int) else at) + 1 + k, F.lit(1)) for k in reversed(range(n))]
+    return F.conv(F.hex(F.concat(*each)), 16, 10).try_cast("long")
+
+
+def office_format(data: Column) -> Column:
+    """docx, xlsx or pptx by the names in a ZIP archive's central directory, or null.
+
+    The end record is the last one in the final 65,557 bytes (its comment has 65,535 at most); the directory's
+    entries, of which each says how long it is, are folded over.
+    """
+    tail = F.hex(F.substring(data, F.greatest(F.octet_length(data) - 65_556, F.lit(1)), F.lit(65_557)))
+    end = F.unhex(F.regexp_extract(tail, "^(?:..)*(504B0506(?:..){18}).*$", 1))
+
+    def listed(end: Column) -> Column:
+        size, offset = little_endian(end, 12, 4), little_endian(end, 16, 4)
+        fine = (F.octet_length(end) == 22) & (size + offset <= F.octet_length(data))
+        directory = F.substring(data, (offset + 1).cast("int"), size.cast("int"))
+        return F.when(fine, let(F.struct(directory.alias("bytes"), little_endian(end, 10, 2).cast("int").alias("entries")), named))
+
+    def named(directory: Column) -> Column:
+        def entry(state: Column, _: Column) -> Column:
+            head = F.substring(directory["bytes"], state["at"] + 1, F.lit(46))
+            name = F.substring(directory["bytes"], state["at"] + 47, F.lit(5))
+            fine = F.startswith(head, F.lit(b"PK\x01\x02")) & (F.octet_length(head) == 46)
+            after = state["at"] + 46 + little_endian(head, 28, 2) + little_endian(head, 30, 2) + little_endian(head, 32, 2)
+            found = [(state[kind] | fine & F.startswith(F.substring(name, F.lit(1), little_endian(head, 28, 2).cast("int")), F.lit(folder))).alias(kind) for kind, folder in OFFICE.items()]
+            return F.struct(F.when(fine, after).otherwise(state["at"]).cast("int").alias("at"), *found)
+
+        none = F.struct(F.lit(0).alias("at"), *[F.lit(False).alias(kind) for kind in OFFICE])
+        names = F.aggregate(F.sequence(F.lit(1), F.greatest(directory["entries"], F.lit(1))), none, entry)
+        return let(names, lambda n: F.coalesce(*[F.when(n[kind], kind) for kind in OFFICE]))
+
+    return let(end, listed)
+
+
+def let(c: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn of c with c computed once."""
+    return F.element_at(F.transform(F.array(c), fn), 1)
 
 
 def detect_format(data: Column, media: Column, filename: Column) -> Column:
-    """A document's format from its first bytes, else from its media type and extension; ZIP members by name in the bytes.
+    """A document's format from its first bytes, else from its media type and extension; ZIP archives by the names in their directory.
 
     Text is UTF-8 without NUL in its first 4096 bytes, of which the last character may be cut.
     """
@@ -146,14 +192,13 @@ def detect_format(data: Column, media: Column, filename: Column) -> Column:
         whole |= (F.octet_length(data) > 4096) & F.is_valid_utf8(F.substring(head, F.lit(1), F.octet_length(head) - k).cast("string"))
     textual = whole & ~F.contains(head, F.lit(b"\x00"))
     text = F.lower(F.make_valid_utf8(head.cast("string")))
-    member = lambda m: F.contains(data, F.lit(m))
     table = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
     declared = F.element_at(table(MEDIA_FORMATS), F.lower(F.trim(F.split_part(F.coalesce(media, F.lit("")), F.lit(";"), F.lit(1)))))
     by_name = F.element_at(table(EXTENSIONS), F.lower(F.regexp_extract(F.coalesce(filename, F.lit("")), r"\.([^.]*)$", 1)))
     binary = F.when(declared.isin(*BINARY), declared).otherwise("unknown")
     return (
         F.when(F.coalesce(F.octet_length(data), F.lit(0)) == 0, "unknown").when(starts(b"%PDF-"), "pdf").when(starts(b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"), "unknown")
-        .when(starts(b"PK\x03\x04"), F.when(member(b"word/"), "docx").when(member(b"xl/"), "xlsx").when(member(b"ppt/"), "pptx").when(declared.isin(*BINARY[1:]), declared).otherwise("unknown"))
+        .when(starts(b"PK\x03\x04"), F.coalesce(office_format(data), F.when(declared.isin(*BINARY[1:]), declared), F.lit("unknown")))
         .when(textual & text.rlike(r"^\s*\x{feff}?<\?xml"), "xml").when(textual & text.rlike(r"^\s*(<!doctype html|<html)"), "html")
         .when(textual, F.coalesce(declared, by_name, F.lit("text"))).otherwise(binary)
     )

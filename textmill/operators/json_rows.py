@@ -52,7 +52,7 @@ def pieces(df: DataFrame, key: str, text: str) -> DataFrame:
     keys at these depths, i2 and i4 the places in the arrays at those. White space outside strings is gone.
     """
     rows = df.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(PIECE), F.lit(1))).alias("ix", "piece"))
-    rows = rows.withColumn("piece", F.when(F.col("piece").startswith('"'), F.col("piece")).otherwise(F.regexp_replace("piece", r"^\s+|\s+$", ""))).where("piece <> ''")
+    rows = rows.withColumn("piece", F.when(F.col("piece").startswith('"'), F.col("piece")).otherwise(F.regexp_replace("piece", r"^\s++|(?<!\s)\s++$", ""))).where("piece <> ''")
     order = Window.partitionBy(key).orderBy("ix")
     closes = F.col("piece").isin("}", "]")
     opens = F.col("piece").isin("{", "[")

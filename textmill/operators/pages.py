@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textmill.functions.markup import Marks, Open
 from textmill.functions.measures import sealed
 
 # What marks noise, and the steps that its removal is recorded as. Fixed values.
@@ -35,7 +36,6 @@ RAW = frozenset("script style noscript template iframe textarea title".split())
 #: Elements whose start ends an open one of these.
 ENDS = {"li": ("li",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}
 STARTS = frozenset("p div ul ol table pre blockquote h1 h2 h3 h4 h5 h6 hr section article main header form nav aside footer".split())
-TAG = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 NOISE_NAME = re.compile(rf"(?:^|[\s_-])(?:{NOISE_WORDS})(?:[\s_-]|$)", re.I)
 BLOCK = "h[1-6]|p|li|pre|blockquote|hr|tr|ul|ol|table|div|article|section|main|header|body|html"
@@ -59,48 +59,46 @@ def noise_step(tag: str, attributes: str, in_article: bool) -> str | None:
 def without_noise(page: str) -> tuple[str, list[str]]:
     """A page's markup without noise subtrees, at any depth, and the sorted steps; noise within noise counts too."""
     kept, steps, at = [], set(), 0
-    stack: list[str] = []
+    marks, stack = Marks(page), Open()
     depth = -1  # of the noise element that is open, in the stack
 
     def leave(i: int) -> None:
         nonlocal depth
-        del stack[i:]
-        if len(stack) <= depth:
+        stack.cut(i)
+        if i <= depth:
             depth = -1
 
-    for m in TAG.finditer(page):
-        if m.start() < at:  # within a raw element
-            continue
+    while m := marks.next(at):
         if depth < 0:
-            kept.append(page[at : m.start()])
-        at, tag = m.end(), (m[2] or "").lower()
+            kept.append(page[at : m.begin])
+        at, tag, whole = m.end, m.name, page[m.begin : m.end]
         if not tag:
             continue
-        if m[1]:
+        if m.closing:
             shown = depth < 0
-            if tag in stack:
-                leave(len(stack) - 1 - stack[::-1].index(tag))
+            if (i := stack.innermost((tag,))) >= 0:
+                leave(i)
             if shown:
-                kept.append(m[0])
+                kept.append(whole)
             continue
-        if tag in STARTS and "p" in stack[-3:]:
-            leave(len(stack) - 1 - stack[::-1].index("p"))
-        elif stack and stack[-1] in ENDS.get(tag, ()):
+        if tag in STARTS and "p" in stack.names[-3:]:
+            leave(stack.innermost(("p",)))
+        elif stack.names and stack.names[-1] in ENDS.get(tag, ()):
             leave(len(stack) - 1)
-        step = noise_step(tag, m[3], "article" in stack or "section" in stack)
+        step = noise_step(tag, m.attributes, stack.innermost(("article", "section")) >= 0)
         if step:
             steps.add(step)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             stop = end.end() if end else len(page)
             if not step and depth < 0:
-                kept.append(page[m.start() : stop])
+                kept.append(page[m.begin : stop])
             at = stop
             continue
         if depth < 0 and not step:
-            kept.append(m[0])
-        if tag not in VOID and not m[3].endswith("/"):
-            stack.append(tag)
+            kept.append(whole)
+        if tag not in VOID and not m.attributes.endswith("/"):
+            stack.push(tag)
             if depth < 0 and step:
                 depth = len(stack) - 1
     if depth < 0:
@@ -177,7 +175,7 @@ def inline(c: Column) -> Column:
     c = F.regexp_replace(c, r"(?is)<a\b[^>]*?\shref\s*=\s*[\"']?\s*((?:https?://|mailto:|ftp://)[^\"'\s>]*+)[^>]*+>\s*+((?:(?!\s*</a\s*>).)++)\s*</a\s*>", "[$2]($1)")
     c = F.regexp_replace(c, r"(?s)</?[a-zA-Z][^>]*>", "")
     c = F.regexp_replace(c, r"\s+", " ")
-    return decoded(F.trim(F.regexp_replace(F.regexp_replace(c, " ?\u0002 ?", "\n"), r"^\s+|\s+$", "")))
+    return decoded(F.trim(F.regexp_replace(F.regexp_replace(c, " ?\u0002 ?", "\n"), r"^\s++|(?<!\s)\s++$", "")))
 
 
 def page_blocks(pages: DataFrame, content: str = "content", key: str = "page_id") -> DataFrame:

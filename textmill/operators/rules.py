@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.functions.measures import token_count
@@ -14,6 +14,16 @@ from textmill.operators.detect import route
 from textmill.operators.store import fingerprint
 
 
+def tried(c: Column) -> Column:
+    """c, or null in the rows where it raises: the expression that the try_ functions are made of, around any expression.
+
+    A Python UDF within c is run before and has to look after itself (see each_text).
+    """
+    jvm = SparkSession.active()._jvm
+    of = jvm.org.apache.spark.sql.classic.ExpressionUtils
+    return Column(of.column(jvm.org.apache.spark.sql.catalyst.expressions.TryEval(of.expression(c._jc))))
+
+
 @dataclass(frozen=True)
 class Rule:
     name: str
@@ -26,9 +36,9 @@ class Rule:
     each_text: bool = False
 
     def cleaned(self, c: Column) -> Column:
-        """The rule's result, or c as it was where the rule gives null or, with each_text, fails."""
+        """The rule's result, or c as it was in the rows where the rule gives null or fails."""
         if not self.each_text:
-            return F.coalesce(self.clean(c), c)
+            return F.coalesce(tried(self.clean(c)), c)
         fn = self.clean
 
         def every(texts: pd.Series) -> pd.Series:

@@ -4,20 +4,30 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
+import uuid
 from collections.abc import Callable
+from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SCHEMA_VERSION = 1
 MAX_ENTRIES, MAX_BYTES = 2048, 128 << 20
+#: What stands for a null part of a key.
+NOTHING = "\x1e"
+#: Hex digits of the digest by which a store's rows are dealt to folders, and how often a writer tries to commit.
+PREFIX, TRIES = 2, 20
+#: The end of an entry of a store's log.
+WHOLE = "."
 
 
 def digest(content: Column, rules: str, options: str, version: str = "1", kind: str = "text", encoding: str = "heuristic", qualifier: Column | str = "") -> Column:
     """The key of a result: everything that it depends on, joined by unit separators and hashed."""
     q = F.lit(qualifier) if isinstance(qualifier, str) else qualifier
     parts = [F.lit(kind), F.sha2(content, 256), F.lit(rules), F.lit(version), F.lit(options), F.lit(encoding), q]
-    return F.sha2(F.concat_ws("\x1f", *parts), 256)
+    return F.sha2(F.concat_ws("\x1f", *[F.coalesce(p, F.lit(NOTHING)) for p in parts]), 256)
 
 
 def fingerprint(rules: list[tuple[str, str]]) -> str:
@@ -66,27 +76,91 @@ def incremental(df: DataFrame, store: DataFrame, fn: Callable[[DataFrame], DataF
     return df.drop("text").join(every, "digest", "left"), valid(new)
 
 
-def write_results(new: DataFrame, path: str) -> None:
-    """Appends whole results to the store; each run is a set of files of its own, so a failed one leaves nothing behind."""
-    valid(new).write.mode("append").parquet(path)
+class Store:
+    """Results by digest in a shared folder: runs of files dealt by the digest's prefix, and a log of which runs count.
 
+    A run's rows count once the next entry of the log names it. An entry is created only if there is none of its
+    number, so of two writers one has to take in what the other has committed and try again: there is one row for
+    a digest. A reader takes the last entry's runs and only the folders of the prefixes that it asks for.
+    """
 
-def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The store's rows, or none if nothing has been written; files of another shape give nulls, which count as misses."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+    def __init__(self, spark: SparkSession, path: str, schema: str) -> None:
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+
+    def at(self, name: str) -> tuple[Any, Any]:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def last(self) -> tuple[int, list[str]]:
+        """The number of the last entry (-1: none) and the runs that count; an entry that its writer left half-written counts as the one before."""
+        fs, log = self.at("_log")
+        if not fs.exists(log):
+            return -1, []
+        numbers = sorted((int(n) for f in fs.listStatus(log) if (n := f.getPath().getName()).isdigit()), reverse=True)
+        for number in numbers:
+            for _ in range(5 if number == numbers[0] else 1):
+                words = self.spark._jvm.org.apache.commons.io.IOUtils.toString(*self.opened(f"_log/{number}"), "UTF-8").split()
+                if words[-1:] == [WHOLE]:
+                    return numbers[0], words[:-1]
+                time.sleep(0.2)
+        return max(numbers, default=-1), []
+
+    def opened(self, name: str) -> tuple[Any]:
+        fs, p = self.at(name)
+        return (fs.open(p),)
+
+    def commit(self, number: int, runs: list[str]) -> bool:
+        """Writes an entry, unless another writer was first."""
+        fs, p = self.at(f"_log/{number}")
+        try:
+            out = fs.create(p, False)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in e.java_exception.toString():
+                return False
+            raise
+        out.write(bytearray(" ".join([*runs, WHOLE]), "utf-8"))
+        out.close()
+        return True
+
+    def read(self, runs: list[str], prefixes: list[str] | None = None) -> DataFrame:
+        """The whole rows of the current schema in some runs, of some prefixes; files of another shape give nulls, which do not count."""
+        if not runs:
+            return self.spark.createDataFrame([], self.schema)
+        rows = self.spark.read.schema(f"{self.schema}, prefix string").option("basePath", self.path).parquet(*[f"{self.path}/{r}" for r in runs])
+        return valid((rows if prefixes is None else rows.where(F.col("prefix").isin(prefixes))).drop("prefix", "run"))
+
+    def add(self, new: DataFrame) -> DataFrame:
+        """Commits new rows and returns those of them that count; digests that were committed in the meantime are left out."""
+        number, runs = self.last()
+        for _ in range(TRIES):
+            run = f"run={uuid.uuid4().hex}"
+            valid(new).withColumn("prefix", F.substring("digest", 1, PREFIX)).repartition("prefix").write.partitionBy("prefix").parquet(f"{self.path}/{run}")
+            if self.commit(number + 1, [*runs, run]):
+                return self.read([run])
+            number, later = self.last()
+            others = self.read([r for r in later if r not in runs])
+            new, runs = self.read([run]).join(others.select("digest"), "digest", "left_anti"), later
+        raise RuntimeError(f"{self.path} changes too fast to be added to")
+
+    def compact(self) -> None:
+        """All runs as one; readers of the old ones go on, as their files stay until they are removed by hand."""
+        number, runs = self.last()
+        if len(runs) > 1:
+            run = f"run={uuid.uuid4().hex}"
+            self.read(runs).withColumn("prefix", F.substring("digest", 1, PREFIX)).repartition("prefix").write.partitionBy("prefix").parquet(f"{self.path}/{run}")
+            self.commit(number + 1, [run])
 
 
 def run_incremental(df: DataFrame, path: str, fn: Callable[[DataFrame], DataFrame], schema: str) -> DataFrame:
-    """incremental() against the store at path, which is appended to: a second run over the same contents computes nothing."""
-    spark = df.sparkSession
-    store = read_results(spark, path, schema)
-    new = incremental(df, store, fn)[1]
-    write_results(new, path)
-    after = read_results(spark, path, schema).dropDuplicates(["digest"])
-    hits = valid(store).select(F.col("digest").alias("known")).distinct()
-    return df.drop("text").join(after, "digest", "left").join(hits, F.col("digest") == F.col("known"), "left").withColumn("hit", F.col("known").isNotNull()).drop("known")
+    """incremental() against the store at path, which is added to: a second run over the same contents computes nothing, and reads only the folders of its digests' prefixes."""
+    store = Store(df.sparkSession, path, schema)
+    prefixes = [r[0] for r in df.select(F.substring("digest", 1, PREFIX)).where("digest is not null").distinct().collect()]  # 16 ** PREFIX values at most
+    runs = store.last()[1]
+    known = store.read(runs, prefixes)
+    store.add(incremental(df, known, fn)[1])
+    now = store.read(store.last()[1], prefixes)
+    hits = known.select(F.col("digest").alias("known"))
+    return df.drop("text").join(now, "digest", "left").join(hits, F.col("digest") == F.col("known"), "left").withColumn("hit", F.col("known").isNotNull()).drop("known")
 
 
 def live_entries(store: DataFrame, now: Column, ttl_seconds: int) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textmill.functions.measures import cache_status, never_grow, sealed, token_count, with_savings
-from textmill.functions.text import decode_text, minify_json, normalize_text
+from textmill.functions.json_text import compact_json
+from textmill.functions.text import decode_text, normalize_text
 from textmill.operators import dedupe, detect, pages, policy, segments, tables
 from textmill.operators.rules import Rules
 
@@ -20,11 +23,11 @@ def by_content(rows: DataFrame, fn, key: str) -> DataFrame:
     return keyed.join(done, key).drop(key)
 
 
-def clean(contents: DataFrame, prompts: bool = False, csv: bool = False, rules: Rules | None = None, html: bool = True) -> DataFrame:
+def clean(contents: DataFrame, prompts: bool = False, csv: bool = False, rules: Rules | None = None, html: bool = True, prune: bool = False) -> DataFrame:
     """Rows with text, classified, cleaned by the rule of their type, measured, growth undone (the preview of a content).
 
     Texts and JSON are cleaned in place. Pages, and prompts if these are asked for, take several steps over
-    their blocks, once for each distinct text; html says that there may be pages. A rule that is registered for a type comes before the built-in
+    their blocks, once for each distinct text; html says that there may be pages, prune takes empty containers out of JSON. A rule that is registered for a type comes before the built-in
     cleaner if its priority is lower than 100.
     """
     d = detect.detect(contents, prompts=prompts, csv=csv, extra=rules.detectors() if rules else None)
@@ -32,14 +35,14 @@ def clean(contents: DataFrame, prompts: bool = False, csv: bool = False, rules:
     empty, kind = F.array().cast(NONE), F.col("transformer")
     many = ["html"] * html + ["prompt"] * prompts
     plain = normalize_text(d.where(kind.isNull() | ~kind.isin(many)) if many else d)
-    small = minify_json(F.col("text"))
+    plain = sealed(plain.withColumn("small", F.when(kind == "json", compact_json(F.col("text"), prune))), "small")
     if csv:
         plain = sealed(plain.withColumn("delimiter", F.when(kind == "csv", detect.csv_delimiter(F.col("text")))), "delimiter")
     table = tables.csv_to_markdown(F.col("text"), F.col("delimiter")) if csv else F.lit(None).cast(f"struct<cleaned:string,steps:{NONE}>")
     plain = sealed(plain.withColumn("table", F.when(kind == "csv", table)), "table").drop("delimiter")
-    steps = F.when(kind == "json", F.when(small != F.col("text"), F.array(F.lit("minified_json"))).otherwise(empty)).when(kind == "text", F.col("steps")).when(kind == "csv", F.coalesce("table.steps", empty)).otherwise(empty)
-    cleaned = F.when(kind == "json", small).when(kind == "text", F.col("cleaned")).when(kind == "csv", F.coalesce("table.cleaned", "text")).otherwise(F.col("text"))
-    plain = plain.withColumn("steps", steps).withColumn("cleaned", cleaned).drop("table")
+    steps = F.when(kind == "json", F.col("small.steps")).when(kind == "text", F.col("steps")).when(kind == "csv", F.coalesce("table.steps", empty)).otherwise(empty)
+    cleaned = F.when(kind == "json", F.col("small.cleaned")).when(kind == "text", F.col("cleaned")).when(kind == "csv", F.coalesce("table.cleaned", "text")).otherwise(F.col("text"))
+    plain = plain.withColumn("steps", steps).withColumn("cleaned", cleaned).drop("table", "small")
     if rules:
         plain = rules.apply_named(plain, "transformer")
     parts = [plain]
@@ -54,7 +57,7 @@ def clean(contents: DataFrame, prompts: bool = False, csv: bool = False, rules:
     return with_savings(never_grow(out))
 
 
-def results(segs: DataFrame, prompts: bool = False, csv: bool = False, rules: Rules | None = None) -> DataFrame:
+def results(segs: DataFrame, prompts: bool = False, csv: bool = False, rules: Rules | None = None, prune: bool = False) -> DataFrame:
     """One result for each segment: each distinct text is cleaned once and joined back; repeats are cache hits.
 
     The distinct texts are checkpointed, as several cleaners read them; without a tag in any, none is a page.
@@ -65,7 +68,7 @@ def results(segs: DataFrame, prompts: bool = False, csv: bool = False, rules: Ru
     once = keyed.groupBy("digest").agg(F.min(order).alias("first"), F.first("text").alias("text"))
     once = once.checkpoint()
     tagged = rules is not None or not once.where(F.contains("text", F.lit("<"))).isEmpty()
-    done = clean(once, prompts, csv, rules, tagged).drop("text")
+    done = clean(once, prompts, csv, rules, tagged, prune).drop("text")
     return keyed.join(done, "digest").withColumn("cache_hit", order != F.col("first")).drop("first")
 
 
@@ -111,12 +114,19 @@ def request_report(res: DataFrame) -> DataFrame:
     )
 
 
-def to_events(requests: DataFrame, report: DataFrame, skips: DataFrame) -> DataFrame:
+def shared_time(res: DataFrame, elapsed_ms: float) -> DataFrame:
+    """request_id and execution_time_ms: the time of a job that cleaned all texts at once, shared out by the bytes that were cleaned for each request; hits cost nothing."""
+    work = F.when(F.col("cache_hit"), 0).otherwise(F.greatest("bytes_before", F.lit(1)))
+    per = res.groupBy("request_id").agg(F.sum(work).alias("work"))
+    total = per.agg(F.sum("work")).first()[0] or 1
+    return per.select("request_id", (F.col("work") * F.lit(elapsed_ms) / F.lit(total)).alias("execution_time_ms"))
+
+
+def to_events(requests: DataFrame, report: DataFrame, skips: DataFrame, times: DataFrame | None = None) -> DataFrame:
     """A metadata event for each request, with no content in it.
 
     requests: request_id, path and, if there, ts, provider and auth_method; skips: request_id and skip_reason.
-    Requests that went through no report count nothing. Work is shared by all requests of a job, so a request
-    has no time of its own: execution_time_ms is 0.
+    Requests that went through no report count nothing and took no time. times: see shared_time().
     """
     given = lambda c, kind: F.col(c) if c in requests.columns else F.lit(None).cast(kind)
     base = requests.select("request_id", given("ts", "timestamp").alias("ts"), given("provider", "string").alias("provider"), policy.path_of(F.col("path")).alias("endpoint"), given("auth_method", "string").alias("auth_method"))
@@ -125,11 +135,12 @@ def to_events(requests: DataFrame, report: DataFrame, skips: DataFrame) -> DataF
         j = j.withColumn(c, F.coalesce(c, F.lit(0)).cast("long"))
     for c in ("transformers", "content_types", "steps"):
         j = j.withColumn(c, F.coalesce(c, F.array().cast(NONE)))
-    j = j.withColumn("applied", F.coalesce("applied", F.lit(False))).withColumn("cache_lookups", F.col("segments")).withColumn("execution_time_ms", F.lit(0.0))
+    j = j.withColumn("applied", F.coalesce("applied", F.lit(False))).withColumn("cache_lookups", F.col("segments"))
+    j = j.join(times, "request_id", "left").withColumn("execution_time_ms", F.coalesce("execution_time_ms", F.lit(0.0))) if times is not None else j.withColumn("execution_time_ms", F.lit(0.0))
     return j.withColumn("event_id", F.col("request_id")).withColumn("cache_status", cache_status(F.col("cache_hits"), F.col("segments")))
 
 
-def optimize(requests: DataFrame, least: int = 0, prompts: bool = False, csv: bool = False, documents: bool = True, rules: Rules | None = None) -> tuple[DataFrame, DataFrame]:
+def optimize(requests: DataFrame, least: int = 0, prompts: bool = False, csv: bool = False, documents: bool = True, rules: Rules | None = None, prune: bool = False) -> tuple[DataFrame, DataFrame]:
     """(request_id, new_body and any_changed of the requests that policy lets through, an event for each request).
 
     Results are checkpointed, as bodies, reports and reasons all read them: each text is cleaned once.
@@ -138,15 +149,17 @@ def optimize(requests: DataFrame, least: int = 0, prompts: bool = False, csv: bo
     decided = policy.policy_decide(requests)
     go = segments.parsed(decided.where("optimize").drop("skip_reason", "optimize", "model"))
     segs = segments.segments(go, least)
-    res = results(segs, prompts, csv, rules).checkpoint()
+    began = time.monotonic()
+    res = results(segs, prompts, csv, rules, prune).checkpoint()
     texts, every = None, res
     found = segments.document_segments(go.where(F.contains("body", F.lit("base64"))))
     if documents and not found.isEmpty():
         texts = document_texts(found).checkpoint()
         every = res.select(*as_results(texts).columns).union(as_results(texts))
         texts = texts.where("detail is null")
+    times = shared_time(every, 1000 * (time.monotonic() - began))
     new = segments.reassemble(go, res, texts)
     later = segments.skip_reason(go, segs, every)
     skips = decided.where("not optimize").select("request_id", "skip_reason").union(later.where("skip_reason is not null"))
-    return new, to_events(requests, request_report(every), skips)
+    return new, to_events(requests, request_report(every), skips, times)
 

@@ -9,14 +9,18 @@ from textmill.functions.measures import pct
 
 #: Models and their list prices of input tokens, US dollars a million. Fixed values.
 PRICES = [("gpt-4o", 2.50), ("claude-sonnet-4", 3.00), ("gpt-4o-mini", 0.15)]
+#: The parameter of the quantile sketches (each takes some 12 KB at most) and the rank error that it allows for.
+SKETCH, RANK_ERROR = 800, 0.01
 
 
 def suite_totals(cases: DataFrame) -> DataFrame:
+    """Sums over the cases, mean and overall percentages and, where cases say whether they were served from the store (cache_hit), the hit rate."""
+    hit = [F.round(F.avg(F.col("cache_hit").cast("int")), 4).alias("hit_rate")] if "cache_hit" in cases.columns else []
     helped = (F.size("steps") > 0) & (F.col("tokens_saved") > 0)
     return cases.agg(
         F.count("*").alias("cases"), F.count_if(helped).alias("cases_helped"), F.sum("tokens_before").alias("tokens_before"),
         F.sum("tokens_after").alias("tokens_after"), F.sum("bytes_before").alias("bytes_before"), F.sum("bytes_after").alias("bytes_after"),
-        F.round(F.avg(pct(F.col("tokens_saved"), F.col("tokens_before"))), 2).alias("mean_pct"),
+        F.round(F.avg(pct(F.col("tokens_saved"), F.col("tokens_before"))), 2).alias("mean_pct"), *hit,
     ).withColumn("overall_pct", F.round(100.0 * (F.col("tokens_before") - F.col("tokens_after")) / F.col("tokens_before"), 2))
 
 
@@ -50,6 +54,28 @@ def latency_stats(df: DataFrame, by: str, value: str) -> DataFrame:
     return every.join(p, F.equal_null(F.col(by), F.col("of_group")), "left").select(by, "n", "errors", "mean", "p50", "p95", "p99", "worst")
 
 
+def latency_sketches(df: DataFrame, *by: str, value: str, k: int = SKETCH) -> DataFrame:
+    """A row of fixed size for each group (a day and a leg, say): n, errors, total, worst and a quantile sketch of the values; rows of more groups are merged by merged_latency()."""
+    return df.groupBy(*by).agg(F.count(value).alias("n"), (F.count("*") - F.count(value)).alias("errors"), F.sum(value).alias("total"), F.max(value).alias("worst"), F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(k)).alias("sketch"))
+
+
+def merged_latency(sketches: DataFrame, *by: str, k: int = SKETCH) -> DataFrame:
+    """n, errors, mean, p50, p95, p99 and worst from rows of latency_sketches(): the share of values up to a quantile differs from its rank by less than RANK_ERROR."""
+    m = sketches.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("errors").alias("errors"), F.sum("total").alias("total"), F.max("worst").alias("worst"), F.kll_merge_agg_double("sketch", F.lit(k)).alias("sketch"))
+    q = lambda p: F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(p)))
+    return m.select(*by, "n", "errors", (F.col("total") / F.nullif("n", F.lit(0))).alias("mean"), q(0.5).alias("p50"), q(0.95).alias("p95"), q(0.99).alias("p99"), "worst")
+
+
+def ranks_hold(df: DataFrame, merged: DataFrame, by: str, value: str, error: float | None = None) -> DataFrame:
+    """by, and for each quantile of merged_latency() whether its rank among all values is within the error."""
+    e = RANK_ERROR if error is None else error
+    rows = df.select(F.col(by).alias("of_group"), F.col(value).alias("v")).where("v is not null").groupBy("of_group", "v").agg(F.count("*").alias("many"))
+    j = rows.join(merged, F.equal_null(F.col("of_group"), F.col(by)))
+    share = lambda when: F.sum(F.when(when, F.col("many")).otherwise(0)) / F.sum("many")
+    holds = lambda p, c: (share(F.col("v") < F.col(c)) <= p + e) & (share(F.col("v") <= F.col(c)) >= p - e)
+    return j.groupBy(by).agg(holds(0.5, "p50").alias("p50_holds"), holds(0.95, "p95").alias("p95_holds"), holds(0.99, "p99").alias("p99_holds"))
+
+
 def overhead(stats: DataFrame, by: str, leg: str, base: str) -> DataFrame:
     """What one leg of latency_stats() takes beyond another, by measure."""
     a, b = (stats.where(F.col(by) == x).select(*[F.col(c).alias(f"{c}{k}") for c in ("mean", "p50", "p95", "p99")]) for k, x in enumerate((leg, base)))

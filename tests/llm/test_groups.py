@@ -70,9 +70,7 @@ def words_of(seed=3):
     return [*out, (None, None), (901, None), (902, ""), (None, "null null nullnull nullnull"), out[3], out[3], (-5, "Ünïcode ünïcode ÜNÏCODE 日本語日本語日本語")]
 
 
-@pytest.mark.parametrize("levels", [0, 2])
-def test_variants_equal_brute_force(spark, levels, monkeypatch):
-    monkeypatch.setattr(spelling, "BROADCAST_LEVELS", levels)
+def test_variants_equal_brute_force(spark):
     data = words_of()
     want = variants(data)
     assert any(r[2] != r[1] and r[1] for r in want) and sum(r[4] for r in want) > 200

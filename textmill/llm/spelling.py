@@ -5,21 +5,21 @@ each with the node it leaves, the first character of its label, the label's leng
 rest, the node it reaches and the characters that go on from there (0: a word ends). Nodes are hashes of prefixes;
 a node exists where prefixes of words fork or a word ends.
 
-There are two tries, of the words and of the reversed words, so that a word spends its edit in its second half
-only, where few branches are left; an edit in the first half is found in the other trie.
-
-The frontier is a table of states (word, position, node, edits). Level by level it is joined with the edges of
-that level on (node, character): a state without an edit goes on along its own word, or spends its edit, by
-replacing its character with another that the node offers, or by leaving it out; a state with an edit only goes
-on along its word. A state with an edit that ends where a word ends is a pair of neighbours. A pair is found
+There are two tries, of the words and of the reversed words, and a word spends its edit in its second half only,
+where few branches are left; an edit in the first half is found in the other trie. So the tries hold the
+prefixes of at least half a word's length, and no node near a root is a hot key.
+
+The frontier is a table of states (word, position, node, edits). It starts with each word at each fork of its own
+path, without an edit. A state without an edit spends it, by replacing its character with another that the node
+offers, or by leaving it out; then it goes on along its word. Level by level the frontier is joined with the edges
+on (node, character). A state with an edit that ends where a word ends is a pair of neighbours. A pair is found
 from one side: by a replacement from the word with the smaller character, or by leaving a character (the last of a
-run of equal ones) out of the longer word. The found word is looked up in the table of words, so that hashes of nodes
-and labels only guide the search: a collision may add states, but neither adds nor loses a pair.
+run of equal ones) out of the longer word. The found word is looked up in the table of words, so that hashes of
+nodes and labels only guide the search: a collision may add states, but neither adds nor loses a pair.
 
-The edges of the first two levels are broadcast: the alphabet has 90 characters, so they are 16,380 rows of fixed
-size at most. Deeper levels are shuffled by (node, character), where each key has one edge and Spark splits
-partitions that many states want. The number of levels is that of the forks on a path of the trie, not the length
-of words. Each level's states are written to the shared folder.
+(node, character) has one edge, so where many states want one, Spark splits their partition. The number of
+levels is that of the forks on a path of the trie, not the length of words. Each level's states are written to
+the shared folder.
 
 A word's form is its most frequent neighbour, if that has FACTOR times the word's count; its root is found by
 following forms, which takes no more rounds than the counts have powers of FACTOR.
@@ -40,8 +40,6 @@ from textmill.llm import common, hashing
 
 LEAST_LENGTH, LEAST_COUNT, FACTOR, ONE_IN = 7, 2, 10, 31
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Levels whose edges are broadcast: 2 * (90 + 90 * 90) rows at most.
-BROADCAST_LEVELS = 2
 #: Marks the nodes of the trie of reversed words.
 BACK = np.uint64(0x5851F42D4C957F2D)
 #: Lower-cased words have a to z and the letters from U+00C0 to U+00FF; the end of a word counts as 0.
@@ -69,18 +67,19 @@ def word_counts(docs: DataFrame, least_length: int = LEAST_LENGTH, least_count:
 
 
 def prefixes(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """For each word and each of its prefixes: id, depth, node and the character that follows (0 after the whole word)."""
+    """For each word its prefixes of half its length and more: id, depth, node and the character that follows (0 after the whole word)."""
     raw = [w.encode("utf-32-le") for w in batch.column("word").to_pylist()]
     size = np.array([len(x) // 4 for x in raw], np.int64)
     code = np.frombuffer(b"".join(raw), np.uint32)
-    start = np.cumsum(size) - size
+    start, rows = np.cumsum(size) - size, size - size // 2 + 1
     sums = hashing.prefix_sums(code)
-    lo = np.repeat(start, size + 1)
-    depth = np.arange(len(lo)) - np.repeat(start + np.arange(len(size)), size + 1)
-    node = (hashing.stretch(sums, lo, lo + depth) ^ np.repeat(batch.column("back").to_numpy(zero_copy_only=False) * BACK, size + 1)).view(np.int64)
-    end = depth == np.repeat(size, size + 1)
+    lo = np.repeat(start, rows)
+    depth = np.arange(len(lo)) - np.repeat(np.cumsum(rows) - rows - size // 2, rows)
+    back = np.repeat(batch.column("back").to_numpy(zero_copy_only=False) * BACK, rows)
+    node = (hashing.stretch(sums, lo, lo + depth) ^ back).view(np.int64)
+    end = depth == np.repeat(size, rows)
     follow = np.where(end, 0, np.append(code, 0)[np.minimum(lo + depth, len(code))])
-    ids = np.repeat(batch.column("id").to_numpy(), size + 1)
+    ids = np.repeat(batch.column("id").to_numpy(), rows)
     return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(depth, pa.int32()), pa.array(node), pa.array(follow, pa.int32())], names=["id", "depth", "node", "follow"])
 
 
@@ -98,78 +97,68 @@ def ends_here() -> Column:
     return F.getbit("low", F.lit(0)) == 1
 
 
-def trie_edges(words: DataFrame) -> DataFrame:
-    """From id, back and word: level, node, first (a code point), size, rest (hash of the label without its first character), child and the masks of what follows the child, of every edge."""
-    steps = common.by_batch(words.select("id", "back", "word"), prefixes, "id long, depth int, node long, follow int", "word")
-    steps = common.materialize(steps, "prefixes")
-    nodes = steps.groupBy("node").agg(F.min("depth").alias("deep"), *(F.expr(f"bit_or({bits})").alias(name) for name, bits in MASKS.items()))
-    nodes = nodes.where(several() | ends_here())
-    steps = steps.select("id", "depth", "node").where("depth > 0")
-    shallow = F.broadcast(nodes.where(F.col("deep") <= BROADCAST_LEVELS).drop("deep"))  # 16,380 rows at most
-    path = steps.where(F.col("depth") <= BROADCAST_LEVELS).join(shallow, "node").union(steps.where(F.col("depth") > BROADCAST_LEVELS).join(nodes.drop("deep"), "node"))
-    path = path.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("depth", "node", "low", "high"))).alias("path"))
-    root = F.array(F.struct(F.lit(0).alias("depth"), root_node(F.col("back")).alias("node"), F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high")))
-    hops = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct((i - 1).alias("level"), F.get("path", i - 1).alias("a"), F.get("path", i).alias("b")))
-    hops = words.join(path, "id").withColumn("path", F.concat(root, "path")).select("word", F.explode(hops).alias("hop")).select("word", "hop.*")
+def paths(both: DataFrame) -> DataFrame:
+    """From id, back and word: word, back and path, the nodes of the second half of each word: depth, node, and the masks of what follows."""
+    steps = common.by_batch(both.select("id", "back", "word"), prefixes, "id long, depth int, node long, follow int", "word")
+    nodes = steps.groupBy("node").agg(*(F.expr(f"bit_or({bits})").alias(name) for name, bits in MASKS.items())).where(several())
+    end = F.col("follow") == 0
+    met = steps.join(nodes.hint("shuffle_hash"), "node", "left").where(end | F.col("low").isNotNull())
+    met = met.select("id", F.struct("depth", "node", F.coalesce("low", F.lit(1).cast("long")).alias("low"), F.coalesce("high", F.lit(0).cast("long")).alias("high")).alias("place"))
+    return both.join(met.groupBy("id").agg(F.array_sort(F.collect_list("place")).alias("path")), "id").select("word", "back", "path")
+
+
+def trie_edges(known: DataFrame) -> DataFrame:
+    """From paths(): node, first (a code point), size, rest (hash of the label without its first character), child and the masks of what follows the child, of every edge."""
+    hops = F.transform(F.slice("path", F.lit(2), F.size("path")), lambda b, i: F.struct(F.get("path", i).alias("a"), b.alias("b")))
+    hops = known.select("word", F.explode(hops).alias("hop")).select("word", "hop.*")
     label = lambda skip: F.substring("word", F.col("a.depth") + 1 + skip, F.col("b.depth") - F.col("a.depth") - skip)
-    edges = hops.select("level", F.col("a.node").alias("node"), F.ascii(F.substring(label(0), 1, 1)).alias("first"), (F.col("b.depth") - F.col("a.depth")).alias("size"),
+    edges = hops.select(F.col("a.node").alias("node"), F.ascii(F.substring(label(0), 1, 1)).alias("first"), (F.col("b.depth") - F.col("a.depth")).alias("size"),
                         F.xxhash64(label(1)).alias("rest"), F.col("b.node").alias("child"), "b.low", "b.high")
     return edges.distinct()
 
 
-def root_node(back: Column) -> Column:
-    zero = np.zeros(1, np.int64)
-    root = hashing.stretch(np.zeros(1, np.uint64), zero, zero)
-    return F.when(back, int((root ^ BACK).view(np.int64)[0])).otherwise(int(root.view(np.int64)[0]))
-
-
 def character(at: Column) -> Column:
     """The code point of word at a position counted from 0."""
     return F.ascii(F.substring("word", at + 1, F.lit(1)))
 
 
-def wanted(states: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What the states want of the next edges, by node and character; and the states that end here by leaving out their last character."""
-    p, w = F.col("position"), F.length("word")
-    #: A word that is read backward has an edit in more than half of its characters, so that no place is left out.
-    late = p >= F.when(F.col("back"), w - F.floor(w / 2)).otherwise(F.floor(w / 2))
-    fresh = states.where("edits = 0").withColumn("own", character(p)).withColumn("after", F.when(p + 1 < w, character(p + 1)).otherwise(0))
-    none = F.lit(None).cast("int")
-    want = lambda edits, position, char, place, put: F.struct(F.lit(edits).alias("edits"), position.alias("position"), char.alias("char"), place.alias("place"), put.alias("put"))
-    straight = F.array(want(0, p, F.col("own"), none, none))
-    replaced = F.when(late & several(), F.transform(F.filter(F.array(*map(F.lit, ALPHABET)), lambda c: (c > F.col("own")) & offered(c)), lambda c: want(1, p, c, p, c))).otherwise(F.array())
-    left_out = F.when(late & (F.col("after") != F.col("own")) & (F.col("after") != 0), F.array(want(1, p + 1, F.col("after"), p, none))).otherwise(F.array())
-    more = fresh.select("word", "back", "node", F.explode(F.concat(straight, replaced, left_out)).alias("want")).select("word", "back", "node", "want.*")
-    on = states.where("edits = 1").select("word", "back", "node", "edits", "position", character(p).alias("char"), "place", "put")
-    ended = fresh.where(late & (F.col("after") == 0) & ends_here()).select("word", "back", F.lit(1).alias("edits"), w.alias("position"), "node", "low", "high", p.alias("place"), none.alias("put"))
-    return more.unionByName(on), ended
+NEXT = ["word", "back", "node", "position", "first", "place", "put"]
+
+
+def forks(known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the words, without an edit yet, want of the next edges by spending it; and the states that end here by leaving out their last character."""
+    p, w, none = F.col("position"), F.length("word"), F.lit(None).cast("int")
+    fresh = known.select("word", "back", F.explode("path").alias("at")).select("word", "back", "at.*").withColumnRenamed("depth", "position")
+    # a word that is read backward is cut in the same place
+    late = (p < w) & (p >= F.when(F.col("back"), w - F.floor(w / 2)).otherwise(F.floor(w / 2)))
+    fresh = fresh.where(late & (several() | ends_here())).withColumn("own", character(p)).withColumn("after", F.when(p + 1 < w, character(p + 1)).otherwise(0))
+    want = lambda position, first, put: F.struct(position.alias("position"), first.alias("first"), put.alias("put"))
+    replaced = F.transform(F.filter(F.array(*map(F.lit, ALPHABET)), lambda c: (c > F.col("own")) & offered(c)), lambda c: want(p, c, c))
+    left_out = F.when((F.col("after") != F.col("own")) & (F.col("after") != 0) & offered(F.col("after")), F.array(want(p + 1, F.col("after"), none))).otherwise(F.array())
+    more = fresh.select("word", "back", "node", p.alias("place"), F.explode(F.concat(replaced, left_out)).alias("want")).select("word", "back", "node", "place", "want.*")
+    ended = fresh.where((F.col("after") == 0) & ends_here()).select("word", "back", "node", w.alias("position"), F.lit(True).alias("ends"), p.alias("place"), none.alias("put"))
+    return more.select(NEXT), ended
 
 
 def neighbours(words: DataFrame) -> DataFrame:
     """word and near: each pair of words at one inserted, deleted or replaced character, in both directions."""
     both = words.select("id", F.lit(False).alias("back"), "word").union(words.select(-1 - F.col("id"), F.lit(True), F.reverse("word")))
-    edges = common.materialize(trie_edges(both), "edges")
-    none = F.lit(None).cast("int")
-    #: Every character may follow the root; those that do not meet no edge.
-    letters = F.lit(sum(1 << k for k in range(1, 27))).cast("long"), F.lit(-1).cast("long")
-    states = both.select("word", "back", F.lit(0).alias("edits"), F.lit(0).alias("position"), root_node(F.col("back")).alias("node"), letters[0].alias("low"), letters[1].alias("high"), none.alias("place"), none.alias("put"))
-    paths, level = [], 0
-    over = F.col("position") == F.length("word")
-    while level == 0 or not states.isEmpty():
-        wants, ended = wanted(states)
-        here = edges.where(F.col("level") == level).drop("level")
-        if level < BROADCAST_LEVELS:
-            here = F.broadcast(here)  # 16,200 rows of fixed size at most
-        moved = wants.withColumnRenamed("char", "first").join(here, ["node", "first"])
+    known = common.materialize(paths(both), "paths")
+    edges = common.materialize(trie_edges(known), "edges")
+    wants, ended = forks(known)
+    places, over = [], F.col("position") == F.length("word")
+    while True:
+        moved = wants.join(edges, ["node", "first"])
         rest = F.substring("word", F.col("position") + 2, F.col("size") - 1)
         moved = moved.where((F.col("position") + F.col("size") <= F.length("word")) & (F.xxhash64(rest) == F.col("rest")))
-        moved = moved.select("word", "back", "edits", (F.col("position") + F.col("size")).alias("position"), F.col("child").alias("node"), "low", "high", "place", "put")
-        # a state without an edit ends with its word: what is longer finds it by leaving a character out
-        states = common.materialize(moved.where(~over | ((F.col("edits") == 1) & ends_here())).unionByName(ended), "states")
-        paths.append(states.textmill_path)
-        states = states.where(~over)
-        level += 1
-    found = words.sparkSession.read.schema(states.schema).parquet(*paths).where(over)
+        moved = moved.select("word", "back", F.col("child").alias("node"), (F.col("position") + F.col("size")).alias("position"), ends_here().alias("ends"), "place", "put")
+        moved = moved.where(~over | F.col("ends"))
+        states = common.materialize(moved if places else moved.unionByName(ended), "states")
+        places.append(states.textmill_path)
+        wants = states.where(~over).withColumn("first", character(F.col("position"))).select(NEXT)
+        if wants.isEmpty():
+            break
+    found = words.sparkSession.read.schema(states.schema).parquet(*places).where(over)
     put = F.when(F.col("put").isNull(), F.lit("")).otherwise(F.char("put"))
     near = F.concat(F.substring("word", F.lit(1), F.col("place")), put, F.substring("word", F.col("place") + 2, F.length("word")))
     turned = lambda c: F.when(F.col("back"), F.reverse(c)).otherwise(c)

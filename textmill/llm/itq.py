@@ -15,8 +15,8 @@ spanning forest leaves a task, so a group of near copies puts out no more rows t
 
 Defined cases: a null label, and a vector that is null, empty, zero or holds null or non-finite
 components, links with nothing; vectors of different lengths never link; a null vec_id is linked with
-nothing, has component null and is kept; rows that share a vec_id are one node, whose links count by
-row; other columns are ignored.
+nothing, has component null and is kept; rows that share a vec_id are vectors of their own, each with the
+links of its own components; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -79,21 +79,21 @@ def classes(vectors: DataFrame) -> DataFrame:
 
 
 def packed(rows: DataFrame) -> DataFrame:
-    """rep, n, label, dim and vec: the components as float64, laid end to end."""
+    """cid, n, label, dim and vec: the components as float64, laid end to end."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vec = [np.array(x, np.float64).tobytes() for x in batch.column("embedding").to_pylist()]
             dim = pa.array([len(x) // 8 for x in vec], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("n"), batch.column("label"), dim, pa.array(vec, pa.binary())], names=["rep", "n", "label", "dim", "vec"])
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("n"), batch.column("label"), dim, pa.array(vec, pa.binary())], names=["cid", "n", "label", "dim", "vec"])
 
     label = dict(rows.dtypes)["label"]
-    return rows.mapInArrow(each, f"rep long, n long, label {label}, dim int, vec binary")
+    return rows.mapInArrow(each, f"cid long, n long, label {label}, dim int, vec binary")
 
 
 def candidates(g: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of a cell's rows whose codes are within the radius and whose first common table is the cell's."""
-    ids, own = g.column("rep").to_numpy(), g.column("own").to_numpy()
+    ids, own = g.column("cid").to_numpy(), g.column("own").to_numpy()
     p, q, place = (g.column(c)[0].as_py() for c in ("p", "q", "place"))
     code = np.frombuffer(b"".join(g.column("code").to_pylist()), np.uint16).reshape(len(ids), -1)
     found = []
@@ -116,7 +116,7 @@ def links(own: DataFrame, least: float, sample: int, block: int) -> DataFrame:
     """From packed(): a, b of a spanning forest of the classes with cosine at least ``least``, in each cell; and a, n, the vectors of other classes that a is linked with there."""
     spark = own.sparkSession
     total = own.count()
-    part = own.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < int(min(1.0, sample / max(1, total)) * (1 << 30)) + 1)
+    part = own.where(F.pmod(F.xxhash64("cid"), F.lit(1 << 30)) < int(min(1.0, sample / max(1, total)) * (1 << 30)) + 1)
     drawn: dict[int, list[bytes]] = {}
     for r in part.select("dim", "vec").limit(2 * sample).collect():
         drawn.setdefault(r.dim, []).append(bytes(r.vec))
@@ -129,16 +129,16 @@ def links(own: DataFrame, least: float, sample: int, block: int) -> DataFrame:
                 at = np.flatnonzero(dims == d)
                 model = models.value.get(d) or (np.zeros(d), np.eye(d)[None, :, : min(d, CODE)])
                 out[at] = [x.tobytes() for x in substrings(unit([vec[i] for i in at]), model)]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("rep", "label", "dim")] + [pa.array(list(out), pa.binary())], names=["rep", "label", "dim", "code"])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("cid", "label", "dim")] + [pa.array(list(out), pa.binary())], names=["cid", "label", "dim", "code"])
 
     label = dict(own.dtypes)["label"]
-    coded = common.materialize(own.mapInArrow(codes, f"rep long, label {label}, dim int, code binary"), "codes")
+    coded = common.materialize(own.mapInArrow(codes, f"cid long, label {label}, dim int, code binary"), "codes")
     table = F.explode(F.sequence(F.lit(0), (F.octet_length("code") / 2 - 1).cast("int"))).alias("place")
     keys = coded.select("*", table).withColumn("key", F.xxhash64("label", "dim", "place", F.expr("substring(code, 2 * place + 1, 2)")))
     many = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     cells = keys.join(many, "key").withColumn("blocks", F.ceil(F.col("members") / block))
-    cells = cells.withColumn("own", F.pmod(F.xxhash64("rep"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cells = cells.select("key", "place", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "rep", "label", "dim", "code")
+    cells = cells.withColumn("own", F.pmod(F.xxhash64("cid"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cells = cells.select("key", "place", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "cid", "label", "dim", "code")
 
     def live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in common.groups(batches, ("key", "p", "q")):
@@ -149,7 +149,7 @@ def links(own: DataFrame, least: float, sample: int, block: int) -> DataFrame:
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in common.groups(batches, ("key", "p", "q")):
             i, j = candidates(g)
-            x, ids, n = unit(g.column("vec").to_pylist()), g.column("rep").to_numpy(), g.column("n").to_numpy()
+            x, ids, n = unit(g.column("vec").to_pylist()), g.column("cid").to_numpy(), g.column("n").to_numpy()
             cosine = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", x[i[lo : lo + 8192]], x[j[lo : lo + 8192]]) for lo in range(0, len(i), 8192))])
             good = cosine >= least
             i, j, cosine = i[good], j[good], cosine[good]
@@ -159,23 +159,24 @@ def links(own: DataFrame, least: float, sample: int, block: int) -> DataFrame:
                 a, b = np.concatenate([ids[i[pick]], ids[some]]), pa.array([*ids[j[pick]].tolist(), *[None] * len(some)], pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(a), b, pa.array(np.concatenate([np.zeros(len(pick), np.int64), others[some]]))], names=["a", "b", "n"])
 
-    schema = f"key long, place int, p long, q long, own long, rep long, label {label}, dim int, code binary"
+    schema = f"key long, place int, p long, q long, own long, cid long, label {label}, dim int, code binary"
     dealt = common.materialize(minhash.in_cells(cells, live, schema), "live")
-    whole = own.select("rep", "n", "vec", F.col("label").alias("l"), F.col("dim").alias("m"))
-    dealt = dealt.join(whole, "rep").where("label = l and dim = m").drop("l", "m")
+    dealt = dealt.join(own.select("cid", "n", "vec"), "cid")
     return minhash.in_cells(dealt, verify, "a long, b long, n long")
 
 
 def near_vectors(vectors: DataFrame, least: float = LEAST, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id and kept."""
     v = vectors.select("vec_id", "label", "embedding")
-    cls = common.materialize(classes(v), "classes")
+    cls = common.materialize(classes(v).withColumn("cid", F.monotonically_increasing_id()), "classes")
     own = common.materialize(packed(cls), "vectors")
     found = common.materialize(links(own, least, sample, block), "links")
-    parts = common.components(found.where("b is not null").select("a", "b"))
-    degree = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
-    named = cls.join(degree, "rep", "left").join(parts, F.col("rep") == parts.node, "left").select(
-        F.col("label").alias("l"), F.col("embedding").alias("e"), F.coalesce("component", "rep").alias("component_id"), (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links")
+    parts = common.components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "cid")
+    smallest = cls.join(parts, "cid").groupBy("component").agg(F.min("rep").alias("component_id"))
+    parts = parts.join(smallest, "component").select("cid", "component_id")
+    degree = found.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("others"))
+    named = cls.join(degree, "cid", "left").join(parts, "cid", "left").select(
+        F.col("label").alias("l"), F.col("embedding").alias("e"), F.coalesce("component_id", "rep").alias("component_id"), (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links")
     )
     out = v.join(named, F.col("vec_id").isNotNull() & (v.label == F.col("l")) & (v.embedding == F.col("e")), "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", F.col("vec_id").cast("long")).alias("component_id"))

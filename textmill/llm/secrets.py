@@ -3,9 +3,11 @@
 Base kinds (leftmost non-overlapping matches, failing ones dropped afterwards): ``assign``, ``access``
 and ``hex``. The method adds ``random``: a run of credential characters that a byte-level BPE
 vocabulary spends many tokens on, i.e. with few characters a token, unless it is a digest of known
-length, a UUID or another identifier, or overlaps a base span. Where a run as a whole does not show it,
+length, a UUID or another identifier (numbers alone and words joined by ``/ = _ -`` are), or overlaps a base
+span. The ratio decides, whatever kinds of characters a run has. Where a run as a whole does not show it,
 UUIDs and digests are taken out, and the parts between ``/ = _ -`` and a window over the tokens are judged
 on their own, so that a key behind a path, or next to a UUID, is found; its span is the part or the windows.
+Runs of 12 to 15 characters are judged if they have digits and letters of both cases, by a lower ratio.
 
 Defined cases: a null text counts as empty and has no spans; rows with a null or repeated doc_id are
 scanned like any others, one row out for each row in; other columns are ignored.
@@ -16,7 +18,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_left
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,8 +30,10 @@ from textmill.llm import common
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-#: Runs that may be credentials; those without a digit or a frequent change of case are words, those without a letter numbers.
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Runs that may be credentials; those without a letter are numbers.
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+LETTER = re.compile(r"[A-Za-z]")
+ALL_KINDS = re.compile(r"(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])[A-Za-z0-9]+")
 CASE = re.compile(r"[a-z](?=[A-Z])")
 PART = re.compile(r"[A-Za-z0-9+]{16,}")
 HEX_PART = re.compile(r"[0-9a-f]+|[0-9A-F]+")
@@ -38,8 +44,8 @@ DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-
 UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.I)
 IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[_/=-](?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))+")
 ORDER = {"assign": 0, "access": 1, "hex": 2, "random": 3}
-#: Characters a token: ordinary words have three or more, random base64 fewer than two.
-MAX_RATIO = 2.0
+#: Characters a token: long words have more than two, random letters of one case 1.7, random base64 1.3.
+MAX_RATIO, BRIEF_RATIO = 2.0, 1.5
 #: The same for parts of less than LONG characters, for windows, and for parts of hex digits, whose tokens are longer; separators that a window may hold.
 SHORT_RATIO, WINDOW_RATIO, HEX_RATIO, LONG, WINDOW, SEPARATORS = 1.8, 1.6, 2.3, 20, 16, 2
 
@@ -102,13 +108,15 @@ def inner_spans(run: str, enc, max_ratio: float) -> list[tuple[int, int]]:
     found, at, share = [], 0, max_ratio / MAX_RATIO
     for lo, hi in [*(m.span() for m in HOLE.finditer(run)), (len(run), len(run))]:
         piece = run[at:lo]
-        if len(piece) >= WINDOW and mixed(piece):
+        if len(piece) >= WINDOW:
             for m in PART.finditer(piece):
-                if mixed(m[0]) and not known(m[0]):
-                    limit = HEX_RATIO * share if HEX_PART.fullmatch(m[0]) else max_ratio if len(m[0]) >= LONG else SHORT_RATIO * share
+                if LETTER.search(m[0]) and not known(m[0]):
+                    several = mixed(m[0])
+                    limit = HEX_RATIO * share if several and HEX_PART.fullmatch(m[0]) else max_ratio if len(m[0]) >= LONG or not several else SHORT_RATIO * share
                     if len(m[0]) / len(enc.encode_ordinary(m[0])) < limit:
                         found.append((at + m.start(), at + m.end()))
-            found += [(at + a, at + b) for a, b in dense_windows(piece, enc, share)]
+            if mixed(piece):
+                found += [(at + a, at + b) for a, b in dense_windows(piece, enc, share)]
         at = hi
     out: list[tuple[int, int]] = []
     for a, b in sorted(found):
@@ -119,18 +127,34 @@ def inner_spans(run: str, enc, max_ratio: float) -> list[tuple[int, int]]:
     return out
 
 
+class Taken:
+    """Whether a stretch meets one of the spans (sorted by start), by one look-up."""
+
+    def __init__(self, spans: list[tuple[int, int, str]]) -> None:
+        self.starts = [a for a, _, _ in spans]
+        self.ends = list(accumulate((b for _, b, _ in spans), max))
+
+    def meets(self, lo: int, hi: int) -> bool:
+        k = bisect_left(self.starts, hi)
+        return k > 0 and self.ends[k - 1] > lo
+
+
 def random_spans(text: str, base: list[tuple[int, int, str]], enc, max_ratio: float = MAX_RATIO) -> list[tuple[int, int, str]]:
-    out = []
+    out, taken = [], Taken(base)
     for m in RUN.finditer(text):
         run = m[0]
-        if not mixed(run) or known(run):
+        if not LETTER.search(run) or known(run):
+            continue
+        free = not taken.meets(m.start(), m.end())
+        if len(run) < WINDOW:
+            if free and ALL_KINDS.fullmatch(run) and len(run) / len(enc.encode_ordinary(run)) < BRIEF_RATIO * max_ratio / MAX_RATIO:
+                out.append((m.start(), m.end(), "random"))
             continue
-        free = not any(a < m.end() and m.start() < b for a, b, _ in base)
-        if free and len(run) >= LONG and not UUID.search(run) and len(run) / len(enc.encode_ordinary(run)) < max_ratio:
+        if free and len(run) >= LONG and mixed(run) and not UUID.search(run) and len(run) / len(enc.encode_ordinary(run)) < max_ratio:
             out.append((m.start(), m.end(), "random"))
             continue
         inner = [(m.start() + a, m.start() + b) for a, b in inner_spans(run, enc, max_ratio)]
-        out += [(a, b, "random") for a, b in inner if not any(x < b and a < y for x, y, _ in base)]
+        out += [(a, b, "random") for a, b in inner if not taken.meets(a, b)]
     return out
 
 

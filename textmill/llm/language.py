@@ -6,10 +6,12 @@ their sizes, within the grams of the landmark texts. Kernel ridge regression, on
 the rest, is solved in the Nyström space of the landmarks. Texts are scored in batches: a presence
 matrix times the landmarks' matrix gives the kernels, and those times the coefficients the scores.
 
-The classifier is fitted on about ``sample`` labelled rows, twice that at most (a documented bound), of
-those whose crc32(doc_id) mod 4 is not 2 and whose text has at most ``LONGEST`` characters. Each language
-gives an equal part of the sample, or all its rows if it has fewer, drawn by a hash of doc_id and text;
-the ``LANGUAGES`` most frequent ones are learned. Predictions see the text alone, and the whole of it.
+The classifier is fitted on about ``sample`` labelled rows (a documented bound), of those whose crc32(doc_id)
+mod 4 is not 2 and whose text has at most ``LONGEST`` characters: an equal part for each language, at least
+``LEAST_ROWS`` of each, or all its rows if it has fewer, in the order of a hash of doc_id and text; rows beyond
+``SAMPLE_CHARS`` characters in all, shared out by language, are left out of the fit, but for a language's first one.
+All languages are learned: each gives at least ``MARKS`` landmarks, and the model is as large as they need. Predictions see the text
+alone, and the whole of it.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0; null and repeated doc_ids
 are rows like any others (a null doc_id is neither held out nor learned from); without labelled rows
@@ -23,25 +25,35 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textmill.llm import common
 
 SAMPLE, LANDMARKS, RIDGE = 3000, 192, 1e-3
-LONGEST, LANGUAGES = 100_000, 1000
+LEAST_ROWS, MARKS = 8, 4
+LONGEST, SAMPLE_CHARS = 100_000, 20_000_000
+#: Texts that are scored by one matrix product.
+BATCH = 128
 #: A character is its code point if it is a letter and 0 if not; three of them and the lengths' offsets fit 63 bits.
 CLASSES = 0x110000
 UNKNOWN = "und"
 
 
-class Model(NamedTuple):
-    """labels; vocabulary: the columns' grams, sorted; landmarks: grams by landmarks; size: grams in each landmark; weights: landmarks by labels."""
+class Landmarks(NamedTuple):
+    """vocabulary: the grams that landmarks have, sorted; at, of: the landmarks of gram i are of[at[i]:at[i + 1]]; size: grams of each landmark."""
 
-    labels: list[str]
     vocabulary: np.ndarray
-    landmarks: np.ndarray
+    at: np.ndarray
+    of: np.ndarray
     size: np.ndarray
+
+
+class Model(NamedTuple):
+    """labels; marks; weights: landmarks by labels."""
+
+    labels: list[str]
+    marks: Landmarks
     weights: np.ndarray
 
 
@@ -54,86 +66,89 @@ def letters() -> np.ndarray:
     return table
 
 
-def columns(vocabulary: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    """Each gram's place in the vocabulary, or -1."""
-    at = np.minimum(np.searchsorted(vocabulary, grams), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == grams, at, -1)
-
-
-def gram_rows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, gram) of all n-grams of the texts, and for each text whether it has a letter."""
+def gram_sets(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct n-grams of each text, sorted, and whether it has a letter."""
     raw = [t.lower().encode("utf-32-le", "surrogatepass") for t in texts]
-    size = np.array([len(x) // 4 for x in raw])
+    at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw])]).astype(np.int64)
     kind = letters()[np.frombuffer(b"".join(raw), np.uint32)].astype(np.int64)
-    row = np.repeat(np.arange(len(texts), dtype=np.int32), size)
-    letter = np.zeros(len(texts), bool)
-    letter[row[kind > 0]] = True
-    rows, grams, code, base = [row], [kind], kind, CLASSES
-    for n in (2, 3):
-        code = code[: max(0, len(kind) - n + 1)] * CLASSES + kind[n - 1 :]
-        same = row[: len(code)] == row[n - 1 :]
-        rows.append(row[: len(code)][same])
-        grams.append(code[same] + base)
+    found: list[list[np.ndarray]] = [[] for _ in texts]
+    code, base = kind, 0
+    for n in (1, 2, 3):
+        if n > 1:
+            code = code[: max(0, len(kind) - n + 1)] * CLASSES + kind[n - 1 :]
+        for i, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)):
+            found[i].append(np.unique(code[lo : max(lo, hi - n + 1)]) + base)
         base += CLASSES**n
-    return np.concatenate(rows), np.concatenate(grams), letter
+    letter = np.array([len(f[0]) > 0 and f[0][-1] > 0 for f in found], bool)
+    return [np.concatenate(f) for f in found], letter
 
 
-def kernels(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    rows, grams, letter = gram_rows(texts)
-    col = columns(model.vocabulary, grams)
-    there = np.zeros((len(texts), len(model.landmarks)), np.float32)
-    there[rows[col >= 0], col[col >= 0]] = 1
-    scale = np.sqrt(np.maximum(there.sum(1, keepdims=True), 1) * model.size)
-    return there @ model.landmarks / scale, letter
+def landmarks_of(sets: list[np.ndarray]) -> Landmarks:
+    grams = np.concatenate(sets)
+    size = np.array([len(x) for x in sets])
+    order = np.argsort(grams, kind="stable")
+    vocabulary, first = np.unique(grams[order], return_index=True)
+    return Landmarks(vocabulary, np.append(first, len(grams)), np.repeat(np.arange(len(sets), dtype=np.int32), size)[order], size)
+
+
+def kernels(marks: Landmarks, sets: list[np.ndarray]) -> np.ndarray:
+    """Texts by landmarks: the product of the two presence matrices, kept sparse, over the roots of the sizes."""
+    column = [np.searchsorted(marks.vocabulary, s) for s in sets]
+    column = [c[marks.vocabulary[np.minimum(c, len(marks.vocabulary) - 1)] == s] for c, s in zip(column, sets, strict=True)]
+    known = np.array([len(c) for c in column])
+    column = np.concatenate(column)
+    lo, n = marks.at[column], marks.at[column + 1] - marks.at[column]
+    row = np.repeat(np.repeat(np.arange(len(sets)), known), n)
+    mark = marks.of[np.arange(len(row)) + np.repeat(lo - np.cumsum(n) + n, n)]
+    m = len(marks.size)
+    common_ = np.bincount(row * m + mark, minlength=len(sets) * m).reshape(len(sets), m)
+    return (common_ / np.sqrt(np.maximum(known[:, None], 1) * np.maximum(marks.size, 1))).astype(np.float32)
 
 
 def fit(langs: list[str], sets: list[np.ndarray], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
-    """A model from labelled gram sets; the landmarks are dealt evenly to the languages."""
+    """A model from labelled gram sets; the landmarks are dealt evenly to the languages, at least MARKS to each that has as many texts.
+
+    Ridge regression in the landmarks' space: with the kernels K of all texts and M of the landmarks among
+    themselves, the coefficients solve (K'K + ridge n M) w = K'y.
+    """
     if not langs:
         return None
-    labels = sorted(set(langs))
-    y = np.array([labels.index(x) for x in langs])
+    labels, y = np.unique(np.array(langs, object), return_inverse=True)
+    order = np.argsort(y, kind="stable")
     turn = np.empty(len(y), int)
-    for k in range(len(labels)):
-        turn[y == k] = np.arange((y == k).sum())
-    marks = np.lexsort((y, turn))[:landmarks]
-    vocabulary = np.unique(np.concatenate([sets[i] for i in marks]))
-    x = np.zeros((len(sets), len(vocabulary)), np.float32)
-    for i, s in enumerate(sets):
-        col = columns(vocabulary, s)
-        x[i, col[col >= 0]] = 1
-    size = x.sum(1)
-    k = (x @ x[marks].T) / np.sqrt(np.maximum(size[:, None], 1) * size[marks])
-    values, vectors = np.linalg.eigh(k[marks].astype(np.float64))
-    good = values > 1e-8 * values.max()
-    root = vectors[:, good] / np.sqrt(values[good])
-    phi = k @ root
-    goal = np.eye(len(labels))[y]
-    w = np.linalg.solve(phi.T @ phi + ridge * len(y) * np.eye(phi.shape[1]), phi.T @ goal)
-    return Model(labels, vocabulary, np.ascontiguousarray(x[marks].T), size[marks], (root @ w).astype(np.float32))
+    turn[order] = np.arange(len(y)) - np.searchsorted(y[order], y[order])
+    chosen = np.lexsort((y, turn))[: max(landmarks, MARKS * len(labels))]
+    marks = landmarks_of([sets[i] for i in chosen])
+    k = np.concatenate([kernels(marks, sets[i : i + BATCH]) for i in range(0, len(sets), BATCH)]).astype(np.float64)
+    goal = np.zeros((len(y), len(labels)))
+    goal[np.arange(len(y)), y] = 1
+    left = k.T @ k + ridge * len(y) * k[chosen]
+    left[np.diag_indices(len(left))] += 1e-9 * np.trace(left) / len(left)
+    w = np.linalg.solve(left, k.T @ goal)
+    return Model(labels.tolist(), marks, w.astype(np.float32))
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """A model from a bounded sample of the labelled rows that are not held out."""
     learn = docs.select("doc_id", "text", "lang").where("lang is not null and pmod(crc32(cast(doc_id as string)), 4) <> 2").where(F.length("text") <= LONGEST)
-    counts = learn.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    counts = learn.groupBy("lang").agg(F.count("*").alias("n")).collect()  # one row a language
     if not counts:
         return None
-    part = -(-sample // len(counts))
-    shares = docs.sparkSession.createDataFrame([(r.lang, int(min(1.0, part / r.n) * (1 << 30)) + 1) for r in counts], "learned string, share long")
+    part = max(LEAST_ROWS, -(-sample // len(counts)))
+    shares = docs.sparkSession.createDataFrame([(r.lang, int(min(1.0, 2 * part / r.n) * (1 << 30)) + 1) for r in counts], "learned string, share long")
     drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(1 << 30))
-    picked = learn.join(F.broadcast(shares), F.col("lang") == F.col("learned")).where(drawn < F.col("share"))  # LANGUAGES rows at most
+    picked = learn.withColumn("drawn", drawn).join(shares, F.col("lang") == F.col("learned")).where("drawn < share")
+    first = Window.partitionBy("lang").orderBy("drawn", F.col("doc_id").cast("string"), "text")  # about 2 * part rows of a language
+    chars = F.sum(F.length("text")).over(first.rowsBetween(Window.unboundedPreceding, 0))
+    picked = picked.withColumn("place", F.row_number().over(first)).withColumn("chars", chars)
+    picked = picked.where((F.col("place") <= part) & ((F.col("place") == 1) | (F.col("chars") <= SAMPLE_CHARS // len(counts))))
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [x or "" for x in batch.column("text").to_pylist()]
-        rows, grams, letter = gram_rows(texts)
-        grams = grams[np.argsort(rows, kind="stable")]
-        at = np.searchsorted(np.sort(rows), np.arange(len(texts) + 1))
-        found = [np.unique(grams[a:b]).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+        found, letter = gram_sets([x or "" for x in batch.column("text").to_pylist()])
         keep = pa.array(letter)
-        return pa.RecordBatch.from_arrays([batch.column("lang").filter(keep), pa.array(found, pa.binary()).filter(keep)], names=["lang", "grams"])
+        return pa.RecordBatch.from_arrays([batch.column("lang").filter(keep), pa.array([x.tobytes() for x in found], pa.binary()).filter(keep)], names=["lang", "grams"])
 
-    rows = common.by_batch(picked.select("lang", "text"), sets, "lang string, grams binary").limit(2 * sample).collect()
+    rows = common.by_batch(picked.select("lang", "text"), sets, "lang string, grams binary").collect()
     rows.sort(key=lambda r: (r.lang, bytes(r.grams)))
     order = np.random.default_rng(7).permutation(len(rows))
     return fit([rows[i].lang for i in order], [np.frombuffer(rows[i].grams, np.int64) for i in order])
@@ -146,12 +161,12 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) ->
     def label(batch: pa.RecordBatch) -> pa.RecordBatch:
         m, texts = own.value, [x or "" for x in batch.column("text").to_pylist()]
         best, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
-        for lo in range(0, len(texts) if m else 0, 128):
-            k, letter = kernels(m, texts[lo : lo + 128])
-            s = k @ m.weights
+        for lo in range(0, len(texts) if m else 0, BATCH):
+            sets, letter = gram_sets(texts[lo : lo + BATCH])
+            s = kernels(m.marks, sets) @ m.weights
             top = s.argmax(1)
-            best[lo : lo + 128][letter] = np.array(m.labels, object)[top[letter]]
-            score[lo : lo + 128][letter] = np.clip(s[np.arange(len(s)), top], 0, 1)[letter]
+            best[lo : lo + BATCH][letter] = np.array(m.labels, object)[top[letter]]
+            score[lo : lo + BATCH][letter] = np.clip(s[np.arange(len(s)), top], 0, 1)[letter]
         cols = [batch.column(c) for c in dict.fromkeys(("doc_id", "held_out", *keep))]
         return pa.RecordBatch.from_arrays([*cols, pa.array(best, pa.string()), pa.array(score)], names=[*dict.fromkeys(("doc_id", "held_out", *keep)), "lang_pred", "score"])
 

@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textmill.functions.markup import Marks, Open
 from textmill.llm import common, hashing, tallies
 
 LEAST, PAGES = 8, 3
@@ -67,9 +68,6 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 #: Elements whose start ends an open one of these.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BARS = set("ul ol dl table div article section main body nav aside footer header form blockquote".split())
-MARK = re.compile(
-    r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+>)", re.S
-)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 CORE, LOOSE, JUNK, BURIED = 0, 1, 2, 3
 FIRMLY, BY_NAME = 1, 2
@@ -95,7 +93,7 @@ def noise_of(tag: str, attributes: str, core: bool) -> int:
         return FIRMLY
     if not attributes or tag in ("html", "body", "main", "article"):
         return 0
-    a = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes[:-1])}
+    a = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
     if "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "")) or a.get("role", "").lower() in ROLES:
         return FIRMLY
     found = noisy(f"{a.get('class', '')} {a.get('id', '')}")
@@ -107,7 +105,8 @@ def noise_of(tag: str, attributes: str, core: bool) -> int:
 def blocks(page: str) -> list[tuple[int, str]]:
     """(kind, text) of a page's blocks in order, white space collapsed, empty ones left out."""
     out: list[tuple[int, str]] = []
-    stack: list[tuple[str, int, bool, bool]] = [("", LOOSE, False, False)]  # element, kind of its text, inside article or main, noise by its class
+    stack = Open()  # each with the kind of its text, whether it is inside article or main, and whether it is noise by its class
+    stack.push("", (LOOSE, False, False))
     text: dict[int, list[str]] = {}
 
     def flush() -> None:
@@ -116,52 +115,49 @@ def blocks(page: str) -> list[tuple[int, str]]:
                 out.append((kind, found))
         text.clear()
 
-    def leave(names: set[str] | str, bars: set[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in names:
-                del stack[i:]
-                return
-            if stack[i][0] in bars:
-                return
+    def leave(names: set[str], bars: set[str]) -> None:
+        i = stack.innermost(names)
+        if i > 0 and i >= stack.innermost(bars):
+            stack.cut(i)
 
-    at, head = 0, False
+    marks, at, head = Marks(page), 0, False
     while at < len(page):
-        m = MARK.search(page, at)
-        if not head and (more := page[at : m.start() if m else len(page)]):
-            text.setdefault(stack[-1][1], []).append(more)
+        m = marks.next(at)
+        if not head and (more := page[at : m.begin if m else len(page)]):
+            text.setdefault(stack.kept[-1][0], []).append(more)
         if not m:
             break
-        at, tag = m.end(), (m[2] or "").lower()
+        at, tag = m.end, m.name
         if not tag:
             continue
-        if tag in RAW and not m[1]:
+        if tag in RAW and not m.closing:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
         if tag in ("head", "body"):
-            head = tag == "head" and not m[1]
+            head = tag == "head" and not m.closing
         elif tag in BLOCKS and tag != "html":
             head = False
         if tag == "br":
-            text.setdefault(stack[-1][1], []).append(" ")
+            text.setdefault(stack.kept[-1][0], []).append(" ")
         if tag in BLOCKS:
             flush()
-        if m[1]:
+        if m.closing:
             leave({tag}, set() if tag in BLOCKS else BARS)
         elif tag not in VOID:
             if tag in BLOCKS:
                 leave({"p"}, BARS | {"td", "th", "li"})
             if tag in ENDS:
                 leave(ENDS[tag], BARS - {tag})
-            _, kind, core, named = stack[-1]
-            main = tag == "main" or bool(re.search(r"role\s*=\s*[\"']?main\b", m[3]))
+            kind, core, named = stack.kept[-1]
+            main = tag == "main" or bool(re.search(r"role\s*=\s*[\"']?main\b", m.attributes))
             core = core or main or tag == "article"
             if kind != JUNK:
-                noise = noise_of(tag, m[3], core)
+                noise = noise_of(tag, m.attributes, core)
                 kind, named = (JUNK, noise == BY_NAME) if noise else (kind if kind == BURIED else CORE if core else LOOSE, False)
             elif named and (main or tag == "article"):
                 kind, named = CORE if main else BURIED, False
-            stack.append((tag, kind, core, named))
+            stack.push(tag, (kind, core, named))
     flush()
     return unburied(out)
 

@@ -7,7 +7,9 @@ a node exists where prefixes of words fork or a word ends.
 
 There are two tries, of the words and of the reversed words, and a word spends its edit in its second half only,
 where few branches are left; an edit in the first half is found in the other trie. So the tries hold the
-prefixes of at least half a word's length, and no node near a root is a hot key.
+prefixes of at least half a word's length, and no node near a root is a hot key. What follows an edit is equal in
+both words, so each trie is one of its own for each pair of last characters; edits at the last two places
+have a trie (``tail``) of the prefixes that leave at most two characters.
 
 The frontier is a table of states (word, position, node, edits). It starts with each word at each fork of its own
 path, without an edit. A state without an edit spends it, by replacing its character with another that the node
@@ -66,21 +68,29 @@ def word_counts(docs: DataFrame, least_length: int = LEAST_LENGTH, least_count:
     return words.where(F.length("word") >= least_length).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least_count)
 
 
+def stretches(lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each i the numbers from lo[i] on, n[i] of them: i and number."""
+    of = np.repeat(np.arange(len(lo)), n)
+    return of, np.arange(len(of)) + np.repeat(lo - np.cumsum(n) + n, n)
+
+
 def prefixes(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """For each word its prefixes of half its length and more: id, depth, node and the character that follows (0 after the whole word)."""
+    """The prefixes of each word that the tries hold: id, tail, depth, node and the character that follows (0 after the whole word)."""
     raw = [w.encode("utf-32-le") for w in batch.column("word").to_pylist()]
     size = np.array([len(x) // 4 for x in raw], np.int64)
     code = np.frombuffer(b"".join(raw), np.uint32)
-    start, rows = np.cumsum(size) - size, size - size // 2 + 1
-    sums = hashing.prefix_sums(code)
-    lo = np.repeat(start, rows)
-    depth = np.arange(len(lo)) - np.repeat(np.cumsum(rows) - rows - size // 2, rows)
-    back = np.repeat(batch.column("back").to_numpy(zero_copy_only=False) * BACK, rows)
-    node = (hashing.stretch(sums, lo, lo + depth) ^ back).view(np.int64)
-    end = depth == np.repeat(size, rows)
-    follow = np.where(end, 0, np.append(code, 0)[np.minimum(lo + depth, len(code))])
-    ids = np.repeat(batch.column("id").to_numpy(), rows)
-    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(depth, pa.int32()), pa.array(node), pa.array(follow, pa.int32())], names=["id", "depth", "node", "follow"])
+    start, half, every = np.cumsum(size) - size, size // 2, np.arange(len(size))
+    inner, inner_depth = stretches(half, np.maximum(size - 1 - half, 0))
+    tail, tail_depth = stretches(np.maximum(size - 2, 0), np.minimum(size, 2) + 1)
+    of, depth = np.concatenate([inner, every, tail]), np.concatenate([inner_depth, size, tail_depth])
+    in_tail = np.arange(len(of)) >= len(of) - len(tail)
+    last = code[start + size - 1].astype(np.uint64) * np.uint64(0x110000) + np.where(size > 1, code[start + np.maximum(size - 2, 0)], 0).astype(np.uint64)
+    mark = np.where(in_tail, np.uint64(0), hashing.mixed(last, 1)[of]) ^ (batch.column("back").to_numpy(zero_copy_only=False) * BACK)[of]
+    lo = start[of]
+    node = (hashing.stretch(hashing.prefix_sums(code), lo, lo + depth) ^ mark).view(np.int64)
+    follow = np.where(depth == size[of], 0, np.append(code, 0)[lo + depth])
+    columns = [pa.array(batch.column("id").to_numpy()[of]), pa.array(in_tail), pa.array(depth, pa.int32()), pa.array(node), pa.array(follow, pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, names=["id", "tail", "depth", "node", "follow"])
 
 
 def offered(c: Column) -> Column:
@@ -98,13 +108,13 @@ def ends_here() -> Column:
 
 
 def paths(both: DataFrame) -> DataFrame:
-    """From id, back and word: word, back and path, the nodes of the second half of each word: depth, node, and the masks of what follows."""
-    steps = common.by_batch(both.select("id", "back", "word"), prefixes, "id long, depth int, node long, follow int", "word")
+    """From id, back and word: word, back, tail and path, the nodes of the second half of each word: depth, node, and the masks of what follows."""
+    steps = common.by_batch(both.select("id", "back", "word"), prefixes, "id long, tail boolean, depth int, node long, follow int", "word")
     nodes = steps.groupBy("node").agg(*(F.expr(f"bit_or({bits})").alias(name) for name, bits in MASKS.items())).where(several())
     end = F.col("follow") == 0
     met = steps.join(nodes.hint("shuffle_hash"), "node", "left").where(end | F.col("low").isNotNull())
-    met = met.select("id", F.struct("depth", "node", F.coalesce("low", F.lit(1).cast("long")).alias("low"), F.coalesce("high", F.lit(0).cast("long")).alias("high")).alias("place"))
-    return both.join(met.groupBy("id").agg(F.array_sort(F.collect_list("place")).alias("path")), "id").select("word", "back", "path")
+    met = met.select("id", "tail", F.struct("depth", "node", F.coalesce("low", F.lit(1).cast("long")).alias("low"), F.coalesce("high", F.lit(0).cast("long")).alias("high")).alias("place"))
+    return both.join(met.groupBy("id", "tail").agg(F.array_sort(F.collect_list("place")).alias("path")), "id").select("word", "back", "tail", "path")
 
 
 def trie_edges(known: DataFrame) -> DataFrame:
@@ -128,9 +138,9 @@ NEXT = ["word", "back", "node", "position", "first", "place", "put"]
 def forks(known: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What the words, without an edit yet, want of the next edges by spending it; and the states that end here by leaving out their last character."""
     p, w, none = F.col("position"), F.length("word"), F.lit(None).cast("int")
-    fresh = known.select("word", "back", F.explode("path").alias("at")).select("word", "back", "at.*").withColumnRenamed("depth", "position")
+    fresh = known.select("word", "back", "tail", F.explode("path").alias("at")).select("word", "back", "tail", "at.*").withColumnRenamed("depth", "position")
     # a word that is read backward is cut in the same place
-    late = (p < w) & (p >= F.when(F.col("back"), w - F.floor(w / 2)).otherwise(F.floor(w / 2)))
+    late = (p < w) & (F.col("tail") == (p >= w - 2)) & (p >= F.when(F.col("back"), w - F.floor(w / 2)).otherwise(F.floor(w / 2)))
     fresh = fresh.where(late & (several() | ends_here())).withColumn("own", character(p)).withColumn("after", F.when(p + 1 < w, character(p + 1)).otherwise(0))
     want = lambda position, first, put: F.struct(position.alias("position"), first.alias("first"), put.alias("put"))
     replaced = F.transform(F.filter(F.array(*map(F.lit, ALPHABET)), lambda c: (c > F.col("own")) & offered(c)), lambda c: want(p, c, c))

@@ -77,14 +77,27 @@ def test_open_elements():
             assert o.innermost(names) == max((i for i, n in enumerate(plain) if n in names), default=-1)
 
 
-@pytest.mark.parametrize("hard", ['{"a": "x", "b' + '": 1, "k' * 200_000 + "}", "{" + '"a" : ' * 300_000 + "}", "x" + " " * 2_000_000 + "y", "[" * 500_000 + "]" * 500_000, '{"a' + "\\\\" * 700_000 + '": 1}'])
+@pytest.mark.parametrize("hard", ['{"a": "x", "b' + '": 1, "k' * 200_000 + "}", "{" + '"a" : ' * 300_000 + "}", "x" + " " * 2_000_000 + "y", "<a " * 400_000, "<" + " " * 1_000_000, "> <img " * 200_000, "<title>" * 150_000 + ">", "[" * 500_000 + "]" * 500_000, '{"a' + "\\\\" * 700_000 + '": 1}'])
 def test_texts_are_detected_and_cleaned_in_linear_time(spark, hard):
     d = spark.createDataFrame([(1, hard)], "id long, text string")
     began = time.time()
     text.normalize_text(detect.detect(d)).collect()
+    pages.pages_to_markdown(d.select(F.col("id").alias("page_id"), F.col("text").alias("html"))).collect()
     assert time.time() - began < 30
 
 
+MIXED = "<p>a <b>b</b> <i> c<b>d</i>e</b> <a href='http://x/?a=1&amp;b'>l <img src=s alt=t></a> <a href=/r>r</a><b></b><br>z", "<ul><li>a<ol><li>b<li>c</ol>d<li>e</ul><ul><li>f", "<table><tr><td>a<td>b<tr><td>c|d</table><table><tr><th>x</table>", "</p></li>a<h2>b</h2><hr>c<pre> x\n <b>y</b></pre><blockquote>q<p>r</blockquote>"
+MARKDOWN = "a **b** *c**d*e** [l ![t](s)](http://x/?a=1&b) r\nz", "- a\n  1. b\n  2. c\n\nd\n\n- e\n\n- f", "| a | b |\n|---|---|\n| c\\|d |  |\n\n| x |\n|---|", "a\n\n## b\n\n---\n\nc\n\n```\n x\n y\n```\n\n> q\n\n> r"
+
+
+@pytest.mark.parametrize(("page", "want"), list(zip(MIXED, MARKDOWN, strict=True)))
+def test_blocks_of_nested_and_open_elements(spark, page, want):
+    rows = pages.block_rows(page)
+    assert "".join(("" if not i else "\n" if near else "\n\n") + line for i, (*_, line, near) in enumerate(rows)) == want
+    d = spark.createDataFrame([(1, page), (2, None), (3, "")], "page_id long, content string")
+    assert [(r.page_id, r.block_ix, r.line) for r in pages.page_blocks(d).orderBy("page_id", "block_ix").collect()] == [(1, i, r[3]) for i, r in enumerate(rows)]
+
+
 # JSON ---------------------------------------------------------------------------------------------
 
 

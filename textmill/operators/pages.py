@@ -1,7 +1,7 @@
 """Web pages: noise removal, blocks, Markdown, links, and lines that recur over a group.
 
-Noise subtrees are found by one pass over a page's tags with a stack of open elements, in Arrow batches;
-all else is expressions and windows over blocks. An unclosed inline element ends with its block.
+Noise subtrees and blocks are found by passes over a page's tags, in Arrow batches and in time linear in the
+page; all else is expressions. An unclosed inline element ends with its block.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textmill.functions.markup import Marks, Open
+from textmill.functions.markup import Mark, Marks, Open
 from textmill.functions.measures import sealed
 
 # What marks noise, and the steps that its removal is recorded as. Fixed values.
@@ -38,8 +38,7 @@ ENDS = {"li": ("li",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td"
 STARTS = frozenset("p div ul ol table pre blockquote h1 h2 h3 h4 h5 h6 hr section article main header form nav aside footer".split())
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 NOISE_NAME = re.compile(rf"(?:^|[\s_-])(?:{NOISE_WORDS})(?:[\s_-]|$)", re.I)
-BLOCK = "h[1-6]|p|li|pre|blockquote|hr|tr|ul|ol|table|div|article|section|main|header|body|html"
-MARKUP = r"<\s*/?\s*[a-zA-Z]"
+MARKUP = r"<\s*+(?:/\s*+)?[a-zA-Z]"
 
 
 def noise_step(tag: str, attributes: str, in_article: bool) -> str | None:
@@ -156,71 +155,186 @@ def decoded(c: Column) -> Column:
     return let(c, lambda x: F.when(F.contains(x, F.lit("&")), replaced(x, REFERENCE, one)).otherwise(x))
 
 
-def inline(c: Column) -> Column:
-    """A block's markup as Markdown: bold, emphasis, code, safe links, images, line breaks; white space collapsed; references decoded once."""
-    attribute = lambda tag, name: F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", 0)
-    value = lambda tag, name: F.regexp_replace(F.regexp_replace(attribute(tag, name), rf"(?is)^\s{name}\s*=\s*", ""), "^[\"']|[\"']$", "")
+def decode(text: str) -> str:
+    """The same of one text."""
 
-    def image(tag: Column) -> Column:
-        alt = F.trim(F.regexp_replace(value(tag, "alt"), r"\s+", " "))
-        return let(F.trim(value(tag, "src")), lambda src: F.when((src == "") | F.lower(src).startswith("data:"), alt).otherwise(F.concat(F.lit("!["), alt, F.lit("]("), src, F.lit(")"))))
+    def one(m: re.Match[str]) -> str:
+        t = m[0]
+        if not t.startswith("&#"):
+            return NAMED.get(t[1:], t)
+        code = int(t[3:-1], 16) if t[2] in "xX" else int(t[2:-1])
+        return chr(code) if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000 else t
 
-    c = F.regexp_replace(c, r"(?s)<!--.*?-->", "")
-    c = let(c, lambda x: F.when(x.rlike("(?i)<img"), replaced(x, r"(?is)<img\b[^>]*>", image)).otherwise(x))
-    c = F.regexp_replace(c, r"(?i)<br\b[^>]*>", "\u0002")
-    # possessive, so that an element that is never closed is passed over once
-    for names, mark in (("b|strong", "**"), ("i|em", "*"), ("code", "`")):
-        end = rf"\s*</(?:{names})\s*>"
-        c = F.regexp_replace(c, rf"(?is)<(?:{names})(?:\s[^>]*+)?>\s*+((?:(?!{end}).)++){end}", f"{mark}$1{mark}")
-    c = F.regexp_replace(c, r"(?is)<a\b[^>]*?\shref\s*=\s*[\"']?\s*((?:https?://|mailto:|ftp://)[^\"'\s>]*+)[^>]*+>\s*+((?:(?!\s*</a\s*>).)++)\s*</a\s*>", "[$2]($1)")
-    c = F.regexp_replace(c, r"(?s)</?[a-zA-Z][^>]*>", "")
-    c = F.regexp_replace(c, r"\s+", " ")
-    return decoded(F.trim(F.regexp_replace(F.regexp_replace(c, " ?\u0002 ?", "\n"), r"^\s++|(?<!\s)\s++$", "")))
+    return ANY_REFERENCE.sub(one, text) if "&" in text else text
 
 
-def page_blocks(pages: DataFrame, content: str = "content", key: str = "page_id") -> DataFrame:
-    """key, block_ix, kind, level, text and, for Markdown, line and near (the block follows the one before without a blank line).
+ANY_REFERENCE = re.compile(REFERENCE)
+BLANKS = " \t\n\x0b\f\r"
+BLANK_RUN = re.compile(f"[{BLANKS}]+")
+BLOCK_NAMES = frozenset("h1 h2 h3 h4 h5 h6 p li pre blockquote hr tr ul ol table div article section main header body html".split())
+#: Elements that Markdown has a mark for, and links that it may keep.
+MARKS = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`"}
+SAFE_LINK = re.compile(rf"(?i)(?:^|[{BLANKS}])href[{BLANKS}]*=[{BLANKS}]*[\"']?[{BLANKS}]*((?:https?://|mailto:|ftp://)[^\"'{BLANKS}>]*)")
+#: Within the text of a block: a line break, and marks that take the blanks after and before them.
+BREAK, AFTER, BEFORE = "\u0002", "\u0003", "\u0004"
+BLOCK_ROW = "kind string, level int, text string, line string, near boolean"
+
+
+class Inline:
+    """The text of a block as Markdown, from its text and tags in order: bold, emphasis, code, safe links, images, line breaks.
+
+    A mark needs its end in the same block and some text between; other tags leave no trace.
+    """
 
-    Headings, paragraphs, items, table rows, preformatted text, quotes, rules and loose text, in document order.
+    def __init__(self) -> None:
+        self.parts: list[str] = []
+        self.open: dict[str, tuple[int, str]] = {}
+
+    def tag(self, m: Mark) -> None:
+        if m.name == "br" and not m.closing:
+            self.parts.append(BREAK)
+        elif m.name == "img" and not m.closing:
+            a = {x[1].lower(): x[2] or x[3] or x[4] or "" for x in reversed(list(ATTRIBUTE.finditer(m.attributes)))}
+            alt, src = BLANK_RUN.sub(" ", a.get("alt", "")).strip(" "), a.get("src", "").strip(" ")
+            self.parts.append(alt if not src or src.lower().startswith("data:") else f"![{alt}]({src})")
+        elif m.name in MARKS or m.name == "a":
+            mark = MARKS.get(m.name, "a")
+            if not m.closing:
+                link = SAFE_LINK.search(m.attributes) if mark == "a" else None
+                if mark not in self.open and (mark != "a" or link):
+                    self.open[mark] = len(self.parts), link[1] if link else ""
+                    self.parts.append("")
+            elif mark in self.open:
+                at, link = self.open.pop(mark)
+                if "".join(self.parts[at + 1 :]).strip(BLANKS):
+                    self.parts[at] = ("[" if mark == "a" else mark) + AFTER
+                    self.parts.append(BEFORE + (f"]({link})" if mark == "a" else mark))
+
+    def text(self) -> str:
+        c = BLANK_RUN.sub(" ", "".join(self.parts))
+        for mark, side in ((AFTER, AFTER + " "), (BEFORE, " " + BEFORE)):
+            c = c.replace(side, "").replace(mark, "")
+        for side in (" " + BREAK + " ", " " + BREAK, BREAK + " ", BREAK):
+            c = c.replace(side, "\n")
+        return decode(c.strip(BLANKS))
+
+
+def block_rows(content: str) -> list[tuple[str, int | None, str, str, bool]]:
+    """kind, level, text, line and near of a page's blocks in order: headings, paragraphs, items, table rows, preformatted text, quotes, rules and loose text.
+
+    One pass over the tags, which keeps count of the open lists and quotes; line is a block as Markdown, and near
+    says that it follows the one before without a blank line (items of a list, rows of a table).
     """
-    marked = F.regexp_replace(content, rf"(?i)(<(?:{BLOCK})(?=[\s/>])[^>]*>)", "\u0001$1")
-    marked = F.regexp_replace(marked, rf"(?i)(</(?:{BLOCK})\s*>)", "$1\u0001")
-    rows = pages.select(key, F.posexplode(F.split(marked, "\u0001")).alias("at", "raw")).where(r"raw rlike '\\S'")
-    rows = rows.withColumn("tag", F.lower(F.regexp_extract("raw", rf"(?i)^<({BLOCK})(?=[\s/>])", 1)))
-    closed = F.lower(F.regexp_extract("raw", r"(?i)</(ul|ol|table|pre|blockquote|li)\s*>\s*$", 1))
-    upto = Window.partitionBy(key).orderBy("at")
-    depth = lambda names: F.sum(F.when(F.col("tag").isin(names), 1).otherwise(0)).over(upto) - F.coalesce(F.sum(F.when(F.col("closed").isin(names), 1).otherwise(0)).over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("closed", closed).withColumn("lists", depth(["ul", "ol"])).withColumn("tables", F.sum(F.when(F.col("tag") == "table", 1).otherwise(0)).over(upto)).withColumn("quotes", depth(["blockquote"]))
-    level = Window.partitionBy(key, "lists").orderBy("at")
-    rows = rows.withColumn("list_at", F.last(F.when(F.col("tag").isin("ul", "ol"), F.struct("at", "tag")), ignorenulls=True).over(level))
-    rows = rows.withColumn("outer_list", F.sum(F.when(F.col("tag").isin("ul", "ol") & (F.col("lists") == 1), 1).otherwise(0)).over(upto))
-    kind = F.when(F.col("tag").rlike("^h[1-6]$"), "heading").when((F.col("tag") == "li") & (F.col("lists") > 0), "item").when(F.col("tag") == "tr", "row").when(F.col("tag").isin("pre", "hr"), F.col("tag")).when(F.col("quotes") > 0, "blockquote").otherwise("p")
-    cells = F.transform(F.regexp_extract_all("raw", F.lit(r"(?is)<t[dh](?:\s[^>]*)?>(.*?)(?=</?t[dh]\b|</tr\b|$)"), F.lit(1)), lambda x: F.replace(F.replace(inline(x), F.lit("\n"), F.lit(" ")), F.lit("|"), F.lit("\\|")))
-    code = decoded(F.regexp_replace(F.regexp_replace("raw", r"(?s)</?[a-zA-Z][^>]*>", ""), r"^\n+|\n+$", ""))
-    rows = rows.withColumn("kind", kind).withColumn("level", F.when(F.col("kind") == "heading", F.substring("tag", 2, 1).cast("int")))
-    # sealed: what follows, a filter too, reads the rendered text and does not render it anew
-    rows = sealed(rows, "kind", "level", "lists", "tables", "list_at", "outer_list")
-    rows = rows.withColumn("cells", F.when(F.col("kind") == "row", cells)).withColumn("text", F.when(F.col("kind") == "pre", code).when(F.col("kind") != "row", inline(F.col("raw"))))
-    rows = sealed(rows.drop("raw"), "cells", "text")
-    rows = rows.withColumn("text", F.when(F.col("kind") == "row", F.array_join("cells", " | ")).when(F.col("kind") == "item", F.replace("text", F.lit("\n"), F.lit(" "))).otherwise(F.col("text")))
-    rows = rows.where((F.col("text") != "") | (F.col("kind") == "hr") | (F.size("cells") > 0))
-    number = F.row_number().over(Window.partitionBy(key, "lists", "list_at", "kind").orderBy("at"))
-    table = Window.partitionBy(key, "kind", "tables")
-    width = F.max(F.size("cells")).over(table)
-    first = F.row_number().over(table.orderBy("at")) == 1
-    before = lambda c: F.lag(c).over(upto)
-    rows = rows.withColumn("number", number).withColumn("width", width).withColumn("first", first)
-    near = (F.col("kind") == before("kind")) & (((F.col("kind") == "item") & (F.col("outer_list") == before("outer_list"))) | ((F.col("kind") == "row") & (F.col("tables") == before("tables"))))
-    rows = rows.withColumn("near", F.coalesce(near, F.lit(False))).withColumn("block_ix", F.row_number().over(upto) - 1)
-    marker = F.when(F.col("list_at.tag") == "ol", F.concat(F.col("number").cast("string"), F.lit(". "))).otherwise(F.lit("- "))
-    padded = F.concat(F.col("cells"), F.array_repeat(F.lit(""), F.greatest(F.col("width") - F.size("cells"), F.lit(0))))
-    row = F.concat(F.lit("| "), F.array_join(padded, " | "), F.lit(" |"), F.when(F.col("first"), F.concat(F.lit("\n|"), F.expr("repeat('---|', width)"))).otherwise(F.lit("")))
-    line = (
-        F.when(F.col("kind") == "heading", F.concat(F.expr("repeat('#', level)"), F.lit(" "), F.col("text"))).when(F.col("kind") == "item", F.concat(F.expr("repeat('  ', lists - 1)"), marker, F.col("text")))
-        .when(F.col("kind") == "row", row).when(F.col("kind") == "blockquote", F.concat(F.lit("> "), F.replace("text", F.lit("\n"), F.lit("\n> ")))).when(F.col("kind") == "pre", F.concat(F.lit("```\n"), F.col("text"), F.lit("\n```")))
-        .when(F.col("kind") == "hr", "---").otherwise(F.col("text"))
-    )
-    return rows.select(key, "block_ix", "kind", "level", "text", line.alias("line"), "near")
+    found: list[dict] = []
+    lists = quotes = tables = outer = opened = 0
+    list_of: dict[int, tuple[int, str]] = {}
+    number: dict[tuple[int, int], int] = {}
+    tag, inline, raw = "", Inline(), []
+    cells: list[Inline] | None = None
+    cell: Inline | None = None
+
+    def flush() -> None:
+        nonlocal tag, inline, raw, cells, cell
+        kind = "heading" if tag[:1] == "h" and tag[1:].isdigit() else "item" if tag == "li" and lists > 0 else "row" if tag == "tr" else tag if tag in ("pre", "hr") else "blockquote" if quotes > 0 else "p"
+        row = {"kind": kind, "level": int(tag[1]) if kind == "heading" else None, "lists": lists, "tables": tables, "outer": outer, "cells": None}
+        if kind == "row":
+            row["cells"] = [x.text().replace("\n", " ").replace("|", "\\|") for x in cells or []]
+            row["text"] = " | ".join(row["cells"])
+        else:
+            row["text"] = decode("".join(raw).strip("\n")) if kind == "pre" else inline.text()
+        if kind == "item":
+            row["text"] = row["text"].replace("\n", " ")
+            at, row["list"] = list_of.get(lists, (0, "ul"))
+        if row["text"] or kind == "hr" or row["cells"]:
+            if kind == "item":
+                row["number"] = number[lists, at] = number.get((lists, at), 0) + 1
+            found.append(row)
+        tag, inline, raw, cells, cell = "", Inline(), [], None, None
+
+    marks, at, some = Marks(content), 0, False
+    while True:
+        m = marks.next(at)
+        more = content[at : m.begin if m else len(content)]
+        if more:
+            some = some or bool(more.strip(BLANKS))
+            raw.append(more)
+            (inline if tag != "tr" else cell or Inline()).parts.append(more)
+        if not m:
+            break
+        at = m.end
+        if m.name in BLOCK_NAMES:
+            if m.closing:
+                if some or tag:
+                    flush()
+                lists -= m.name in ("ul", "ol")
+                quotes -= m.name == "blockquote"
+                some = False
+                continue
+            if some or tag:
+                flush()
+            tag, some, opened = m.name, False, opened + 1
+            quotes += tag == "blockquote"
+            tables += tag == "table"
+            if tag in ("ul", "ol"):
+                lists += 1
+                list_of[lists] = opened, tag
+                outer += lists == 1
+            if tag == "hr":  # has no content: what follows is a block of its own
+                flush()
+        elif m.name in ("td", "th") and tag == "tr":
+            cell = None
+            if not m.closing:
+                cell = Inline()
+                cells = cells or []
+                cells.append(cell)
+        elif m.name:
+            (inline if tag != "tr" else cell or Inline()).tag(m)
+            some = some or m.name == "img"
+    if some or tag:
+        flush()
+    return lines_of(found)
+
+
+def lines_of(found: list[dict]) -> list[tuple[str, int | None, str, str, bool]]:
+    width: dict[int, int] = {}
+    for r in found:
+        if r["kind"] == "row":
+            width[r["tables"]] = max(width.get(r["tables"], 0), len(r["cells"]))
+    out, begun, before = [], set(), None
+    for r in found:
+        kind, text, line = r["kind"], r["text"], r["text"]
+        if kind == "heading":
+            line = "#" * r["level"] + " " + text
+        elif kind == "item":
+            line = "  " * (r["lists"] - 1) + (f"{r['number']}. " if r["list"] == "ol" else "- ") + text
+        elif kind == "row":
+            n = width[r["tables"]]
+            line = "| " + " | ".join([*r["cells"], *[""] * (n - len(r["cells"]))]) + " |"
+            if r["tables"] not in begun:
+                line += "\n|" + "---|" * n
+            begun.add(r["tables"])
+        elif kind == "blockquote":
+            line = "> " + text.replace("\n", "\n> ")
+        elif kind == "pre":
+            line = "```\n" + text + "\n```"
+        elif kind == "hr":
+            line = "---"
+        same = before is not None and before["kind"] == kind
+        near = same and (kind == "item" and before["outer"] == r["outer"] or kind == "row" and before["tables"] == r["tables"])
+        out.append((kind, r["level"], text, line, near))
+        before = r
+    return out
+
+
+def rows_of_blocks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for contents in batches:
+        yield pd.Series([None if c is None else [dict(zip(("kind", "level", "text", "line", "near"), r, strict=True)) for r in block_rows(c)] for c in contents], dtype=object)
+
+
+def page_blocks(pages: DataFrame, content: str = "content", key: str = "page_id") -> DataFrame:
+    """key, block_ix, kind, level, text and, for Markdown, line and near; see block_rows()."""
+    found = F.pandas_udf(rows_of_blocks, f"array<struct<{BLOCK_ROW}>>")(F.col(content))
+    return pages.select(key, F.posexplode(found).alias("block_ix", "b")).select(key, "block_ix", "b.*")
 
 
 def page_markdown(blocks: DataFrame, key: str = "page_id") -> DataFrame:
@@ -230,7 +344,7 @@ def page_markdown(blocks: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def title_of(html: Column) -> Column:
-    return decoded(F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title", 1), r"\s+", " ")))
+    return decoded(F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)\A(?:(?!<title\b).)*+<title\b[^>]*+>((?:(?!</title).)*+)</title", 1), r"\s+", " ")))
 
 
 def with_title(pages: DataFrame, html: str = "html", markdown: str = "markdown") -> DataFrame:
@@ -244,17 +358,27 @@ def clean_page(c: Column, cleaned: Column) -> Column:
     return F.when(c.rlike(MARKUP), cleaned).otherwise(c)
 
 
+def cleaned_pages(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """Of each page the steps that took noise out, and its blocks as Markdown."""
+    for contents in batches:
+        found = []
+        for page in contents:
+            content, steps = without_noise(page or "")
+            rows = block_rows(content)
+            found.append((steps, "".join(("" if not i else "\n" if near else "\n\n") + line for i, (*_, line, near) in enumerate(rows))))
+        yield pd.DataFrame({"steps": [f[0] for f in found], "markdown": [f[1] for f in found]})
+
+
 def pages_to_markdown(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
-    """key, cleaned and steps: pages as normalized Markdown with their titles; key has to be unique. A page without a tag keeps its text but for the normalization."""
+    """key, cleaned and steps: pages as normalized Markdown with their titles. A page without a tag keeps its text but for the normalization."""
     from textmill.functions.text import normalize_text
 
-    p = strip_page_noise(pages.select(key, html), html)
-    md = page_markdown(page_blocks(p.select(key, "content"), key=key), key).withColumnRenamed(key, "k")
-    j = with_title(p.join(md, F.col(key) == F.col("k"), "left").withColumn("markdown", F.coalesce("markdown", F.lit(""))), html)
+    found = F.pandas_udf(cleaned_pages, "steps array<string>, markdown string")(F.col(html))
+    j = with_title(pages.select(key, html, found.alias("found")).select(key, html, "found.*"), html)
     step = lambda when, name: F.when(when, F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
     marked = F.col(html).rlike(MARKUP)
     titled = (F.col("title") != "") & F.col("markdown").startswith(F.concat(F.lit("# "), F.col("title"), F.lit("\n\n")))
-    own = F.concat(F.when(marked, F.col("steps")).otherwise(F.array().cast("array<string>")), step(marked, CONVERTED), step(marked & titled, TITLE), step(marked & F.col(html).rlike(r"(?i)<img\b[^>]*\ssrc\s*=\s*[\"']?\s*data:"), DATA_URIS))
+    own = F.concat(F.when(marked, F.col("steps")).otherwise(F.array().cast("array<string>")), step(marked, CONVERTED), step(marked & titled, TITLE), step(marked & F.col(html).rlike(r"(?i)<img\b[^<>]*\ssrc\s*+=\s*+[\"']?\s*+data:"), DATA_URIS))
     j = j.select(key, own.alias("own"), clean_page(F.col(html), F.col("markdown")).alias("m"))
     return normalize_text(j, "m").select(key, "cleaned", F.concat("own", "steps").alias("steps"))
 

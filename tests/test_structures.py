@@ -214,6 +214,18 @@ def test_null_parts_of_a_key_do_not_shift(spark):
     assert None not in keys and len(set(keys)) == 4
 
 
+def test_equal_buckets_of_a_lock_are_not_read(spark):
+    at = folder() + "/lock"
+    files = spark.createDataFrame([(f"f{i}", f"text {i}") for i in range(500)], "name string, text string")
+    store.write_lock(files, at)
+    assert store.lock_drift(files, at).count() == 0 and store.locked(files, at)[0] == []
+    now = files.where("name <> 'f7'").union(spark.createDataFrame([("new", "x")], files.schema)).withColumn("text", F.when(F.col("name") == "f9", "changed").otherwise(F.concat(F.col("text"))))
+    assert {(r.name, r.status) for r in store.lock_drift(now, at).collect()} == {("f7", "removed"), ("f9", "changed"), ("new", "added")}
+    buckets, rows = store.locked(now, at)
+    read = {r[0] for r in rows.select(F.input_file_name()).distinct().collect()}
+    assert len(buckets) <= 3 and all(any(f"bucket={b}/" in f for b in buckets) for f in read) and len(read) <= 3
+
+
 # Streams ------------------------------------------------------------------------------------------
 
 EVENT = "ts timestamp, event_id long, provider string, applied boolean, content string"

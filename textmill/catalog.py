@@ -533,6 +533,15 @@ def store_drift(spark, d):
     return store.checksum_drift(docs.where("name % 7 = 0 or name % 11 <> 0"), lock)
 
 
+@query(ORACLE["store_drift"])
+def store_drift_by_bucket(spark, d):
+    """The same against a lock in buckets with a digest each, of which equal ones are not read."""
+    docs = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("name"), "text")
+    path = shared(spark, "lock")
+    store.write_lock(docs.where("name % 7 <> 0").withColumn("text", F.when(F.col("name") % 13 == 0, F.concat("text", F.lit("x"))).otherwise(F.replace("text", F.lit("\n"), F.lit("\r\n")))), path)
+    return store.lock_drift(docs.where("name % 7 = 0 or name % 11 <> 0"), path)
+
+
 # Analytics -------------------------------------------------------------------------------------
 
 STATS = """count(*) as requests, count(*) filter (where applied) as optimized, count(*) filter (where not applied) as skipped,

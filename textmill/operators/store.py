@@ -203,3 +203,39 @@ def checksum_drift(files: DataFrame, lock: DataFrame) -> DataFrame:
     j = f.join(lock.select("name", F.col("checksum").alias("was")), "name", "full_outer")
     status = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.col("now") != F.col("was"), "changed")
     return j.select("name", status.alias("status")).where("status is not null")
+
+
+def bucket_of(name: Column) -> Column:
+    return F.substring(F.sha2(name.cast("string"), 256), 1, PREFIX)
+
+
+def bucket_digests(checksums: DataFrame) -> DataFrame:
+    """bucket, n and sums of (name, checksum) rows: sums of the parts of each row's digest, whatever their order; equal ones have equal rows, but for odds of 2^-200."""
+    row = F.sha2(F.concat_ws("\x1f", F.col("name").cast("string"), "checksum"), 256)
+    part = lambda k: F.sum(F.conv(F.substring(row, 1 + 15 * k, 15), 16, 10).cast("decimal(20,0)"))
+    return checksums.groupBy(bucket_of(F.col("name")).alias("bucket")).agg(F.count("*").alias("n"), F.concat_ws(",", *[part(k) for k in range(4)]).alias("sums"))
+
+
+def write_lock(files: DataFrame, path: str) -> None:
+    """The checksums of files (name, text) as a lock: rows in folders by bucket of the name, and a digest for each bucket."""
+    rows = files.select("name", checksum(F.col("text")).alias("checksum"))
+    rows.withColumn("bucket", bucket_of(F.col("name"))).repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/rows")
+    bucket_digests(files.sparkSession.read.parquet(f"{path}/rows").select("name", "checksum")).coalesce(1).write.parquet(f"{path}/digests")
+
+
+def locked(files: DataFrame, path: str) -> tuple[list[str], DataFrame]:
+    """The buckets in which files differ from the lock at path, and the lock's rows of these: equal buckets are not read."""
+    spark = files.sparkSession
+    now = bucket_digests(files.select("name", checksum(F.col("text")).alias("checksum")))
+    was = spark.read.parquet(f"{path}/digests").select("bucket", F.col("n").alias("n0"), F.col("sums").alias("sums0"))
+    apart = now.join(was, "bucket", "full_outer").where(~(F.equal_null(F.col("n"), F.col("n0")) & F.equal_null(F.col("sums"), F.col("sums0"))))
+    buckets = [r.bucket for r in apart.select("bucket").collect()]  # 16 ** PREFIX at most
+    kind = dict(files.dtypes)["name"]
+    rows = spark.read.schema(f"name {kind}, checksum string, bucket string").parquet(f"{path}/rows")
+    return buckets, rows.where(F.col("bucket").isin(buckets)).drop("bucket")
+
+
+def lock_drift(files: DataFrame, path: str) -> DataFrame:
+    """checksum_drift() against the lock at path, of which only the buckets with a difference are read."""
+    buckets, rows = locked(files, path)
+    return checksum_drift(files.where(bucket_of(F.col("name")).isin(buckets)), rows)

@@ -68,6 +68,16 @@ def test_scores_equal_a_brute_force_ridge_regression():
     assert np.abs(k @ np.linalg.solve(left, k.T @ y) - language.kernels(model.marks, sets) @ model.weights).max() < 1e-3
 
 
+def test_sparse_and_whole_products_are_equal(monkeypatch):
+    rnd, own = random.Random(8), alphabets(3)
+    sets, _ = language.gram_sets([t for a in own for t in texts_of(a, rnd, 9)] + [""])
+    whole = language.landmarks_of(sets[::4])
+    monkeypatch.setattr(language, "DENSE", 0)
+    sparse = language.landmarks_of(sets[::4])
+    assert whole.dense is not None and sparse.dense is None
+    assert np.array_equal(language.kernels(whole, sets), language.kernels(sparse, sets))
+
+
 def test_a_sample_is_the_same_in_every_run(spark):
     rnd, own = random.Random(5), alphabets(3)
     data = [(i, t, f"l{k}") for k, a in enumerate(own) for i, t in enumerate(texts_of(a, rnd, 200))]

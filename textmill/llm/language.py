@@ -35,18 +35,21 @@ LEAST_ROWS, MARKS = 8, 4
 LONGEST, SAMPLE_CHARS = 100_000, 20_000_000
 #: Texts that are scored by one matrix product.
 BATCH = 128
+#: Cells of a presence matrix that is held as a whole; the products are the same either way.
+DENSE = 4_000_000
 #: A character is its code point if it is a letter and 0 if not; three of them and the lengths' offsets fit 63 bits.
 CLASSES = 0x110000
 UNKNOWN = "und"
 
 
 class Landmarks(NamedTuple):
-    """vocabulary: the grams that landmarks have, sorted; at, of: the landmarks of gram i are of[at[i]:at[i + 1]]; size: grams of each landmark."""
+    """vocabulary: the grams that landmarks have, sorted; at, of: the landmarks of gram i are of[at[i]:at[i + 1]]; size: grams of each landmark; dense: the same as a matrix, if it is small."""
 
     vocabulary: np.ndarray
     at: np.ndarray
     of: np.ndarray
     size: np.ndarray
+    dense: np.ndarray | None
 
 
 class Model(NamedTuple):
@@ -88,20 +91,29 @@ def landmarks_of(sets: list[np.ndarray]) -> Landmarks:
     size = np.array([len(x) for x in sets])
     order = np.argsort(grams, kind="stable")
     vocabulary, first = np.unique(grams[order], return_index=True)
-    return Landmarks(vocabulary, np.append(first, len(grams)), np.repeat(np.arange(len(sets), dtype=np.int32), size)[order], size)
+    of, dense = np.repeat(np.arange(len(sets), dtype=np.int32), size)[order], None
+    if len(vocabulary) * len(sets) <= DENSE:
+        dense = np.zeros((len(vocabulary), len(sets)), np.float32)
+        dense[np.searchsorted(vocabulary, grams[order]), of] = 1
+    return Landmarks(vocabulary, np.append(first, len(grams)), of, size, dense)
 
 
 def kernels(marks: Landmarks, sets: list[np.ndarray]) -> np.ndarray:
-    """Texts by landmarks: the product of the two presence matrices, kept sparse, over the roots of the sizes."""
+    """Texts by landmarks: the product of the two presence matrices, sparse unless the landmarks' one is small, over the roots of the sizes."""
     column = [np.searchsorted(marks.vocabulary, s) for s in sets]
     column = [c[marks.vocabulary[np.minimum(c, len(marks.vocabulary) - 1)] == s] for c, s in zip(column, sets, strict=True)]
     known = np.array([len(c) for c in column])
     column = np.concatenate(column)
-    lo, n = marks.at[column], marks.at[column + 1] - marks.at[column]
-    row = np.repeat(np.repeat(np.arange(len(sets)), known), n)
-    mark = marks.of[np.arange(len(row)) + np.repeat(lo - np.cumsum(n) + n, n)]
-    m = len(marks.size)
-    common_ = np.bincount(row * m + mark, minlength=len(sets) * m).reshape(len(sets), m)
+    row, m = np.repeat(np.arange(len(sets)), known), len(marks.size)
+    if marks.dense is not None:
+        there = np.zeros((len(sets), len(marks.vocabulary)), np.float32)
+        there[row, column] = 1
+        common_ = there @ marks.dense
+    else:
+        lo, n = marks.at[column], marks.at[column + 1] - marks.at[column]
+        row = np.repeat(row, n)
+        mark = marks.of[np.arange(len(row)) + np.repeat(lo - np.cumsum(n) + n, n)]
+        common_ = np.bincount(row * m + mark, minlength=len(sets) * m).reshape(len(sets), m)
     return (common_ / np.sqrt(np.maximum(known[:, None], 1) * np.maximum(marks.size, 1))).astype(np.float32)
 
 
@@ -137,7 +149,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     part = max(LEAST_ROWS, -(-sample // len(counts)))
     shares = docs.sparkSession.createDataFrame([(r.lang, int(min(1.0, 2 * part / r.n) * (1 << 30)) + 1) for r in counts], "learned string, share long")
     drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(1 << 30))
-    picked = learn.withColumn("drawn", drawn).join(shares, F.col("lang") == F.col("learned")).where("drawn < share")
+    picked = learn.withColumn("drawn", drawn).join(F.broadcast(shares), F.col("lang") == F.col("learned")).where("drawn < share")  # a row for each language, which the model holds anyway
     first = Window.partitionBy("lang").orderBy("drawn", F.col("doc_id").cast("string"), "text")  # about 2 * part rows of a language
     chars = F.sum(F.length("text")).over(first.rowsBetween(Window.unboundedPreceding, 0))
     picked = picked.withColumn("place", F.row_number().over(first)).withColumn("chars", chars)

@@ -54,7 +54,8 @@ MASKS = {
 
 
 def lower_case_ascii(c: Column) -> Column:
-    return F.translate(c, UPPER, LOWER)
+    """c with A to Z lower-cased; most words have no capital, and take no look-up of their characters."""
+    return F.when(F.lower(c) == c, c).otherwise(F.translate(c, UPPER, LOWER))
 
 
 def word_counts(docs: DataFrame, least_length: int = LEAST_LENGTH, least_count: int = LEAST_COUNT, one_in: int = ONE_IN) -> DataFrame:
@@ -143,7 +144,8 @@ def forks(known: DataFrame) -> tuple[DataFrame, DataFrame]:
     late = (p < w) & (F.col("tail") == (p >= w - 2)) & (p >= F.when(F.col("back"), w - F.floor(w / 2)).otherwise(F.floor(w / 2)))
     fresh = fresh.where(late & (several() | ends_here())).withColumn("own", character(p)).withColumn("after", F.when(p + 1 < w, character(p + 1)).otherwise(0))
     want = lambda position, first, put: F.struct(position.alias("position"), first.alias("first"), put.alias("put"))
-    replaced = F.transform(F.filter(F.array(*map(F.lit, ALPHABET)), lambda c: (c > F.col("own")) & offered(c)), lambda c: want(p, c, c))
+    some = lambda mask, zero, letters: F.when(F.col(mask) != 0, F.filter(F.array(*map(F.lit, letters)), lambda c: (c > F.col("own")) & (F.getbit(mask, c - zero) == 1))).otherwise(F.array().cast("array<int>"))
+    replaced = F.transform(F.concat(some("low", 96, ALPHABET[:26]), some("high", 192, ALPHABET[26:])), lambda c: want(p, c, c))
     left_out = F.when((F.col("after") != F.col("own")) & (F.col("after") != 0) & offered(F.col("after")), F.array(want(p + 1, F.col("after"), none))).otherwise(F.array())
     more = fresh.select("word", "back", "node", p.alias("place"), F.explode(F.concat(replaced, left_out)).alias("want")).select("word", "back", "node", "place", "want.*")
     ended = fresh.where((F.col("after") == 0) & ends_here()).select("word", "back", "node", w.alias("position"), F.lit(True).alias("ends"), p.alias("place"), none.alias("put"))

@@ -2,28 +2,48 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textmill.functions.arrow import text_slices
+
 #: Strings with a following colon (keys), strings, and brackets.
-TOKEN = r'("[^"\\]*+(?:\\.[^"\\]*+)*+"\s*:|"[^"\\]*+(?:\\.[^"\\]*+)*+"|[{}\[\]])'
+TOKEN = re.compile(r'"[^"\\]*+(?:\\[^\n\r\u0085\u2028\u2029][^"\\]*+)*+"(?:\s*:)?|[{}\[\]]', re.ASCII)
 
 
-def duplicate_keys(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key and duplicates: keys beyond the first of their name in their object, over all objects of a text.
+def repeats(text: str) -> int:
+    """Keys of a text beyond the first of their name in their object; in time linear in it, with the names of the open objects at hand."""
+    depth = again = 0
+    names: dict[int, set[str]] = {}
+    for m in TOKEN.finditer(text):
+        token = m[0]
+        if token in "{[":
+            depth += 1
+            if token == "{":
+                names[depth] = set()
+        elif token in "}]":
+            depth -= 1
+        elif token[-1] == ":":
+            own, name = names.setdefault(depth, set()), token[:-1].rstrip(" \t\n\v\f\r")
+            again += name in own
+            own.add(name)
+    return again
 
-    Tokens become rows; an object is known by its depth and by how many objects of that depth began before.
-    """
-    rows = df.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1))).alias("ix", "token"))
-    upto = Window.partitionBy(key).orderBy("ix")
-    step = F.when(F.col("token").isin("{", "["), 1).when(F.col("token").isin("}", "]"), -1).otherwise(0)
-    rows = rows.withColumn("depth", F.sum(step).over(upto))
-    begun = F.sum(F.when(F.col("token") == "{", 1).otherwise(0)).over(Window.partitionBy(key, "depth").orderBy("ix"))
-    rows = rows.withColumn("object", begun).where(F.col("token").endswith(":"))
-    names = rows.groupBy(key, "depth", "object", F.regexp_replace("token", r"\s*:$", "").alias("name")).agg((F.count("*") - 1).alias("again"))
-    found = names.groupBy(F.col(key).alias("found_key")).agg(F.sum("again").alias("duplicates"))
-    return df.select(key).join(found, F.col(key) == F.col("found_key"), "left").select(key, F.coalesce("duplicates", F.lit(0)).alias("duplicates"))
+
+def repeats_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in batches:
+        for some in text_slices(texts):
+            yield pa.array([0 if t is None else repeats(t) for t in some.to_pylist()], pa.int64())
+
+
+def duplicate_keys(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key and duplicates: keys beyond the first of their name in their object, over all objects of a text (0 for a null); a row for each of df's."""
+    return df.select(key, F.arrow_udf(repeats_of, "long")(F.col(text)).alias("duplicates"))
 
 
 def prune_empty(c: Column, kind: T.DataType) -> Column:

@@ -36,3 +36,21 @@ def test_parts_lie_end_to_end():
     assert pa.concat_arrays(parts).equals(texts) and max(map(len, parts)) <= arrow.PART_ROWS
     assert all(len(p) == 1 or sum(len(t.as_py() or "") * 2 for t in p) <= 2 * arrow.PART_BYTES for p in parts)
     assert [len(p) for p in arrow.text_slices(pa.array([], pa.string()))] == [0]
+
+
+# Pages: a worker holds a part of a batch at a time, in each of the steps over them.
+
+HTML = "<html><head><title>t</title></head><body><nav>n</nav><h1>H {0}</h1><p>text {0}</p></body></html>"
+STEPS = {"noise": (pages.noise_free, HTML), "blocks": (pages.rows_of_blocks, "<h1>H {0}</h1><p>text {0}</p>"), "markdown": (pages.cleaned_pages, HTML)}
+
+
+@pytest.mark.parametrize("step", list(STEPS))
+def test_pages_of_a_batch_in_parts(step):
+    fn, html = STEPS[step]
+    n = 2 * arrow.PART_ROWS + 7
+    batches = [pa.array([None if i == 3 else html.format(i) for i in range(n)]), pa.array([], pa.string()), pa.array([html.format(i) + " " * arrow.PART_BYTES for i in range(4)])]
+    found = list(fn(iter(batches)))
+    assert [len(x) for x in found] == [arrow.PART_ROWS, arrow.PART_ROWS, 7, 0, 1, 1, 1, 1]
+    last = found[2].to_pylist()[-1]
+    want = {"noise": lambda: "removed_navigation" in last["steps"] and f"<h1>H {n - 1}</h1>" in last["content"], "blocks": lambda: [b["text"] for b in last] == [f"H {n - 1}", f"text {n - 1}"], "markdown": lambda: last["markdown"] == f"# H {n - 1}\n\ntext {n - 1}"}
+    assert want[step]()

@@ -11,9 +11,11 @@ from collections.abc import Callable, Iterator
 from html.entities import html5
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textmill.functions.arrow import text_slices
 from textmill.functions.markup import Mark, Marks, Open
 from textmill.functions.measures import sealed
 
@@ -178,6 +180,7 @@ SAFE_LINK = re.compile(rf"(?i)(?:^|[{BLANKS}])href[{BLANKS}]*=[{BLANKS}]*[\"']?[
 #: Within the text of a block: a line break, and marks that take the blanks after and before them.
 BREAK, AFTER, BEFORE = "\u0002", "\u0003", "\u0004"
 BLOCK_ROW = "kind string, level int, text string, line string, near boolean"
+BLOCK_TYPE = pa.struct([("kind", pa.string()), ("level", pa.int32()), ("text", pa.string()), ("line", pa.string()), ("near", pa.bool_())])
 
 
 class Inline:
@@ -358,22 +361,23 @@ def clean_page(c: Column, cleaned: Column) -> Column:
     return F.when(c.rlike(MARKUP), cleaned).otherwise(c)
 
 
-def cleaned_pages(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def cleaned_pages(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Of each page the steps that took noise out, and its blocks as Markdown."""
-    for contents in batches:
-        found = []
-        for page in contents:
-            content, steps = without_noise(page or "")
-            rows = block_rows(content)
-            found.append((steps, "".join(("" if not i else "\n" if near else "\n\n") + line for i, (*_, line, near) in enumerate(rows))))
-        yield pd.DataFrame({"steps": [f[0] for f in found], "markdown": [f[1] for f in found]})
+    for batch in batches:
+        for pages in text_slices(batch):
+            found = []
+            for page in pages.to_pylist():
+                content, steps = without_noise(page or "")
+                rows = block_rows(content)
+                found.append((steps, "".join(("" if not i else "\n" if near else "\n\n") + line for i, (*_, line, near) in enumerate(rows))))
+            yield pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.list_(pa.string())), pa.array([f[1] for f in found], pa.string())], ["steps", "markdown"])
 
 
 def pages_to_markdown(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
     """key, cleaned and steps: pages as normalized Markdown with their titles. A page without a tag keeps its text but for the normalization."""
     from textmill.functions.text import normalize_text
 
-    found = F.pandas_udf(cleaned_pages, "steps array<string>, markdown string")(F.col(html))
+    found = F.arrow_udf(cleaned_pages, "steps array<string>, markdown string")(F.col(html))
     j = with_title(pages.select(key, html, found.alias("found")).select(key, html, "found.*"), html)
     step = lambda when, name: F.when(when, F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
     marked = F.col(html).rlike(MARKUP)

@@ -107,15 +107,16 @@ def without_noise(page: str) -> tuple[str, list[str]]:
     return "".join(kept), sorted(steps)
 
 
-def noise_free(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for pages in batches:
-        found = [without_noise(p) if p is not None else (None, None) for p in pages]
-        yield pd.DataFrame({"content": [f[0] for f in found], "steps": [f[1] for f in found]})
+def noise_free(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        for pages in text_slices(batch):
+            found = [without_noise(p) if p is not None else (None, None) for p in pages.to_pylist()]
+            yield pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.list_(pa.string()))], ["content", "steps"])
 
 
 def strip_page_noise(pages: DataFrame, html: str = "html") -> DataFrame:
     """pages with content (html without noise) and steps; both null for a null page."""
-    return pages.withColumn("noise_free", F.pandas_udf(noise_free, "content string, steps array<string>")(F.col(html))).select(*pages.columns, "noise_free.steps", "noise_free.content")
+    return pages.withColumn("noise_free", F.arrow_udf(noise_free, "content string, steps array<string>")(F.col(html))).select(*pages.columns, "noise_free.steps", "noise_free.content")
 
 
 #: Character references by name, of one character each.

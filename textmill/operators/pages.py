@@ -10,7 +10,6 @@ import re
 from collections.abc import Callable, Iterator
 from html.entities import html5
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -330,14 +329,15 @@ def lines_of(found: list[dict]) -> list[tuple[str, int | None, str, str, bool]]:
     return out
 
 
-def rows_of_blocks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for contents in batches:
-        yield pd.Series([None if c is None else [dict(zip(("kind", "level", "text", "line", "near"), r, strict=True)) for r in block_rows(c)] for c in contents], dtype=object)
+def rows_of_blocks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        for contents in text_slices(batch):
+            yield pa.array([None if c is None else [dict(zip(BLOCK_TYPE.names, r, strict=True)) for r in block_rows(c)] for c in contents.to_pylist()], pa.list_(BLOCK_TYPE))
 
 
 def page_blocks(pages: DataFrame, content: str = "content", key: str = "page_id") -> DataFrame:
     """key, block_ix, kind, level, text and, for Markdown, line and near; see block_rows()."""
-    found = F.pandas_udf(rows_of_blocks, f"array<struct<{BLOCK_ROW}>>")(F.col(content))
+    found = F.arrow_udf(rows_of_blocks, f"array<struct<{BLOCK_ROW}>>")(F.col(content))
     return pages.select(key, F.posexplode(found).alias("block_ix", "b")).select(key, "block_ix", "b.*")
 
 

@@ -6,8 +6,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from textmill.functions import arrow
+from textmill.functions import arrow, measures
 from textmill.operators import json_rows, pages
+from textmill.plans import report
 
 
 def plan(df):
@@ -54,3 +55,28 @@ def test_pages_of_a_batch_in_parts(step):
     last = found[2].to_pylist()[-1]
     want = {"noise": lambda: "removed_navigation" in last["steps"] and f"<h1>H {n - 1}</h1>" in last["content"], "blocks": lambda: [b["text"] for b in last] == [f"H {n - 1}", f"text {n - 1}"], "markdown": lambda: last["markdown"] == f"# H {n - 1}\n\ntext {n - 1}"}
     assert want[step]()
+
+
+# Cases
+
+
+def test_cases_are_computed_once_for_their_table(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(n):
+        seen.add(1)
+        return n
+
+    n = F.udf(count, "long")(F.col("id"))
+    cases = spark.range(0, 400, numPartitions=4).select(F.col("id").alias("case_id"), F.lit("k").alias("kind"), n.alias("tokens_before"), F.lit(1).alias("tokens_after"), F.lit(0).alias("tokens_saved"), F.array(F.lit("a"), F.lit("b")).alias("steps"))
+    found = report.case_table(cases).collect()
+    assert [(r.case_id, r.tokens_before, r.steps) for r in found] == [(i, i, "a,b") for i in range(400)]
+    assert seen.value == 400
+
+
+def test_tokens_equal_those_of_plain_classes(spark):
+    plain = r"(?U)(?<![^\s\w])'(?:[sdmt]|ll|ve|re)|(?:(?<!\s) )?(?:[^\W\d_]{1,6}|\d{1,6}|[^\s\w]{1,6})|\s{1,16}"
+    rnd = random.Random(4)
+    signs = [chr(i) for i in range(1, 0x250)] + list("\u0300\u0660\u200d\u2028\u203f\u2160\u3000\u4e00\U0001f600") + list(" '   ''sltvedm1_\n") * 20
+    d = spark.createDataFrame([("".join(rnd.choices(signs, k=rnd.randint(0, 60))),) for _ in range(3_000)], "text string")
+    assert d.where(F.regexp_count("text", F.lit(plain)) != measures.token_count(F.col("text"))).isEmpty()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textmill.functions.measures import pct
+from textmill.operators import dedupe
 
 #: Models and their list prices of input tokens, US dollars a million. Fixed values.
 PRICES = [("gpt-4o", 2.50), ("claude-sonnet-4", 3.00), ("gpt-4o-mini", 0.15)]
@@ -98,7 +99,10 @@ def size_classes(df: DataFrame, limit: int) -> DataFrame:
 
 
 def case_table(cases: DataFrame) -> DataFrame:
-    return cases.select("case_id", "kind", "tokens_before", "tokens_after", "tokens_saved", F.array_join("steps", ",").alias("steps")).orderBy("case_id")
+    """Cases by case_id. They are checkpointed first, as a sort reads its input twice: once for the bounds of its ranges."""
+    dedupe.checkpointed(cases.sparkSession)
+    rows = cases.select("case_id", "kind", "tokens_before", "tokens_after", "tokens_saved", F.array_join("steps", ",").alias("steps"))
+    return rows.checkpoint().orderBy("case_id")
 
 
 def cold_warm(contents: DataFrame, store_path: str, fn, schema: str, passes: int = 2) -> DataFrame:

@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from textmill.functions import arrow, measures
+from textmill.functions import arrow, json_text, measures, text
 from textmill.operators import json_rows, pages
 from textmill.plans import report
 
@@ -80,3 +80,25 @@ def test_tokens_equal_those_of_plain_classes(spark):
     signs = [chr(i) for i in range(1, 0x250)] + list("\u0300\u0660\u200d\u2028\u203f\u2160\u3000\u4e00\U0001f600") + list(" '   ''sltvedm1_\n") * 20
     d = spark.createDataFrame([("".join(rnd.choices(signs, k=rnd.randint(0, 60))),) for _ in range(3_000)], "text string")
     assert d.where(F.regexp_count("text", F.lit(plain)) != measures.token_count(F.col("text"))).isEmpty()
+
+
+# JSON
+
+
+def test_the_kind_of_a_text_is_found_once(spark):
+    texts = [' {"a": 1} ', '{"a":1,"a":2}', '{"a":"\\u0041"}', "[1, 2]", "{'a':1}", "{", "", None, "plain", '{"a":"x\ty","a":1}', '[{"b":1,"b": [ ]}]']
+    d = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    assert [r[0] for r in d.select(text.json_kind(F.col("text"))).collect()] == [1, 2, 1, 1, 0, 0, 0, 0, 0, 0, 2]
+    j = d.select(json_text.compact_json(F.col("text")).alias("j"))
+    assert [r.j.cleaned for r in j.collect()] == ['{"a":1}', '{"a":2}', '{"a":"A"}', "[1,2]", *texts[4:10], '[{"b":[]}]']
+    assert [r.j.steps for r in j.collect()][:4] == [["minified_json"], ["collapsed_duplicate_keys", "minified_json"], ["minified_json"], ["minified_json"]]
+    found = j.select("j.cleaned", "j.steps")._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count("get_json_object") == 1 and found.lower().count("parse_json") + found.count("parseJson") <= 2
+
+
+def test_json_of_a_batch_in_parts():
+    n = arrow.PART_ROWS + 3
+    asked = pa.StructArray.from_arrays([pa.array([2] * n, pa.int32()), pa.array([None if i == 5 else f'{{"a":1,"a":{i}}}' for i in range(n)])], ["kind", "text"])
+    found = list(json_text.compact_texts(iter([(asked, pa.array([False] * n))])))
+    assert [len(x) for x in found] == [arrow.PART_ROWS, 3]
+    assert found[1].to_pylist()[-1] == {"kind": 2, "text": f'{{"a":{n - 1}}}', "collapsed": True, "emptied": False} and found[0].to_pylist()[5]["text"] is None

@@ -196,7 +196,7 @@ def json_collapse(spark, d):
     e = table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
     wide = F.expr("""case k % 3 when 0 then concat('{"a": {"x": 1, "\\\\u0078": ', event_id, '}, "b": [{"k": {"k": 3}, "k": [', k, ', {"z": 1, "z": 2}]}, []], "c": {}}')
       when 1 then concat('{"a":1,"b":{"c":0,"c":1},"a":{"d":', event_id, '}}') else concat('{"a":[', k, ', 2], "b":"\\\\u00e9 \\\\" \\\\/"}') end""")
-    found = e.select("event_id", json_text.compact_json(wide).alias("j"))
+    found = measures.sealed(e.select("event_id", wide.alias("wide")), "wide").select("event_id", json_text.compact_json(F.col("wide")).alias("j"))
     return found.select("event_id", F.col("j.cleaned").alias("compacted"), F.array_join("j.steps", ",").alias("steps"))
 
 
@@ -206,7 +206,7 @@ def json_prune_any(spark, d):
     """Empty containers go from JSON of any shape, bottom-up."""
     e = table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
     wide = F.expr("""case k % 3 when 0 then concat('{"a":{"b":[]},"n":', event_id, ',"s":"","z":null}') when 1 then concat('[[],[{}],{"x":[{"y":{}}]},', event_id, ',"{}"]') else '{"a":{"b":{"c":{}}},"d":[[[]]]}' end""")
-    found = e.select("event_id", json_text.compact_json(wide, prune=True).alias("j"))
+    found = measures.sealed(e.select("event_id", wide.alias("wide")), "wide").select("event_id", json_text.compact_json(F.col("wide"), prune=True).alias("j"))
     return found.select("event_id", F.col("j.cleaned").alias("pruned"), F.array_join("j.steps", ",").alias("steps"))
 
 

@@ -75,30 +75,29 @@ def normalize_text(df: DataFrame, column: str = "text", inline: bool = False, ma
     return sealed(out, "cleaned", "steps")
 
 
-def is_json(c: Column) -> Column:
-    """Whether c is a JSON object or array; the cheap look at its ends comes before the parse.
+def json_kind(c: Column) -> Column:
+    """1 for a JSON object or array, 2 for one of which some object repeats a key, else 0; the cheap look at the ends comes before the parse.
 
-    An object may repeat a key, which the strict parse refuses; the lenient one then decides, for texts
-    that use nothing else it is lenient about (single quotes, control characters in strings).
+    The strict parse refuses a repeated key; the lenient one then decides, for texts that use nothing else
+    it is lenient about (single quotes, control characters in strings). Each step is taken once.
     """
-    return F.coalesce(F.when(bracketed(c), F.try_parse_json(stripped(c)).isNotNull() | repeats_keys(c)), F.lit(False))
 
+    def one(t: Column) -> Column:
+        ends = (F.length(t) >= 2) & F.substring(t, 1, 1).isin("{", "[") & F.substring(t, -1, 1).isin("}", "]")
+        bare = F.regexp_replace(t, r'"[^"\\\x00-\x1f]*+(?:\\.[^"\\\x00-\x1f]*+)*+"', "")
+        lenient = F.get_json_object(F.concat(F.lit("["), t, F.lit("]")), "$").isNotNull()
+        return F.when(~ends, 0).when(F.try_parse_json(t).isNotNull(), 1).when(~bare.rlike("['\"]") & lenient, 2).otherwise(0)
 
-def stripped(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s++|(?<!\s)\s++$", "")
+    return F.coalesce(F.element_at(F.transform(F.array(stripped(c)), one), 1), F.lit(0))
 
 
-def bracketed(c: Column) -> Column:
-    t = stripped(c)
-    return (F.length(t) >= 2) & F.substring(t, 1, 1).isin("{", "[") & F.substring(t, -1, 1).isin("}", "]")
+def is_json(c: Column) -> Column:
+    """Whether c is a JSON object or array, keys repeated or not."""
+    return json_kind(c) > 0
 
 
-def repeats_keys(c: Column) -> Column:
-    """Whether c, in brackets, is JSON to the lenient parse alone: some object repeats a key."""
-    t = stripped(c)
-    bare = F.regexp_replace(t, r'"[^"\\\x00-\x1f]*+(?:\\.[^"\\\x00-\x1f]*+)*+"', "")
-    lenient = F.get_json_object(F.concat(F.lit("["), t, F.lit("]")), "$").isNotNull()
-    return F.coalesce(bracketed(c) & F.try_parse_json(t).isNull() & ~bare.rlike("['\"]") & lenient, F.lit(False))
+def stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s++|(?<!\s)\s++$", "")
 
 
 def minify_json(c: Column) -> Column:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textmill.functions import arrow, json_text, measures, text
-from textmill.operators import json_rows, pages
+from textmill.operators import dedupe, json_rows, pages
 from textmill.plans import report
 
 
@@ -102,3 +102,16 @@ def test_json_of_a_batch_in_parts():
     found = list(json_text.compact_texts(iter([(asked, pa.array([False] * n))])))
     assert [len(x) for x in found] == [arrow.PART_ROWS, 3]
     assert found[1].to_pylist()[-1] == {"kind": 2, "text": f'{{"a":{n - 1}}}', "collapsed": True, "emptied": False} and found[0].to_pylist()[5]["text"] is None
+
+
+# Prompts
+
+
+def test_texts_in_which_nothing_can_go_take_no_round(spark, monkeypatch):
+    taken, lines = [], dedupe.lines
+    monkeypatch.setattr(dedupe, "lines", lambda d, *a, **b: taken.append({r.doc_id for r in d.select("doc_id").collect()}) or lines(d, *a, **b))
+    texts = ["\n \t\n  a\n \n\n\tb\n- c\n\f\n\n", "one\ntwo", "", " ", "\r\n\r\n", None, "x", "Same. Same.", "- a\n- a", "```\n\n\nx\n```", "a \n\n a"]
+    found = {r.doc_id: (r.cleaned, r.steps) for r in dedupe.dedupe_prompts(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    assert set().union(*taken) == {7, 8, 9, 10}
+    assert found[1] == ("one\ntwo", []) and found[2] == ("", []) and found[3][0] == found[4][0] == "" and found[5] == (None, []) and found[7][0] == "Same." and found[8][0] == "- a" and found[10][0] == "a"
+    assert found[0] == ("a\n\n\tb\n- c", ["stripped_trailing_whitespace"])

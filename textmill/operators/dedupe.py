@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textmill.functions.measures import sealed
 from textmill.functions.text import normalize_text
 from textmill.views import shared_folder
 
@@ -96,17 +97,40 @@ def checkpointed(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
+def may_repeat(c: Column) -> Column:
+    """Whether a round could remove something from a text (line ends are newlines): a stripped line that stands twice, a sentence twice in a line, or a fence.
+
+    Equal items, blocks and headings begin with equal lines, so a text without any of these loses nothing.
+    """
+    rows = F.split(c, "\n", -1)
+    keys = F.filter(F.transform(rows, strip), lambda x: x != "")
+    twice = lambda x: F.size(x) > F.size(F.array_distinct(x))
+    sentences = F.exists(rows, lambda x: twice(F.split(x, r"(?<=[.!?])\s+", -1)))
+    return F.coalesce(F.contains(c, F.lit("```")) | F.contains(c, F.lit("~~~")) | twice(keys) | sentences, F.lit(False))
+
+
+def one_blank_line(c: Column) -> Column:
+    """What a round makes of a text without a fence that loses nothing: its blocks with one empty line between, blank lines at its ends gone."""
+    blank = r"[ \t\x0B\f\r]*+"
+    c = F.regexp_replace(F.regexp_replace(c, rf"\A(?:{blank}\n)++", ""), rf"\n(?:{blank}\n)++", "\n\n")
+    c = F.regexp_replace(c, rf"(?:\n{blank})++\z", "")
+    return F.when(c.rlike(rf"\A{blank}\z"), "").otherwise(c)
+
+
 def dedupe_prompts(docs: DataFrame) -> DataFrame:
     """doc_id, cleaned, steps: list items, blocks and sentences until nothing changes, then normalisation; each step is named once, where it first fired.
 
-    Only documents that the last round changed go into the next one; each round is cut by a checkpoint in
-    the folder that the session names. A round that changes a document removes a line, block or sentence of
+    Documents in which nothing can go (see may_repeat) take no round. Of the others, only documents that the
+    last round changed go into the next one; each round is cut by a checkpoint in the folder that the session names. A round that changes a document removes a line, block or sentence of
     it, so the rounds end.
     """
     checkpointed(docs.sparkSession)
     none = F.array().cast("array<string>")
-    live = docs.select("doc_id", F.regexp_replace("text", "\r\n|\r", "\n").alias("text"), none.alias("seen"))
-    first = docs.select(F.col("doc_id").alias("d"), F.col("text").alias("before"))
+    every = docs.select("doc_id", F.col("text").alias("before"), F.regexp_replace("text", "\r\n|\r", "\n").alias("text"))
+    every = sealed(every.withColumn("rounds", may_repeat(F.col("text"))), "rounds")
+    live = every.where("rounds").select("doc_id", "text", none.alias("seen"))
+    first = every.where("rounds").select(F.col("doc_id").alias("d"), "before")
+    plain = every.where("not rounds").select("doc_id", "before", one_blank_line(F.col("text")).alias("text"), none.alias("seen"))
     keep, done = ("seen",), None
     while True:
         own = live.withColumn("own", none)
@@ -121,7 +145,7 @@ def dedupe_prompts(docs: DataFrame) -> DataFrame:
             break
     # a document of blank lines alone has no block and does not come back from the rounds
     done = first.join(done, F.col("doc_id") == F.col("d"), "left").select(F.col("d").alias("doc_id"), "before", F.when(F.col("before").isNotNull(), F.coalesce("text", F.lit(""))).alias("text"), F.coalesce("seen", none).alias("seen"))
-    out = normalize_text(done).withColumn("steps", F.concat("seen", "steps"))
+    out = normalize_text(plain.union(done)).withColumn("steps", F.concat("seen", "steps"))
     return out.select("doc_id", "cleaned", F.when(F.equal_null(F.col("cleaned"), F.col("before")), none).otherwise(F.col("steps")).alias("steps"))
 
 

@@ -34,7 +34,8 @@ def clean(contents: DataFrame, prompts: bool = False, csv: bool = False, rules:
     d = d.withColumn("transformer", rules.route(F.col("content_type")) if rules else detect.route(F.col("content_type")))
     empty, kind = F.array().cast(NONE), F.col("transformer")
     many = ["html"] * html + ["prompt"] * prompts
-    plain = normalize_text(d.where(kind.isNull() | ~kind.isin(many)) if many else d)
+    plain = (d.where(kind.isNull() | ~kind.isin(many)) if many else d).withColumn("prose", F.when(kind == "text", F.col("text")))
+    plain = normalize_text(plain, "prose").drop("prose")
     plain = sealed(plain.withColumn("small", F.when(kind == "json", compact_json(F.col("text"), prune))), "small")
     if csv:
         plain = sealed(plain.withColumn("delimiter", F.when(kind == "csv", detect.csv_delimiter(F.col("text")))), "delimiter")

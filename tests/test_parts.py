@@ -1,6 +1,7 @@
 """Steps whose memory or time must not grow with the rows of a task: results of each row, and what a plan has."""
 
 import random
+import tracemalloc
 
 import pyarrow as pa
 import pytest
@@ -57,6 +58,22 @@ def test_pages_of_a_batch_in_parts(step):
     assert want[step]()
 
 
+@pytest.mark.parametrize("step", list(STEPS))
+def test_memory_of_pages_does_not_grow_with_the_batch(step):
+    fn, html = STEPS[step]
+
+    def most(n):
+        batch = pa.array([html.format(i) + "<p>" + "words of the page " * 100 + "</p>" for i in range(n)])
+        tracemalloc.start()
+        try:
+            assert sum(map(len, fn(iter([batch])))) == n
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    assert most(arrow.PART_ROWS) < 2 * most(arrow.PART_ROWS // 4)
+
+
 # Cases
 
 

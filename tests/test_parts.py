@@ -1,6 +1,7 @@
 """Steps whose memory or time must not grow with the rows of a task: results of each row, and what a plan has."""
 
 import random
+import time
 import tracemalloc
 
 import pyarrow as pa
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textmill.functions import arrow, json_text, measures, text
-from textmill.operators import dedupe, json_rows, pages
+from textmill.operators import dedupe, detect, json_rows, pages
 from textmill.plans import report
 
 
@@ -113,6 +114,28 @@ def test_the_kind_of_a_text_is_found_once(spark):
     assert found.count("get_json_object") == 1 and found.lower().count("parse_json") + found.count("parseJson") <= 2
 
 
+def test_only_texts_that_begin_as_json_are_stripped(spark):
+    d = spark.createDataFrame([("<p>" + "a b\n" * 250_000,)] * 8, "text string").coalesce(1).cache()
+    d.count()
+
+    def seconds(c):
+        began = time.monotonic()
+        d.select(c).write.format("noop").mode("overwrite").save()
+        return time.monotonic() - began
+
+    c = F.col("text")
+    assert min(seconds(text.is_json(c)) for _ in range(3)) < min(seconds(text.stripped(c)) for _ in range(3)) / 2
+    blanks = ["{}", " \n\t\x0b\f\r[1] ", "\u00a0{}", "\u2028{}", "\x1c{}", "x{}", " ", "\n", "<{}"]
+    assert [r[0] for r in spark.createDataFrame([(b,) for b in blanks], "text string").coalesce(1).select(text.is_json(c)).collect()] == [True, True, *[False] * 7]
+
+
+def test_markup_in_quotes_of_any_kind_is_not_markup(spark):
+    page = "<ul><li>a</li><li>b</li></ul>"
+    texts = [page, f"```\n{page}\n```", f"~~~{page}~~~", f"`{page}`", f"~~{page}~~", f"``{page}", f"~~~{page}", f"```{page}~~~ {page}", f"a `b` {page}", f"~~~ ` ~~~ {page} `"]
+    found = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1).select(detect.html_confidence(F.col("text"))).collect()
+    assert [r[0] is not None for r in found] == [True, False, False, False, True, True, True, True, True, True]
+
+
 def test_json_of_a_batch_in_parts():
     n = arrow.PART_ROWS + 3
     asked = pa.StructArray.from_arrays([pa.array([2] * n, pa.int32()), pa.array([None if i == 5 else f'{{"a":1,"a":{i}}}' for i in range(n)])], ["kind", "text"])

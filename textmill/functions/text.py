@@ -88,7 +88,8 @@ def json_kind(c: Column) -> Column:
         lenient = F.get_json_object(F.concat(F.lit("["), t, F.lit("]")), "$").isNotNull()
         return F.when(~ends, 0).when(F.try_parse_json(t).isNotNull(), 1).when(~bare.rlike("['\"]") & lenient, 2).otherwise(0)
 
-    return F.coalesce(F.element_at(F.transform(F.array(stripped(c)), one), 1), F.lit(0))
+    begins = c.rlike(r"\A\s*+[{\[]")  # what does not is not stripped: that would read all of it
+    return F.coalesce(F.when(begins, F.element_at(F.transform(F.array(stripped(c)), one), 1)), F.lit(0))
 
 
 def is_json(c: Column) -> Column:

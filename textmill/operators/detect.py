@@ -59,7 +59,8 @@ def magic(c: Column) -> Column:
 
 def html_confidence(c: Column) -> Column:
     """Markup used as content, not quoted: a document's tags, or known closing tags after an opening tag or in dense markup."""
-    prose = F.regexp_replace(F.regexp_replace(c, r"(?s)```.*?```|~~~.*?~~~", " "), r"`[^`\n]*`", " ")
+    quoted = F.contains(c, F.lit("`")) | F.contains(c, F.lit("~~~"))
+    prose = F.when(quoted, F.regexp_replace(F.regexp_replace(c, r"(?s)```.*?```|~~~.*?~~~", " "), r"`[^`\n]*`", " ")).otherwise(c)
     # no tag ends behind the last >, so none is looked for there
     upto = F.substring(prose, F.lit(1), F.length(prose) - F.length(F.substring_index(prose, ">", -1)))
     pieces = F.regexp_extract_all(upto, F.lit(r"(<\s*+(?:/\s*+)?[a-zA-Z][a-zA-Z0-9]{0,14}\b[^>]*+>)"), F.lit(1))
